@@ -7,22 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meadowlark.llm import minhash, mixing, packing
+from meadowlark.llm import minhash, mixing, packing, pii, toxicity
 from meadowlark.llm.common import stored, table
 
 #: Learned stages can't be written in SQL; tests compare them with brute force.
 ORACLE_SQL = None
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on ``labels``, doesn't predict to be toxic."""
+    weights = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, weights).where("predicted = 0").select(docs.columns)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays, the one with the smallest doc_id; rows that repeat it go."""
     return minhash.keep_one(docs)
 
 
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with placeholders for personal data."""
+    return pii.redact(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, each as often as it takes them."""
-    taken = mixing.mix_sources(docs).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("times")).distinct()
-    return docs.join(taken, F.col("doc_id").eqNullSafe(taken.doc_id)).select(docs["*"], F.explode(F.sequence(F.lit(1), "times")).alias("time")).drop("time")
+    taken = mixing.mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("id"), (F.col("taken") / F.col("size")).cast("int").alias("times")).distinct()
+    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("id"))).select(*docs.columns, F.explode(F.sequence(F.lit(1), "times")).alias("time")).drop("time")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +41,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
     ("near_duplicates", drop_near_duplicates),
+    ("personal_data", redact),
     ("mixing", mix),
     ("packing", pack),
 ]

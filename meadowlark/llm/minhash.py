@@ -188,3 +188,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k
         if buckets is None:
             break
     return member.join(components, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id"))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one document of each class of near duplicates, that of the smallest doc_id; rows that repeat it go.
+
+    Rows of null doc_id can't be named as members: one of each text stays.
+    """
+    classes = near_duplicates(docs, **options).where("doc_id is not null")
+    keep = stored(classes.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")))
+    kept = docs.join(keep.select("doc_id"), "doc_id", "left_semi")
+    repeated = keep.where("n > 1").select("doc_id")
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, "doc_id", "left_anti").union(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(docs.columns).union(docs.where("doc_id is null").dropDuplicates(["text"]))

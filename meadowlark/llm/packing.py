@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -15,22 +17,60 @@ from .common import batches_of, stored
 CAPACITY, END = 2048, 0
 
 
+#: A run of letters with ASCII punctuation, but no apostrophe or underscore, around it: the tokenizer splits there anyhow.
+_PARTS = re.compile(r"([!-&(-/:-@\[-^`{-~]*)([^\W\d_]+)([!-&(-/:-@\[-^`{-~]*)")
+#: White space to Python, but not to the tokenizer.
+_NOT_SPACE = re.compile("[\x1c-\x1f]")
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+#: Letters whose lower case is one letter, as the tokenizer has it.
+_PLAIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+#: Byte-level vocabularies write printable Latin-1 characters as themselves and the other bytes, in turn, from U+0100 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
+
+
 class _Encoder(dict):
     """Memo of white-space-separated chunk -> token ids. No pattern of the tokenizer's matches across white space, and its
-    normalisers don't either, so a text's ids are those of its chunks in turn. Bounded: emptied when full."""
+    normalisers don't either, so a text's ids are those of its chunks in turn. Bounded: emptied when full.
 
-    def __init__(self, path: str, bound: int = 1 << 18):
+    A chunk of letters between punctuation is encoded by parts, of which far fewer differ.
+    """
+
+    def __init__(self, path: str, bound: int = 1 << 19):
         from tokenizers import Tokenizer
 
-        self.encode, self.bound = Tokenizer.from_file(path).encode, bound
+        self.tokenizer, self.bound, self.parts = Tokenizer.from_file(path), bound, {}
+        self.model = self.tokenizer.model
+
+    def encode(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            if len(self.parts) >= self.bound:
+                self.parts.clear()
+            if _PLAIN.fullmatch(part):  # nothing to compose or split: the model alone gives the ids
+                found = [t.id for t in self.model.tokenize(part.lower().encode().decode("latin-1").translate(_BYTE_CHARACTERS))]
+            else:
+                found = self.tokenizer.encode(part, add_special_tokens=False).ids
+            self.parts[part] = ids = np.array(found, "<u4").tobytes()
+        return ids
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.bound:
             self.clear()
-        self[chunk] = ids = np.array(self.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        m = None if "<|" in chunk else _PARTS.fullmatch(chunk)
+        ids = b"".join(self.encode(x.lower() if x.isascii() else x) for x in m.groups() if x) if m else self.encode(chunk)
+        self[chunk] = ids
         return ids
 
 
+@functools.cache
+def _encoder(path: str) -> _Encoder:
+    """One a worker process, so that its tasks share the memo."""
+    return _Encoder(path)
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -39,12 +79,14 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Encoder(path)
+        encoder = _encoder(path)
         end = np.array([END], "<u4").tobytes()
         for batch in batches_of(batches):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = b"".join(map(encoder.__getitem__, (text.as_py() or "").split())) + end
+                text = text.as_py() or ""
+                chunks = filter(None, _SPACE.split(text)) if _NOT_SPACE.search(text) else text.split()
+                ids = b"".join(map(encoder.__getitem__, chunks)) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
