@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, packing, pii, toxicity
+from . import ann, audio, html_text, langid, minhash, mixing, packing, pii, substring_dedup, toxicity
 from .common import is_held_out, table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -30,17 +35,32 @@ def op5_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), "base_sha256", pii.as_text(F.col("found")).alias("spans"))
 
 
+def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.train(docs)).select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = audio.media_features(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.concat_ws(",", F.flatten("tensors")), 256)
+    feature = F.concat_ws(":", F.size("spans"), F.round(F.element_at("spans", -1)["end"], 6), digest)
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op3_toxicity, op4_best_fit_packing, op5_contextual_pii, op8_language_id, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_toxicity, op4_best_fit_packing, op5_contextual_pii, op6_permutation_index, op7_main_text, op8_language_id, op9_audio_features, op10_near_duplicates)}
 
 
 OP2_SQL = r"""
