@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import GOLDEN, WordHasher, batches_of, mix, rolling, shingle_units, signed, stored
@@ -19,8 +19,8 @@ _POISSON = np.array([min(int(sum(math.exp(-1) / math.factorial(i) for i in range
 _EMPTY = _U(2**64 - 1)
 
 
-def dart_signature(units: np.ndarray, k: int = 256) -> np.ndarray:
-    """DartMinHash: the rank of the earliest dart at each of ``k`` coordinates (a power of two).
+def dart_signature(units: np.ndarray, k: int = 160) -> np.ndarray:
+    """DartMinHash: the rank of the earliest dart at each of ``k`` coordinates.
 
     ``units`` are unit-weight regions (see shingle_units). A hash of region and rank cell says how many darts, Poisson
     with mean one, fall into that unit square, and where. Equal regions get equal darts in every text, so two texts
@@ -37,7 +37,7 @@ def dart_signature(units: np.ndarray, k: int = 256) -> np.ndarray:
             ends = np.cumsum(n)
             dart = mix(np.repeat(square, n) + (np.arange(ends[-1]) - np.repeat(ends - n, n) + 1).astype(np.uint64) * GOLDEN)
             at_cell = np.repeat(np.tile(cell, len(square) // len(cell)), n)
-            np.minimum.at(out, (dart & _U(k - 1)).astype(np.intp), (at_cell << _U(44)) | (mix(dart) >> _U(20)))
+            np.minimum.at(out, ((dart >> _U(32)) * _U(k) >> _U(32)).astype(np.intp), (at_cell << _U(44)) | (mix(dart) >> _U(20)))
         if not (out == _EMPTY).any():
             return out
         first, cells = first + cells, cells * 2
@@ -65,15 +65,16 @@ def _signatures(size: int, k: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches_of(batches):
-            ids, keys = [], []
+            ids, sizes, keys = [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 units = shingle_units((text or "").encode().split(), hasher, size)
                 if len(units):
                     ids.append(doc_id)
+                    sizes.append(len(units))
                     keys.append(band_keys(dart_signature(units, k), rows))
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * (k // rows))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], ["node", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], ["node", "size", "keys"])
 
     return run
 
@@ -104,23 +105,23 @@ def _prefix_units(size: int, threshold: float):
             for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 units = signed(shingle_units(text.encode().split(), hasher, size))
                 length = len(units) - math.ceil(threshold * len(units) - 1e-9) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), node, np.int64)), pa.array(units), pa.array(np.full(len(units), length, np.int32))], ["node", "key", "length"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), node, np.int64)), pa.array(units), pa.array(np.full(len(units), len(units), np.int64)), pa.array(np.full(len(units), length, np.int32))], ["node", "key", "size", "length"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k: int = 256, rows: int = 6, small: int = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k: int = 160, rows: int = 5, pairs_each: int = 64) -> DataFrame:
     """One row per row of ``docs``: doc_id and class_id, the smallest doc_id of its class.
 
     Two texts are linked if the weighted Jaccard similarity of their ``shingle``-word shingles (with their numbers of
     repeats) is at least ``threshold``; classes are the connected components. Exact copies share a class without
-    comparing. 42 bands of six coordinates miss a pair at the threshold with a probability of 3 in a million, and
+    comparing. 32 bands of five coordinates miss a pair at the threshold with a probability of 3 in a million, and
     every link is verified on the texts.
 
-    Inside a band's bucket not all pairs are compared: first each member with the smallest one; then, in buckets that
-    still hold several components, each pair of different components if the bucket has at most ``small`` members.
-    Texts of larger such buckets are joined exactly on rare shingles (similar texts share one of the rarest
-    20 % + 1), and those buckets go on, one leader a round, until no pair of different components is left.
+    Inside a band's bucket not all pairs are compared: first each member with the smallest one; then, where a bucket
+    still holds several components, pairs of different components whose sizes allow the threshold, if these are at most
+    ``pairs_each`` a member. Texts of other such buckets are joined exactly on rare shingles (similar texts share one of
+    the rarest 20 % + 1), and those buckets go on, one leader a round, until no pair of different components is left.
 
     Texts without words are linked only to exact copies. A null text is in a class of its own: its doc_id (null if
     that is null too). doc_id is the key: rows that repeat an id with another text count as one document.
@@ -131,15 +132,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k
     groups = narrow.where("sha is not null").groupBy("sha").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")).where("n > 1").drop("n")
     member = stored(narrow.join(groups, "sha", "left").select("doc_id", F.coalesce("node", "doc_id").alias("node")))
     copies = member.where("doc_id <> node").select(F.col("doc_id").alias("node")).distinct()
-    keys = docs.where("doc_id is not null").mapInArrow(_signatures(shingle, k, rows), "node long, keys array<long>")
-    rows_ = stored(keys.join(copies, "node", "left_anti")).select("node", F.explode("keys").alias("key"))
+    keys = docs.where("doc_id is not null").mapInArrow(_signatures(shingle, k, rows), "node long, size long, keys array<long>")
+    banded = stored(keys.join(copies, "node", "left_anti")).select("node", "size", F.explode("keys").alias("key"))
 
     def shared(buckets: DataFrame) -> DataFrame:
         """Rows of buckets with two members or more, and each bucket's smallest member."""
-        leaders = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("most")).where("leader < most").drop("most")
-        return buckets.join(leaders, "key")
+        leaders = buckets.groupBy("key").agg(F.min(F.struct("node", "size")).alias("leader"), F.max("node").alias("most")).where("leader.node < most").drop("most")
+        return buckets.join(leaders, "key").select("key", "node", "size", F.col("leader.node").alias("leader"), F.col("leader.size").alias("leader_size"))
 
-    buckets = stored(shared(rows_))
+    def can_link(a: str, b: str) -> Column:
+        return F.least(a, b) >= F.greatest(a, b) * threshold
+
+    def star(buckets: DataFrame) -> DataFrame:
+        return buckets.where((F.col("leader") < F.col("node")) & can_link("size", "leader_size")).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+
+    buckets = stored(shared(banded))
     nodes = buckets.select("node").distinct()
     texts = stored(docs.join(nodes, docs.doc_id == nodes.node, "left_semi").select(F.col("doc_id").alias("node"), "text"))
 
@@ -148,45 +155,47 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k
         with_both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         return with_both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(shingle, threshold), "a long, b long")
 
-    tested = stored(buckets.where("leader < node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
+    tested = stored(star(buckets).distinct())
     edges = stored(links(tested))
     components = connected_components(edges)
-    buckets = buckets.drop("leader")
+    buckets = buckets.select("key", "node", "size")
     used = None  # largest leader so far of buckets that go on one leader a round
-    exact = False
-    while True:
-        placed = buckets.join(components, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "n")
-        open_ = stored(placed.join(mixed, "key"))
+    while buckets is not None:
+        placed = buckets.join(components, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
+        parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"))
+        mixed = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.sum("sum").alias("members")).where("squares < n * n")
+        if used is None:  # of buckets with the same members one is enough
+            mixed = mixed.groupBy("n", "members").agg(F.min("key").alias("key"), F.first("squares").alias("squares"))
+        open_ = stored(placed.join(mixed.select("key", (F.col("n") * F.col("n") - F.col("squares") <= 2 * pairs_each * F.col("n")).alias("few")), "key"))
         if open_.isEmpty():
             break
-        few, many = open_.where(F.col("n") <= small), open_.where(F.col("n") > small)
-        other = few.select("key", F.col("node").alias("b"), F.col("component").alias("component_b"))
-        pairs = few.join(other, "key").where("node < b and component <> component_b").select(F.col("node").alias("a"), "b")
+        few, many = open_.where("few"), open_.where("not few")
+        other = few.select("key", F.col("node").alias("b"), F.col("component").alias("component_b"), F.col("size").alias("size_b"))
+        pairs = few.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("component_b")) & can_link("size", "size_b")).select(F.col("node").alias("a"), "b")
         if many.isEmpty():
             buckets = None
-        elif not exact:
-            units = many.select("node").distinct().join(texts, "node").mapInArrow(_prefix_units(shingle, threshold), "node long, key long, length int")
-            units = stored(units)
+        elif used is None:
+            units = stored(many.select("node").distinct().join(texts, "node").mapInArrow(_prefix_units(shingle, threshold), "node long, key long, size long, length int"))
             common = units.groupBy("key").agg(F.count("*").alias("df"))
-            ranked = units.join(common, "key").groupBy("node", "length").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("ranked"))
-            buckets = stored(shared(ranked.select("node", F.explode(F.slice("ranked", F.lit(1), F.col("length"))).alias("unit")).select("node", "unit.key")))
-            pairs = pairs.union(buckets.where("leader < node").select(F.col("leader").alias("a"), F.col("node").alias("b")))
-            used = buckets.select("key", "leader").distinct()
-            buckets = buckets.drop("leader")
-            exact = True
+            ranked = units.join(common, "key").groupBy("node", "size", "length").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("ranked"))
+            exact = stored(shared(ranked.select("node", "size", F.explode(F.slice("ranked", F.lit(1), F.col("length"))).alias("unit")).select("node", "size", "unit.key")))
+            pairs = pairs.union(star(exact))
+            used = exact.select("key", "leader").distinct()
+            buckets = exact.select("key", "node", "size")
         else:
             unused = many.join(used, "key").where("node > leader")
             used = stored(used.join(unused.groupBy("key").agg(F.min("node").alias("next")), "key").select("key", F.col("next").alias("leader")))
-            lead = many.join(used, "key").where("node = leader").select("key", F.col("node").alias("a"), F.col("component").alias("component_a"))
-            pairs = pairs.union(many.join(lead, "key").where("node > a and component <> component_a").select("a", F.col("node").alias("b")))
-            buckets = stored(many.select("key", "node").join(used.select("key"), "key", "left_semi"))
+            lead = many.join(used, "key").where("node = leader").select("key", F.col("node").alias("a"), F.col("component").alias("component_a"), F.col("size").alias("size_a"))
+            pairs = pairs.union(many.join(lead, "key").where((F.col("node") > F.col("a")) & (F.col("component") != F.col("component_a")) & can_link("size", "size_a")).select("a", F.col("node").alias("b")))
+            buckets = stored(many.select("key", "node", "size").join(used.select("key"), "key", "left_semi"))
         fresh = stored(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+        if fresh.isEmpty():
+            continue
         tested = stored(tested.union(fresh))
-        edges = stored(edges.union(links(fresh)))
-        components = connected_components(edges)
-        if buckets is None:
-            break
+        found = stored(links(fresh))
+        if not found.isEmpty():
+            edges = stored(edges.union(found))
+            components = connected_components(edges)
     return member.join(components, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id"))
 
 
