@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 # The WGS84 ellipsoid and the equal-area grid (EPSG:6933).
 SEMI_MAJOR = 6378137.0
 FLATTENING = 1 / 298.257223563
-GRID_SIZE = 1000.8950233495561
+GRID_SIZE = 1000.8950233495556
 GRID_ROWS, GRID_COLS = 14616, 34704
-GRID_X0, GRID_Y0 = -17367530.445161372, 7314540.830865059
+GRID_X0, GRID_Y0 = -17367530.445161488, 7314540.830638552
 STANDARD_PARALLEL = 30.0
 EARTH_RADIUS_KM = 6371.0088
 KM_PER_DEGREE_X, KM_PER_DEGREE_Y = 111.32, 110.574
