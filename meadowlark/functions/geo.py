@@ -130,7 +130,6 @@ def _inverse_km(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.n
         return np.where(done, km, 2 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(h, 1))))
 
 
-@F.pandas_udf("double")
 def _geodesic(points: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for lon1, lat1, lon2, lat2 in points:
         known = (lon1.notna() & lat1.notna() & lon2.notna() & lat2.notna()).to_numpy()
@@ -142,7 +141,8 @@ def _geodesic(points: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]
 
 def geodesic_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Distance on the WGS84 ellipsoid; null if a coordinate is null."""
-    return F.nanvl(_geodesic(lon1, lat1, lon2, lat2), F.lit(None).cast("double"))
+    distance = F.pandas_udf(_geodesic, "double")
+    return F.nanvl(distance(lon1, lat1, lon2, lat2), F.lit(None).cast("double"))
 
 
 def segment_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:

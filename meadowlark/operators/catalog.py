@@ -106,8 +106,8 @@ def union_candidates(*hits: tuple[str, DataFrame]) -> DataFrame:
 
 def dataset_tags(datasets: DataFrame, regions: DataFrame) -> DataFrame:
     """(dataset_id, tag): one for each variable, each year of coverage, and each region of which enough is covered."""
-    variables = datasets.select("dataset_id", F.concat(F.lit("variable:"), F.explode("variables")).alias("tag"))
-    years = datasets.select("dataset_id", F.concat(F.lit("year:"), F.explode(F.sequence(F.year("start"), F.year("end"))).cast("string")).alias("tag"))
+    variables = datasets.select("dataset_id", F.explode(F.transform("variables", lambda v: F.concat(F.lit("variable:"), v))).alias("tag"))
+    years = datasets.select("dataset_id", F.explode(F.transform(F.sequence(F.year("start"), F.year("end")), lambda y: F.concat(F.lit("year:"), y.cast("string")))).alias("tag"))
     pairs = datasets.crossJoin(F.broadcast(regions.select("region", *(F.col(c).alias(f"r_{c}") for c in ("west", "south", "east", "north")))))
     share = bbox_share(_box(), _box(("r_west", "r_south", "r_east", "r_north")))
     return variables.union(years).union(pairs.where(share >= REGION_SHARE).select("dataset_id", F.concat(F.lit("region:"), "region"))).distinct()
