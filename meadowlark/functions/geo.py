@@ -96,7 +96,7 @@ def cells_in_bbox(spark: SparkSession, west: float, south: float, east: float, n
 def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     dlat, dlon = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
     a = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon / 2), 2)
-    return F.asin(F.sqrt(F.least(F.lit(1.0), a))) * (2 * EARTH_RADIUS_KM)
+    return F.when(a.isNotNull(), F.asin(F.sqrt(F.least(F.lit(1.0), a))) * (2 * EARTH_RADIUS_KM))  # least() skips nulls
 
 
 def _inverse_km(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.ndarray) -> np.ndarray:
@@ -142,7 +142,7 @@ def _geodesic(points: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]
 def geodesic_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Distance on the WGS84 ellipsoid; null if a coordinate is null."""
     distance = F.pandas_udf(_geodesic, "double")
-    return F.nanvl(distance(lon1, lat1, lon2, lat2), F.lit(None).cast("double"))
+    return distance(lon1, lat1, lon2, lat2)
 
 
 def segment_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:

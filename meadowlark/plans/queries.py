@@ -522,7 +522,7 @@ def _(v):
 _HAVERSINE = "12742.0176e0 * asin(sqrt(least(1.0e0, pow(sin(radians(latitude - plat) / 2), 2) + cos(radians(plat)) * cos(radians(latitude)) * pow(sin(radians(longitude - plon) / 2), 2))))"
 
 
-@query("geodesic_km", "steps", f"SELECT entity_id, day, true AS near FROM steps WHERE {_HAVERSINE} > 0.1")
+@query("geodesic_km", "steps", f"SELECT entity_id, day, true AS near FROM steps WHERE plon IS NOT NULL AND {_HAVERSINE} > 0.1")
 def _(v):
     days = movement.with_previous(v.daily)
     ends = [F.col(c) for c in ("previous_longitude", "previous_latitude", "longitude", "latitude")]
