@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import GOLDEN, WordHasher, mix, rolling, signed, stored
@@ -61,6 +62,12 @@ class _Words:
         return parts[0] << _U(32) | parts[1], parts[2] << _U(32) | parts[3]
 
 
+@functools.cache
+def _hasher() -> WordHasher:
+    """One a worker process, so that its groups share the memo."""
+    return WordHasher(1 << 18)
+
+
 def _digest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(mix(a) + b * GOLDEN)
 
@@ -77,7 +84,7 @@ def _is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = WordHasher()
+    hasher = _hasher()
     for whole in batches:
         for at in range(0, whole.num_rows, 2048):
             batch = whole.slice(at, 2048)
@@ -91,7 +98,7 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _emit_suffixes(docs: pa.Table, repeated: pa.Table) -> pa.Table:
     """Windows whose anchor is repeated, each once a bucket; ``tag`` is 2 x bucket, and 1 more if it occurs again in it."""
-    words = _Words(docs.column("text").to_pylist(), WordHasher())
+    words = _Words(docs.column("text").to_pylist(), _hasher())
     value, _ = words.anchors()
     at = np.flatnonzero(words.inside & _is_in(value, _longs(repeated.column("value"))) if len(value) else words.inside)
     a, b = words.symbols()
@@ -120,7 +127,7 @@ def _deep_nodes(group: pa.Table) -> pa.Table:
 
 
 def _remove(docs: pa.Table, repeats: pa.Table) -> pa.Table:
-    words = _Words(docs.column("text").to_pylist(), WordHasher())
+    words = _Words(docs.column("text").to_pylist(), _hasher())
     kept_texts, removed = [], []
     covered = np.zeros(len(words.words) + 1, np.int64)
     if len(words.inside):
@@ -144,7 +151,7 @@ def _prefix(symbols: int) -> Column:
     return F.xxhash64(F.lit(symbols), *parts)
 
 
-def remove_repeats(docs: DataFrame, bucket_bytes: int = 8 << 20, group_rows: int = 1 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, bucket_bytes: int = 2 << 20, group_rows: int = 1 << 19) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, and ``kept``, the words that stay, joined by one space.
 
     A word goes if a window of 35 words over it, of one text, has a word sequence that also starts anywhere else, in
@@ -162,7 +169,7 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = 8 << 20, group_rows: int
     buckets = max(1, -(-total // bucket_bytes))
     dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"))
     anchors = dealt.select("text", "bucket").mapInArrow(_emit_anchors, "value long, bucket int")
-    per_bucket = anchors.groupBy("value", "bucket").agg(F.count("*").alias("n"))
+    per_bucket = stored(anchors.groupBy("value", "bucket").agg(F.count("*").alias("n")))
     repeated = per_bucket.groupBy("value").agg(F.sum("n").alias("total")).where("total > 1").select("value")
     repeated = stored(per_bucket.select("value", "bucket").join(repeated, "value", "left_semi"))
 
