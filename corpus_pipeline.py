@@ -32,8 +32,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, each as often as it takes them."""
-    taken = mixing.mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("id"), (F.col("taken") / F.col("size")).cast("int").alias("times")).distinct()
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("id"))).select(*docs.columns, F.explode(F.sequence(F.lit(1), "times")).alias("time")).drop("time")
+    taken = mixing.mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("_mix_doc"), (F.col("taken") / F.col("size")).cast("int").alias("_times")).distinct()
+    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_mix_doc"))).select(*docs.columns, F.explode(F.sequence(F.lit(1), "_times")).alias("_time")).drop("_time")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

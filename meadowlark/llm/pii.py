@@ -141,10 +141,10 @@ def _scanned(docs: DataFrame) -> DataFrame:
 
 
 def _added(scanned: DataFrame, rounds: int, support: int, confidence: float) -> DataFrame:
-    """id, text_key and ``added``: the spans of discovered values, by document. Repeated rows count once."""
-    spans = scanned.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), F.explode("more").alias("span")).select("id", "key", "span.start", "span.kind", "span.end", "span.value")
+    """_span_doc, _span_text and _spans: the spans of discovered values, by document. Repeated rows count once."""
+    spans = scanned.select(F.col("doc_id").alias("_span_doc"), F.col("text_key").alias("_span_text"), F.explode("more").alias("span")).select("_span_doc", "_span_text", "span.start", "span.kind", "span.end", "span.value")
     hits = spans.join(discover(scanned, rounds, support, confidence), ["kind", "value"], "left_semi")
-    return hits.groupBy("id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).alias("added"))
+    return hits.groupBy("_span_doc", "_span_text").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).alias("_spans"))
 
 
 def _counter(kind: int) -> Callable[[Column, Column], Column]:
@@ -164,8 +164,8 @@ def find(docs: DataFrame, rounds: int = 3, support: int = 5, confidence: float =
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     counts = [F.aggregate("base", F.lit(0).cast("long"), _counter(k)).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     none = F.array().cast("array<struct<start:long,kind:int,end:long>>")
-    both = scanned.join(added, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left")
-    return both.select("doc_id", *counts, "base_sha256", F.array_sort(F.concat(base, F.coalesce("added", none))).alias("found"))
+    both = scanned.join(added, F.col("doc_id").eqNullSafe(F.col("_span_doc")) & (F.col("text_key") == F.col("_span_text")), "left")
+    return both.select("doc_id", *counts, "base_sha256", F.array_sort(F.concat(base, F.coalesce("_spans", none))).alias("found"))
 
 
 def redact(docs: DataFrame, rounds: int = 3, support: int = 5, confidence: float = 0.9) -> DataFrame:
@@ -176,12 +176,12 @@ def redact(docs: DataFrame, rounds: int = 3, support: int = 5, confidence: float
     """
     added = _added(_scanned(docs), rounds, support, confidence)
     names = docs.columns
-    joined = docs.join(added, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("key")), "left").select(*names, F.col("added").alias("added_spans"))
+    joined = docs.join(added, F.col("doc_id").eqNullSafe(F.col("_span_doc")) & (F.xxhash64("text") == F.col("_span_text")), "left").select(*names, "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches):
             texts = []
-            for text, more in zip(batch.column("text").to_pylist(), batch.column("added_spans").to_pylist(), strict=True):
+            for text, more in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
                 if text:
                     at, out = 0, []
                     for start, kind, end in sorted([*base_spans(text), *((s["start"], s["kind"], s["end"]) for s in more or ())]):
