@@ -110,7 +110,7 @@ def _prefix_units(size: int, threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k: int = 160, rows: int = 5, pairs_each: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k: int = 160, rows: int = 5, pairs_each: int = 8) -> DataFrame:
     """One row per row of ``docs``: doc_id and class_id, the smallest doc_id of its class.
 
     Two texts are linked if the weighted Jaccard similarity of their ``shingle``-word shingles (with their numbers of
@@ -120,8 +120,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k
 
     Inside a band's bucket not all pairs are compared: first each member with the smallest one; then, where a bucket
     still holds several components, pairs of different components whose sizes allow the threshold, if these are at most
-    ``pairs_each`` a member. Texts of other such buckets are joined exactly on rare shingles (similar texts share one of
-    the rarest 20 % + 1), and those buckets go on, one leader a round, until no pair of different components is left.
+    ``pairs_each`` a member. Texts of other such buckets are joined exactly on rare shingles: similar texts share one of
+    their rarest 20 % + 1. There too each is first compared with the smallest one, and then with all that are still in
+    other components. So no link between components is lost, and members of one component are not compared again.
 
     Texts without words are linked only to exact copies. A null text is in a class of its own: its doc_id (null if
     that is null too). doc_id is the key: rows that repeat an id with another text count as one document.
@@ -159,43 +160,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k
     edges = stored(links(tested))
     components = connected_components(edges)
     buckets = buckets.select("key", "node", "size")
-    used = None  # largest leader so far of buckets that go on one leader a round
-    while buckets is not None:
+    for exact in (False, True):
         placed = buckets.join(components, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
         parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"))
         mixed = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.sum("sum").alias("members")).where("squares < n * n")
-        if used is None:  # of buckets with the same members one is enough
-            mixed = mixed.groupBy("n", "members").agg(F.min("key").alias("key"), F.first("squares").alias("squares"))
-        open_ = stored(placed.join(mixed.select("key", (F.col("n") * F.col("n") - F.col("squares") <= 2 * pairs_each * F.col("n")).alias("few")), "key"))
-        if open_.isEmpty():
-            break
-        few, many = open_.where("few"), open_.where("not few")
-        other = few.select("key", F.col("node").alias("b"), F.col("component").alias("component_b"), F.col("size").alias("size_b"))
-        pairs = few.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("component_b")) & can_link("size", "size_b")).select(F.col("node").alias("a"), "b")
-        if many.isEmpty():
-            buckets = None
-        elif used is None:
-            units = stored(many.select("node").distinct().join(texts, "node").mapInArrow(_prefix_units(shingle, threshold), "node long, key long, size long, length int"))
+        # Of buckets with the same members one is enough.
+        mixed = mixed.groupBy("n", "members").agg(F.min("key").alias("key"), F.first("squares").alias("squares"))
+        few = F.lit(exact) | (F.col("n") * F.col("n") - F.col("squares") <= 2 * pairs_each * F.col("n"))
+        open_ = stored(placed.join(mixed.select("key", few.alias("few")), "key"))
+        one, other = open_.where("few"), open_.where("few").select("key", F.col("node").alias("b"), F.col("component").alias("component_b"), F.col("size").alias("size_b"))
+        pairs = one.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("component_b")) & can_link("size", "size_b")).select(F.col("node").alias("a"), "b")
+        many = open_.where("not few").select("node").distinct()
+        done = exact or many.isEmpty()
+        if not done:
+            units = stored(many.join(texts, "node").mapInArrow(_prefix_units(shingle, threshold), "node long, key long, size long, length int"))
             common = units.groupBy("key").agg(F.count("*").alias("df"))
             ranked = units.join(common, "key").groupBy("node", "size", "length").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("ranked"))
-            exact = stored(shared(ranked.select("node", "size", F.explode(F.slice("ranked", F.lit(1), F.col("length"))).alias("unit")).select("node", "size", "unit.key")))
-            pairs = pairs.union(star(exact))
-            used = exact.select("key", "leader").distinct()
-            buckets = exact.select("key", "node", "size")
-        else:
-            unused = many.join(used, "key").where("node > leader")
-            used = stored(used.join(unused.groupBy("key").agg(F.min("node").alias("next")), "key").select("key", F.col("next").alias("leader")))
-            lead = many.join(used, "key").where("node = leader").select("key", F.col("node").alias("a"), F.col("component").alias("component_a"), F.col("size").alias("size_a"))
-            pairs = pairs.union(many.join(lead, "key").where((F.col("node") > F.col("a")) & (F.col("component") != F.col("component_a")) & can_link("size", "size_a")).select("a", F.col("node").alias("b")))
-            buckets = stored(many.select("key", "node", "size").join(used.select("key"), "key", "left_semi"))
+            by_prefix = stored(shared(ranked.select("node", "size", F.explode(F.slice("ranked", F.lit(1), F.col("length"))).alias("unit")).select("node", "size", "unit.key")))
+            pairs = pairs.union(star(by_prefix))
+            buckets = by_prefix.select("key", "node", "size")
         fresh = stored(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            continue
         tested = stored(tested.union(fresh))
         found = stored(links(fresh))
         if not found.isEmpty():
             edges = stored(edges.union(found))
             components = connected_components(edges)
+        if done:
+            break
     return member.join(components, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id"))
 
 
