@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions import geo, indices
 from ..operators import catalog, checks, forecast, joins, movement, relational, series, stats
 from ..sources import tracking
+from ..sources.storage import shared_folder
 from .views import FIRST_DAY, Views, r, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,6 +110,35 @@ def _(v):
     return tracking.read_features(v.spark, f"{v.sf_dir}/orders.parquet", ["o_orderkey", "o_totalprice"], {"o_orderstatus": "F"})
 
 
+@query("scan_features_csv", "boundaries", "SELECT name, round(west, 6) AS lon, round(south, 6) AS lat FROM boundaries")
+def _(v):
+    path = shared_folder(v.spark)
+    v.boundaries.select("name", F.col("west").alias("LNG"), F.col("south").alias("Latitude")).write.csv(path, header=True)
+    return tracking.read_points_csv(v.spark, path).select("name", r("lon").alias("lon"), r("lat").alias("lat"))
+
+
+@query("scan_features_geojson", "boundaries", "SELECT name, 'Polygon' AS type, 1 AS rings, round(east, 6) AS east FROM boundaries")
+def _(v):
+    path = shared_folder(v.spark)
+    ring = F.transform(F.col("rings")[0], lambda p: F.array(p["x"], p["y"]))
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct("name").alias("properties"))
+    layers = v.boundaries.groupBy(F.lit("FeatureCollection").alias("type"), F.col("name")).agg(F.collect_list(feature).alias("features"))
+    layers.select(F.to_json(F.struct("type", "features"))).repartition(25).write.text(path)
+    features = tracking.read_geojson(v.spark, path)
+    back = tracking.read_boundaries(features)
+    east = F.array_max(F.transform(F.flatten("rings"), lambda p: p["x"]))
+    return back.select("name", F.lit("Polygon").alias("type"), F.size("rings").alias("rings"), r(east).alias("east"))
+
+
+@query("sink_feature_table", "daily", "SELECT entity_id, day, round(displacement_km, 6) AS displacement_km FROM daily WHERE cell = 'c3'")
+def _(v):
+    path = shared_folder(v.spark)
+    columns = {"entity_id": {"type": "string", "role": "entity_id"}, "day": {"type": "date", "role": "event_time"}, "cell": {"type": "string", "role": "cell_id"}, "displacement_km": {"type": "double", "unit": "km"}}
+    tracking.write_features(v.daily, path, columns, ["entity_id", "day"])
+    return tracking.read_features(v.spark, path, ["entity_id", "day", "displacement_km"], {"cell": "c3"}).withColumn("displacement_km", r("displacement_km"))
+
+
 @query("sink_geojson", "boundaries", """SELECT count(*) AS n, min(json_extract_string(g, '$.type')) AS type FROM (SELECT '{"type":"Point"}' AS g FROM boundaries)""")
 def _(v):
     rows = relational.point_rows(v.boundaries.drop("rings"), "west", "south")
