@@ -81,36 +81,45 @@ def _signatures(size: int, k: int, rows: int):
 
 def _verified(size: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        last: tuple = (None, None)
+        hasher, held, memo = WordHasher(), 0, {}
+
+        def units(text: str) -> np.ndarray:
+            nonlocal held
+            if (found := memo.get(text)) is None:
+                if held > 1 << 20:
+                    memo.clear()
+                    held = 0
+                memo[text] = found = shingle_units(text.encode().split(), hasher, size)
+                held += len(found) + len(text) // 8
+            return found
+
         for batch in batches_of(batches, 256):
-            a, b, out = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
             texts = zip(batch.column("text_a"), batch.column("text_b"), strict=True)
-            for one, (text_a, text_b) in zip(a, texts, strict=True):
-                if last[0] != one:
-                    last = (one, shingle_units(text_a.as_py().encode().split(), hasher, size))
-                out.append(weighted_jaccard(last[1], shingle_units(text_b.as_py().encode().split(), hasher, size)) >= threshold)
-            keep = [i for i, x in enumerate(out) if x]
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
+            keep = pa.array([weighted_jaccard(units(a.as_py()), units(b.as_py())) >= threshold for a, b in texts], pa.bool_())
+            yield batch.select(["a", "b"]).filter(keep)
 
     return run
 
 
-def _prefix_units(size: int, threshold: float):
-    """Every unit copy of a text, with the number of units of which similar texts must share one."""
+def _bitmaps(size: int, longs: int = 32):
+    """The number of units of a text, and a bitmap with the bit of each unit's hash set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        for batch in batches_of(batches, 64):
-            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                units = signed(shingle_units(text.encode().split(), hasher, size))
-                length = len(units) - math.ceil(threshold * len(units) - 1e-9) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), node, np.int64)), pa.array(units), pa.array(np.full(len(units), len(units), np.int64)), pa.array(np.full(len(units), length, np.int32))], ["node", "key", "size", "length"])
+        for batch in batches_of(batches):
+            sizes, maps = [], np.zeros((batch.num_rows, longs), np.uint64)
+            for row, text in zip(maps, batch.column("text"), strict=True):
+                units = shingle_units(text.as_py().encode().split(), hasher, size)
+                np.bitwise_or.at(row, (units >> _U(32)) % _U(longs), _U(1) << (units >> _U(58)))
+                sizes.append(len(units))
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * longs)
+            bits = pa.ListArray.from_arrays(offsets, pa.array(signed(maps.ravel())))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int64()), bits], ["node", "size", "bits"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k: int = 160, rows: int = 5, pairs_each: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k: int = 160, rows: int = 5) -> DataFrame:
     """One row per row of ``docs``: doc_id and class_id, the smallest doc_id of its class.
 
     Two texts are linked if the weighted Jaccard similarity of their ``shingle``-word shingles (with their numbers of
@@ -118,11 +127,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k
     comparing. 32 bands of five coordinates miss a pair at the threshold with a probability of 3 in a million, and
     every link is verified on the texts.
 
-    Inside a band's bucket not all pairs are compared: first each member with the smallest one; then, where a bucket
-    still holds several components, pairs of different components whose sizes allow the threshold, if these are at most
-    ``pairs_each`` a member. Texts of other such buckets are joined exactly on rare shingles: similar texts share one of
-    their rarest 20 % + 1. There too each is first compared with the smallest one, and then with all that are still in
-    other components. So no link between components is lost, and members of one component are not compared again.
+    Inside a band's bucket not all pairs are compared. First each member meets the one with the most neighbours over
+    all its buckets: of a text and its altered copies that is mostly the text. Where a bucket still holds several
+    components, pairs of different ones are tried by bitmaps of their shingles: the bits in which two texts differ are at
+    most as many as the shingles that only one of them has. Pairs with too many of them can't reach the threshold, so
+    leaving them out loses no link. The others are compared.
 
     Texts without words are linked only to exact copies. A null text is in a class of its own: its doc_id (null if
     that is null too). doc_id is the key: rows that repeat an id with another text count as one document.
@@ -136,57 +145,48 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k
     keys = docs.where("doc_id is not null").mapInArrow(_signatures(shingle, k, rows), "node long, size long, keys array<long>")
     banded = stored(keys.join(copies, "node", "left_anti")).select("node", "size", F.explode("keys").alias("key"))
 
-    def shared(buckets: DataFrame) -> DataFrame:
-        """Rows of buckets with two members or more, and each bucket's smallest member."""
-        leaders = buckets.groupBy("key").agg(F.min(F.struct("node", "size")).alias("leader"), F.max("node").alias("most")).where("leader.node < most").drop("most")
-        return buckets.join(leaders, "key").select("key", "node", "size", F.col("leader.node").alias("leader"), F.col("leader.size").alias("leader_size"))
+    sizes = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "n")
+    buckets = stored(banded.join(sizes, "key"))
+    nodes = stored(buckets.groupBy("node").agg(F.sum("n").alias("degree")))
+    texts = stored(docs.join(nodes.select("node"), docs.doc_id == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text"))
 
-    def can_link(a: str, b: str) -> Column:
-        return F.least(a, b) >= F.greatest(a, b) * threshold
-
-    def star(buckets: DataFrame) -> DataFrame:
-        return buckets.where((F.col("leader") < F.col("node")) & can_link("size", "leader_size")).select(F.col("leader").alias("a"), F.col("node").alias("b"))
-
-    buckets = stored(shared(banded))
-    nodes = buckets.select("node").distinct()
-    texts = stored(docs.join(nodes, docs.doc_id == nodes.node, "left_semi").select(F.col("doc_id").alias("node"), "text"))
+    def can_link(both: Column, a: str, b: str) -> Column:
+        """Whether texts of ``a`` and ``b`` units that share at most ``both`` can reach the threshold."""
+        return both * (1 + threshold) + 1e-6 >= (F.col(a) + F.col(b)) * threshold
 
     def links(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         with_both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         return with_both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(shingle, threshold), "a long, b long")
 
-    tested = stored(star(buckets).distinct())
+    leaders = buckets.join(nodes, "node").groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("order"), "node", "size")).alias("leader"))
+    leaders = leaders.select("key", F.col("leader.node").alias("leader"), F.col("leader.size").alias("leader_size"))
+    star = buckets.join(leaders, "key").where((F.col("leader") != F.col("node")) & can_link(F.least("size", "leader_size"), "size", "leader_size"))
+    tested = stored(star.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct())
     edges = stored(links(tested))
     components = connected_components(edges)
-    buckets = buckets.select("key", "node", "size")
-    for exact in (False, True):
-        placed = buckets.join(components, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
-        parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"))
-        mixed = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.sum("sum").alias("members")).where("squares < n * n")
-        # Of buckets with the same members one is enough.
-        mixed = mixed.groupBy("n", "members").agg(F.min("key").alias("key"), F.first("squares").alias("squares"))
-        few = F.lit(exact) | (F.col("n") * F.col("n") - F.col("squares") <= 2 * pairs_each * F.col("n"))
-        open_ = stored(placed.join(mixed.select("key", few.alias("few")), "key"))
-        one, other = open_.where("few"), open_.where("few").select("key", F.col("node").alias("b"), F.col("component").alias("component_b"), F.col("size").alias("size_b"))
-        pairs = one.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("component_b")) & can_link("size", "size_b")).select(F.col("node").alias("a"), "b")
-        many = open_.where("not few").select("node").distinct()
-        done = exact or many.isEmpty()
-        if not done:
-            units = stored(many.join(texts, "node").mapInArrow(_prefix_units(shingle, threshold), "node long, key long, size long, length int"))
-            common = units.groupBy("key").agg(F.count("*").alias("df"))
-            ranked = units.join(common, "key").groupBy("node", "size", "length").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("ranked"))
-            by_prefix = stored(shared(ranked.select("node", "size", F.explode(F.slice("ranked", F.lit(1), F.col("length"))).alias("unit")).select("node", "size", "unit.key")))
-            pairs = pairs.union(star(by_prefix))
-            buckets = by_prefix.select("key", "node", "size")
-        fresh = stored(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
-        tested = stored(tested.union(fresh))
-        found = stored(links(fresh))
-        if not found.isEmpty():
-            edges = stored(edges.union(found))
-            components = connected_components(edges)
-        if done:
-            break
+
+    placed = buckets.join(components, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    members = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"))
+    # Of buckets with the same members one is enough.
+    mixed = members.where("least < most").groupBy("n", "sum").agg(F.min("key").alias("key"))
+    open_ = stored(placed.join(mixed.select("key"), "key", "left_semi"))
+    longs = 32
+    bitmaps = texts.join(open_.select("node").distinct(), "node", "left_semi").mapInArrow(_bitmaps(shingle, longs), "node long, size long, bits array<long>")
+    one = open_.join(stored(bitmaps), "node")
+    one = stored(one.select("key", "node", "component", "size", *(F.col("bits")[i].alias(f"bits_{i}") for i in range(longs))))
+    other = one.select("key", *(F.col(c).alias(f"other_{c}") for c in one.columns if c != "key"))
+
+    # Bits that differ are at most as many as shingles that are not shared.
+    apart = sum((F.bit_count(F.col(f"bits_{i}").bitwiseXOR(F.col(f"other_bits_{i}"))) for i in range(longs)), F.lit(0))
+    pairs = one.join(other, "key").where(
+        (F.col("node") < F.col("other_node")) & (F.col("component") != F.col("other_component"))
+        & can_link(F.least("size", "other_size"), "size", "other_size")
+        & can_link((F.col("size") + F.col("other_size") - apart) / 2, "size", "other_size"))
+    fresh = pairs.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    found = stored(links(stored(fresh)))
+    if not found.isEmpty():
+        components = connected_components(stored(edges.union(found)))
     return member.join(components, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id"))
 
 
