@@ -129,9 +129,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k
 
     Inside a band's bucket not all pairs are compared. First each member meets the one with the most neighbours over
     all its buckets: of a text and its altered copies that is mostly the text. Where a bucket still holds several
-    components, pairs of different ones are tried by bitmaps of their shingles: the bits in which two texts differ are at
-    most as many as the shingles that only one of them has. Pairs with too many of them can't reach the threshold, so
-    leaving them out loses no link. The others are compared.
+    components, pairs of different ones are tried by bitmaps of their shingles: the bits that one text has alone are at
+    most as many as its shingles that the other lacks. Pairs with too many of them can't reach the threshold, so leaving
+    them out loses no link. The others are compared.
 
     Texts without words are linked only to exact copies. A null text is in a class of its own: its doc_id (null if
     that is null too). doc_id is the key: rows that repeat an id with another text count as one document.
@@ -174,15 +174,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k
     longs = 32
     bitmaps = texts.join(open_.select("node").distinct(), "node", "left_semi").mapInArrow(_bitmaps(shingle, longs), "node long, size long, bits array<long>")
     one = open_.join(stored(bitmaps), "node")
-    one = stored(one.select("key", "node", "component", "size", *(F.col("bits")[i].alias(f"bits_{i}") for i in range(longs))))
+    one = stored(one.select("key", "node", "component", "size", sum((F.bit_count(F.col("bits")[i]) for i in range(longs)), F.lit(0)).alias("filled"), *(F.col("bits")[i].alias(f"bits_{i}") for i in range(longs))))
     other = one.select("key", *(F.col(c).alias(f"other_{c}") for c in one.columns if c != "key"))
 
-    # Bits that differ are at most as many as shingles that are not shared.
+    # Bits that one text has alone, half of filled - other_filled + apart, are at most as many as its shingles that the other lacks.
     apart = sum((F.bit_count(F.col(f"bits_{i}").bitwiseXOR(F.col(f"other_bits_{i}"))) for i in range(longs)), F.lit(0))
     pairs = one.join(other, "key").where(
         (F.col("node") < F.col("other_node")) & (F.col("component") != F.col("other_component"))
         & can_link(F.least("size", "other_size"), "size", "other_size")
-        & can_link((F.col("size") + F.col("other_size") - apart) / 2, "size", "other_size"))
+        & can_link(F.least(F.col("size") - F.col("filled") / 2 + F.col("other_filled") / 2, F.col("other_size") - F.col("other_filled") / 2 + F.col("filled") / 2) - apart / 2, "size", "other_size"))
     fresh = pairs.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     found = stored(links(stored(fresh)))
     if not found.isEmpty():
