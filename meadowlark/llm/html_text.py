@@ -23,6 +23,8 @@ _MARKS = frozenset(
     " pagination popup promo promotion promoted recommended related respond search share sharing sidebar signup skip social sponsor sponsored subscribe"
     " subscription toolbar topbar widget".split()
 )
+#: Parts of a class, id or role by which it tells of a page's form and not what the element is: has-sidebar, comments-open.
+_MODIFIERS = frozenset("has no not with without open closed enabled disabled layout".split())
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""")
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+|[0-9]+")
@@ -33,37 +35,45 @@ LINES, SURGE = 3, 80
 
 
 def _marked(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element isn't part of the article, by its name or its attributes. inside: of an article or main element."""
+    """Whether an element isn't part of the article, by its name or its attributes. inside: of an article or main element.
+
+    Class, id and role never mark an article or main element itself.
+    """
     if name in _DROPPED or name == "header" and not inside:
         return True
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value):
             return True
-        if key in ("class", "id", "role"):
-            words = set(_WORD.findall(value))
-            if words & _MARKS or "header" in words and not inside and name not in ("h1", "h2"):
-                return True
+        if key in ("class", "id", "role") and name not in ("article", "main"):
+            for token in value.split():
+                words = set(_WORD.findall(token))
+                if not words & _MODIFIERS and (words & _MARKS or "header" in words and not inside and name not in ("h1", "h2")):
+                    return True
     return False
 
 
-def _lines(page: str, marks: bool) -> list[tuple[str, int, bool]]:
-    """The page's lines in order: text, its characters outside links (0 in marked elements), whether in article or main.
+def _lines(page: str, marks: bool, exempt: frozenset[int] | set[int] = frozenset()) -> tuple[list[tuple[str, int, int]], set[int]]:
+    """The page's lines in order: text, its characters outside links (0 in marked elements), 2 in article, 1 in main only.
 
-    Lines of marked elements stay, as text-free ones: they are dips of the distribution.
+    Lines of marked elements stay, as text-free ones: they are dips of the distribution. An element that holds main isn't
+    marked from there on; neither is one that starts at a place in ``exempt``. Second result: the starts of the article and
+    main elements and of those that hold one, for a reading that exempts them; asides and the like are never among them.
     """
-    lines: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, marked, article or main
+    lines: list[tuple[str, int, int]] = []
+    holders: set[int] = set()
+    stack: list[tuple[str, bool, int, int]] = []  # name, marked, article 2 or main 1, start
     text: list[str] = []
     plain = 0
-    skipped = within = links = 0
+    skipped = within = articles = links = 0
 
     def flush() -> None:
         nonlocal plain
         if text:
             line = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             if line:
-                lines.append(("", 0, within > 0) if skipped else (line, plain, within > 0))
+                named = 2 if articles else 1 if within else 0
+                lines.append(("", 0, named) if skipped else (line, plain, named))
             text.clear()
         plain = 0
 
@@ -75,10 +85,11 @@ def _lines(page: str, marks: bool) -> list[tuple[str, int, bool]]:
                 plain += len(part.strip())
 
     def close(upto: int) -> None:
-        nonlocal skipped, within, links
-        for name, marked, article in reversed(stack[upto:]):
+        nonlocal skipped, within, articles, links
+        for name, marked, article, _ in reversed(stack[upto:]):
             skipped -= marked
-            within -= article
+            within -= article > 0
+            articles -= article == 2
             links -= name == "a"
         del stack[upto:]
 
@@ -130,17 +141,34 @@ def _lines(page: str, marks: bool) -> list[tuple[str, int, bool]]:
                     break
                 if stack[i][0] in _BLOCK:
                     break
-        article = name in ("article", "main")
-        marked = marks and name not in ("html", "body") and _marked(name, attributes, within > 0 or article)
-        stack.append((name, marked, article))
+        article = 2 if name == "article" else 1 if name == "main" else 0
+        marked = marks and name not in ("html", "body") and start not in exempt and _marked(name, attributes, within + article > 0)
+        if article:
+            for holder, _, _, place in reversed(stack):
+                if place in holders:
+                    break  # so are those around it
+                if holder == "form" or holder not in _DROPPED:
+                    holders.add(place)
+            holders.add(start)
+            if article == 1 and not marked and skipped:
+                stack = [(holder, False, level, place) for holder, _, level, place in stack]
+                skipped = 0
+        stack.append((name, marked, article, start))
         skipped += marked
-        within += article
+        within += article > 0
+        articles += article == 2
         links += name == "a"
     flush()
-    return lines
+    return lines, holders
+
+
+def _own(lines: list[tuple[str, int, int]], level: int) -> int | None:
+    """Characters of the lines inside article (2), or article or main (1); None if there are no such lines."""
+    sizes = [n for _, n, x in lines if x >= level]
+    return sum(sizes) if sizes else None
 
 
-def _between(lines: list[tuple[str, int, bool]], surge: int) -> list[str]:
+def _between(lines: list[tuple[str, int, int]], surge: int) -> list[str]:
     """Lines from where blocks of LINES lines surge to where they dive to nothing.
 
     A region starts at a line with text whose block has ``surge`` characters at least, and ends where a block has none.
@@ -163,10 +191,14 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     for marks in (True, False):
-        lines = _lines(page, marks)
-        own = [x for x in lines if x[2]]
+        lines, holders = _lines(page, marks)
+        if marks and 0 in (_own(lines, 2), _own(lines, 1)):
+            # A named article gave no text: what marks it, or an element around it, is a mistake.
+            again = _lines(page, True, holders)[0]
+            if (_own(again, 2) or 0) > (_own(lines, 2) or 0) or not _own(lines, 1) and _own(again, 1):
+                lines = again
         # Inside an article element every line with text is a surge, and dips of any length are left out.
-        kept = [line for line, _, _ in own if line] if sum(n for _, n, _ in own) else _between(lines, SURGE) or _between(lines, 1)
+        kept = [line for line, _, level in lines if level and line] if _own(lines, 1) else _between(lines, SURGE) or _between(lines, 1)
         if kept:
             return "\n".join(kept)
     return ""
@@ -185,7 +217,9 @@ def extract(pages: DataFrame) -> DataFrame:
     like by name, class, id or role, and hidden ones, become lines without text; so do scripts and styles, without
     lines. Text of links doesn't count towards a line's length. Sums of lengths over three lines in turn surge where
     the article starts and dive to nothing where it ends; lines between are kept whole. If the page names its article
-    (article or main), only lines inside it are looked at. A page on which this leaves nothing is read once more
-    without heed to classes and names. A null or empty page has an empty text; a page of another form is read as it is.
+    (article or main), only lines inside it are looked at. Classes, ids and roles never mark these two, nor what holds
+    main; if no article gives text, nor what holds one, so that a class on a container loses none, while comments and
+    teasers beside an article stay out. A page on which this leaves nothing is read once more without heed to classes
+    and names. A null or empty page has an empty text; a page of another form is read as it is.
     """
     return pages.select("page_id", "url", "html").mapInArrow(_run, "page_id long, url string, text string, n_chars long")

@@ -231,6 +231,41 @@ def test_main_text_of_a_page(wrap):
     assert html_text.main_text(PAGE % (wrap % BODY)) == TEXT
 
 
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        '<article class="post has-sidebar">%s</article>',
+        '<article class="sidebar" id="comments">%s</article>',
+        '<main class="no-sidebar">%s</main>',
+        '<main id="search" role="complementary">%s</main>',
+        '<div class="content comments-open">%s</div>',
+        '<div class="content comments-open"><article>%s</article></div>',
+        '<div class="content-sidebar-wrap"><article>%s</article></div>',
+        '<div class="sidebar"><main>%s</main></div>',
+        '<form id="form"><main>%s</main></form>',
+        '<div class="widget"><div id="banner">%s</div></div>',
+        '<main><p>Home</p><div class="sidebar-right"><article>%s</article></div></main>',
+        '<div style="display:none"><article>%s</article></div>',
+    ],
+)
+def test_main_text_of_marked_containers(wrap):
+    junk = "<p>An unmarked line of the page beside the article, which is long enough to be seen as a surge of text.</p>"
+    if "article" in wrap or "main" in wrap:
+        expected = f"Home\n{TEXT}" if "Home" in wrap else TEXT
+        assert html_text.main_text(PAGE % (junk + wrap % BODY)) == expected
+        assert html_text.main_text(PAGE % (wrap % BODY + junk)) == expected
+    elif "banner" in wrap:  # nothing names an article: marks count
+        assert html_text.main_text(PAGE % (junk + wrap % BODY)) == re.sub("<.*?>", "", junk)
+    else:
+        assert html_text.main_text(PAGE % (wrap % BODY)) == TEXT
+
+
+def test_main_text_leaves_out_articles_that_are_comments():
+    others = '<div id="comments"><article class="comment-body"><p>A comment that is long.</p></article></div><aside><article><p>A teaser.</p></article></aside>'
+    assert html_text.main_text(PAGE % (f"<article>{BODY}</article>{others}")) == TEXT
+    assert html_text.main_text(PAGE % (f"<div>{BODY}</div><aside><article><p>A teaser.</p></article></aside>")) == TEXT
+
+
 def test_main_text_of_odd_pages(spark):
     pages = ["", None, "plain words", "<p>a < b & c</p>", "<article><p>one<p>two", "<!-- x", "<script>x", "<" * 1000, "<a " * 2000, "<article>" + "<div>" * 3000 + "x", "<p title='>" + "y" * 5000]
     r = html_text.extract(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").withColumns({"url": F.lit("u"), "text": F.lit("clash")})).orderBy("page_id").collect()
