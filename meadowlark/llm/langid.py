@@ -52,16 +52,44 @@ def plain(word: str) -> str:
     return word.lower().strip("\"'`.,;:!?()[]{}<>|*_-/\\…“”‘’«»¿¡%#&$")
 
 
+#: Longer words are not kept in memos but counted anew, in parts of so many characters.
+LONG, PART = 40, 1 << 14
+
+
+def word_parts(word: str) -> Iterator[np.ndarray]:
+    """Indices of the word's runs of one to three characters, its ends marked, and of the word; each run in one part,
+    that in which it starts."""
+    marked = f" {word} "
+    for start in range(0, len(marked), PART):
+        part = marked[start : start + PART + 2]
+        n = len(part)
+        at = [_grams[c] for c in part[:PART]]
+        at += [_grams[part[i : i + 2]] for i in range(min(PART, n - 1))]
+        at += [_grams[part[i : i + 3]] for i in range(min(PART, n - 2))]
+        yield np.array(at, np.int64)
+    yield np.array([xxhash.xxh3_64_intdigest(f"={word}") & (DIMENSION - 1)], np.int64)
+
+
 def word_features(word: str) -> np.ndarray:
-    """Indices of the word's runs of one to three characters, its ends marked, and of the word; only the first 40
-    characters make runs."""
-    marked = f" {word[:40]} "
-    n = len(marked)
-    at = [_grams[c] for c in marked]
-    at += [_grams[marked[i : i + 2]] for i in range(n - 1)]
-    at += [_grams[marked[i : i + 3]] for i in range(n - 2)]
-    at.append(xxhash.xxh3_64_intdigest(f"={word}") & (DIMENSION - 1))
-    return np.array(at, np.int64)
+    """All parts of a word in one."""
+    return np.concatenate(list(word_parts(word)))
+
+
+def split_words(text: str) -> tuple[list[str], np.ndarray | None]:
+    """The words of a text that may be kept in memos, and a count by feature of the others, if there are any."""
+    words = text.split()
+    if not words or max(map(len, words)) <= LONG:
+        return words, None
+    counts, parts, n = np.zeros(DIMENSION, np.int64), [], 0
+    for part in (part for w in words if len(w) > LONG for part in word_parts(plain(w))):
+        parts.append(part)
+        n += len(part)
+        if n >= PART:
+            counts += np.bincount(np.concatenate(parts), minlength=DIMENSION)
+            parts, n = [], 0
+    if parts:
+        counts += np.bincount(np.concatenate(parts), minlength=DIMENSION)
+    return [w for w in words if len(w) <= LONG], counts
 
 
 class _Features(dict):
@@ -111,8 +139,14 @@ def _known(weights: np.ndarray, bound: int) -> _Known:
 
 def _vector(text: str, known: _Features) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features of a text and their frequencies a word, scaled to unit length."""
-    words = text.split() or [""]
-    at, n = np.unique(np.concatenate([known[w] for w in words]), return_counts=True)
+    words, counts = split_words(text)
+    if words or counts is None:
+        at, n = np.unique(np.concatenate([known[w] for w in words or [""]]), return_counts=True)
+    if counts is not None:
+        if words:
+            counts[at] += n
+        at = np.flatnonzero(counts)
+        n = counts[at]
     return at, n / np.sqrt((n.astype(float) ** 2).sum())
 
 
@@ -213,7 +247,12 @@ def predict(docs: DataFrame, models: Models) -> DataFrame:
                     found.append(UNKNOWN)
                     sure.append(0.0)
                     continue
-                sums, n, words = np.zeros(len(one)), 0.0, text.split()
+                sums, n = np.zeros(len(one)), 0.0
+                words, counts = split_words(text)
+                if counts is not None:
+                    at = np.flatnonzero(counts)
+                    sums += counts[at] @ known.matrix[at].astype(float)
+                    n += counts.sum()
                 for at in range(0, len(words), bound // 2):
                     rows = known.rows(words[at : at + bound // 2])
                     sums += known.scores[rows].sum(axis=0)

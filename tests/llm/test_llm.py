@@ -99,6 +99,33 @@ def test_language_held_out(spark):
     assert (r.lang == r.lang_pred).mean() >= 0.97 and r.score.between(0, 1).all()
 
 
+def test_language_of_unspaced_texts(spark):
+    """Texts of one chunk each, whose first 70 characters are the same in both languages; judged on rows that don't teach."""
+    tail = lambda i: "".join(np.random.default_rng(i).choice(list("山川木火土" if i % 2 else "猫犬鳥魚馬"), 300))
+    docs = spark.createDataFrame([(i, "同じ始まりの文" * 10 + tail(i), "zh" if i % 2 else "ja", "s", 370) for i in range(400)], SCHEMA)
+    found = langid.predict(docs, langid.train(docs)).where(common.is_held_out(F.col("doc_id"))).collect()
+    assert len(found) > 20
+    assert all(r.lang_pred == ("zh" if r.doc_id % 2 else "ja") for r in found)
+
+
+@pytest.mark.parametrize("n", [1, 39, 40, 41, 1 << 14, (1 << 14) - 2, (1 << 14) - 1, (1 << 14) + 1, (1 << 15) - 2, 40_000])
+def test_language_runs_of_whole_words(n):
+    """Each run of the whole word is counted once, whatever its length."""
+    at = lambda run: langid.xxhash.xxh3_64_intdigest(run) & (langid.DIMENSION - 1)
+    word = "".join(chr(0x4E00 + i * i % 977) for i in range(n))
+    marked = f" {word} "
+    by_hand = collections.Counter(at(marked[i : i + k]) for k in (1, 2, 3) for i in range(len(marked) - k + 1))
+    by_hand[at(f"={word}")] += 1
+    assert collections.Counter(langid.word_features(word).tolist()) == by_hand
+    for text in (word, f"{word} ab cd", "ab " + word + " cd " + word):
+        total = collections.Counter()
+        for w in text.split():
+            total.update(langid.word_features(w).tolist())
+        places, x = langid._vector(text, langid._Features())
+        counts = np.array([total[p] for p in places.tolist()], float)
+        assert len(places) == len(total) and np.allclose(x, counts / np.sqrt((counts**2).sum()))
+
+
 def test_language_of_nothing(spark, awkward):
     r = langid.predict(awkward, langid.train(empty(spark))).collect()
     assert len(r) == awkward.count() and {(x.lang_pred, x.score) for x in r} == {("und", 0.0)}
