@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from meadowlark.llm import minhash, mixing, packing, pii, toxicity
 from meadowlark.llm.common import stored, table
@@ -32,8 +31,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, each as often as it takes them."""
-    taken = mixing.mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("_mix_doc"), (F.col("taken") / F.col("size")).cast("int").alias("_times")).distinct()
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_mix_doc"))).select(*docs.columns, F.explode(F.sequence(F.lit(1), "_times")).alias("_time")).drop("_time")
+    return mixing.repeat(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, stored
@@ -48,9 +48,30 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
     Null texts have size 0 and take nothing; a source without words has target 0; no rows give no rows.
     Columns other than doc_id, source and text are ignored.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+    rows, found = _thresholds(docs, weights, cap)
+    taken = F.col("size") * (F.col("whole") + (F.col("hash") < F.col("low")).cast("long"))
+    return rows.join(found, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+
+
+def repeat(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix_sources`` takes it; rows without words by their hash as the others."""
+    found = _thresholds(docs, weights, cap)[1].select(F.col("s").alias("_mix_source"), F.col("whole").alias("_mix_whole"), F.col("low").alias("_mix_low"))
+    times = (F.col("_mix_whole") + (_hash() < F.col("_mix_low")).cast("long")).cast("int")
+    rows = docs.join(found, F.col("source").eqNullSafe(F.col("_mix_source"))).withColumn("_mix_times", times).where("_mix_times > 0")
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_mix_times")).alias("_mix_time")).drop("_mix_time")
+
+
+def _hash() -> Column:
+    """60 bits of doc_id."""
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
-    rows = stored(docs.select("doc_id", "source", size.alias("size"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("hash")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
+def _thresholds(docs: DataFrame, weights: tuple[int, ...], cap: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, source, size and hash of each row; and for each source ``s`` its source_size and target, and how often it is
+    taken: ``whole`` times, and once more where the hash is less than ``low``."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+    rows = stored(docs.select("doc_id", "source", size.alias("size"), _hash().alias("hash")))
     targets = stored(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap).select(
         "*",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("whole"),
@@ -77,6 +98,4 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
         start, room = F.col("cut.start"), F.col("left") - F.col("cut.before")
         low = F.when(F.col("cut").isNull(), F.col("low") + above).otherwise(F.when(F.lit(last) & (room * 2 >= F.col("cut.words")), start + width).otherwise(start))
         state = stored(after.select(F.col("s").alias("source"), low.alias("low"), F.coalesce(room, F.lit(0.0)).alias("left")))
-    found = targets.join(state.select(F.col("source").alias("s"), "low"), F.col("source").eqNullSafe(F.col("s"))).select("s", "low", "source_size", "target", "whole")
-    taken = F.col("size") * (F.col("whole") + (F.col("hash") < F.col("low")).cast("long"))
-    return rows.join(found, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return rows, targets.join(state.select(F.col("source").alias("s"), "low"), F.col("source").eqNullSafe(F.col("s"))).select("s", "low", "source_size", "target", "whole")

@@ -82,6 +82,23 @@ def test_mixing_targets(spark):
     assert abs(r["b"] / r[None] - 2 / 5) < 1e-9  # weights in turn: a 5, b 2, c 1, null 5
 
 
+def test_mixing_repeats_each_row_by_its_own_source(spark):
+    """Null ids in several sources, and rows without words: each row has the multiplicity of its own source and hash."""
+    rows = [(None, "w " * 50, "en", "a", 1), (None, "", "en", "b", 2), (None, "v " * 20, "en", "b", 3), (None, " \t", "en", None, 4), (None, "u " * 900, "en", "c", 5), (7, None, "en", "a", 6), (8, "x y", "en", "a", 7), (8, "x y", "en", "c", 8), (9, " ", "en", "d", 9)]
+    rows += [(100 + i, "z " * (i % 7), "en", "abc"[i % 3], 100 + i) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    hashed, found = mixing._thresholds(docs, (5, 2, 1), 3)
+    of = {r.s: (r.whole, r.low) for r in found.collect()}
+    at = lambda d: int(hashlib.md5(("null" if d is None else str(d)).encode()).hexdigest()[:15], 16)
+    expected = {r[4]: of[r[3]][0] + (at(r[0]) < of[r[3]][1]) for r in rows}
+    mixed = corpus_pipeline.mix(spark, docs, FOLDER)
+    assert mixed.columns == docs.columns
+    assert collections.Counter(r.n_chars for r in mixed.collect()) == {k: n for k, n in expected.items() if n}
+    by_size = {(r.doc_id, r.source): r.taken // r["size"] for r in mixing.mix_sources(docs).where("size > 0").collect()}
+    assert all(expected[r[4]] == by_size[r[0], r[3]] for r in rows if (r[1] or "").split())
+    assert expected[6] == of["a"][0] + (at(7) < of["a"][1]) and sum(expected[k] for k in (2, 4, 6, 9)) > 0
+
+
 # --- 3 and 8
 
 
