@@ -8,39 +8,49 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import GOLDEN, WordHasher, mix, rolling, signed, stored
 
-#: Words of a window, of the runs by which windows are screened, and of the four symbols that spell a window.
-WINDOW, SEED, SYMBOLS = 35, 8, (9, 9, 9, 8)
+#: Words of a window, of the prefixes at which suffixes start, and how many words a suffix may start inside a window.
+WINDOW, SEED = 35, 8
+OFFSETS = WINDOW - SEED + 1
+#: Words of a suffix and of what stands before it, and the bytes of a word's hash that spell them.
+AFTER, BEFORE, BYTES = WINDOW, OFFSETS - 1, 6
 _U = np.uint64
 
 
+@functools.cache
+def _hasher() -> WordHasher:
+    """One a worker process, so that its groups share the memo."""
+    return WordHasher(1 << 18)
+
+
+def _split(docs: pa.Table) -> tuple[np.ndarray, list[list[bytes]]]:
+    """The rows' order by doc_id and text, and the words of each in this order: the same on every reading of a bucket."""
+    ids, texts = docs.column("doc_id").to_pylist(), docs.column("text").to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or ""))
+    return np.array(order, np.int64), [(texts[i] or "").encode().split() for i in order]
+
+
 class _Words:
-    """All words of some texts in one array, with their hashes."""
-
-    def __init__(self, texts: list[str | None], hasher: WordHasher):
-        self.words: list[bytes] = []
-        sizes = []
-        for text in texts:
-            words = (text or "").encode().split()
-            self.words += words
-            sizes.append(len(words))
-        self.sizes = np.array(sizes, np.int64)
-        self.ends = np.cumsum(self.sizes)
-        self.hashes = hasher.of(self.words)
-        n = max(0, len(self.words) - WINDOW + 1)
+    """The hashes of all words of some texts in one array."""
+
+    def __init__(self, texts: list[list[bytes]], hasher: WordHasher):
+        sizes = np.array([len(words) for words in texts], np.int64)
+        self.hashes = np.concatenate([np.zeros(0, np.uint64), *map(hasher.of, texts)])
+        self.sizes, self.ends = sizes, np.cumsum(sizes)
+        n = max(0, len(self.hashes) - WINDOW + 1)
         #: Windows that lie inside one text.
-        self.inside = np.arange(n) + WINDOW <= np.repeat(self.ends, self.sizes)[:n]
+        self.inside = np.arange(n) + WINDOW <= np.repeat(self.ends, sizes)[:n]
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """The least hash of the SEED-word runs of each window, and the place of the first such run."""
         if not len(self.inside):
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        least = {1: (mix(rolling(self.hashes, SEED)[0]), None)}
-        least[1] = (least[1][0], np.arange(len(least[1][0])))
+        runs = mix(rolling(self.hashes, SEED)[0])
+        least = {1: (runs, np.arange(len(runs)))}
 
         def join(a: tuple, b: tuple, shift: int) -> tuple:
             n = len(b[0]) - shift
@@ -49,31 +59,7 @@ class _Words:
 
         for k in (1, 2, 4, 8):
             least[2 * k] = join(least[k], least[k], k)
-        return join(join(least[16], least[8], 16), least[4], 24)  # 28 = WINDOW - SEED + 1 runs
-
-    def symbols(self) -> tuple[np.ndarray, np.ndarray]:
-        """Each window as four 32-bit symbols, two in each number."""
-        n = len(self.inside)
-        by_size = dict(zip((9, 8), rolling(self.hashes, 9, 8), strict=True)) if n else {}
-        parts, at = [], 0
-        for size in SYMBOLS:
-            parts.append(mix(by_size[size][at : at + n]) >> _U(32) if n else np.zeros(0, np.uint64))
-            at += size
-        return parts[0] << _U(32) | parts[1], parts[2] << _U(32) | parts[3]
-
-
-@functools.cache
-def _hasher() -> WordHasher:
-    """One a worker process, so that its groups share the memo."""
-    return WordHasher(1 << 18)
-
-
-def _digest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(mix(a) + b * GOLDEN)
-
-
-def _longs(column: pa.ChunkedArray) -> np.ndarray:
-    return column.to_numpy().astype(np.int64, copy=False).view(np.uint64)
+        return join(join(least[16], least[8], 16), least[4], 24)  # OFFSETS = 28 runs
 
 
 def _is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -83,108 +69,217 @@ def _is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
+def _longs(column: pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy().astype(np.int64, copy=False).view(np.uint64)
+
+
 def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = _hasher()
+    """(value, bucket): each place at which some window has its least run."""
     for whole in batches:
         for at in range(0, whole.num_rows, 2048):
             batch = whole.slice(at, 2048)
-            words = _Words(batch.column("text").to_pylist(), hasher)
+            words = _Words([(text or "").encode().split() for text in batch.column("text").to_pylist()], _hasher())
             value, place = words.anchors()
             place, first = np.unique(place[words.inside], return_index=True)
             value = value[words.inside][first]
             bucket = np.repeat(batch.column("bucket").to_numpy(zero_copy_only=False), words.sizes)[place]
             yield pa.RecordBatch.from_arrays([pa.array(signed(value)), pa.array(bucket.astype(np.int32))], ["value", "bucket"])
+    pa.default_memory_pool().release_unused()
 
 
-def _emit_suffixes(docs: pa.Table, repeated: pa.Table) -> pa.Table:
-    """Windows whose anchor is repeated, each once a bucket; ``tag`` is 2 x bucket, and 1 more if it occurs again in it."""
-    words = _Words(docs.column("text").to_pylist(), _hasher())
-    value, _ = words.anchors()
-    at = np.flatnonzero(words.inside & _is_in(value, _longs(repeated.column("value"))) if len(value) else words.inside)
-    a, b = words.symbols()
-    a, b = a[at], b[at]
-    _, first, n = np.unique(_digest(a, b), return_index=True, return_counts=True)
-    bucket = docs.column("bucket")[0].as_py() if docs.num_rows else 0
-    return pa.table([pa.array(signed(a[first])), pa.array(signed(b[first])), pa.array((2 * bucket + (n > 1)).astype(np.int32))], ["a", "b", "tag"])
+def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.ListArray:
+    """``values`` as one list for each of ``n`` owners."""
+    ends = np.cumsum(np.bincount(owner, minlength=n))
+    return pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(values[np.argsort(owner, kind="stable")].astype(np.int32)))
+
+
+def _bucket_of(docs: pa.Table) -> int:
+    return docs.column("bucket")[0].as_py() if docs.num_rows else 0
+
+
+_SUFFIX = "value long, bucket int, low int, high int, spelled binary, places array<int>"
+
+
+def _emit_suffixes(docs: pa.Table, prefixes: pa.Table) -> pa.Table:
+    """The suffixes that start with one of ``prefixes``, equal ones in one row with all their places in the bucket.
+
+    ``low`` to ``high`` are the offsets of the windows whose least run starts the suffix: how many words before it they
+    begin. ``spelled`` has the hashes of the BEFORE words before the suffix and of its first AFTER words; those that no
+    such window covers are zero.
+    """
+    words = _Words(_split(docs)[1], _hasher())
+    value, place = words.anchors()
+    at = np.flatnonzero(words.inside & _is_in(value, _longs(prefixes.column("value")))) if len(value) else np.zeros(0, np.int64)
+    place, first, n = np.unique(place[at], return_index=True, return_counts=True)
+    value = value[at[first]] if len(at) else np.zeros(0, np.uint64)
+    high = place - at[first] if len(at) else place
+    low = high - n + 1  # the windows of a place follow each other
+    out: list[list] = [[] for _ in range(6)]
+    padded = np.concatenate([np.zeros(BEFORE, np.uint64), words.hashes, np.zeros(AFTER, np.uint64)])
+    step = np.arange(BEFORE + AFTER)
+    bucket = _bucket_of(docs)
+    # All suffixes of a prefix come in one part, so that equal ones meet.
+    order = np.argsort(value, kind="stable")
+    value, place, low, high = value[order], place[order], low[order], high[order]
+    start = 0
+    while start < len(value):
+        end = min(start + (1 << 15), len(value))
+        end = int(np.searchsorted(value, value[end - 1], side="right"))
+        part = slice(start, end)
+        spelled = padded[place[part, None] + step]
+        spelled[(step < BEFORE - high[part, None]) | (step >= BEFORE + AFTER - low[part, None])] = 0
+        digest = mix(value[part] + _U(32) * low[part].astype(np.uint64) + high[part].astype(np.uint64))
+        other = digest.copy()
+        for column in spelled.T:
+            digest, other = mix(digest * GOLDEN + column), other * GOLDEN + (column ^ (column >> _U(29)))
+        _, first, owner = np.unique(digest ^ mix(other), return_index=True, return_inverse=True)
+        raw = np.ascontiguousarray(spelled[first].view(np.uint8).reshape(len(first), -1, 8)[:, :, :BYTES]).reshape(len(first), -1)
+        size = raw.shape[1]
+        out[0].append(pa.array(signed(value[part][first])))
+        out[1].append(pa.array(np.full(len(first), bucket, np.int32)))
+        out[2].append(pa.array(low[part][first].astype(np.int32)))
+        out[3].append(pa.array(high[part][first].astype(np.int32)))
+        out[4].append(pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((np.arange(len(first) + 1) * size).astype(np.int32)), pa.py_buffer(raw.tobytes())]))
+        out[5].append(_lists(place[part], owner, len(first)))
+        start = end
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
+    return pa.table([pa.chunked_array(c, k) for c, k in zip(out, kinds, strict=True)], ["value", "bucket", "low", "high", "spelled", "places"])
+
+
+class SuffixTree:
+    """The suffixes of a prefix group in order, and how many words each shares with the one before.
+
+    Neighbours that share ``depth`` words or more hang below one inner node of that depth: ``node(depth)`` numbers them.
+    """
 
+    def __init__(self, after: np.ndarray):
+        spelled = np.ascontiguousarray(after.astype(">u8")).view(f"S{after.shape[1] * 8}").ravel() if len(after) else np.zeros(0, "S8")
+        self.order = np.argsort(spelled, kind="stable")
+        inner = after[self.order]
+        same = inner[1:] == inner[:-1]
+        self.shared = np.concatenate([np.zeros(min(1, len(after)), np.int64), np.where(same.all(axis=1), after.shape[1], np.argmin(same, axis=1))]) if len(after) else np.zeros(0, np.int64)
 
-def _deep_nodes(group: pa.Table) -> pa.Table:
-    """The subtree of a prefix group: its suffixes in order, with the symbols that neighbours share.
+    def node(self, depth: int) -> np.ndarray:
+        """For each suffix, in the tree's order, the number of the node of this depth above it."""
+        return np.cumsum(self.shared < depth)
 
-    Where neighbours share all four symbols they hang below one node of full depth, a repeat. Its leaves go back to
-    their buckets.
+
+def repeated_offsets(before: np.ndarray, after: np.ndarray, low: np.ndarray, high: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """A bit for each offset at which a suffix's window occurs elsewhere too.
+
+    A window that begins ``o`` words before its suffix is repeated if the suffix hangs, with another, below a node of
+    depth WINDOW - o at least, and both have the same ``o`` words before them. Neighbouring offsets of a suffix join to
+    its maximal repeat.
     """
-    a, b, tag = _longs(group.column("a")), _longs(group.column("b")), group.column("tag").to_numpy()
-    order = np.lexsort((b, a))
-    a, b, tag = a[order], b[order], tag[order]
-    shared = np.zeros(len(a), np.int8)  # symbols in common with the suffix before
-    same_a = a[1:] == a[:-1]
-    shared[1:] = np.where(same_a, 2 + ((b[1:] >> _U(32)) == (b[:-1] >> _U(32))) + (b[1:] == b[:-1]), (a[1:] >> _U(32)) == (a[:-1] >> _U(32)))
-    node = np.cumsum(shared < 4) - 1
-    leaves = np.bincount(node, weights=1 + (tag & 1))
-    keep = leaves[node] > 1
-    return pa.table([pa.array(signed(_digest(a[keep], b[keep]))), pa.array((tag[keep] >> 1).astype(np.int32))], ["digest", "bucket"])
+    tree = SuffixTree(after)
+    order = tree.order
+    before, low, high, copies = before[order], low[order], high[order], copies[order]
+    left = np.zeros(len(order), np.uint64)
+    bits = np.zeros(len(order), np.int32)
+    for o in range(OFFSETS):
+        if o:
+            left = mix(left * GOLDEN + before[:, BEFORE - o] + _U(1))
+        own = np.flatnonzero((low <= o) & (o <= high))
+        if not len(own):
+            continue
+        key = mix(left[own]) + mix(tree.node(WINDOW - o)[own].astype(np.uint64) * GOLDEN)
+        _, which = np.unique(key, return_inverse=True)
+        leaves = np.bincount(which, weights=copies[own])
+        bits[own[leaves[which] > 1]] |= np.int32(1 << o)
+    out = np.empty(len(order), np.int32)
+    out[order] = bits
+    return out
+
+
+_REPEATS = "bucket int, place int, offsets int"
+
+
+def _repeats(group: pa.Table) -> pa.Table:
+    """Places of a prefix group's suffixes with their repeated offsets; suffixes without any are left out."""
+    group = group.combine_chunks()
+    n = group.num_rows
+    places = group.column("places")
+    copies = places.combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if n else np.zeros(0, np.int32)
+    spelled = np.frombuffer(b"".join(group.column("spelled").to_pylist()), np.uint8).reshape(n, BEFORE + AFTER, BYTES)
+    whole = np.zeros((n, BEFORE + AFTER, 8), np.uint8)
+    whole[:, :, :BYTES] = spelled
+    whole = whole.reshape(n, -1).view(np.uint64)
+    low, high = (group.column(c).to_numpy() for c in ("low", "high"))
+    # The prefix is spelled in full, so suffixes of different prefixes share fewer than SEED words.
+    bits = repeated_offsets(whole[:, :BEFORE], whole[:, BEFORE:], low, high, copies)
+    found = np.repeat(bits, copies)
+    flat = places.combine_chunks().flatten().to_numpy(zero_copy_only=False) if n else np.zeros(0, np.int32)
+    bucket = np.repeat(group.column("bucket").to_numpy(), copies)
+    keep = found != 0
+    return pa.table([pa.array(bucket[keep].astype(np.int32)), pa.array(flat[keep].astype(np.int32)), pa.array(found[keep])], ["bucket", "place", "offsets"])
+
+
+def _emit_windows(docs: pa.Table, prefixes: pa.Table) -> pa.Table:
+    """Whole windows whose least run is one of ``prefixes``: two hashes of 64 bits, equal ones of the bucket in one row."""
+    words = _Words(_split(docs)[1], _hasher())
+    value, _ = words.anchors()
+    at = np.flatnonzero(words.inside & _is_in(value, _longs(prefixes.column("value")))) if len(value) else np.zeros(0, np.int64)
+    a = rolling(words.hashes, WINDOW)[0][at] if len(at) else np.zeros(0, np.uint64)
+    b = rolling(mix(words.hashes), WINDOW)[0][at] if len(at) else np.zeros(0, np.uint64)
+    _, first, owner = np.unique(mix(mix(a) + b * GOLDEN), return_index=True, return_inverse=True)
+    bucket = pa.array(np.full(len(first), _bucket_of(docs), np.int32))
+    return pa.table([pa.array(signed(a[first])), pa.array(signed(b[first])), bucket, _lists(at, owner, len(first))], ["a", "b", "bucket", "places"])
 
 
 def _remove(docs: pa.Table, repeats: pa.Table) -> pa.Table:
-    words = _Words(docs.column("text").to_pylist(), _hasher())
-    kept_texts, removed = [], []
-    covered = np.zeros(len(words.words) + 1, np.int64)
-    if len(words.inside):
-        at = np.flatnonzero(words.inside & _is_in(_digest(*words.symbols()), _longs(repeats.column("digest"))))
-        covered[at] += 1
-        covered[at + WINDOW] -= 1
+    order, texts = _split(docs)
+    sizes = [len(words) for words in texts]
+    covered = np.zeros(sum(sizes) + 1, np.int64)
+    place, offsets = repeats.column("place").to_numpy().astype(np.int64), repeats.column("offsets").to_numpy()
+    for o in range(OFFSETS):
+        at = place[(offsets >> o) & 1 == 1] - o
+        np.add.at(covered, at, 1)
+        np.add.at(covered, at + WINDOW, -1)
     keep = np.cumsum(covered)[:-1] == 0
+    kept_texts, removed = [], []
     start = 0
-    for size in words.sizes.tolist():
-        own, flags = words.words[start : start + size], keep[start : start + size]
+    for own, size in zip(texts, sizes, strict=True):
+        flags = keep[start : start + size]
         n = int(flags.sum())
         kept_texts.append(b" ".join(own if n == size else compress(own, flags)).decode())
         removed.append(size - n)
         start += size
-    return pa.table([docs.column("doc_id"), pa.array(words.sizes), pa.array(removed, pa.int64()), pa.array(kept_texts, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
-
+    pa.default_memory_pool().release_unused()
+    return pa.table([docs.column("doc_id").take(pa.array(order)), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept_texts, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-def _prefix(symbols: int) -> Column:
-    """The first 1 to 4 symbols of a suffix, hashed with their number."""
-    parts = [F.shiftright("a", 32)] if symbols == 1 else [F.col("a")] if symbols == 2 else [F.col("a"), F.shiftright("b", 32)] if symbols == 3 else [F.col("a"), F.col("b")]
-    return F.xxhash64(F.lit(symbols), *parts)
 
-
-def remove_repeats(docs: DataFrame, bucket_bytes: int = 2 << 20, group_rows: int = 1 << 19) -> DataFrame:
+def remove_repeats(docs: DataFrame, bucket_bytes: int = 2 << 20, group_rows: int = 1 << 16) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, and ``kept``, the words that stay, joined by one space.
 
     A word goes if a window of 35 words over it, of one text, has a word sequence that also starts anywhere else, in
     the same text or another. Windows are judged on the input. Null and empty texts have no words; texts of fewer than
     35 words lose none; a repeated row is a second text. Columns other than doc_id and text are ignored.
 
-    Texts are dealt into buckets of about ``bucket_bytes``. Two equal windows have the same anchor, the least hash of
-    their 8-word runs; anchors that occur at one place only clear their windows cheaply. The suffixes at the other
-    windows, cut at 35 words and each once a bucket, are split into groups of about ``group_rows`` by prefixes: one
-    symbol (9 words), and one more as long as a prefix has more suffixes than a group holds. Each group's tree yields
-    the repeats, which go back to the buckets. A window that is common everywhere is one row a bucket.
-    Hashes of words have 64 bits, symbols 32: two windows are taken as equal if 128 bits agree.
+    Texts are dealt into buckets of about ``bucket_bytes``. Every window contains a prefix, the least by hash of its
+    runs of 8 words; equal windows have the same one, at the same offset. Prefixes that occur at one place only clear
+    their windows. Suffixes that start at the others are grouped by prefix into groups of about ``group_rows``, each
+    small enough for memory; a group's suffix tree, with the words before each suffix, gives the repeats that are 35
+    words deep at least, and these go back to the buckets as places. Equal suffixes of a bucket are one row.
+
+    A prefix with more than ``group_rows`` places doesn't fit: there the prefix is lengthened to the whole window,
+    which is counted (partly before the shuffle), and no tree is needed. Neither way gathers a hot passage in one task.
+    Hashes of prefixes have 64 bits, those of single words in a suffix 48, whole windows 128: equality rests on them.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"))
     anchors = dealt.select("text", "bucket").mapInArrow(_emit_anchors, "value long, bucket int")
     per_bucket = stored(anchors.groupBy("value", "bucket").agg(F.count("*").alias("n")))
-    repeated = per_bucket.groupBy("value").agg(F.sum("n").alias("total")).where("total > 1").select("value")
-    repeated = stored(per_bucket.select("value", "bucket").join(repeated, "value", "left_semi"))
-
-    suffixes = dealt.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(_emit_suffixes, "a long, b long, tag int")
-    counts = stored(suffixes.groupBy(_prefix(1).alias("prefix")).agg(F.count("*").alias("n")))
-    groups = max(1, -(-2 * (counts.agg(F.sum("n")).first()[0] or 0) // group_rows))
-    placed, key = suffixes, _prefix(1)
-    for symbols in range(1, 4):
-        heavy = counts.where(F.col("n") > group_rows // 2).select("prefix", F.lit(True).alias(f"heavy_{symbols}"))
-        if heavy.isEmpty():
-            break
-        placed = placed.join(heavy, _prefix(symbols) == F.col("prefix"), "left").drop("prefix")
-        is_heavy = F.coalesce(F.col(f"heavy_{symbols}"), F.lit(False))
-        key = F.when(is_heavy, _prefix(symbols + 1)).otherwise(key)
-        counts = stored(placed.where(is_heavy).groupBy(_prefix(symbols + 1).alias("prefix")).agg(F.count("*").alias("n")))
-    grouped = placed.select("a", "b", "tag", F.pmod(key, F.lit(groups)).cast("int").alias("part")).groupBy("part")
-    repeats = grouped.applyInArrow(_deep_nodes, "digest long, bucket int")
+    totals = per_bucket.groupBy("value").agg(F.sum("n").alias("total")).where("total > 1")
+    prefixes = stored(per_bucket.join(totals, "value").select("value", "bucket", "n", (F.col("total") > group_rows).alias("heavy")))
+    light, heavy = prefixes.where("not heavy").select("value", "bucket"), prefixes.where("heavy").select("value", "bucket")
+    places, heavy_places = (row or 0 for row in prefixes.agg(F.sum(F.when(~F.col("heavy"), F.col("n"))), F.sum(F.when(F.col("heavy"), F.col("n")))).first())
+
+    groups = max(1, -(-2 * places // group_rows))
+    suffixes = dealt.groupBy("bucket").cogroup(light.groupBy("bucket")).applyInArrow(_emit_suffixes, _SUFFIX)
+    repeats = suffixes.groupBy(F.pmod(F.xxhash64("value"), F.lit(groups)).alias("part")).applyInArrow(_repeats, _REPEATS)
+    if heavy_places:
+        windows = stored(dealt.groupBy("bucket").cogroup(heavy.groupBy("bucket")).applyInArrow(_emit_windows, "a long, b long, bucket int, places array<int>"))
+        often = windows.groupBy("a", "b").agg(F.sum(F.size("places")).alias("n")).where("n > 1").select("a", "b")
+        repeats = repeats.union(windows.join(often, ["a", "b"], "left_semi").select("bucket", F.explode("places").alias("place"), F.lit(1).alias("offsets")))
     return dealt.groupBy("bucket").cogroup(repeats.groupBy("bucket")).applyInArrow(_remove, "doc_id long, n_words long, n_removed long, kept string")
