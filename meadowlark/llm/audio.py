@@ -115,42 +115,56 @@ def features(media: bytes) -> tuple[np.ndarray, np.ndarray]:
     return seconds, np.round(tensors, 3).astype(np.float32)
 
 
-_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media binary, spans array<struct<start:double,end:double>>, tensors array<array<float>>"
+TENSOR = pa.fixed_shape_tensor(pa.float32(), [STEPS, BANDS])
+#: A stored table of segments: a span in seconds, and a tensor of fixed shape.
+SEGMENTS = pa.schema([("start", pa.float64()), ("end", pa.float64()), ("energies", TENSOR)])
+
+
+def stored_segments(seconds: np.ndarray, tensors: np.ndarray) -> bytes:
+    """Spans and tensors as an Arrow stream of SEGMENTS, one row a segment."""
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(tensors).ravel()), STEPS * BANDS)
+    batch = pa.record_batch([pa.array(seconds[:, 0]), pa.array(seconds[:, 1]), pa.ExtensionArray.from_storage(TENSOR, flat)], schema=SEGMENTS)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, SEGMENTS) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def read_segments(stream: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Spans (start and end in seconds) and tensors (segments x STEPS x BANDS) of an Arrow stream of SEGMENTS."""
+    table = pa.ipc.open_stream(stream).read_all().combine_chunks()
+    energies = table.column("energies").chunk(0).to_numpy_ndarray() if table.num_rows else np.zeros((0, STEPS, BANDS), np.float32)
+    return np.stack([table.column(c).to_numpy() for c in ("start", "end")], axis=1), energies
+
+
+_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media binary, segments binary, feature string"
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    span = pa.struct([("start", pa.float64()), ("end", pa.float64())])
     for batch in batches_of(batches, 256):
         rows: list[tuple] = []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             data = (text or "").encode()
             media = wav(pad(data))
-            seconds, tensors = features(media)
+            stream = stored_segments(*features(media))
             back = samples_of(media)[1]
-            rows.append((doc_id, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), media, seconds, tensors))
-        ids, n, size, sha, tail, media, seconds, tensors = zip(*rows, strict=True) if rows else [()] * 8
-        counts = np.concatenate([[0], np.cumsum([len(x) for x in seconds])]).astype(np.int32)
-        ends = np.concatenate(seconds) if rows else np.zeros((0, 2))
-        flat = np.concatenate(tensors).ravel() if rows else np.zeros(0, np.float32)
-        spans = pa.ListArray.from_arrays(counts, pa.StructArray.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], fields=list(span)))
-        inner = pa.ListArray.from_arrays(np.arange(counts[-1] + 1, dtype=np.int32) * (STEPS * BANDS), pa.array(flat))
-        columns = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(tail, pa.int64()), pa.array(media, pa.binary()), spans, pa.ListArray.from_arrays(counts, inner)]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media", "spans", "tensors"])
+            spans, energies = read_segments(stream)
+            feature = f"{len(spans)}:{spans[-1, 1]:.6f}:{hashlib.sha256(np.ascontiguousarray(energies, '<f4').tobytes()).hexdigest()}"
+            rows.append((doc_id, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), media, stream, feature))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.string())
+        columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media", "segments", "feature"])
 
 
 def media_features(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media, spans, tensors.
+    """One row per row of ``docs``: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media, segments, feature.
 
     The text's UTF-8 (null: empty), padded with bytes 255 to a positive multiple of 576, is stored as 8-bit samples in a
     WAV file. What is read back from the file is hashed, and gives the features: it is resampled to 8 kHz, log-mel
     energies of overlapped frames are segmented by hysteresis, and each segment has a span in seconds and a tensor of
-    8 x 24, row after row. Equal texts have equal rows but for doc_id. Columns other than doc_id and text are ignored.
+    8 x 24. ``segments`` stores them as an Arrow stream whose tensors have Arrow's fixed-shape type (``read_segments``);
+    ``feature`` names the number of segments, the last one's end, and the hash of the tensors as read back.
+    Equal texts have equal rows but for doc_id; repeated rows are rows of their own; long texts are kept whole. Columns
+    other than doc_id and text are ignored.
     """
     return docs.select("doc_id", "text").mapInArrow(_run, _SCHEMA)
-
-
-def as_tensors(tensors: pa.ChunkedArray) -> pa.ChunkedArray:
-    """A column of tensors (arrays of 8 x 24 floats, one a row) as Arrow's fixed-shape tensor type."""
-    kind = pa.fixed_shape_tensor(pa.float32(), [STEPS, BANDS])
-    chunks = [pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(c.flatten(), STEPS * BANDS)) for c in tensors.chunks]
-    return pa.chunked_array(chunks, kind)

@@ -50,9 +50,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = audio.media_features(table(spark, sf_dir, "documents"))
-    digest = F.sha2(F.concat_ws(",", F.flatten("tensors")), 256)
-    feature = F.concat_ws(":", F.size("spans"), F.round(F.element_at("spans", -1)["end"], 6), digest)
-    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 OP2_SQL = r"""
 WITH docs AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         CAST('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15) AS BIGINT) AS hash
+         CAST('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(md5(text), 'null')), 1, 15) AS BIGINT) AS hash
   FROM documents),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
 weighed AS (
@@ -84,18 +82,11 @@ targets AS (
   SELECT source, source_size, least(weight * level, cap::DOUBLE) AS target,
          CASE WHEN source_size > 0 THEN floor(least(weight * level, cap::DOUBLE) / source_size)::BIGINT ELSE 0 END AS whole
   FROM weighed, level),
-groups AS (SELECT source, hash, sum(size)::BIGINT AS words FROM docs GROUP BY source, hash),
 running AS (
-  SELECT g.*, t.target - t.whole * t.source_size AS budget,
-         sum(words) OVER (PARTITION BY g.source ORDER BY hash) - words AS before
-  FROM groups g JOIN targets t ON g.source IS NOT DISTINCT FROM t.source),
-cuts AS (
-  SELECT source, min(hash) AS hash, arg_min((budget - before) * 2 >= words, hash) AS with_it
-  FROM running WHERE before + words > budget GROUP BY source)
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY hash, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM docs)
 SELECT d.doc_id, d.size, t.source_size, t.target,
-       (d.size * (t.whole + CASE WHEN c.hash IS NULL OR d.hash < c.hash OR (d.hash = c.hash AND c.with_it) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
-LEFT JOIN cuts c ON d.source IS NOT DISTINCT FROM c.source
+       (d.size * (t.whole + CASE WHEN upto * 2 - size <= (t.target - t.whole * t.source_size) * 2 THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM running d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
 """
 
 
