@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,19 +13,19 @@ from pyspark.sql import DataFrame
 from .common import batches_of
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe textarea title svg math object select option".split())
+_RAW = frozenset("script style template iframe textarea title svg select option".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _DROPPED = frozenset("head nav footer aside form button dialog menu".split())
 _ENDS_P = _BLOCK - {"body", "html", "head"}
-#: Words of class, id and role that mark what isn't the article.
+#: Class, id and role names that mark what isn't the article, whole or as the parts of a name such as cookie-notice.
 _MARKS = frozenset(
     "ad ads adsense advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment commentlist comments complementary consent contentinfo"
     " cookie cookies copyright disclaimer disqus footer form gdpr legal login masthead menu modal nav navbar navigation newsletter notice notification pager"
     " pagination popup promo promotion promoted recommended related respond search share sharing sidebar signup skip social sponsor sponsored subscribe"
     " subscription toolbar topbar widget".split()
 )
-#: Parts of a class, id or role by which it tells of a page's form and not what the element is: has-sidebar, comments-open.
-_MODIFIERS = frozenset("has no not with without open closed enabled disabled layout".split())
+#: Parts that may stand beside a mark without changing what it says: sidebar-right, ad_slot_2, but not ad-hoc or section-legal.
+_NEUTRAL = frozenset("area bar block body bottom box button container content group inner item items left link links list main outer overlay page panel posts primary right secondary site slot text top unit wrap wrapper".split())
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""")
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+|[0-9]+")
@@ -37,52 +38,67 @@ LINES, SURGE = 3, 80
 def _marked(name: str, attributes: str, inside: bool) -> bool:
     """Whether an element isn't part of the article, by its name or its attributes. inside: of an article or main element.
 
-    Class, id and role never mark an article or main element itself.
+    Class, id and role never mark a main element itself, and an article only if it lies in another one, as comments do.
     """
-    if name in _DROPPED or name == "header" and not inside:
+    if name in _DROPPED or name in ("header", "noscript") and not inside:
         return True
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value):
             return True
-        if key in ("class", "id", "role") and name not in ("article", "main"):
+        if key in ("class", "id", "role") and name != "main" and (name != "article" or inside):
             for token in value.split():
-                words = set(_WORD.findall(token))
-                if not words & _MODIFIERS and (words & _MARKS or "header" in words and not inside and name not in ("h1", "h2")):
+                words = _WORD.findall(token)
+                if _MARKS.intersection(words) and all(w in _MARKS or w in _NEUTRAL or w.isdigit() for w in words) or words == ["header"] and not inside and name not in ("h1", "h2"):
                     return True
     return False
 
 
-def _lines(page: str, marks: bool, exempt: frozenset[int] | set[int] = frozenset()) -> tuple[list[tuple[str, int, int]], set[int]]:
-    """The page's lines in order: text, its characters outside links (0 in marked elements), 2 in article, 1 in main only.
+class Line(NamedTuple):
+    """A line's text, its characters outside links (0 in marked elements), 2 in article and 1 in main only, and which article."""
 
-    Lines of marked elements stay, as text-free ones: they are dips of the distribution. An element that holds main isn't
-    marked from there on; neither is one that starts at a place in ``exempt``. Second result: the starts of the article and
-    main elements and of those that hold one, for a reading that exempts them; asides and the like are never among them.
+    text: str
+    plain: int
+    level: int
+    article: int
+
+
+def _lines(page: str, marks: bool, exempt: frozenset[int] | set[int] = frozenset()) -> tuple[list[Line], set[int]]:
+    """The page's lines in order, and the starts of holders.
+
+    Lines of marked elements stay, as text-free ones: they are dips of the distribution. Text of marked elements inside a
+    line is left out. An article inside another that has text already is a comment on it, or a teaser, and is marked. An
+    element that holds main isn't marked from there on; neither is one that starts at a place in ``exempt``. Holders are
+    the article and main elements and those that hold one, for a reading that exempts them; asides and the like are
+    never among them.
     """
-    lines: list[tuple[str, int, int]] = []
+    lines: list[Line] = []
     holders: set[int] = set()
     stack: list[tuple[str, bool, int, int]] = []  # name, marked, article 2 or main 1, start
     text: list[str] = []
-    plain = 0
+    plain = number = own = 0
+    dropped = False
     skipped = within = articles = links = 0
 
     def flush() -> None:
-        nonlocal plain
-        if text:
-            line = _SPACE.sub(" ", html.unescape("".join(text))).strip()
-            if line:
-                named = 2 if articles else 1 if within else 0
-                lines.append(("", 0, named) if skipped else (line, plain, named))
-            text.clear()
-        plain = 0
+        nonlocal plain, dropped, own
+        line = _SPACE.sub(" ", html.unescape("".join(text))).strip() if text else ""
+        if line or dropped:
+            lines.append(Line(line, plain if line else 0, 2 if articles else 1 if within else 0, number))
+            own += plain if articles else 0
+        text.clear()
+        plain, dropped = 0, False
 
     def add(part: str) -> None:
-        nonlocal plain
-        if part:
-            text.append(part)
-            if not links and not skipped:
-                plain += len(part.strip())
+        nonlocal plain, dropped
+        if not part:
+            return
+        if skipped:
+            dropped = dropped or not part.isspace()
+            return
+        text.append(part)
+        if not links:
+            plain += len(part.strip())
 
     def close(upto: int) -> None:
         nonlocal skipped, within, articles, links
@@ -142,8 +158,11 @@ def _lines(page: str, marks: bool, exempt: frozenset[int] | set[int] = frozenset
                 if stack[i][0] in _BLOCK:
                     break
         article = 2 if name == "article" else 1 if name == "main" else 0
-        marked = marks and name not in ("html", "body") and start not in exempt and _marked(name, attributes, within + article > 0)
-        if article:
+        if article == 2 and not articles:
+            number, own = number + 1, 0
+        comment = article == 2 and articles and own >= SURGE
+        marked = marks and name not in ("html", "body") and start not in exempt and (comment or _marked(name, attributes, (within if article == 2 else within + article) > 0))
+        if article and not marked:
             for holder, _, _, place in reversed(stack):
                 if place in holders:
                     break  # so are those around it
@@ -162,32 +181,51 @@ def _lines(page: str, marks: bool, exempt: frozenset[int] | set[int] = frozenset
     return lines, holders
 
 
-def _own(lines: list[tuple[str, int, int]], level: int) -> int | None:
+def _own(lines: list[Line], level: int) -> int | None:
     """Characters of the lines inside article (2), or article or main (1); None if there are no such lines."""
-    sizes = [n for _, n, x in lines if x >= level]
+    sizes = [x.plain for x in lines if x.level >= level]
     return sum(sizes) if sizes else None
 
 
-def _between(lines: list[tuple[str, int, int]], surge: int) -> list[str]:
+def _weights(lines: list[Line]) -> list[int]:
+    """Each line's length in the distribution.
+
+    A page that names its article says where text counts: there, a line with text has SURGE more and so surges by
+    itself, however short it is, and elsewhere it has nothing. Of several articles, those with less than a quarter of
+    the longest one's text are teasers.
+    """
+    if not _own(lines, 1):
+        return [x.plain for x in lines]
+    by_article: dict[int, int] = {}
+    for x in lines:
+        if x.level == 2:
+            by_article[x.article] = by_article.get(x.article, 0) + x.plain
+    least = max(by_article.values(), default=0) / 4
+    named = [x.level == 2 and by_article[x.article] >= least or x.level == 1 for x in lines]
+    return [(x.plain + SURGE if x.text else 0) if own else 0 for x, own in zip(lines, named, strict=True)]
+
+
+def _between(lines: list[Line], sizes: list[int], surge: int) -> list[str]:
     """Lines from where blocks of LINES lines surge to where they dive to nothing.
 
     A region starts at a line with text whose block has ``surge`` characters at least, and ends where a block has none.
+    Where the page names its article, only lines inside it are in a region.
     """
-    sizes = [n for _, n, _ in lines]
     blocks = [sum(sizes[i : i + LINES]) for i in range(len(sizes))]
+    named = bool(_own(lines, 1))
     kept, inside = [], False
-    for i, (line, size, _) in enumerate(lines):
-        if not inside and size and blocks[i] >= surge:
+    for i, line in enumerate(lines):
+        if not inside and sizes[i] and blocks[i] >= surge:
             inside = True
         elif inside and not blocks[i]:
             inside = False
-        if inside and line:
-            kept.append(line)
+        if inside and line.text and (sizes[i] or not named):
+            kept.append(line.text)
     return kept
 
 
 def main_text(page: str | None) -> str:
-    """The article's blocks, each with single spaces, joined by newlines; empty if there is none."""
+    """The article's blocks, each with single spaces, joined by two newlines; empty if there is none."""
     if not page:
         return ""
     for marks in (True, False):
@@ -197,10 +235,9 @@ def main_text(page: str | None) -> str:
             again = _lines(page, True, holders)[0]
             if (_own(again, 2) or 0) > (_own(lines, 2) or 0) or not _own(lines, 1) and _own(again, 1):
                 lines = again
-        # Inside an article element every line with text is a surge, and dips of any length are left out.
-        kept = [line for line, _, level in lines if level and line] if _own(lines, 1) else _between(lines, SURGE) or _between(lines, 1)
-        if kept:
-            return "\n".join(kept)
+        sizes = _weights(lines)
+        if kept := _between(lines, sizes, SURGE) or _between(lines, sizes, 1):
+            return "\n\n".join(kept)
     return ""
 
 
@@ -217,9 +254,10 @@ def extract(pages: DataFrame) -> DataFrame:
     like by name, class, id or role, and hidden ones, become lines without text; so do scripts and styles, without
     lines. Text of links doesn't count towards a line's length. Sums of lengths over three lines in turn surge where
     the article starts and dive to nothing where it ends; lines between are kept whole. If the page names its article
-    (article or main), only lines inside it are looked at. Classes, ids and roles never mark these two, nor what holds
-    main; if no article gives text, nor what holds one, so that a class on a container loses none, while comments and
-    teasers beside an article stay out. A page on which this leaves nothing is read once more without heed to classes
-    and names. A null or empty page has an empty text; a page of another form is read as it is.
+    (article or main), its lines weigh more and those outside nothing. Classes, ids and roles never mark these two, nor
+    what holds main; if no article gives text, nor what holds one, so that a class on a container loses none, while
+    comments and teasers beside or in an article stay out. A page on which this leaves nothing is read once more without
+    heed to classes and names. A null or empty page has an empty text; a page of another form is read as it is. Repeated
+    rows are rows of their own; very long pages are read whole.
     """
     return pages.select("page_id", "url", "html").mapInArrow(_run, "page_id long, url string, text string, n_chars long")
