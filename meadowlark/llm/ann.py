@@ -49,7 +49,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, n_pivots: int = 512
     Rows need vec_id and embedding; other columns are ignored. Nearest first, ties to the smaller vec_id; the score is
     the cosine of the original vectors in double precision. Vectors that are null, zero or hold null or non-finite
     components take no part, nor do rows of null vec_id, or of another number of components than most. If fewer
-    than ``k`` candidates exist, all are returned. A vec_id that is repeated counts as two candidates.
+    than ``k`` candidates exist, all are returned. Rows that repeat a vec_id are queries and candidates of their own:
+    each query's results are ranked by themselves, and it leaves out one row of its id and vector, itself.
 
     Equal vectors are indexed once, with their k + 1 smallest ids (no result needs more). A vector is represented by
     the order of its ``depth`` nearest pivots; the pivots are ``n_pivots`` vectors of the smallest hashes. Vectors are
@@ -73,14 +74,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, n_pivots: int = 512
     sent = vectors.sparkSession.sparkContext.broadcast(pivots)
     depth = min(depth, len(pivots))
     blocks = max(1, -(-n // block))
-    queries = rows.where("is_query").select("vec_id", "embedding")
+    # Queries of one id are told apart by vector and number.
+    copy = F.row_number().over(Window.partitionBy("vec_id").orderBy("key"))
+    queries = rows.where("is_query").select("vec_id", copy.alias("copy_no"), "key", "embedding")
     query_blocks = max(1, -(-queries.count() // query_block))
 
     def both(df: DataFrame, seed: Column, other: int, own: int, name: str, other_name: str) -> DataFrame:
         return df.withColumn(name, F.pmod(F.xxhash64(seed), F.lit(own)).cast("int")).withColumn(other_name, F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
 
     left = both(queries, F.col("vec_id"), blocks, query_blocks, "q", "v")
-    right = both(distinct.select("ids", "embedding"), F.col("ids")[0], query_blocks, blocks, "v", "q")
+    right = both(distinct.select("key", "ids", "embedding"), F.col("ids")[0], query_blocks, blocks, "v", "q")
 
     def nearest(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -90,13 +93,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, n_pivots: int = 512
             norms, own_norms = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
             files = InvertedFiles(pivot_orders(x / norms[:, None], sent.value, depth), len(sent.value))
             orders = pivot_orders(y / own_norms[:, None], sent.value, depth)
-            for i, query in enumerate(asked.vec_id):
+            for i, (query, copy, key) in enumerate(zip(asked.vec_id, asked.copy_no, asked.key, strict=True)):
                 near = np.argsort(files.footrule(orders[i]), kind="stable")[:reranked]
                 scores = (x[near] * y[i]).sum(axis=1) / (norms[near] * own_norms[i])
                 for j in np.lexsort((near, -scores))[: k + 1]:
-                    out += [(query, found, scores[j]) for found in held.ids[near[j]]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    found = left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInPandas(nearest, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.where("vec_id <> query_id").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                    ids = list(held.ids[near[j]])
+                    if held.key[near[j]] == key and query in ids:
+                        ids.remove(query)
+                    out += [(query, copy, found, scores[j]) for found in ids]
+        return pd.DataFrame(out, columns=["query_id", "copy_no", "vec_id", "score"])
+
+    found = left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInPandas(nearest, "query_id long, copy_no int, vec_id long, score double")
+    best = Window.partitionBy("query_id", "copy_no").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

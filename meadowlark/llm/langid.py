@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches_of, is_held_out
@@ -179,21 +179,20 @@ class Models(NamedTuple):
     weights: np.ndarray
 
 
-def train(docs: DataFrame, bound: int = 8_000) -> Models:
+def train(docs: DataFrame, bound: int = 8_000, most: int = 64) -> Models:
     """The SVMs of families and of the languages of a family.
 
     Families meet as ``family:x``; languages only those of their own family. At most ``bound`` documents teach, as many
-    of each language, of the smallest hashes of their ids, from rows with text and lang that aren't held out. A task
-    fits one SVM. The rows are bounded by the pairs of languages and by DIMENSION.
+    of each language, of the smallest hashes of their ids, from rows with text and lang that aren't held out; of more
+    than ``most`` languages, those with most rows. A task fits one SVM. So rows and models are bounded by the parameters:
+    2,016 models of DIMENSION numbers at most, a dozen for four languages.
     """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", "lang", F.xxhash64("doc_id").alias("order"))
-    languages = sorted(r["lang"] for r in known.groupBy("lang").count().collect())
+    languages = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect())
     if not languages:
         return Models([], [], [], np.zeros((0, DIMENSION), np.float32))
-    each = max(20, bound // len(languages))
-    chosen = known.limit(0)
-    for language in languages:
-        chosen = chosen.union(known.where(F.col("lang") == language).orderBy("order", "doc_id").limit(each))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
+    chosen = known.where(F.col("lang").isin(languages)).withColumn("place", first).where(F.col("place") <= max(1, bound // len(languages))).drop("place").distinct()
     families = sorted({family_of(x) for x in languages})
     pairs = [(f"family:{a}", f"family:{b}", [x for x in languages if family_of(x) == a], [x for x in languages if family_of(x) == b]) for i, a in enumerate(families) for b in families[i + 1 :]]
     pairs += [(a, b, [a], [b]) for i, a in enumerate(languages) for b in languages[i + 1 :] if family_of(a) == family_of(b)]

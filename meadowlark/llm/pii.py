@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,14 +23,17 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-#: What an unseen identifier of a kind may look like; contexts decide.
+#: What an unseen identifier of a kind may look like; contexts decide. Those of emails are found around a separator.
 _LOOSE = {
-    "email": re.compile(r"[^\s@]{1,64}(?:@|\s?[\[(]at[\])]\s?)[^\s@]{2,128}"),
-    "ip": re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9]{1,5}(?:[.:][0-9]{1,5}){3,7}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){4,7})(?![0-9A-Fa-f:.])"),
-    "card": re.compile(r"(?<![0-9])[0-9](?:[ .-]?[0-9]){11,18}(?![0-9])"),
-    "phone": re.compile(r"(?<![0-9+])[(]?[0-9]{2,5}[)]?(?:[ ./-]?[0-9]{2,5}){2,5}(?![0-9])"),
+    "ip": re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9]{1,5}(?:[.:][0-9]{1,5}){3,7}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){4,7})(?![0-9A-Za-z:.])"),
+    "card": re.compile(r"(?<![0-9A-Za-z])[0-9](?:[ .-]?[0-9]){11,18}(?![0-9A-Za-z])"),
+    "phone": re.compile(r"(?<![0-9A-Za-z+])[(]?[0-9]{2,5}[)]?(?:[ ./-]?[0-9]{2,5}){2,5}(?![0-9A-Za-z])"),
 }
-_REACH = 48  # characters beside a span that make its context
+_AT = re.compile(r"@|\s?[\[(]at[\])]\s?")
+_HOST = re.compile(r"[^\s@]{2,}")
+#: Words of a context: runs of letters, runs of digits, single other characters. Longer contexts are named by a hash.
+_TOKEN, _BACK = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_"), 64
+_LONG = 96
 
 
 def _luhn(digits: str) -> bool:
@@ -68,11 +72,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def _loose_emails(text: str) -> Iterator[tuple[int, int]]:
+    """name@host and name (at) host without any rule for either side; each character is looked at a few times at most."""
+    end = 0
+    for m in _AT.finditer(text):
+        if m.start() < end:
+            continue
+        start = m.start()
+        while start > end and not text[start - 1].isspace() and text[start - 1] != "@":
+            start -= 1
+        if start < m.start() and (host := _HOST.match(text, m.end())):
+            yield start, host.end()
+            end = host.end()
+        else:
+            end = m.end()
+
+
 def _candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Loose matches that overlap no base span and no earlier candidate."""
     taken = sorted((a, b) for a, _, b in base)
     found: list[tuple[int, int, int]] = []
-    loose = sorted((m.start(), k, m.end()) for k, kind in enumerate(KINDS) for m in _LOOSE[kind].finditer(text))
+    loose = sorted([(a, 0, b) for a, b in _loose_emails(text)] + [(m.start(), k, m.end()) for k, kind in enumerate(KINDS) if kind in _LOOSE for m in _LOOSE[kind].finditer(text)])
     i, end = 0, 0
     for a, k, b in loose:
         while i < len(taken) and taken[i][1] <= a:
@@ -83,11 +103,31 @@ def _candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     return found
 
 
+def _words_before(text: str, end: int, n: int = 2) -> list[str]:
+    """The last ``n`` words before a place, first to last, whole however long they are."""
+    back = _BACK
+    while True:
+        start = max(0, end - back)
+        found = [m[0] for m in _TOKEN.finditer(text, start, end)]
+        # The first word may be cut where the look back starts, so one more is asked for.
+        if start == 0 or len(found) > n:
+            return found[-n:]
+        back *= 4
+
+
+def _words_after(text: str, start: int) -> list[str]:
+    m = _TOKEN.search(text, start)
+    return [m[0]] if m else []
+
+
+def _named(context: str) -> str:
+    return context if len(context) <= _LONG else f"#{xxhash.xxh3_128_hexdigest(context)}"
+
+
 def _contexts(text: str, start: int, end: int) -> list[str]:
     """The two words before a span, and the word before with the word after."""
-    before, after = text[max(0, start - _REACH) : start].lower().split()[-2:], text[end : end + _REACH].lower().split()[:1]
-    left = " ".join(before)
-    return [f"{left} _", f"{before[-1] if before else '^'} _ {after[0] if after else '$'}"]
+    before, after = [w.lower() for w in _words_before(text, start)], [w.lower() for w in _words_after(text, end)]
+    return [_named(f"{' '.join(before)} _"), _named(f"{before[-1] if before else '^'} _ {after[0] if after else '$'}")]
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("value", pa.string()), ("contexts", pa.list_(pa.string()))])
@@ -116,13 +156,15 @@ def discover(scanned: DataFrame, rounds: int = 3, support: int = 5, confidence:
     A graph links contexts and the values that they stand beside. Values of base spans are seeds with score 1 for their
     kind. Each round scores a context for a kind by the mean score of all its values, if it has ``support`` seeds at
     least, and then an unseen value by its best context. Values that end at ``confidence`` or more are found. The graph
-    is aggregated by (context, value) before it is joined, so a common context or value is one row for each partner.
+    is aggregated by (context, value) before it is joined, so a common context or value is one row for each partner;
+    a context's score is summed partly before the shuffle, and the contexts that have one go to the edges by their size.
     """
     def edges(column: str) -> DataFrame:
         span = scanned.select(F.explode(column).alias("span"))
         return span.select("span.kind", "span.value", F.explode("span.contexts").alias("context"), F.lit(column == "base").alias("seed"))
 
     graph = edges("base").union(edges("more")).groupBy("context", "kind", "value").agg(F.max("seed").alias("seed"))
+    graph = stored(graph)
     # Contexts with too few seeds of a kind never matter, nor do values that only they reach.
     able = graph.where("seed").groupBy("context", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= support).select("context", F.col("kind").alias("of"))
     graph = stored(graph.join(able, "context"))
@@ -157,7 +199,7 @@ def find(docs: DataFrame, rounds: int = 3, support: int = 5, confidence: float =
 
     Base spans are what the four patterns match; contexts learned from all documents add spans (see ``discover``), of
     the kind that they look like, where no base span is. A null or empty text has none. Whole texts are searched;
-    columns other than doc_id and text are ignored.
+    columns other than doc_id and text are ignored. Repeated rows have equal results, and teach the contexts once.
     """
     scanned = _scanned(docs)
     added = _added(scanned, rounds, support, confidence)
