@@ -140,7 +140,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k
     docs = docs.select("doc_id", "text")
     narrow = docs.select("doc_id", F.when(F.col("text").isNotNull(), F.sha2("text", 256)).alias("sha"))
     groups = narrow.where("sha is not null").groupBy("sha").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")).where("n > 1").drop("n")
-    member = stored(narrow.join(groups, "sha", "left").select("doc_id", F.coalesce("node", "doc_id").alias("node")))
+    # Null texts don't meet in the join.
+    without = narrow.where("sha is null").select("doc_id", F.col("doc_id").alias("node"))
+    member = stored(narrow.where("sha is not null").join(groups, "sha", "left").select("doc_id", F.coalesce("node", "doc_id").alias("node")).union(without))
     copies = member.where("doc_id <> node").select(F.col("doc_id").alias("node")).distinct()
     keys = docs.where("doc_id is not null").mapInArrow(_signatures(shingle, k, rows), "node long, size long, keys array<long>")
     banded = stored(keys.join(copies, "node", "left_anti")).select("node", "size", F.explode("keys").alias("key"))
@@ -155,7 +157,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k
         return both * (1 + threshold) + 1e-6 >= (F.col(a) + F.col(b)) * threshold
 
     def links(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+        # A text with many partners is copied, one copy for so many of them, so that no task has them all.
+        shares = F.ceil(F.col("n") / 1024).cast("int")
+        often = stored(pairs.groupBy("a").agg(F.count("*").alias("n")).where("n > 1024").select("a", shares.alias("shares")))
+        share = F.pmod(F.xxhash64("b"), F.coalesce("shares", F.lit(1))).cast("int")
+        pairs = pairs.join(often, "a", "left").select("a", "b", share.alias("share"))
+        sides = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(often, "a", "left")
+        sides = sides.select("a", "text_a", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias("share"))
+        with_a = pairs.join(sides, ["a", "share"])
         with_both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         return with_both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(shingle, threshold), "a long, b long")
 
