@@ -29,7 +29,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHasher(dict):
     """Memo of word -> 64-bit hash; emptied when it reaches ``bound`` words, so memory stays bounded."""
 
-    def __init__(self, bound: int = 1 << 19):
+    def __init__(self, bound: int = 1 << 18):
         self.bound = bound
 
     def __missing__(self, word: bytes) -> int:
@@ -92,9 +92,14 @@ def shingle_units(words: list[bytes], hasher: WordHasher, size: int) -> np.ndarr
 
 
 def storage_folder(spark: SparkSession) -> str:
-    """A new folder below the shared folder that the session names; a temporary one only where none is named (tests)."""
+    """A new folder below the shared folder that the session names.
+
+    Where none is named, a local session gets a temporary one; on a cluster that is an error, as executors wouldn't share it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="meadowlark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/meadowlark-{uuid.uuid4().hex}"
@@ -113,10 +118,14 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def batches_of(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that long texts don't pile up as Python objects."""
+    """The same rows in smaller batches, so that long texts don't pile up as Python objects.
+
+    At the end of the task, Arrow's free memory goes back to the machine: workers outlive their tasks.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,38 +31,52 @@ _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
 
 
-class _Encoder(dict):
-    """Memo of white-space-separated chunk -> token ids. No pattern of the tokenizer's matches across white space, and its
-    normalisers don't either, so a text's ids are those of its chunks in turn. Bounded: emptied when full.
+class _Memo(dict):
+    """A memo of two generations: a full one becomes the old one and pushes out the one before, so what is asked for often
+    stays. It holds 2 x ``bound`` entries at most. ``find`` gives the value of an unknown key."""
+
+    def __init__(self, find: Callable[[str], bytes], bound: int):
+        self.find, self.bound, self.old = find, bound, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.find(key)
+        if len(self) >= self.bound:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class _Encoder:
+    """Token ids of white-space-separated chunks. No pattern of the tokenizer's matches across white space, and its
+    normalisers don't either, so a text's ids are those of its chunks in turn.
 
     A chunk of letters between punctuation is encoded by parts, of which far fewer differ.
     """
 
-    def __init__(self, path: str, bound: int = 1 << 19):
+    def __init__(self, path: str, bound: int = 1 << 18):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.bound, self.parts = Tokenizer.from_file(path), bound, {}
+        self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.parts, self.chunks = _Memo(self.encode, 2 * bound), _Memo(self.by_parts, bound)
 
     def encode(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            if len(self.parts) >= self.bound:
-                self.parts.clear()
-            if _PLAIN.fullmatch(part):  # nothing to compose or split: the model alone gives the ids
-                found = [t.id for t in self.model.tokenize(part.lower().encode().decode("latin-1").translate(_BYTE_CHARACTERS))]
-            else:
-                found = self.tokenizer.encode(part, add_special_tokens=False).ids
-            self.parts[part] = ids = np.array(found, "<u4").tobytes()
-        return ids
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.bound:
-            self.clear()
+        if _PLAIN.fullmatch(part):  # nothing to compose or split: the model alone gives the ids
+            found = [t.id for t in self.model.tokenize(part.lower().encode().decode("latin-1").translate(_BYTE_CHARACTERS))]
+        else:
+            found = self.tokenizer.encode(part, add_special_tokens=False).ids
+        return np.array(found, "<u4").tobytes()
+
+    def by_parts(self, chunk: str) -> bytes:
         m = None if "<|" in chunk else _PARTS.fullmatch(chunk)
-        ids = b"".join(self.encode(x.lower() if x.isascii() else x) for x in m.groups() if x) if m else self.encode(chunk)
-        self[chunk] = ids
-        return ids
+        return b"".join(self.parts[x.lower() if x.isascii() else x] for x in m.groups() if x) if m else self.encode(chunk)
+
+    def ids(self, text: str) -> bytes:
+        chunks = filter(None, _SPACE.split(text)) if _NOT_SPACE.search(text) else text.split()
+        return b"".join(map(self.chunks.__getitem__, chunks))
 
 
 @functools.cache
@@ -84,9 +98,7 @@ def _pieces(path: str, capacity: int):
         for batch in batches_of(batches):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                text = text.as_py() or ""
-                chunks = filter(None, _SPACE.split(text)) if _NOT_SPACE.search(text) else text.split()
-                ids = b"".join(map(encoder.__getitem__, chunks)) + end
+                ids = encoder.ids(text.as_py() or "") + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -193,7 +205,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Only the number of pieces of each length (``capacity`` numbers) reaches the driver. Pieces get a rank among those of
     their length: they are dealt into chunks, the chunks' counts give each chunk its first rank, and rows are numbered
     inside chunks; so a common length is numbered in many tasks. A plan's slots are then looked up by length and rank.
-    Equal pieces may trade places between runs; every piece is placed once. No rows give no rows.
+    Equal pieces may trade places between runs; every piece is placed once. No rows give no rows. Pieces keep their
+    columns; a null doc_id is a document like others, and repeated rows are packed as often as they come.
     """
     tallied = pieces.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(1 << 10)))
     tallied = stored(tallied)
@@ -210,7 +223,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = slots.value
         keys = table[:, 0] << 44 | table[:, 1]
-        for batch in batches:
+        for batch in batches_of(batches, 1 << 14):
             rank = batch.column("rank").to_numpy(zero_copy_only=False)
             at = np.searchsorted(keys, batch.column("length").to_numpy(zero_copy_only=False) << 44 | rank, side="right") - 1
             sequence = table[at, 2] + rank - table[at, 1]

@@ -10,11 +10,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import GOLDEN, WordHasher, batches_of, is_held_out, mix, stored
 
-#: Hashed features. L1 leaves a few thousand weights; at most 64 MB could be broadcast.
-DIMENSION = 1 << 22
+#: Hashed features. L1 leaves a few thousand weights; at most 16 MB could be broadcast.
+DIMENSION = 1 << 20
 
 
 class _PlainWords(WordHasher):
@@ -75,7 +76,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 16_000, per_task: int
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["order", "text"])
-        hasher, model = _PlainWords(), Ftrl()
+        hasher, model = _PlainWords(1 << 17), Ftrl()
         found = [features(text, hasher) for text in part.text]
         seen = np.zeros(DIMENSION, np.int32)
         for at in found:
@@ -84,9 +85,9 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 16_000, per_task: int
         for _ in range(epochs):
             for at, label in examples:
                 model.learn(at, label)
-        w = model.weights(np.arange(DIMENSION + 1))
-        at = np.flatnonzero(w)
-        return pd.DataFrame({"at": at, "weight": w[at]})
+        at = np.flatnonzero(model.z)  # a coordinate that was never touched has no weight
+        w = model.weights(at)
+        return pd.DataFrame({"at": at[w != 0], "weight": w[w != 0]})
 
     learned = rows.groupBy("shard").applyInPandas(fit, "at long, weight double").groupBy("at").agg(F.sum("weight").alias("weight"))
     weights = np.zeros(DIMENSION + 1)
@@ -97,22 +98,37 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 16_000, per_task: int
 
 def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3, keep_text: bool = True) -> DataFrame:
     """Adds ``score`` (0 to 1) and ``predicted`` to ``docs``, which keep their columns (without keep_text all but the text);
-    columns of these names are replaced.
+    columns of these names are replaced here. ``keep_clean`` filters without touching them.
 
     A null or empty text scores as the intercept says. Whole texts are scored.
     """
+    docs = docs.drop("score", "predicted")
+    scored = _scored(docs, weights, "score", [c for c in docs.columns if keep_text or c != "text"])
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_clean(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``, unchanged, repeated rows as often as they come.
+
+    Every column keeps its values, one named score or predicted too.
+    """
+    name = "_toxicity"
+    while name in docs.columns:
+        name += "_"
+    return _scored(docs, weights, name, docs.columns).where(F.col(name) < threshold).drop(name)
+
+
+def _scored(docs: DataFrame, weights: np.ndarray, name: str, names: list[str]) -> DataFrame:
+    """Columns ``names`` of ``docs`` and the score as ``name``."""
     at = np.flatnonzero(weights)
     sent = docs.sparkSession.sparkContext.broadcast((at, weights[at]))
-    docs = docs.drop("score", "predicted")
-    kept = [f for f in docs.schema.fields if keep_text or f.name != "text"]
-    names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, w = _PlainWords(), np.zeros(DIMENSION + 1)
+        hasher, w = _PlainWords(1 << 17), np.zeros(DIMENSION + 1)
         w[sent.value[0]] = sent.value[1]
         for batch in batches_of(batches, 1024):
             total = np.array([w[features(text.as_py(), hasher)].sum() for text in batch.column("text")]) + w[DIMENSION]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))), pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))), pa.float64())], [*names, name])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.mapInArrow(run, f"{fields}, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    schema = StructType([*(docs.schema[c] for c in names), StructField(name, DoubleType())])
+    return docs.mapInArrow(run, schema)

@@ -82,21 +82,54 @@ def test_mixing_targets(spark):
     assert abs(r["b"] / r[None] - 2 / 5) < 1e-9  # weights in turn: a 5, b 2, c 1, null 5
 
 
+def taken_by_hand(rows, weights=(5, 2, 1)):
+    """How often each row (doc_id, text, source) is taken: its source in order of hashes, as long as that comes nearer."""
+    sources = sorted({r[2] for r in rows}, key=lambda x: (x is None, x or ""))
+    sizes = {s: sum(len(words(r[1])) for r in rows if r[2] == s) for s in sources}
+    weight = {s: weights[i % 3] for i, s in enumerate(sources)}
+    total, capped = sum(sizes.values()), set()
+    while True:
+        level = (total - sum(3 * sizes[s] for s in capped)) / (sum(weight[s] for s in sources if s not in capped) or 1)
+        over = {s for s in sources if s not in capped and weight[s] * level > 3 * sizes[s]}
+        if not over:
+            break
+        capped |= over
+    out = {}
+    for s in sources:
+        target = 3 * sizes[s] if s in capped else weight[s] * level
+        whole = int(target // sizes[s]) if sizes[s] else 0
+        left, before = target - whole * sizes[s], 0
+        text_hash = lambda t: "null" if t is None else hashlib.md5(t.encode()).hexdigest()
+        at = lambda i: hashlib.md5(f"{'null' if rows[i][0] is None else rows[i][0]}:{text_hash(rows[i][1])}".encode()).hexdigest()[:15]
+        for i in sorted((i for i, r in enumerate(rows) if r[2] == s), key=lambda i: (int(at(i), 16), len(words(rows[i][1])))):
+            n = len(words(rows[i][1]))
+            out[i] = whole + (before * 2 + n <= left * 2)
+            before += n
+    return out
+
+
 def test_mixing_repeats_each_row_by_its_own_source(spark):
     """Null ids in several sources, and rows without words: each row has the multiplicity of its own source and hash."""
-    rows = [(None, "w " * 50, "en", "a", 1), (None, "", "en", "b", 2), (None, "v " * 20, "en", "b", 3), (None, " \t", "en", None, 4), (None, "u " * 900, "en", "c", 5), (7, None, "en", "a", 6), (8, "x y", "en", "a", 7), (8, "x y", "en", "c", 8), (9, " ", "en", "d", 9)]
-    rows += [(100 + i, "z " * (i % 7), "en", "abc"[i % 3], 100 + i) for i in range(60)]
-    docs = spark.createDataFrame(rows, SCHEMA)
-    hashed, found = mixing._thresholds(docs, (5, 2, 1), 3)
-    of = {r.s: (r.whole, r.low) for r in found.collect()}
-    at = lambda d: int(hashlib.md5(("null" if d is None else str(d)).encode()).hexdigest()[:15], 16)
-    expected = {r[4]: of[r[3]][0] + (at(r[0]) < of[r[3]][1]) for r in rows}
+    rows = [(None, "w " * 50, "a"), (None, "", "b"), (None, "v " * 20, "b"), (None, " \t", None), (None, "u " * 900, "c"), (7, None, "a"), (8, "x y", "a"), (8, "x y", "c"), (9, " ", "d")]
+    rows += [(100 + i, "z " * (i % 7), "abc"[i % 3]) for i in range(60)]
+    docs = spark.createDataFrame([(d, t, "en", s, i) for i, (d, t, s) in enumerate(rows)], SCHEMA)
+    expected = taken_by_hand(rows)
     mixed = corpus_pipeline.mix(spark, docs, FOLDER)
     assert mixed.columns == docs.columns
-    assert collections.Counter(r.n_chars for r in mixed.collect()) == {k: n for k, n in expected.items() if n}
-    by_size = {(r.doc_id, r.source): r.taken // r["size"] for r in mixing.mix_sources(docs).where("size > 0").collect()}
-    assert all(expected[r[4]] == by_size[r[0], r[3]] for r in rows if (r[1] or "").split())
-    assert expected[6] == of["a"][0] + (at(7) < of["a"][1]) and sum(expected[k] for k in (2, 4, 6, 9)) > 0
+    assert collections.Counter(r.n_chars for r in mixed.collect()) == {i: n for i, n in expected.items() if n}
+    assert collections.Counter((r.doc_id, r.source, r.taken) for r in mixing.mix_sources(docs).collect()) == collections.Counter((rows[i][0], rows[i][2], n * len(words(rows[i][1]))) for i, n in expected.items())
+
+
+def test_mixing_of_repeated_rows(spark):
+    """Rows that nothing tells apart are split at the budget, in both results."""
+    rows = [(None, "w " * 100, "ab"[i % 2]) for i in range(200)]
+    docs = spark.createDataFrame([(d, t, "en", s, 1) for d, t, s in rows], SCHEMA)
+    for r in mixing.mix_sources(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect():
+        assert abs(r.taken - r.target) <= 50
+    by_hand = collections.Counter()
+    for i, n in taken_by_hand(rows).items():
+        by_hand[rows[i][2]] += n
+    assert {r.source: r["count"] for r in mixing.repeat(docs).groupBy("source").count().collect()} == by_hand
 
 
 # --- 3 and 8
@@ -110,6 +143,41 @@ def test_toxicity_held_out(spark):
     assert r.score.between(0, 1).all()
 
 
+def test_ftrl_is_its_definition():
+    """Against the update rule over plain dicts, and the features against plain n-grams and skip-grams."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(rng.choice(["Du", "bad,", "ok", "x", "why?", "no"], rng.integers(0, 9))) for _ in range(300)]
+    labels = [int("bad" in t) for t in texts]
+    hasher, model = toxicity._PlainWords(), toxicity.Ftrl()
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(f):
+        if f != "bias" and abs(z[f]) <= 4.0:
+            return 0.0
+        return ((z[f] > 0) * 2 - 1) * (0.0 if f == "bias" else 4.0) / ((1 + n[f] ** 0.5) / 2 + 0.1) - z[f] / ((1 + n[f] ** 0.5) / 2 + 0.1)
+
+    for text, label in zip(texts, labels, strict=True):
+        w = [x.lower().strip(",?") for x in text.split()]
+        grams = {("1", x) for x in w} | {("2", *x) for x in zip(w, w[1:])} | {("s", *x) for x in zip(w, w[2:])}
+        at = toxicity.features(text, hasher)
+        assert len(at) == len(grams)
+        model.learn(np.append(at, toxicity.DIMENSION), label)
+        own = [*grams, "bias"]
+        ws = {f: weight(f) for f in own}
+        gradient = 1 / (1 + np.exp(-sum(ws.values()))) - label
+        for f in own:
+            z[f] += gradient - ((n[f] + gradient**2) ** 0.5 - n[f] ** 0.5) / 2 * ws[f]
+            n[f] += gradient**2
+        mine = model.weights(np.append(at, toxicity.DIMENSION))
+        assert np.allclose(sorted(mine), sorted(weight(f) for f in own))
+
+
+def test_toxic_stage_keeps_columns_of_the_caller(spark, docs):
+    named = docs.withColumns({"score": F.lit(42.0), "predicted": F.lit("mine"), "_toxicity": F.lit(1)})
+    kept = corpus_pipeline.drop_toxic(spark, named, FOLDER)
+    assert kept.columns == named.columns and kept.where("score = 42.0 and predicted = 'mine' and _toxicity = 1").count() == kept.count() > 0
+
+
 def test_language_held_out(spark):
     folder = "/root/testdata/sf0.01"
     r = llm_queries.op8_language_id(spark, folder).join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").toPandas()
@@ -150,6 +218,30 @@ def test_language_of_nothing(spark, awkward):
     assert {x.lang_pred for x in langid.predict(awkward, one).collect()} == {"xx", "und"}
 
 
+def test_language_votes_are_their_definition(spark, docs):
+    """Predictions against plain sums over all runs of characters, pair by pair."""
+    models = langid.train(docs)
+    got = {r.doc_id: r for r in langid.predict(docs.limit(40), models).collect()}
+    assert models.languages and len(models.one) == len(models.weights)
+    for d in docs.limit(40).collect():
+        if d.text is None or not any(c.isalpha() for c in d.text):
+            assert got[d.doc_id].lang_pred == "und"
+            continue
+        counts = collections.Counter()
+        for w in d.text.split():
+            marked = f" {langid.plain(w)} "
+            runs = [marked[i : i + k] for k in (1, 2, 3) for i in range(len(marked) - k + 1)] + [f"={langid.plain(w)}"]
+            counts.update(langid.xxhash.xxh3_64_intdigest(run) & (langid.DIMENSION - 1) for run in runs)
+        sums = {(a, b): 16 * sum(float(w[f]) * n for f, n in counts.items()) / sum(counts.values()) for a, b, w in zip(models.one, models.other, models.weights, strict=True)}
+
+        def winner(among):
+            votes = {x: (sum((m > 0) == (x == a) for (a, b), m in sums.items() if x in (a, b) and {a, b} <= set(among)), sum(m if x == a else -m for (a, b), m in sums.items() if x in (a, b) and {a, b} <= set(among))) for x in among}
+            return max(sorted(among), key=lambda x: votes[x])
+
+        family = winner([f"family:{f}" for f in sorted({langid.family_of(x) for x in models.languages})])
+        assert got[d.doc_id].lang_pred == winner([x for x in models.languages if f"family:{langid.family_of(x)}" == family])
+
+
 # --- 4
 
 
@@ -173,8 +265,16 @@ def test_tokens_of_odd_texts():
 
     tokenizer, encoder = Tokenizer.from_file(packing.tokenizer_path()), packing._encoder(packing.tokenizer_path())
     for text in ["it's DON'T (we'll) x_y 12ab3² ,é́a", "a<|startoftext|>b <|endoftext|>", "ß İstanbul Ⅷ ªº µm ``q''", "a\x1cb\x85c d　e"]:
-        chunks = filter(None, packing._SPACE.split(text)) if packing._NOT_SPACE.search(text) else text.split()
-        assert np.frombuffer(b"".join(map(encoder.__getitem__, chunks)), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_memos_are_bounded_and_keep_what_is_asked_for():
+    asked = []
+    memo = packing._Memo(lambda key: asked.append(key) or key.encode(), 10)
+    for i in range(1000):
+        assert memo["often"] == b"often" and memo[f"once {i}"] == f"once {i}".encode()
+        assert len(memo) + len(memo.old) <= 20
+    assert asked.count("often") == 1
 
 
 @pytest.mark.parametrize("counts", [{2048: 3}, {1: 5000}, {1000: 7, 1048: 3, 524: 9, 24: 2}, {700: 10, 648: 5, 1400: 3}, {1500: 4, 1400: 4}, {1024: 3}, {512: 9}])
@@ -222,6 +322,78 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert pii.redact(df).where("doc_id = 100").first().text == "please write to [EMAIL] today"
 
 
+def test_contexts_are_whole_words():
+    long = "p" * 300
+    assert pii._contexts(f"one {long} two 1.2.3.4 end", 307 + 2, 316)[0] != "" and pii._words_before(f"one {long} 9", 305) == ["one", long]
+    assert pii._contexts(f"a {long} 9", 303, 304)[0] == pii._named(f"a {long} _") != pii._contexts(f"a {long}q 9", 304, 305)[0]
+    host = "h" * 5000
+    text = f"x {'n' * 500}@{host} q"
+    assert list(pii._loose_emails(text)) == [(2, 2 + 500 + 1 + 5000)]
+    pii._candidates("a(at)b" * 200_000 + "@" * 1000 + "n" * 1_000_000 + "@", [])
+
+
+def discovered_by_hand(texts, rounds=3, support=5, confidence=0.9):
+    """The same rounds over plain dicts."""
+    seeds, values = collections.defaultdict(set), collections.defaultdict(set)
+    for text in texts:
+        base = pii.base_spans(text or "")
+        for found, spans in ((seeds, base), (values, pii._candidates(text or "", base))):
+            for a, k, b in spans:
+                for c in pii._contexts(text, a, b):
+                    found[c].add((k, text[a:b].lower()))
+    known = set().union(*seeds.values()) if seeds else set()
+    out = set()
+    for kind in range(4):
+        able = {c for c, found in seeds.items() if sum(k == kind for k, _ in found) >= support}
+        beside = {c: seeds[c] | values[c] for c in able}
+        score = {v: 1.0 for found in beside.values() for v in found if v in known and v[0] == kind}
+        for _ in range(rounds):
+            trust = {c: sum(score.get(v, 0.0) for v in found) / len(found) for c, found in beside.items()}
+            fresh = collections.defaultdict(float)
+            for c, found in beside.items():
+                for v in found:
+                    # A value that is a seed beside this context counts as one there.
+                    fresh[v] = max(fresh[v], float(v[0] == kind) if v in seeds[c] else trust[c])
+            score = dict(fresh)
+        out |= {v for c, found in beside.items() for v in found if v not in seeds[c] and v[0] == kind and score[v] >= confidence}
+    return out
+
+
+def planted(n=300):
+    """Texts with seeds of all kinds beside contexts that tell, identifiers of other forms beside them, and decoys."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    lead = ["write to {} today", "host {} answered", "card no {} expires", "call me at {} please"]
+    seed = [lambda: f"{word()}@{word()}.org", lambda: ".".join(map(str, rng.integers(1, 255, 4))), lambda: "4111 1111 1111 1111", lambda: f"+1 ({rng.integers(100, 999)}) 555-{rng.integers(1000, 9999)}"]
+    unseen = [lambda: f"{word()} (at) {word()}", lambda: f"{rng.integers(300, 999)}.1.{rng.integers(1, 255)}.7", lambda: f"{rng.integers(10**15, 10**16 - 1)}", lambda: f"0{rng.integers(100, 999)} {rng.integers(100, 999)} {rng.integers(100, 999)}"]
+    texts, truth = [], set()
+    for i in range(n):
+        k = i % 4
+        texts.append(f"{word()} {word()} {lead[k].format(seed[k]())} {word()}")
+        if i % 5 == 0:
+            value = unseen[k]()
+            texts.append(f"{word()} {lead[k].format(value)} {word()}")
+            truth.add((k, value))
+        texts.append(f"{word()} {unseen[k]()} {word()}")
+    return texts, truth
+
+
+def test_contexts_are_the_graph_by_hand(spark):
+    texts, truth = planted()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for options in ({}, {"rounds": 1, "support": 3, "confidence": 0.5}, {"confidence": 0.99}):
+        got = {(r.kind, r.value) for r in pii.discover(pii._scanned(docs), **options).collect()}
+        assert got == discovered_by_hand(texts, **options)
+    added = set()
+    for r in pii.find(docs).withColumn("spans", pii.as_text(F.col("found"))).collect():
+        text = texts[r.doc_id]
+        own = {(a, b) for a, _, b in pii.base_spans(text)}
+        spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans.split(",") if s)]
+        assert own <= {(a, b) for _, a, b in spans}
+        added |= {(pii.KINDS.index(k), text[a:b]) for k, a, b in spans if (a, b) not in own}
+    assert len(added & truth) >= 0.9 * len(added) and len(added & truth) >= 0.5 * len(truth)
+
+
 # --- 6
 
 
@@ -267,7 +439,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 %s<aside class="sidebar"><p>A sidebar with a long text that is not of the article, but is long enough to look like one.</p></aside>
 <form>Subscribe <input name=q></form><section id="comments"><p>A reader's long comment about all this, which isn't of the article, although it is long.</p></section><footer>&copy; 2024</footer></body></html>"""
 BODY = "<h1>Head &amp; line</h1><p>First <b>bold</b>\n  paragraph of the article, long enough to be seen as text by any measure of length at all.<p>Second&nbsp;one<br>goes on, and has enough characters to count as well.</p><div class='ad'>Buy!</div><p>End.</p>"
-TEXT = "Head & line\nFirst bold paragraph of the article, long enough to be seen as text by any measure of length at all.\nSecond one goes on, and has enough characters to count as well.\nEnd."
+TEXT = "Head & line\n\nFirst bold paragraph of the article, long enough to be seen as text by any measure of length at all.\n\nSecond one goes on, and has enough characters to count as well.\n\nEnd."
 
 
 @pytest.mark.parametrize("wrap", ["<article>%s</article>", "<main>%s</main>", "<div class='content'>%s</div>"])
@@ -295,7 +467,7 @@ def test_main_text_of_a_page(wrap):
 def test_main_text_of_marked_containers(wrap):
     junk = "<p>An unmarked line of the page beside the article, which is long enough to be seen as a surge of text.</p>"
     if "article" in wrap or "main" in wrap:
-        expected = f"Home\n{TEXT}" if "Home" in wrap else TEXT
+        expected = f"Home\n\n{TEXT}" if "Home" in wrap else TEXT
         assert html_text.main_text(PAGE % (junk + wrap % BODY)) == expected
         assert html_text.main_text(PAGE % (wrap % BODY + junk)) == expected
     elif "banner" in wrap:  # nothing names an article: marks count
@@ -310,10 +482,47 @@ def test_main_text_leaves_out_articles_that_are_comments():
     assert html_text.main_text(PAGE % (f"<div>{BODY}</div><aside><article><p>A teaser.</p></article></aside>")) == TEXT
 
 
+def test_main_text_leaves_out_marked_parts_of_a_line():
+    for junk in ("<button>Subscribe now</button>", "<span class='ad'>Buy!</span>", "<i hidden>x</i>", "<a class='share-button' href=x>Share</a>"):
+        assert html_text.main_text(PAGE % f"<article>{BODY.replace('<p>End.', f'<p>{junk}End.{junk}')}</article>") == TEXT
+        assert html_text.main_text(PAGE % f"<div>{BODY.replace('<p>End.', f'<p>{junk}End.{junk}')}</div>") == TEXT
+
+
+@pytest.mark.parametrize("kept", ["<div class='ad-hoc-analysis'>%s</div>", "<section class='section-legal-history'>%s</section>", "<p>%s <math><mi>x</mi></math></p>", "<object>%s</object>", "<noscript>%s</noscript>"])
+def test_main_text_keeps_what_only_sounds_marked(kept):
+    line = "A line of the article that stands in an element whose name or class sounds like another thing."
+    want = f"{line} x" if "math" in kept else line
+    assert html_text.main_text(PAGE % f"<article>{BODY}{kept % line}</article>") == f"{TEXT}\n\n{want}"
+
+
+def test_main_text_of_several_articles():
+    teaser = "<article><h2>Another</h2><p>Its teaser.</p></article>"
+    comment = "<article><p>A reader's comment on the article, which is long enough to be seen as text by any measure.</p></article>"
+    assert html_text.main_text(PAGE % f"<main><article>{BODY}{comment}<div id='comments'>{comment}</div></article></main>{teaser}{teaser}") == TEXT
+    assert html_text.main_text(PAGE % f"<article>{BODY}</article><article>{BODY}</article>") == f"{TEXT}\n\n{TEXT}"
+
+
+def test_main_text_is_where_the_distribution_surges(monkeypatch):
+    """Short lines without marks before and after the article; without the distribution they would stay."""
+    short = "".join(f"<p>{x}</p>" for x in ("Home", "News", "Sport", "Mail"))
+    links = "<ul>" + "<li><a href=x>A long line of link text that leads elsewhere and isn't the article's</a>" * 4 + "</ul>"
+    page = PAGE % f"{short}{links}<div>{BODY}</div>{links}{short}"
+    assert html_text.main_text(page) == TEXT
+    monkeypatch.setattr(html_text, "_between", lambda lines, sizes, surge: [x.text for x in lines if x.text])
+    assert html_text.main_text(page) != TEXT
+
+
+def test_main_text_of_empty_and_repeated_rows(spark):
+    schema = "page_id long, url string, html string"
+    assert html_text.extract(spark.createDataFrame([], schema)).count() == 0
+    rows = html_text.extract(spark.createDataFrame([(None, None, PAGE % BODY), (None, None, PAGE % BODY), (1, None, None)], schema)).collect()
+    assert sorted((r.page_id or 0, r.text) for r in rows) == [(0, TEXT), (0, TEXT), (1, "")]
+
+
 def test_main_text_of_odd_pages(spark):
     pages = ["", None, "plain words", "<p>a < b & c</p>", "<article><p>one<p>two", "<!-- x", "<script>x", "<" * 1000, "<a " * 2000, "<article>" + "<div>" * 3000 + "x", "<p title='>" + "y" * 5000]
     r = html_text.extract(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").withColumns({"url": F.lit("u"), "text": F.lit("clash")})).orderBy("page_id").collect()
-    assert [x.text for x in r[:5]] == ["", "", "plain words", "a < b & c", "one\ntwo"]
+    assert [x.text for x in r[:5]] == ["", "", "plain words", "a < b & c", "one\n\ntwo"]
     assert all(x.n_chars == len(x.text) for x in r)
 
 
@@ -321,7 +530,7 @@ def test_main_text_of_the_table(spark):
     for p in spark.read.parquet(f"{FOLDER}/pages.parquet").collect():
         inner = p.html.split("<article>")[1].split("</article>")[0]
         plain = [re.sub(r"\s+", " ", x).strip() for x in __import__("html").unescape(re.sub(r"</?(?:p|h1)>", "\x00", re.sub(r"</?b>|<br>", "", inner))).split("\x00")]
-        assert html_text.main_text(p.html) == "\n".join(x for x in plain if x)
+        assert html_text.main_text(p.html) == "\n\n".join(x for x in plain if x)
 
 
 # --- 9
@@ -335,7 +544,9 @@ def test_audio_round_trip(spark, awkward):
         for (_, _, text), x in zip(by_doc, sorted(r, key=lambda x: (x.doc_id is None, x.doc_id or 0, audio.samples_of(x.media)[1].rstrip(b"\xff"))), strict=True):
             data = audio.pad(text.encode())
             assert audio.samples_of(x.media)[1] == data and x.payload_bytes == len(data) and x.n_bytes == len(text.encode())
-            assert x.payload_sha256 == hashlib.sha256(data).hexdigest() and x.tail_crc32 == zlib.crc32(data[-32:]) and len(x.tensors) == len(x.spans) > 0
+            assert x.payload_sha256 == hashlib.sha256(data).hexdigest() and x.tail_crc32 == zlib.crc32(data[-32:])
+            spans, energies = audio.read_segments(x.segments)
+            assert len(spans) == len(energies) > 0 and energies.shape[1:] == (8, 24)
     with pytest.raises(ValueError):
         audio.samples_of(b"RIFF" + struct.pack("<I", 4) + b"WAVE")
 
@@ -347,8 +558,50 @@ def test_resampling_and_segments():
     lag = min(range(-3, 4), key=lambda k: np.abs(np.roll(y, k) - want)[100:-100].max())
     assert np.abs(np.roll(y, lag) - want)[100:-100].max() < 0.2 and np.abs(audio.resample(np.sin(2 * np.pi * 9000 * t)))[100:-100].max() < 0.05
     assert audio.segments(np.array([0.0, 0, 1, 0.2, 0.05, 0, 0, 1, 1])) == [(2, 4), (7, 9)] and audio.segments(np.zeros(4)) == [(0, 4)]
-    table = pa.chunked_array([pa.array([np.zeros(192, np.float32).tolist()] * 2, pa.list_(pa.float32()))])
-    assert audio.as_tensors(table).type == pa.fixed_shape_tensor(pa.float32(), [8, 24])
+
+
+def features_by_hand(data):
+    """The features by their definitions: convolution at the common rate, a Fourier sum, and loops."""
+    x = np.frombuffer(data, np.uint8) / 128 - 1
+    up, down, taps = audio.UP, audio.DOWN, audio.TAPS
+    n = np.arange(taps * up) - (taps * up - 1) / 2
+    low_pass = 0.9 / down * np.sinc(0.9 / down * n) * np.kaiser(taps * up, 8.0) * up
+    wide = np.zeros(len(x) * up)
+    wide[::up] = x
+    sound = np.convolve(wide, low_pass)[taps // 2 * up :: down][: -(-len(x) * up // down)]
+    frames = [sound[i : i + audio.FRAME] for i in range(0, len(sound) - audio.FRAME + 1, audio.HOP)] or [np.append(sound, np.zeros(audio.FRAME - len(sound)))]
+    rate = audio.RATE * up / down
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(mel(60), mel(rate / 2), audio.BANDS + 2)]
+    energies = []
+    for frame in frames:
+        power = [abs(sum(frame * np.hanning(audio.FRAME) * np.exp(-2j * np.pi * k * np.arange(audio.FRAME) / audio.FRAME))) ** 2 for k in range(audio.FRAME // 2 + 1)]
+        weigh = lambda f, a, b, c: max(0, min((f - a) / (b - a), (c - f) / (c - b)))
+        energies.append([np.log(sum(weigh(k * rate / audio.FRAME, *edges[b : b + 3]) * p for k, p in enumerate(power)) + 1e-8) for b in range(audio.BANDS)])
+    energies = np.array(energies)
+    level, on, spans = energies.mean(axis=1), None, []
+    for i, e in enumerate(level - np.median(level)):
+        if on is None and e > 0.3:
+            on = i
+        elif on is not None and e < 0.1:
+            spans.append((on, i))
+            on = None
+    spans = spans + [(on, len(level))] * (on is not None) or [(0, len(level))]
+    steps = []
+    for a, b in spans:
+        cut = [a + i * (b - a) / audio.STEPS for i in range(audio.STEPS + 1)]
+        lows = [min(int(c), b - 1) for c in cut[:-1]]
+        steps.append([energies[lo : max(int(np.ceil(c)), lo + 1)].mean(axis=0) for lo, c in zip(lows, cut[1:], strict=True)])
+    return np.array(spans) * audio.HOP / rate, np.array(steps)
+
+
+def test_audio_features_are_their_definitions(docs):
+    for text in ["", "a b", *(d.text for d in docs.where("length(text) between 1500 and 9000").orderBy("doc_id").limit(4).collect())]:
+        data = audio.pad(text.encode())
+        spans, energies = audio.read_segments(audio.stored_segments(*audio.features(audio.wav(data))))
+        want_spans, want = features_by_hand(data)
+        assert np.allclose(spans, want_spans) and np.abs(energies - want).max() < 2e-3
+    assert audio.SEGMENTS.field("energies").type == pa.fixed_shape_tensor(pa.float32(), [8, 24])
 
 
 # --- 10
