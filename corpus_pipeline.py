@@ -14,9 +14,9 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on ``labels``, doesn't predict to be toxic."""
-    weights = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, weights).where("predicted = 0").select(docs.columns)
+    """Documents that the classifier, trained on ``labels``, doesn't predict to be toxic, unchanged; null and empty texts
+    and repeated rows too."""
+    return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,16 +25,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with placeholders for personal data."""
+    """All documents, with placeholders for personal data; null texts stay null, repeated rows stay."""
     return pii.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, each as often as it takes them."""
+    """Documents that the mix takes, each as often as it takes them; those without words as their hash says."""
     return mixing.repeat(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence; a null text is empty, and repeated rows are packed as
+    often as they come. Other columns are left out."""
     return packing.pack(packing.token_pieces(docs))
 
 
