@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batches_of
+from .common import batches_of, forget
 
 UNIT, RATE = 576, 20_000
 #: Resampling by UP / DOWN to 8 kHz; frames of FRAME samples, one each HOP; BANDS mel bands; segments of STEPS x BANDS.
@@ -141,6 +141,7 @@ _SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches_of(batches, 256):
         rows: list[tuple] = []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):

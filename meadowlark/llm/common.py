@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +117,24 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+_memos: dict[object, object] = {}
+
+
+def worker_memo(name: object, make: Callable[[], object]) -> object:
+    """A memo that the tasks of one operator share in a worker process. Workers go from operator to operator, so those of
+    others are dropped."""
+    if name not in _memos:
+        forget()
+        _memos[name] = make()
+    return _memos[name]
+
+
+def forget() -> None:
+    """Drops the memos that earlier operators left in this worker process."""
+    _memos.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def batches_of(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that long texts don't pile up as Python objects.
 

@@ -10,7 +10,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batches_of
+from .common import batches_of, forget
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style template iframe textarea title svg select option".split())
@@ -242,6 +242,7 @@ def main_text(page: str | None) -> str:
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches_of(batches):
         texts = [main_text(page) for page in batch.column("html").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])

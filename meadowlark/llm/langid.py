@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, is_held_out
+from .common import batches_of, forget, is_held_out, worker_memo
 
 #: Families of languages. A language that isn't listed is a family of its own.
 FAMILIES = {
@@ -125,16 +125,9 @@ class _Known(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-_memos: dict[int, _Known] = {}
-
-
 def _known(weights: np.ndarray, bound: int) -> _Known:
     """One memo a worker process and model, so that its tasks share it."""
-    key = xxhash.xxh3_64_intdigest(weights.tobytes())
-    if key not in _memos:
-        _memos.clear()
-        _memos[key] = _Known(weights, bound)
-    return _memos[key]
+    return worker_memo(("weights", xxhash.xxh3_64_intdigest(weights.tobytes())), lambda: _Known(weights, bound))
 
 
 def _vector(text: str, known: _Features) -> tuple[np.ndarray, np.ndarray]:
@@ -202,6 +195,7 @@ def train(docs: DataFrame, bound: int = 8_000, most: int = 64) -> Models:
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen.drop("order")), "doc_id").join(F.broadcast(models), "lang").select("one", "other", "sign", "doc_id", "text")
 
     def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        forget()
         part = part.sort_values(["doc_id", "text"])
         features = _Features()
         weights = fit_svm([_vector(text, features) for text in part.text], part.sign.to_numpy(float))

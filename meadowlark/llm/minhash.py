@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, WordHasher, batches_of, mix, rolling, shingle_units, signed, stored
+from .common import GOLDEN, WordHasher, batches_of, forget, mix, rolling, shingle_units, signed, stored
 from .graph import connected_components
 
 _U = np.uint64
@@ -63,6 +63,7 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 def _signatures(size: int, k: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         hasher = WordHasher()
         for batch in batches_of(batches):
             ids, sizes, keys = [], [], []
@@ -81,6 +82,7 @@ def _signatures(size: int, k: int, rows: int):
 
 def _verified(size: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         hasher, held, memo = WordHasher(), 0, {}
 
         def units(text: str) -> np.ndarray:
@@ -105,6 +107,7 @@ def _bitmaps(size: int, longs: int = 32):
     """The number of units of a text, and a bitmap with the bit of each unit's hash set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         hasher = WordHasher()
         for batch in batches_of(batches):
             sizes, maps = [], np.zeros((batch.num_rows, longs), np.uint64)

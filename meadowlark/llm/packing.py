@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, stored
+from .common import batches_of, forget, stored, worker_memo
 
 CAPACITY, END = 2048, 0
 
@@ -79,10 +78,9 @@ class _Encoder:
         return b"".join(map(self.chunks.__getitem__, chunks))
 
 
-@functools.cache
 def _encoder(path: str) -> _Encoder:
     """One a worker process, so that its tasks share the memo."""
-    return _Encoder(path)
+    return worker_memo(("encoder", path), lambda: _Encoder(path))
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -221,6 +219,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("first")).select(*names, "rank")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         table = slots.value
         keys = table[:, 0] << 44 | table[:, 1]
         for batch in batches_of(batches, 1 << 14):

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, stored
+from .common import batches_of, forget, stored
 
 #: In the order in which equal starts are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -134,6 +134,7 @@ _SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches_of(batches):
         columns: list[list] = [[], [], []]
         for text in batch.column("text").to_pylist():
@@ -221,6 +222,7 @@ def redact(docs: DataFrame, rounds: int = 3, support: int = 5, confidence: float
     joined = docs.join(added, F.col("doc_id").eqNullSafe(F.col("_span_doc")) & (F.xxhash64("text") == F.col("_span_text")), "left").select(*names, "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches_of(batches):
             texts = []
             for text, more in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from itertools import compress
 
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, WordHasher, mix, rolling, signed, stored
+from .common import GOLDEN, WordHasher, mix, rolling, signed, stored, worker_memo
 
 #: Words of a window, of the prefixes at which suffixes start, and how many words a suffix may start inside a window.
 WINDOW, SEED = 35, 8
@@ -21,10 +20,9 @@ AFTER, BEFORE, BYTES = WINDOW, OFFSETS - 1, 6
 _U = np.uint64
 
 
-@functools.cache
 def _hasher() -> WordHasher:
     """One a worker process, so that its groups share the memo."""
-    return WordHasher(1 << 18)
+    return worker_memo("words", WordHasher)
 
 
 def _split(docs: pa.Table) -> tuple[np.ndarray, list[list[bytes]]]:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import GOLDEN, WordHasher, batches_of, is_held_out, mix, stored
+from .common import GOLDEN, WordHasher, batches_of, forget, is_held_out, mix, stored
 
 #: Hashed features. L1 leaves a few thousand weights; at most 16 MB could be broadcast.
 DIMENSION = 1 << 20
@@ -74,22 +74,26 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 16_000, per_task: int
     shards = max(1, -(-known.count() // per_task))
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known), "doc_id").select("order", F.pmod("order", F.lit(shards)).alias("shard"), "text", "toxic")
 
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["order", "text"])
-        hasher, model = _PlainWords(1 << 17), Ftrl()
-        found = [features(text, hasher) for text in part.text]
-        seen = np.zeros(DIMENSION, np.int32)
-        for at in found:
+    def fit(part: pa.Table) -> pa.Table:
+        forget()
+        hasher, model, seen = _PlainWords(1 << 17), Ftrl(), np.zeros(DIMENSION, np.int32)
+        found, labels = [], []
+        for i in pc.sort_indices(part, [("order", "ascending"), ("text", "ascending")]).to_pylist():
+            at = features(part.column("text")[i].as_py(), hasher)
             seen[at] += 1
-        examples = [(np.append(at[seen[at] >= least], DIMENSION), int(label > 0)) for at, label in zip(found, part.toxic, strict=True)]
+            found.append(at.astype(np.int32))
+            labels.append(int(part.column("toxic")[i].as_py() > 0))
+        hasher.clear()
+        for i, at in enumerate(found):
+            found[i] = np.append(at[seen[at] >= least], np.int32(DIMENSION))
         for _ in range(epochs):
-            for at, label in examples:
+            for at, label in zip(found, labels, strict=True):
                 model.learn(at, label)
         at = np.flatnonzero(model.z)  # a coordinate that was never touched has no weight
         w = model.weights(at)
-        return pd.DataFrame({"at": at[w != 0], "weight": w[w != 0]})
+        return pa.table([pa.array(at[w != 0], pa.int64()), pa.array(w[w != 0], pa.float64())], ["at", "weight"])
 
-    learned = rows.groupBy("shard").applyInPandas(fit, "at long, weight double").groupBy("at").agg(F.sum("weight").alias("weight"))
+    learned = rows.groupBy("shard").applyInArrow(fit, "at long, weight double").groupBy("at").agg(F.sum("weight").alias("weight"))
     weights = np.zeros(DIMENSION + 1)
     for at, weight in learned.collect():  # DIMENSION + 1 rows at most, a few thousand as a rule
         weights[at] = weight / shards
@@ -124,6 +128,7 @@ def _scored(docs: DataFrame, weights: np.ndarray, name: str, names: list[str]) -
     sent = docs.sparkSession.sparkContext.broadcast((at, weights[at]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         hasher, w = _PlainWords(1 << 17), np.zeros(DIMENSION + 1)
         w[sent.value[0]] = sent.value[1]
         for batch in batches_of(batches, 1024):
