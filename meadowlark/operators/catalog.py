@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,18 +58,25 @@ def lexical_search(df: DataFrame, key: str, text: str, query: str, limit: int) -
     return found.orderBy(F.desc("share"), key).limit(limit)
 
 
-def search(datasets: DataFrame, region: Box, start: Column, end: Column, scopes: Sequence[str], families: Sequence[str] = (), variables: Sequence[str] = (), all_tags: Sequence[str] = (), text: str = "") -> DataFrame:
+def search(datasets: DataFrame, region: Box, start: Column, end: Column, scopes: Sequence[str], families: Sequence[str] = (), variables: Sequence[str] = (), all_tags: Sequence[str] = (), text: str = "", any_tags: Sequence[str] = (), species: Sequence[str] = (), suggested: str = "") -> DataFrame:
     """Latest versions that match every condition, with shares and score; unknown coverage is kept, a share of 0 isn't.
 
-    All words of ``text`` must be in the description.
+    All words of ``text`` must be in the description. Of ``any_tags`` one must be there, and of ``species`` one in the
+    column of that name. ``suggested`` names a column of tags that weren't given by people or rules: these don't count.
     """
     out = latest_datasets(datasets).where(F.col("status") == "ready").where(F.col("access_scope").isin(*scopes))
+    tags = F.array_except("tags", F.coalesce(F.col(suggested), F.array().cast("array<string>"))) if suggested else F.col("tags")
+    listed = lambda names: F.array(*map(F.lit, names))
     if families:
         out = out.where(F.col("family").isin(*families))
     if variables:
-        out = out.where(F.arrays_overlap("variables", F.array(*map(F.lit, variables))))
+        out = out.where(F.arrays_overlap("variables", listed(variables)))
+    if species:
+        out = out.where(F.arrays_overlap("species", listed(species)))
     if all_tags:
-        out = out.where(F.size(F.array_except(F.array(*map(F.lit, all_tags)), "tags")) == 0)
+        out = out.where(F.size(F.array_except(listed(all_tags), tags)) == 0)
+    if any_tags:
+        out = out.where(F.arrays_overlap(tags, listed(any_tags)))
     if text:
         out = out.where(word_share(F.col("description"), F.lit(text)) == 1)
     shares = out.withColumn("spatial_share", spatial_share(region)).withColumn("temporal_share", temporal_share(start, end))
@@ -81,18 +88,31 @@ def ranked(matches: DataFrame) -> DataFrame:
     return matches.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), F.desc(F.size("tags")), "dataset_id")))
 
 
-def eligibility(datasets: DataFrame, required: Sequence[str], region: Box, start: Column, end: Column, species: Sequence[str] = ()) -> DataFrame:
-    """(dataset_id, status, reasons): ineligible for a hard reason, unresolved for an unknown, else eligible."""
+def eligibility(datasets: DataFrame, required: Sequence[str], region: Box, start: Column, end: Column, species: Sequence[str] = (), units: Mapping[str, str] | None = None, lookback_days: int = 0, statuses: Sequence[str] = ()) -> DataFrame:
+    """(dataset_id, status, reasons): ineligible for a hard reason, unresolved for an unknown, else eligible.
+
+    A reason is a code, or code:column. ``units`` are expected of columns, in a map of that name (a column without one
+    is unknown). With a lookback, coverage must begin so many days before the start, as windows and as-of steps reach
+    back. Of ``statuses`` the dataset must have one.
+    """
+    listed = lambda names: F.array(*map(F.lit, names))
     overlap = bbox_overlap(_box(), tuple(map(F.lit, region)))
-    hard = [F.when(~F.array_contains("columns", c), F.lit(f"required column missing: {c}")) for c in required]
-    hard += [F.when((F.col("end") < start) | (F.col("start") > end), F.lit("temporal coverage does not overlap")), F.when(F.col("west").isNotNull() & ~overlap, F.lit("geographic coverage does not overlap"))]
-    unknown = [F.when(F.col("start").isNull() | F.col("end").isNull(), F.lit("temporal coverage unknown")), F.when(F.col("west").isNull(), F.lit("geographic coverage unknown"))]
+    hard = [F.when(~F.array_contains("columns", c), F.lit(f"missing:{c}")) for c in required]
+    hard += [F.when((F.col("end") < start) | (F.col("start") > end), F.lit("time_disjoint")), F.when(F.col("west").isNotNull() & ~overlap, F.lit("space_disjoint"))]
+    unknown = [F.when(F.col("start").isNull() | F.col("end").isNull(), F.lit("time_unknown")), F.when(F.col("west").isNull(), F.lit("space_unknown"))]
     if species:
-        hard.append(F.when(~F.arrays_overlap("species", F.array(*map(F.lit, species))), F.lit("species coverage does not overlap")))
-        unknown.append(F.when(F.col("species").isNull(), F.lit("species coverage unknown")))
-    found = datasets.withColumns({"hard": F.array_compact(F.array(*hard)), "unknown": F.array_compact(F.array(*unknown))})
-    status = F.when(F.size("hard") > 0, "ineligible").when(F.size("unknown") > 0, "unresolved").otherwise("eligible")
-    return found.select("dataset_id", status.alias("status"), F.concat("hard", "unknown").alias("reasons"))
+        hard.append(F.when(~F.arrays_overlap("species", listed(species)), F.lit("species_disjoint")))
+        unknown.append(F.when(F.col("species").isNull(), F.lit("species_unknown")))
+    for column, unit in (units or {}).items():
+        hard.append(F.when(F.col("units")[column] != unit, F.lit(f"unit:{column}")))
+        unknown.append(F.when(F.array_contains("columns", column) & F.col("units")[column].isNull(), F.lit(f"unit_unknown:{column}")))
+    if lookback_days:
+        hard.append(F.when((F.col("end") >= start) & (F.col("start") <= end) & (F.col("start") > F.date_sub(start, lookback_days)), F.lit("lookback_short")))
+    if statuses:
+        hard.append(F.when(~F.coalesce(F.col("status").isin(*statuses), F.lit(False)), F.lit("status")))
+    found = datasets.withColumns({"_hard": F.array_compact(F.array(*hard)), "_unknown": F.array_compact(F.array(*unknown))})
+    status = F.when(F.size("_hard") > 0, "ineligible").when(F.size("_unknown") > 0, "unresolved").otherwise("eligible")
+    return found.select("dataset_id", status.alias("status"), F.concat("_hard", "_unknown").alias("reasons"))
 
 
 def union_candidates(*hits: tuple[str, DataFrame]) -> DataFrame:
@@ -104,13 +124,19 @@ def union_candidates(*hits: tuple[str, DataFrame]) -> DataFrame:
     return both.groupBy("dataset_id", "version").agg(F.array_sort(F.collect_set("method")).alias("methods"))
 
 
-def dataset_tags(datasets: DataFrame, regions: DataFrame) -> DataFrame:
-    """(dataset_id, tag): one for each variable, each year of coverage, and each region of which enough is covered."""
+def dataset_tags(datasets: DataFrame, regions: DataFrame, source: str = "") -> DataFrame:
+    """(dataset_id, tag): one for each variable, each year of coverage, each region of which enough is covered, and the
+    ``source``, if that names a column. Boxes meet regions by cells of ten degrees."""
     variables = datasets.select("dataset_id", F.explode(F.transform("variables", lambda v: F.concat(F.lit("variable:"), v))).alias("tag"))
     years = datasets.select("dataset_id", F.explode(F.transform(F.sequence(F.year("start"), F.year("end")), lambda y: F.concat(F.lit("year:"), y.cast("string")))).alias("tag"))
-    pairs = datasets.crossJoin(F.broadcast(regions.select("region", *(F.col(c).alias(f"r_{c}") for c in ("west", "south", "east", "north")))))
+    cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / 10), F.floor(F.col(high) / 10)))
+    boxes = datasets.select("dataset_id", "west", "south", "east", "north").where("west is not null").withColumn("cx", cells("west", "east")).withColumn("cy", cells("south", "north"))
+    named = regions.select("region", *(F.col(c).alias(f"r_{c}") for c in ("west", "south", "east", "north"))).withColumn("cx", cells("r_west", "r_east")).withColumn("cy", cells("r_south", "r_north"))
     share = bbox_share(_box(), _box(("r_west", "r_south", "r_east", "r_north")))
-    return variables.union(years).union(pairs.where(share >= REGION_SHARE).select("dataset_id", F.concat(F.lit("region:"), "region"))).distinct()
+    out = variables.union(years).union(boxes.join(named, ["cx", "cy"]).where(share >= REGION_SHARE).select("dataset_id", F.concat(F.lit("region:"), "region")))
+    if source:
+        out = out.union(datasets.where(F.col(source).isNotNull()).select("dataset_id", F.concat(F.lit("source:"), F.col(source))))
+    return out.distinct()
 
 
 def merge_tags(given: Column, suggested: Column, vocabulary: Sequence[str]) -> Column:
@@ -159,5 +185,29 @@ def new_quarters(previous_start: Column, previous_end: Column, start: Column, en
     return F.array_except(quarters(start, end), quarters(previous_start, previous_end))
 
 
+def needs_relabel(previous: DataFrame, current: DataFrame, growth: DataFrame) -> DataFrame:
+    """(dataset_id, relabel): whether a new version covers a new quarter, or its footprint ``grows`` (see footprint_growth)."""
+    before = previous.select("dataset_id", F.col("start").alias("_start"), F.col("end").alias("_end"))
+    both = current.select("dataset_id", "start", "end").join(before, "dataset_id").join(growth.select("dataset_id", "grows"), "dataset_id", "left")
+    fresh = new_quarters(F.col("_start"), F.col("_end"), F.col("start"), F.col("end"))
+    return both.select("dataset_id", (F.coalesce(F.size(fresh) > 0, F.lit(False)) | F.coalesce("grows", F.lit(False))).alias("relabel"))
+
+
+def distinct_sources(df: DataFrame, json: str, path: str) -> DataFrame:
+    """The distinct values at a path of a JSON column, null among them, as ``source``."""
+    return df.select(F.get_json_object(json, path).alias("source")).distinct()
+
+
+def family_coverage(datasets: DataFrame, start: Column, end: Column, by: str = "family") -> DataFrame:
+    """(by, start, end): the time that a family's datasets cover together, clipped to a request."""
+    return datasets.groupBy(by).agg(F.greatest(F.min("start"), start).alias("start"), F.least(F.max("end"), end).alias("end"))
+
+
+def published(df: DataFrame, entries: DataFrame, key: str, entry_key: str, json: str = "", path: str = "") -> DataFrame:
+    """Rows of ``df`` that an entry names, by a column or at a path of a JSON column."""
+    named = F.get_json_object(json, path).cast(df.schema[key].dataType) if json else F.col(entry_key)
+    return df.join(entries.select(named.alias(key)).where(F.col(key).isNotNull()), key, "left_semi")
+
+
 def public_catalog(datasets: DataFrame) -> DataFrame:
     return datasets.where("access_scope = 'public' and status = 'ready'").orderBy("family", "dataset_id")

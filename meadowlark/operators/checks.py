@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,8 +23,22 @@ def check_unique(df: DataFrame, keys: Sequence[str], nonnull: bool = False, code
         raise CheckFailed(code, f"{', '.join(keys)} repeat")
 
 
+def null_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows with a null in any of the columns."""
+    return df.where(reduce(Column.__or__, (F.col(c).isNull() for c in columns)))
+
+
+def code_of(check: Callable[[], object]) -> str:
+    """The code with which a check fails, or ``ok``."""
+    try:
+        check()
+    except CheckFailed as e:
+        return e.code
+    return "ok"
+
+
 def check_nonnull(df: DataFrame, columns: Sequence[str]) -> None:
-    if not df.where(reduce(Column.__or__, (F.col(c).isNull() for c in columns))).isEmpty():
+    if not null_rows(df, columns).isEmpty():
         raise CheckFailed("NULL_VALUE", f"null in {', '.join(columns)}")
 
 
@@ -45,8 +59,13 @@ def check_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str) ->
         raise CheckFailed("OVERLAPPING_INTERVALS", f"for {', '.join(keys)}")
 
 
+def wrong_geometry(df: DataFrame, column: str, kinds: Sequence[str]) -> DataFrame:
+    """Rows whose kind of geometry is null or another."""
+    return df.where(F.col(column).isNull() | ~F.col(column).isin(*kinds))
+
+
 def check_geometry(df: DataFrame, column: str, kinds: Sequence[str]) -> None:
-    if not df.where(F.col(column).isNull() | ~F.col(column).isin(*kinds)).isEmpty():
+    if not wrong_geometry(df, column, kinds).isEmpty():
         raise CheckFailed("GEOMETRY_TYPE", f"only {', '.join(kinds)}")
 
 
@@ -64,10 +83,16 @@ def check_output(df: DataFrame, keys: Sequence[str], numbers: Sequence[str] = ()
         raise CheckFailed("OUTPUT_INVALID", str(found.asDict()))
 
 
+def off_grain(df: DataFrame, entity: str, time: str, grain: str = "day") -> DataFrame:
+    """(entity, at, count) of animals and UTC days, or animals and times (grain ``fix``), with several rows."""
+    at = F.to_date(time) if grain == "day" else F.col(time)
+    return duplicates(df.select(entity, at.alias("at")), [entity, "at"])
+
+
 def check_grain(df: DataFrame, entity: str, time: str, grain: str = "day") -> None:
     """One row an animal and UTC day, or an animal and time (grain ``fix``)."""
-    at = F.to_date(time) if grain == "day" else F.col(time)
-    check_unique(df.select(entity, at.alias("at")), [entity, "at"], code="WRONG_GRAIN")
+    if not off_grain(df, entity, time, grain).isEmpty():
+        raise CheckFailed("WRONG_GRAIN", f"several rows of a {entity} and {grain}")
     check_nonnull(df, [entity])
 
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.geo import point_in_polygon
 from .checks import check_intervals, check_nonnull, check_unique
-
-_LEFT = "_left_row"
+from .relational import CheckFailed
 
 
 def _seconds(column: Column) -> Column:
@@ -18,10 +18,20 @@ def _seconds(column: Column) -> Column:
     return F.unix_micros(column.cast("timestamp"))
 
 
-def join_checked(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], right_columns: Sequence[str], how: str = "left", cardinality: str = "many_to_one") -> DataFrame:
-    """Left or inner join on pairs of keys; duplicate right keys fail, and left ones too if one_to_one. Null keys never match."""
+def join_checked(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], right_columns: Sequence[str], how: str = "left", cardinality: str = "many_to_one", left_units: Mapping[str, str] | None = None, right_units: Mapping[str, str] | None = None) -> DataFrame:
+    """Left or inner join on pairs of keys; duplicate right keys fail, and left ones too if one_to_one. Null keys never match.
+
+    Keys of a pair must have one type, whole numbers of any width among them, and one unit where both sides name one.
+    """
     if how not in ("left", "inner") or cardinality not in ("one_to_one", "many_to_one"):
         raise ValueError("left or inner; one_to_one or many_to_one")
+    kind = lambda df, c: "whole" if isinstance(df.schema[c].dataType, IntegralType) else df.schema[c].dataType.simpleString()
+    for a, b in keys:
+        if kind(left, a) != kind(right, b):
+            raise CheckFailed("KEY_TYPE", f"{a} is {kind(left, a)}, {b} is {kind(right, b)}")
+        unit_a, unit_b = (left_units or {}).get(a), (right_units or {}).get(b)
+        if unit_a and unit_b and unit_a != unit_b:
+            raise CheckFailed("KEY_UNIT", f"{a} is in {unit_a}, {b} in {unit_b}")
     right_keys = [r for _, r in keys]
     known = right.dropna(subset=right_keys)
     check_unique(known, right_keys, code="JOIN_VALIDATION_FAILED")
@@ -32,25 +42,57 @@ def join_checked(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, st
     return left.join(side, condition, how).drop(*(f"_key_{i}" for i in range(len(keys))))
 
 
-def spatial_join(points: DataFrame, polygons: DataFrame, lon: str, lat: str, rings: str, tie_break: str, right_columns: Sequence[str], how: str = "left", cell_degrees: float = 1.0) -> DataFrame:
+class CellSpread:
+    """Coarse cells by which the boxes of a polygon layer meet those of other rows.
+
+    A cell is a quarter of a mean polygon's box, but no less than 1/256 of the layer's extent, so a polygon has some
+    dozen cells as a rule. Other rows are spread over cells inside the layer's extent only.
+    """
+
+    def __init__(self, polygons: DataFrame, rings: str):
+        corner = lambda f, axis: f(F.transform(F.flatten(rings), lambda p: p[axis]))
+        self.boxed = polygons.withColumns({"_w": corner(F.array_min, "x"), "_s": corner(F.array_min, "y"), "_e": corner(F.array_max, "x"), "_n": corner(F.array_max, "y")}).where("_w is not null")
+        size = self.boxed.agg(F.avg(F.greatest(F.col("_e") - F.col("_w"), F.col("_n") - F.col("_s"))).alias("mean"), F.min("_w").alias("w"), F.min("_s").alias("s"), F.max("_e").alias("e"), F.max("_n").alias("n")).first()
+        self.extent = tuple(size)[1:] if size["mean"] is not None else (0.0, 0.0, 0.0, 0.0)
+        self.cell = max((size["mean"] or 0.0) / 4, (self.extent[2] - self.extent[0]) / 256, (self.extent[3] - self.extent[1]) / 256) or 1.0
+
+    def spread(self, df: DataFrame, box: Sequence[Column]) -> DataFrame:
+        """Adds _cx and _cy: a row for each cell that the row's box (west, south, east, north) shares with the extent."""
+        at = lambda c: F.floor(c / self.cell)
+        w, s, e, n = self.extent
+        ends = [at(F.greatest(box[0], F.lit(w))), at(F.greatest(box[1], F.lit(s))), at(F.least(box[2], F.lit(e))), at(F.least(box[3], F.lit(n)))]
+        held = df.withColumns(dict(zip(("_c0", "_c1", "_c2", "_c3"), ends, strict=True))).where("_c0 <= _c2 and _c1 <= _c3")
+        return held.withColumn("_cx", F.explode(F.sequence("_c0", "_c2"))).withColumn("_cy", F.explode(F.sequence("_c1", "_c3"))).drop("_c2", "_c3")
+
+    def meet(self, df: DataFrame, box: Sequence[Column]) -> DataFrame:
+        """Rows of ``df`` with the polygons whose box shares a point with theirs; each pair once, by equal cells."""
+        sides = self.spread(df.withColumns(dict(zip(("_bw", "_bs", "_be", "_bn"), box, strict=True))), [F.col(c) for c in ("_bw", "_bs", "_be", "_bn")]).withColumnsRenamed({"_c0": "_d0", "_c1": "_d1"})
+        polygons = self.spread(self.boxed, [F.col(c) for c in ("_w", "_s", "_e", "_n")])
+        pairs = sides.join(polygons, ["_cx", "_cy"]).where((F.col("_cx") == F.greatest("_c0", "_d0")) & (F.col("_cy") == F.greatest("_c1", "_d1")))
+        near = (F.col("_bw") <= F.col("_e")) & (F.col("_w") <= F.col("_be")) & (F.col("_bs") <= F.col("_n")) & (F.col("_s") <= F.col("_bn"))
+        return pairs.where(near).drop("_cx", "_cy", "_c0", "_c1", "_d0", "_d1", "_bw", "_bs", "_be", "_bn", "_w", "_s", "_e", "_n")
+
+
+def polygon_hits(points: DataFrame, polygons: DataFrame, lon: str, lat: str, rings: str) -> DataFrame:
+    """Rows of ``points`` with each polygon that holds them, its boundary included. The sides' columns must differ."""
+    x, y = F.col(lon), F.col(lat)
+    return CellSpread(polygons, rings).meet(points.where(x.isNotNull() & y.isNotNull()), (x, y, x, y)).where(point_in_polygon(x, y, F.col(rings)))
+
+
+def spatial_join(points: DataFrame, polygons: DataFrame, lon: str, lat: str, rings: str, tie_break: str, right_columns: Sequence[str], how: str = "left") -> DataFrame:
     """Each point with the polygon that holds it, its boundary included; of several, that of the smallest tie-break.
 
-    Adds ``matches``, how many hold it. Polygons are spread over the coarse cells that their boxes touch and meet points
-    by equal cells; the exact test follows, so no pair outside a common cell is made.
+    Adds ``matches``, how many hold it. Distinct places are looked up once, by the coarse cells of the polygons' boxes
+    and then the exact test, and go back to the points by their coordinates.
     """
     check_nonnull(polygons, [tie_break])
     check_unique(polygons, [tie_break])
-    corner = lambda f, axis: f(F.transform(F.flatten(rings), lambda p: p[axis]))
-    cell = lambda v: F.floor(v / cell_degrees)
-    spread = polygons.select(F.col(tie_break).alias("_tie"), F.col(rings).alias("_rings"), *(F.col(c).alias(f"_r_{c}") for c in right_columns),
-                             F.explode(F.sequence(cell(corner(F.array_min, "x")), cell(corner(F.array_max, "x")))).alias("_cx"))
-    spread = spread.withColumn("_cy", F.explode(F.sequence(cell(F.array_min(F.transform(F.flatten("_rings"), lambda p: p["y"]))), cell(F.array_max(F.transform(F.flatten("_rings"), lambda p: p["y"]))))))
-    placed = points.withColumn(_LEFT, F.monotonically_increasing_id())
-    keyed = placed.select(_LEFT, F.col(lon).alias("_x"), F.col(lat).alias("_y"), cell(F.col(lon)).alias("_cx"), cell(F.col(lat)).alias("_cy"))
-    hits = keyed.join(spread, ["_cx", "_cy"]).where(point_in_polygon(F.col("_x"), F.col("_y"), F.col("_rings")))
-    best = hits.groupBy(_LEFT).agg(F.min_by(F.struct(*(F.col(f"_r_{c}").alias(c) for c in right_columns)), "_tie").alias("_hit"), F.count("*").alias("matches"))
-    joined = placed.join(best, _LEFT, how).drop(_LEFT)
-    return joined.select(*points.columns, *(F.col(f"_hit.{c}").alias(c) for c in right_columns), F.coalesce("matches", F.lit(0)).alias("matches"))
+    places = points.select(F.col(lon).alias("_x"), F.col(lat).alias("_y")).where("_x is not null and _y is not null").distinct()
+    layer = polygons.select(F.col(tie_break).alias("_tie"), F.col(rings).alias("_rings"), *(F.col(c).alias(f"_r_{c}") for c in right_columns))
+    hits = polygon_hits(places, layer, "_x", "_y", "_rings")
+    best = hits.groupBy("_x", "_y").agg(F.min_by(F.struct(*(F.col(f"_r_{c}").alias(c) for c in right_columns)), "_tie").alias("_hit"), F.count("*").alias("_matches"))
+    joined = points.join(best, (F.col(lon) == F.col("_x")) & (F.col(lat) == F.col("_y")), how)
+    return joined.select(*points.columns, *(F.col(f"_hit.{c}").alias(c) for c in right_columns), F.coalesce("_matches", F.lit(0)).alias("matches"))
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, tie_break: str, tolerance_s: int, right_columns: Sequence[str], available_at: str | None = None, how: str = "left") -> DataFrame:
@@ -69,26 +111,30 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
         eligible = F.greatest(eligible, _seconds(F.col(available_at)))
     ties = Window.partitionBy(*keys, right_time).orderBy(F.desc(tie_break))
     payload = F.struct(_seconds(F.col(right_time)).alias("at"), F.row_number().over(ties).alias("tie"), F.struct(*(F.col(c).alias(f"r_{i}") for i, c in enumerate(right_columns))).alias("row"))
-    rights = side.select(*keys, eligible.alias("_t"), F.lit(0).alias("_side"), payload.alias("_best"))
-    lefts = left.withColumn("_row", F.struct(*left.columns)).select(*keys, _seconds(F.col(left_time)).alias("_t"), F.lit(1).alias("_side"), "_row")
+    rights = side.dropna(subset=list(keys)).select(*keys, eligible.alias("_t"), F.lit(0).alias("_side"), payload.alias("_best"))
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    rows = left.withColumn("_row", F.struct(*left.columns))
+    lefts = rows.where(known).select(*keys, _seconds(F.col(left_time)).alias("_t"), F.lit(1).alias("_side"), "_row")
     both = lefts.unionByName(rights, allowMissingColumns=True)
     # Rows are in order of time, right ones first: a row frame sees every right row that is eligible.
     running = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_found", F.max("_best").over(running)).where("_side = 1")
-    known = F.lit(True)
-    for k in keys:
-        known = known & F.col(k).isNotNull()
-    match = F.when(known & (F.col("_found.at") >= F.col("_t") - tolerance_s * 1_000_000), F.col("_found.row"))
-    out = found.withColumn("_match", match)
-    out = out.where(F.col("_match").isNotNull()) if how == "inner" else out
+    match = F.when(F.col("_found.at") >= F.col("_t") - tolerance_s * 1_000_000, F.col("_found.row"))
+    out = found.select("_row", match.alias("_match"))
+    if how == "inner":
+        out = out.where(F.col("_match").isNotNull())
+    else:  # rows with a null key match nothing and needn't meet in a task
+        out = out.union(rows.where(~known).select("_row", F.lit(None).cast(out.schema["_match"].dataType)))
     return out.select("_row.*", *(F.col(f"_match.r_{i}").alias(c) for i, c in enumerate(right_columns)))
 
 
 def _bucketed(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_bucket_time: str, window_s: int) -> DataFrame:
-    """Left rows (numbered) with right rows whose time falls into the window's bucket or the one before."""
+    """Left rows with right rows whose time falls into the window's bucket or the one before."""
     size = window_s * 1_000_000
     bucket = lambda c: F.floor(_seconds(F.col(c)) / size)
-    lefts = left.select(_LEFT, *keys, left_time).withColumn("_bucket", F.explode(F.array(bucket(left_time), bucket(left_time) - 1)))
+    lefts = left.withColumn("_bucket", F.explode(F.array(bucket(left_time), bucket(left_time) - 1)))
     return lefts.join(right.withColumn("_bucket", bucket(right_bucket_time)), [*keys, "_bucket"])
 
 
@@ -97,28 +143,29 @@ def window_sum(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time
 
     ``<output>_coverage`` is the share of the window under intervals with a value (0 without any); the sum is null below
     ``minimum_coverage``. Right intervals must be valid and not overlap for a key. Exact sums: nothing is subtracted.
+    Sums are made once for each key and time of the left side, and go back to its rows by these.
     """
     check_intervals(right, keys, start, end)
-    numbered = left.withColumn(_LEFT, F.monotonically_increasing_id())
+    own = [*keys, left_time]
     side = right.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(value).alias("_v"), *([F.col(available_at).alias("_a")] if available_at else []))
     t = _seconds(F.col(left_time))
-    pairs = _bucketed(numbered, side, keys, left_time, "_e", window_s).where((_seconds(F.col("_s")) >= t - window_s * 1_000_000) & (_seconds(F.col("_e")) <= t))
+    pairs = _bucketed(left.select(*own).dropna().distinct(), side, keys, left_time, "_e", window_s).where((_seconds(F.col("_s")) >= t - window_s * 1_000_000) & (_seconds(F.col("_e")) <= t))
     if available_at:
         pairs = pairs.where(F.col("_a") <= F.col(left_time))
     covered = F.sum(F.when(F.col("_v").isNotNull(), (_seconds(F.col("_e")) - _seconds(F.col("_s"))) / 1e6)) / window_s
-    sums = pairs.groupBy(_LEFT).agg(F.sum("_v").alias("_sum"), F.coalesce(covered, F.lit(0.0)).alias("_cover"))
+    sums = pairs.groupBy(*own).agg(F.sum("_v").alias("_sum"), F.coalesce(covered, F.lit(0.0)).alias("_cover"))
     coverage = F.coalesce("_cover", F.lit(0.0))
-    return numbered.join(sums, _LEFT, "left").select(*left.columns, F.when(coverage >= minimum_coverage, F.col("_sum")).alias(output), coverage.alias(f"{output}_coverage"))
+    return left.join(sums, own, "left").select(*left.columns, F.when(coverage >= minimum_coverage, F.col("_sum")).alias(output), coverage.alias(f"{output}_coverage"))
 
 
 def preceding_days_sum(left: DataFrame, right: DataFrame, keys: Sequence[str], day: str, start: str, end: str, value: str, days: int) -> DataFrame:
     """Adds ``total`` and ``days_observed`` of the values whose interval lies in the ``days`` before a day."""
-    numbered = left.withColumn(_LEFT, F.monotonically_increasing_id())
+    own = [*keys, day]
     side = right.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(value).alias("_v"))
     t = _seconds(F.col(day))
-    pairs = _bucketed(numbered, side, keys, day, "_e", days * 86_400).where((_seconds(F.col("_s")) >= t - days * 86_400_000_000) & (_seconds(F.col("_e")) <= t))
-    sums = pairs.groupBy(_LEFT).agg(F.sum("_v").alias("total"), F.count("_v").alias("days_observed"))
-    return numbered.join(sums, _LEFT, "left").select(*left.columns, "total", F.coalesce("days_observed", F.lit(0)).alias("days_observed"))
+    pairs = _bucketed(left.select(*own).dropna().distinct(), side, keys, day, "_e", days * 86_400).where((_seconds(F.col("_s")) >= t - days * 86_400_000_000) & (_seconds(F.col("_e")) <= t))
+    sums = pairs.groupBy(*own).agg(F.sum("_v").alias("total"), F.count("_v").alias("days_observed"))
+    return left.join(sums, own, "left").select(*left.columns, "total", F.coalesce("days_observed", F.lit(0)).alias("days_observed"))
 
 
 def validity_join(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, valid_from: str, valid_until: str, right_columns: Sequence[str], longest_s: int) -> DataFrame:
@@ -126,10 +173,11 @@ def validity_join(left: DataFrame, right: DataFrame, keys: Sequence[str], time:
     too_long = right.where(_seconds(F.col(valid_until)) - _seconds(F.col(valid_from)) > longest_s * 1_000_000)
     if not too_long.isEmpty():
         raise ValueError("a validity is longer than longest_s")
-    numbered = left.withColumn(_LEFT, F.monotonically_increasing_id())
+    # A left row is in two buckets and a right one in one, so a pair meets once; the whole left row goes with it.
+    lefts = left.select(*keys, time, F.struct(*left.columns).alias("_left"))
     side = right.select(*keys, F.col(valid_from).alias("_s"), F.col(valid_until).alias("_e"), F.struct(*right_columns).alias("_right"))
-    pairs = _bucketed(numbered, side, keys, time, "_s", longest_s).where((F.col("_s") <= F.col(time)) & (F.col(time) < F.col("_e"))).select(_LEFT, "_right")
-    return numbered.join(pairs, _LEFT).select(*left.columns, "_right.*")
+    pairs = _bucketed(lefts, side, keys, time, "_s", longest_s).where((F.col("_s") <= F.col(time)) & (F.col(time) < F.col("_e")))
+    return pairs.select("_left.*", "_right.*")
 
 
 def expand_versions(datasets: DataFrame, batches: DataFrame, rows: DataFrame, series: str = "series_id", batch: str = "batch_key") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import geodesic_km, haversine_km, inside_fraction, point_in_polygon, segment_km
+from .joins import CellSpread
 
 Distance = Callable[[Column, Column, Column, Column], Column]
 
@@ -110,14 +111,20 @@ def compare_windows(df: DataFrame, windows: Sequence[tuple[str, str, str]]) -> D
 def route_overlap(df: DataFrame, boundaries: DataFrame) -> DataFrame:
     """(name, entity_id): points inside, km of path, km inside, and their share (0 for a path of no length).
 
-    ``boundaries`` has name and rings; they are few, as their pairs with segments are all looked at.
+    ``boundaries`` has name and rings. Steps meet boundaries whose box touches theirs, by coarse cells; only those are
+    clipped. A path is measured once an animal. The result has a row for each boundary and animal.
     """
     steps = with_next(df.where("longitude is not null and latitude is not null"), "entity_id", "observed_at", ["longitude", "latitude"])
-    pairs = steps.crossJoin(F.broadcast(boundaries))
     here, ahead = (F.col("longitude"), F.col("latitude")), (F.col("next_longitude"), F.col("next_latitude"))
     km = F.when(ahead[0].isNotNull(), segment_km(*here, *ahead))
+    paths = steps.groupBy("entity_id").agg(F.coalesce(F.sum(km), F.lit(0.0)).alias("path_km"))
+    box = (F.least(here[0], ahead[0]), F.least(here[1], ahead[1]), F.greatest(here[0], ahead[0]), F.greatest(here[1], ahead[1]))
+    narrow = steps.select("entity_id", "longitude", "latitude", "next_longitude", "next_latitude")
+    pairs = CellSpread(boundaries.select("name", "rings"), "rings").meet(narrow, box)
     inside = F.when(ahead[0].isNotNull(), km * inside_fraction(*here, *ahead, F.col("rings")))
-    out = pairs.groupBy("name", "entity_id").agg(F.count_if(point_in_polygon(*here, F.col("rings"))).alias("points_inside"), F.coalesce(F.sum(km), F.lit(0.0)).alias("path_km"), F.coalesce(F.sum(inside), F.lit(0.0)).alias("inside_km"))
+    met = pairs.groupBy("name", "entity_id").agg(F.count_if(point_in_polygon(*here, F.col("rings"))).alias("points_inside"), F.sum(inside).alias("inside_km"))
+    every = boundaries.select("name").distinct().crossJoin(paths)  # the rows of the result
+    out = every.join(met, ["name", "entity_id"], "left").select("name", "entity_id", F.coalesce("points_inside", F.lit(0)).alias("points_inside"), "path_km", F.coalesce("inside_km", F.lit(0.0)).alias("inside_km"))
     return out.withColumn("share", F.when(F.col("path_km") > 0, F.col("inside_km") / F.col("path_km")).otherwise(0.0))
 
 

@@ -141,6 +141,11 @@ def limited(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     return first.crossJoin(F.broadcast(total)).withColumn("truncated", F.col("total_records") > n)
 
 
+def sample_rows(df: DataFrame, n: int) -> DataFrame:
+    """Any ``n`` rows, all of them if there are fewer: for a look at a table."""
+    return df.limit(n)
+
+
 def guard_rows(df: DataFrame, n: int = 100_000) -> DataFrame:
     """``df``, if it has at most ``n`` rows; no more than n + 1 are counted."""
     if df.limit(n + 1).count() > n:

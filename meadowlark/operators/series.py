@@ -66,10 +66,11 @@ def append_batch(registry: DataFrame, batches: DataFrame) -> DataFrame:
     return old.unionByName(added.select(*[c for c in added.columns if c in registry.columns]), allowMissingColumns=True)
 
 
-def series_summary(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """First start, last end, rows, sorted variables and number of cells."""
+def series_summary(rows: DataFrame, by: Sequence[str], taxon: str = "") -> DataFrame:
+    """First start, last end, rows, sorted variables and number of cells; the sorted taxa too, if a column is named."""
+    taxa = [F.array_sort(F.collect_set(taxon)).alias("taxa")] if taxon else []
     return rows.groupBy(*by).agg(F.min("time_start").alias("first_start"), F.max("time_start").alias("last_start"), F.count("*").alias("row_count"),
-                                 F.array_sort(F.collect_set("variable")).alias("variables"), F.count_distinct("cell").alias("cells"))
+                                 F.array_sort(F.collect_set("variable")).alias("variables"), F.count_distinct("cell").alias("cells"), *taxa)
 
 
 def upsert_entities(current: DataFrame, new: DataFrame, key: str = "entity_id", texts: Sequence[str] = (), first: Sequence[str] = (), last: Sequence[str] = ()) -> DataFrame:
@@ -88,6 +89,17 @@ def split_by_study(registry: DataFrame, manifest: str = "raw_manifest", path: st
     return split.withColumn("new_version", F.dense_rank().over(Window.partitionBy("new_series_id").orderBy("added_in_version")))
 
 
+def publish_summary(rows: DataFrame, by: Sequence[str], registered: DataFrame | None = None) -> DataFrame:
+    """Live rows as versions to publish: version, mapping_versions, row_count, span and variables of each series.
+
+    Series whose version is registered already are left out.
+    """
+    live = live_batches(rows)
+    versions = live.groupBy(*by).agg(F.max("added_in_version").alias("version"), F.concat_ws(",", F.array_sort(F.collect_set("mapping_version"))).alias("mapping_versions"))
+    out = series_summary(live, by).join(versions, list(by))
+    return out if registered is None else out.join(registered.select(*by, "version"), [*by, "version"], "left_anti")
+
+
 def table_fingerprint(df: DataFrame, decimals: int = 8) -> DataFrame:
     """(rows, sum, xor) over hashes of rows; order doesn't matter, and floating-point numbers are rounded first."""
     columns = [F.round(c, decimals).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]

@@ -145,9 +145,12 @@ def _(v):
     return rows.agg(F.count("*").alias("n"), F.min(F.get_json_object("geometry", "$.type")).alias("type"))
 
 
-@query("sample_rows", "", "SELECT 20::BIGINT AS n")
+@query("sample_rows", "", "SELECT 20::BIGINT AS n, 20::BIGINT AS keys, 20::BIGINT AS known")
 def _(v):
-    return v.table("orders").limit(20).agg(F.count("*").alias("n"))
+    orders = v.table("orders")
+    sample = relational.sample_rows(orders, 20)
+    known = sample.join(orders.select("o_orderkey"), "o_orderkey", "left_semi")
+    return sample.agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("keys")).crossJoin(known.agg(F.count("*").alias("known")))
 
 
 @query("lattice_generator", "", "SELECT n_nationkey, i AS lattice_row, j AS lattice_col, (DATE '2024-01-01' + to_months(m))::DATE AS month FROM nation, (SELECT unnest(range(3))::INTEGER AS i), (SELECT unnest(range(2))::INTEGER AS j), (SELECT unnest(range(4))::INTEGER AS m)")
@@ -249,7 +252,7 @@ def _(v):
 @query("op_spatial_join", "fixes boundaries", """SELECT source_record_id, min(name) AS name, count(name) AS matches FROM fixes LEFT JOIN boundaries ON longitude BETWEEN west AND east AND latitude BETWEEN south AND north GROUP BY source_record_id""")
 def _(v):
     named = v.boundaries.withColumn("tie", F.col("name"))
-    return joins.spatial_join(v.fixes, named, "longitude", "latitude", "rings", "tie", ["name"], cell_degrees=0.1).select("source_record_id", "name", "matches")
+    return joins.spatial_join(v.fixes, named, "longitude", "latitude", "rings", "tie", ["name"]).select("source_record_id", "name", "matches")
 
 
 @query("op_asof_join", "daily vegetation", """WITH hits AS (SELECT d.entity_id, d.day, v.source_record_id AS record, round(v.index_value, 6) AS index_value, row_number() OVER (PARTITION BY d.entity_id, d.day ORDER BY v.observed_at DESC, v.source_record_id) AS place
@@ -277,10 +280,10 @@ def _(v):
     return joins.preceding_days_sum(days, v.rain, ["cell"], "at", "interval_start", "interval_end", "rainfall_mm", 14).select("entity_id", "day", r("total").alias("total"), "days_observed")
 
 
-@query("join_validity_containment", "fixes vegetation", "SELECT f.source_record_id AS fix, v.source_record_id AS composite FROM fixes f JOIN vegetation v ON v.cell = f.cell AND v.observed_at <= f.observed_at AND f.observed_at < v.observed_until WHERE f.event_type = 'purchase'")
+@query("join_validity_containment", "fixes vegetation", "SELECT f.source_record_id AS fix, v.source_record_id AS composite FROM fixes f JOIN vegetation v ON v.cell = f.cell AND v.observed_at <= f.observed_at AND f.observed_at < v.observed_until")
 def _(v):
     right = v.vegetation.select("cell", F.col("observed_at").alias("from"), "observed_until", F.col("source_record_id").alias("composite"))
-    out = joins.validity_join(v.fixes.where("event_type = 'purchase'"), right, ["cell"], "observed_at", "from", "observed_until", ["composite"], 16 * 86_400)
+    out = joins.validity_join(v.fixes.select("source_record_id", "cell", "observed_at"), right, ["cell"], "observed_at", "from", "observed_until", ["composite"], 16 * 86_400)
     return out.select(F.col("source_record_id").alias("fix"), "composite")
 
 
@@ -328,8 +331,8 @@ def _(v):
 
 @query("semi_join_published", "", "SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 def _(v):
-    live = v.table("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return v.table("orders").join(live, "o_orderkey", "left_semi").select("o_orderkey")
+    entries = v.table("lineitem").where("l_returnflag = 'R'").select(F.to_json(F.struct(F.struct(F.col("l_orderkey").alias("key")).alias("batch"))).alias("manifest"))
+    return catalog.published(v.table("orders"), entries, "o_orderkey", "", "manifest", "$.batch.key").select("o_orderkey")
 
 
 @query("anti_join_unmatched", "", "SELECT count(*) AS unmatched FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
@@ -484,11 +487,11 @@ def _(v):
     return v.fixes.select(row.alias("row"), col.alias("col")).distinct()
 
 
-@query("cell_centre", "fixes", f"WITH {_CELLS} SELECT count(*) AS n, count(*) AS near FROM placed")
+@query("cell_centre", "fixes", f"WITH {_CELLS} SELECT source_record_id, grow, gcol FROM placed")
 def _(v):
     lon, lat = geo.cell_centre(*geo.cell_row_col(F.col("longitude"), F.col("latitude")))
-    near = (F.abs(lon - F.col("longitude")) < 0.006) & (F.abs(lat - F.col("latitude")) < 0.006)
-    return v.fixes.agg(F.count("*").alias("n"), F.count_if(near).alias("near"))
+    row, col = geo.cell_row_col(lon, lat)  # a centre lies in its own cell
+    return v.fixes.select("source_record_id", row.alias("grow"), col.alias("gcol"))
 
 
 @query("cells_in_bbox", "fixes", f"WITH {_CELLS} SELECT count(DISTINCT (grow, gcol)) AS used, count(DISTINCT (grow, gcol)) AS known FROM placed WHERE longitude BETWEEN 36.90e0 AND 37.00e0 AND latitude BETWEEN -1.55e0 AND -1.45e0")
@@ -498,10 +501,11 @@ def _(v):
     return used.agg(F.count("*").alias("used")).crossJoin(known.agg(F.count("*").alias("known")))
 
 
-@query("cell_polygon", "fixes", "SELECT source_record_id, true AS inside FROM fixes")
+@query("cell_polygon", "fixes", "SELECT source_record_id, true AS inside, false AS below, false AS beside FROM fixes")
 def _(v):
-    ring = geo.cell_ring(*geo.cell_row_col(F.col("longitude"), F.col("latitude")))
-    return v.fixes.select("source_record_id", geo.point_in_polygon(F.col("longitude"), F.col("latitude"), F.array(ring)).alias("inside"))
+    row, col = geo.cell_row_col(F.col("longitude"), F.col("latitude"))
+    holds = lambda r, c: geo.point_in_polygon(F.col("longitude"), F.col("latitude"), F.array(geo.cell_ring(r, c)))
+    return v.fixes.select("source_record_id", holds(row, col).alias("inside"), holds(row + 1, col).alias("below"), holds(row, col - 1).alias("beside"))
 
 
 @query("sample_cell_centres", "fixes", "SELECT source_record_id, floor(longitude / 0.05e0)::BIGINT AS i, floor(latitude / 0.05e0)::BIGINT AS j, n FROM fixes JOIN (SELECT floor(longitude / 0.05e0)::BIGINT AS a, floor(latitude / 0.05e0)::BIGINT AS b, count(*) AS n FROM fixes WHERE event_type = 'view' GROUP BY 1, 2) ON a = floor(longitude / 0.05e0)::BIGINT AND b = floor(latitude / 0.05e0)::BIGINT")
@@ -545,8 +549,9 @@ def _(v):
 
 @query("point_in_polygon", "fixes boundaries", "SELECT name, count(*) FILTER (WHERE longitude BETWEEN west AND east AND latitude BETWEEN south AND north) AS n FROM fixes, boundaries GROUP BY 1")
 def _(v):
-    pairs = v.fixes.select("longitude", "latitude").crossJoin(F.broadcast(v.boundaries))
-    return pairs.groupBy("name").agg(F.count_if(geo.point_in_polygon(F.col("longitude"), F.col("latitude"), F.col("rings"))).alias("n"))
+    hits = joins.polygon_hits(v.fixes.select("longitude", "latitude"), v.boundaries.select("name", "rings"), "longitude", "latitude", "rings")
+    counts = hits.groupBy("name").agg(F.count("*").alias("n"))
+    return v.boundaries.select("name").join(counts, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 _HAVERSINE = "12742.0176e0 * asin(sqrt(least(1.0e0, pow(sin(radians(latitude - plat) / 2), 2) + cos(radians(plat)) * cos(radians(latitude)) * pow(sin(radians(longitude - plon) / 2), 2))))"
@@ -621,11 +626,13 @@ def _(v):
     return v.pixels.groupBy(indices.s2_clear(F.col("scl")).alias("clear")).agg(F.count("*").alias("n"))
 
 
-@query("s2_indices", "pixels", """WITH bands AS (SELECT x, y, scl NOT IN (0, 1, 3, 8, 9, 10, 11) AS ok, (nir - 1000) / 10000.0e0 AS n, (red - 1000) / 10000.0e0 AS r FROM pixels)
-    SELECT x, y, 'ndvi' AS variable, CASE WHEN ok THEN round((n - r) / nullif(n + r, 0), 6) END AS value FROM bands""")
+@query("s2_indices", "pixels", """WITH bands AS (SELECT x, y, scl NOT IN (0, 1, 3, 8, 9, 10, 11) AS ok, (nir - 1000) / 10000.0e0 AS n, (red - 1000) / 10000.0e0 AS r, (red * 2 - 1000) / 10000.0e0 AS g, (nir + red - 1000) / 10000.0e0 AS s FROM pixels)
+    SELECT x, y, 'ndvi' AS variable, CASE WHEN ok THEN round((n - r) / nullif(n + r, 0), 6) END AS value FROM bands
+    UNION ALL SELECT x, y, 'mndwi', CASE WHEN ok THEN round((g - s) / nullif(g + s, 0), 6) END FROM bands
+    UNION ALL SELECT x, y, 'ndmi', CASE WHEN ok THEN round((n - s) / nullif(n + s, 0), 6) END FROM bands""")
 def _(v):
-    bands = v.pixels.select("x", "y", "scl", F.col("nir").alias("b_nir"), F.col("red").alias("b_red"), F.col("red").alias("b_green"), F.col("nir").alias("b_swir"))
-    return indices.s2_indices(bands, F.lit(-1000)).where("variable = 'ndvi'").withColumn("value", r("value"))
+    bands = v.pixels.select("x", "y", "scl", F.col("nir").alias("b_nir"), F.col("red").alias("b_red"), (F.col("red") * 2).alias("b_green"), (F.col("nir") + F.col("red")).alias("b_swir"))
+    return indices.s2_indices(bands, F.lit(-1000)).withColumn("value", r("value"))
 
 
 @query("modis_vi", "pixels", "SELECT x, y, CASE WHEN scl IN (0, 1) AND nir <> -3000 THEN round(nir * 0.0001e0, 6) END AS value FROM pixels")
@@ -684,9 +691,9 @@ def _(v):
     return series.current_fixes(v.fixes.withColumn("added_in_version", F.lit(1))).select("entity_id", "source_record_id")
 
 
-@query("win_version_current", "cell_obs", f"SELECT series_id, cell, variable, source_item_id FROM (SELECT *, row_number() OVER (PARTITION BY series_id, cell, variable, source_id, time_start::DATE {_ORDER}) AS place FROM cell_obs WHERE series_id = 's7') WHERE place = 1")
+@query("win_version_current", "cell_obs", f"SELECT series_id, cell, variable, source_item_id FROM (SELECT *, row_number() OVER (PARTITION BY series_id, cell, variable, source_id, time_start::DATE {_ORDER}) AS place FROM cell_obs) WHERE place = 1")
 def _(v):
-    return series.current_cells(v.cell_obs, ["series_id"]).where("series_id = 's7'").select("series_id", "cell", "variable", "source_item_id")
+    return series.current_cells(v.cell_obs, ["series_id"]).select("series_id", "cell", "variable", "source_item_id")
 
 
 @query("win_last_fix_of_day", "last_fixes", "SELECT entity_id, day, source_record_id, fix_count FROM last_fixes WHERE place = 1")
@@ -753,9 +760,11 @@ def _(v):
     return relational.limited(v.fixes, ["observed_at", "source_record_id"], 500).select("source_record_id", "total_records", "truncated")
 
 
-@query("row_limit_guard", "daily", "SELECT count(*) AS n FROM daily")
+@query("row_limit_guard", "daily", "SELECT count(*) AS n, 'ok' AS enough, 'ROW_LIMIT' AS too_many FROM daily")
 def _(v):
-    return relational.guard_rows(v.daily, 10_000_000).agg(F.count("*").alias("n"))
+    n = v.daily.count()
+    codes = [checks.code_of(lambda limit=limit: relational.guard_rows(v.daily, limit)) for limit in (n, n - 1)]
+    return relational.guard_rows(v.daily, n).agg(F.count("*").alias("n"), *(F.lit(c).alias(name) for c, name in zip(codes, ("enough", "too_many"), strict=True)))
 
 
 _REVISITS = "SELECT cell, sum(n)::BIGINT AS observations, count(*) AS animals, count(*) FILTER (WHERE n >= 2) AS repeat_animals FROM (SELECT cell, entity_id, count(*) AS n FROM daily GROUP BY 1, 2) GROUP BY 1"
@@ -825,26 +834,26 @@ def _(v):
     return v.table("documents").select("doc_id", catalog.word_share(F.col("text"), F.lit("the Apache license")).alias("share"))
 
 
-@query("new_quarters", "datasets", """SELECT dataset_id, version, array_to_string(list_filter(list_distinct(list_transform(range("start"::DATE, ("end" + 1)::DATE, INTERVAL 1 DAY), lambda d: year(d) || '-Q' || quarter(d))), lambda q: q <> '2024-Q1'), ',') AS quarters FROM datasets WHERE "start" < DATE '2024-03-01'""")
+@query("new_quarters", "datasets", """SELECT dataset_id, version, array_to_string(list_sort(list_filter(list_distinct(list_transform(range("start"::DATE, ("end" + 1)::DATE, INTERVAL 1 DAY), lambda d: year(d) || '-Q' || quarter(d))), lambda q: q <> '2024-Q1')), ',') AS quarters FROM datasets""")
 def _(v):
     first = F.lit(FIRST_DAY).cast("date")
-    early = v.datasets.where(F.col("start") < "2024-03-01")
-    return early.select("dataset_id", "version", F.concat_ws(",", catalog.new_quarters(first, first, F.col("start"), F.col("end"))).alias("quarters"))
+    return v.datasets.select("dataset_id", "version", F.concat_ws(",", F.array_sort(catalog.new_quarters(first, first, F.col("start"), F.col("end")))).alias("quarters"))
 
 
 # --- checks ------------------------------------------------------------------------------------------------------
 
 
-@query("check_unique_key", "", "SELECT count(*) AS n FROM orders")
+@query("check_unique_key", "", "SELECT l_orderkey, count(*) AS count, 'DUPLICATE_KEY' AS code, 'ok' AS of_orders FROM lineitem GROUP BY 1 HAVING count(*) > 1")
 def _(v):
-    checks.check_unique(v.table("orders"), ["o_orderkey"], nonnull=True)
-    return v.table("orders").agg(F.count("*").alias("n"))
+    lines, orders = v.table("lineitem"), v.table("orders")
+    codes = [checks.code_of(lambda: checks.check_unique(lines, ["l_orderkey"])), checks.code_of(lambda: checks.check_unique(orders, ["o_orderkey"], nonnull=True))]
+    return checks.duplicates(lines, ["l_orderkey"]).select("*", F.lit(codes[0]).alias("code"), F.lit(codes[1]).alias("of_orders"))
 
 
-@query("check_nonnull", "", "SELECT count(*) AS n FROM customer")
+@query("check_nonnull", "datasets", "SELECT dataset_id, version, 'NULL_VALUE' AS code, 'ok' AS of_ids FROM datasets WHERE west IS NULL OR variables IS NULL")
 def _(v):
-    checks.check_nonnull(v.table("customer"), ["c_custkey", "c_name"])
-    return v.table("customer").agg(F.count("*").alias("n"))
+    codes = [checks.code_of(lambda columns=columns: checks.check_nonnull(v.datasets, columns)) for columns in (["west", "variables"], ["dataset_id", "version"])]
+    return checks.null_rows(v.datasets, ["west", "variables"]).select("dataset_id", "version", F.lit(codes[0]).alias("code"), F.lit(codes[1]).alias("of_ids"))
 
 
 @query("check_intervals_valid", "datasets", 'SELECT dataset_id, version FROM datasets WHERE "end" <= "start"')
@@ -852,27 +861,35 @@ def _(v):
     return checks.invalid_intervals(v.datasets, "start", "end").select("dataset_id", "version")
 
 
-@query("check_intervals_disjoint", "rain", "SELECT cell, count(*) AS n FROM rain GROUP BY 1")
+@query("check_intervals_disjoint", "vegetation", """SELECT cell, count(*) AS n, 'OVERLAPPING_INTERVALS' AS code, 'ok' AS of_rain FROM (SELECT cell, observed_at, max(observed_until) OVER (PARTITION BY cell ORDER BY observed_at, observed_until ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM vegetation)
+    WHERE observed_at < before GROUP BY 1""")
 def _(v):
-    checks.check_intervals(v.rain, ["cell"], "interval_start", "interval_end")
-    return v.rain.groupBy("cell").agg(F.count("*").alias("n"))
+    codes = [checks.code_of(lambda: checks.check_intervals(v.vegetation, ["cell"], "observed_at", "observed_until")), checks.code_of(lambda: checks.check_intervals(v.rain, ["cell"], "interval_start", "interval_end"))]
+    found = checks.overlapping(v.vegetation, ["cell"], "observed_at", "observed_until").groupBy("cell").agg(F.count("*").alias("n"))
+    return found.select("*", F.lit(codes[0]).alias("code"), F.lit(codes[1]).alias("of_rain"))
 
 
-@query("check_geometry_type", "boundaries", "SELECT count(*) AS n FROM boundaries")
+@query("check_geometry_type", "boundaries", "SELECT name, 'GEOMETRY_TYPE' AS code, 'ok' AS of_polygons FROM boundaries WHERE length(name) % 3 <> 0")
 def _(v):
-    checks.check_geometry(v.boundaries.withColumn("kind", F.lit("Polygon")), "kind", ["Polygon", "MultiPolygon"])
-    return v.boundaries.agg(F.count("*").alias("n"))
+    turn = F.length("name") % 3
+    kinds = v.boundaries.withColumn("kind", F.when(turn == 0, "Polygon").when(turn == 1, "Point"))
+    good = lambda df: checks.code_of(lambda: checks.check_geometry(df, "kind", ["Polygon", "MultiPolygon"]))
+    return checks.wrong_geometry(kinds, "kind", ["Polygon", "MultiPolygon"]).select("name", F.lit(good(kinds)).alias("code"), F.lit(good(kinds.where("kind = 'Polygon'"))).alias("of_polygons"))
 
 
-@query("check_output", "daily", "SELECT count(*) AS rows, 0::BIGINT AS null_keys, 0::BIGINT AS nonfinite, 0::BIGINT AS duplicate_keys FROM daily")
+@query("check_output", "fixes", """WITH kept AS (SELECT CASE WHEN event_type <> 'error' THEN entity_id END AS entity_id, cell, CASE WHEN event_type = 'click' THEN 'Infinity'::DOUBLE ELSE value END AS value FROM fixes)
+    SELECT count(*) AS rows, count(*) FILTER (WHERE entity_id IS NULL OR cell IS NULL) AS null_keys, count(*) FILTER (WHERE value = 'Infinity'::DOUBLE) AS nonfinite,
+    (SELECT count(*) FROM (SELECT 1 FROM kept GROUP BY entity_id, cell HAVING count(*) > 1)) AS duplicate_keys, 'OUTPUT_INVALID' AS code FROM kept""")
 def _(v):
-    return checks.output_report(v.daily, ["entity_id", "day"], ["displacement_km"])
+    kept = v.fixes.select(F.when(F.col("event_type") != "error", F.col("entity_id")).alias("entity_id"), "cell", F.when(F.col("event_type") == "click", F.lit(float("inf"))).otherwise(F.col("value")).alias("value"))
+    code = checks.code_of(lambda: checks.check_output(kept, ["entity_id", "cell"], ["value"]))
+    return checks.output_report(kept, ["entity_id", "cell"], ["value"]).withColumn("code", F.lit(code))
 
 
-@query("check_grain", "daily", "SELECT count(*) AS n FROM daily")
+@query("check_grain", "fixes", "SELECT entity_id, observed_at::DATE AS at, count(*) AS count, 'WRONG_GRAIN' AS code, 'ok' AS of_days FROM fixes GROUP BY 1, 2 HAVING count(*) > 1")
 def _(v):
-    checks.check_grain(v.daily, "entity_id", "day")
-    return v.daily.agg(F.count("*").alias("n"))
+    codes = [checks.code_of(lambda: checks.check_grain(v.fixes, "entity_id", "observed_at")), checks.code_of(lambda: checks.check_grain(v.daily, "entity_id", "day"))]
+    return checks.off_grain(v.fixes, "entity_id", "observed_at").select("*", F.lit(codes[0]).alias("code"), F.lit(codes[1]).alias("of_days"))
 
 
 @query("check_wgs84", "", "SELECT count(*) FILTER (WHERE NOT c_acctbal / 50 BETWEEN -180 AND 180) AS bad_lon, count(*) FILTER (WHERE NOT c_custkey BETWEEN -90 AND 90) AS bad_lat FROM customer")
@@ -880,11 +897,12 @@ def _(v):
     return checks.wgs84_report(v.table("customer").select((F.col("c_acctbal") / 50).alias("lon"), F.col("c_custkey").alias("lat")), "lon", "lat")
 
 
-@query("check_row_count", "", "SELECT count(*) AS n FROM orders")
+@query("check_row_count", "", "SELECT count(*) AS n, 'ok' AS same, 'ROW_COUNT' AS other FROM orders")
 def _(v):
     df = v.table("orders")
-    checks.check_count(df, df.agg(F.count_distinct("o_orderkey")).first()[0])
-    return df.agg(F.count("*").alias("n"))
+    n = df.agg(F.count_distinct("o_orderkey")).first()[0]
+    codes = [checks.code_of(lambda want=want: checks.check_count(df, want)) for want in (n, n + 1)]
+    return df.agg(F.count("*").alias("n"), F.lit(codes[0]).alias("same"), F.lit(codes[1]).alias("other"))
 
 
 @query("check_coverage_overlap", "datasets", """SELECT dataset_id, version, ("start" <= DATE '2024-06-30' AND "end" >= DATE '2024-06-01') AND list_has_any(variables, ['rain']) AS ok FROM datasets""")
@@ -912,7 +930,7 @@ def _(v):
 
 @query("join_diagnostics", "fixes boundaries", "WITH m AS (SELECT source_record_id, count(name) AS matches FROM fixes LEFT JOIN boundaries ON longitude BETWEEN west AND east AND latitude BETWEEN south AND north GROUP BY 1) SELECT count(*) AS rows, count(*) FILTER (WHERE matches = 0) AS unmatched, count(*) FILTER (WHERE matches > 1) AS ambiguous FROM m")
 def _(v):
-    joined = joins.spatial_join(v.fixes, v.boundaries.withColumn("tie", F.col("name")), "longitude", "latitude", "rings", "tie", ["name"], cell_degrees=0.1)
+    joined = joins.spatial_join(v.fixes, v.boundaries.withColumn("tie", F.col("name")), "longitude", "latitude", "rings", "tie", ["name"])
     return checks.join_report(joined, "matches")
 
 
@@ -991,11 +1009,12 @@ def _(v):
     return series.not_ingested(v.cell_obs.where("added_in_version = 2"), v.cell_obs.where("value > 25")).select("source_item_id")
 
 
-@query("table_fingerprint", "", "SELECT count(*) AS rows, true AS same FROM orders")
+@query("table_fingerprint", "", "SELECT count(*) AS rows, true AS same, false AS changed_is_same, false AS doubled_is_same FROM orders")
 def _(v):
-    a = series.table_fingerprint(v.table("orders"))
-    b = series.table_fingerprint(v.table("orders").repartition(7).select("*"))
-    return a.join(b.select(F.col("sum").alias("s"), F.col("xor").alias("x")), F.lit(True)).select("rows", ((F.col("sum") == F.col("s")) & (F.col("xor") == F.col("x"))).alias("same"))
+    orders = v.table("orders")
+    changed = orders.withColumn("o_totalprice", F.when(F.col("o_orderkey") == orders.agg(F.max("o_orderkey")).first()[0], 0.0).otherwise(F.col("o_totalprice")))
+    own, *others = (series.table_fingerprint(df).first() for df in (orders, orders.repartition(7), changed, orders.union(orders)))
+    return orders.agg(F.count("*").alias("rows"), *(F.lit(own == x).alias(c) for x, c in zip(others, ("same", "changed_is_same", "doubled_is_same"), strict=True)))
 
 
 # --- catalog -----------------------------------------------------------------------------------------------------
@@ -1012,9 +1031,12 @@ def _found(v: Views) -> DataFrame:
     return catalog.search(v.datasets, REGION, start, end, ["public"], variables=["rain", "fixes"])
 
 
-@query("search_datasets", "datasets", f"WITH {_FOUND} SELECT dataset_id, version FROM found")
+@query("search_datasets", "datasets", f"WITH {_FOUND} SELECT dataset_id, version, list_contains(tags, 't1') OR list_contains(tags, 't3') AS asked FROM found")
 def _(v):
-    return _found(v).select("dataset_id", "version")
+    start, end = (F.lit(x).cast("date") for x in _SPAN)
+    named = v.datasets.withColumn("hidden", F.when(F.array_contains("tags", "t2"), F.col("tags")))
+    tagged = catalog.search(named, REGION, start, end, ["public"], variables=["rain", "fixes"], any_tags=["t1", "t2", "t3"], suggested="hidden").select("dataset_id", F.lit(True).alias("asked"))
+    return _found(v).select("dataset_id", "version").join(tagged, "dataset_id", "left").select("dataset_id", "version", F.coalesce("asked", F.lit(False)).alias("asked"))
 
 
 @query("spatial_share", "datasets", f"SELECT dataset_id, version, CASE WHEN west IS NOT NULL THEN round({_SHARE}, 6) END AS share FROM datasets")
@@ -1042,18 +1064,24 @@ def _(v):
     return catalog.lexical_search(v.table("documents"), "doc_id", "text", "the Apache license", 50)
 
 
-@query("eligibility", "datasets", """SELECT dataset_id || '.' || version AS dataset_id, CASE WHEN NOT list_contains(variables, 'rain') OR "end" < DATE '2024-03-01' OR "start" > DATE '2024-08-01' OR NOT coalesce(west <= 37.00e0 AND 36.90e0 <= east AND south <= -1.45e0 AND -1.55e0 <= north, true) THEN 'ineligible'
-    WHEN west IS NULL THEN 'unresolved' ELSE 'eligible' END AS status FROM datasets""")
+@query("eligibility", "datasets", """WITH reasons AS (SELECT dataset_id || '.' || version AS dataset_id,
+    list_filter([CASE WHEN NOT list_contains(variables, 'rain') THEN 'missing:rain' END, CASE WHEN "end" < DATE '2024-03-01' OR "start" > DATE '2024-08-01' THEN 'time_disjoint' END,
+        CASE WHEN NOT coalesce(west <= 37.00e0 AND 36.90e0 <= east AND south <= -1.45e0 AND -1.55e0 <= north, true) THEN 'space_disjoint' END, CASE WHEN version = 2 THEN 'unit:rain' END,
+        CASE WHEN "end" >= DATE '2024-03-01' AND "start" <= DATE '2024-08-01' AND "start" > DATE '2024-02-23' THEN 'lookback_short' END, CASE WHEN status <> 'ready' THEN 'status' END], lambda x: x IS NOT NULL) AS hard,
+    list_filter([CASE WHEN west IS NULL THEN 'space_unknown' END, CASE WHEN version = 1 AND list_contains(variables, 'rain') THEN 'unit_unknown:rain' END], lambda x: x IS NOT NULL) AS unknown FROM datasets)
+    SELECT dataset_id, CASE WHEN len(hard) > 0 THEN 'ineligible' WHEN len(unknown) > 0 THEN 'unresolved' ELSE 'eligible' END AS status, array_to_string(list_concat(hard, unknown), ',') AS reasons FROM reasons""")
 def _(v):
-    named = v.datasets.withColumns({"dataset_id": F.concat_ws(".", "dataset_id", "version"), "columns": F.col("variables")})
-    return catalog.eligibility(named, ["rain"], REGION, *(F.lit(x).cast("date") for x in _SPAN)).select("dataset_id", "status")
+    unit = F.when(F.col("version") != 1, F.create_map(F.lit("rain"), F.when(F.col("version") == 0, "mm").otherwise("inch")))
+    named = v.datasets.withColumns({"units": F.coalesce(unit, F.create_map().cast("map<string,string>")), "columns": F.col("variables")}).withColumn("dataset_id", F.concat_ws(".", "dataset_id", "version"))
+    found = catalog.eligibility(named, ["rain"], REGION, *(F.lit(x).cast("date") for x in _SPAN), units={"rain": "mm"}, lookback_days=7, statuses=["ready"])
+    return found.select("dataset_id", "status", F.concat_ws(",", "reasons").alias("reasons"))
 
 
 @query("deterministic_tags", "datasets", f"""WITH {_LATEST} SELECT dataset_id, 'variable:' || unnest(variables) AS tag FROM latest UNION SELECT dataset_id, 'year:' || unnest(range(year("start"), year("end") + 1)) FROM latest
-    UNION SELECT dataset_id, 'region:box' FROM latest WHERE {_SHARE} >= 0.05""")
+    UNION SELECT dataset_id, 'region:box' FROM latest WHERE {_SHARE} >= 0.05 UNION SELECT dataset_id, 'source:' || family FROM latest""")
 def _(v):
     box = v.spark.createDataFrame([("box", *REGION)], "region string, west double, south double, east double, north double")
-    return catalog.dataset_tags(catalog.latest_datasets(v.datasets), box)
+    return catalog.dataset_tags(catalog.latest_datasets(v.datasets), box, "family")
 
 
 @query("merge_tags", "datasets", "SELECT dataset_id, version, CASE WHEN version = 0 THEN 'a=t' ELSE 'a=t,b=u' END AS tags FROM datasets")
@@ -1064,19 +1092,19 @@ def _(v):
     return v.datasets.select("dataset_id", "version", F.concat_ws(",", F.transform(merged, lambda t: F.concat_ws("=", t["key"], t["value"]))).alias("tags"))
 
 
-@query("publish_summary", "cell_obs", "SELECT series_id, max(added_in_version) AS version, count(*) AS row_count, string_agg(DISTINCT mapping_version, ',') AS mapping_versions FROM cell_obs WHERE superseded_in_version IS NULL GROUP BY 1")
+@query("publish_summary", "cell_obs", "SELECT series_id, max(added_in_version) AS version, count(*) AS row_count, string_agg(DISTINCT mapping_version, ',') AS mapping_versions FROM cell_obs WHERE superseded_in_version IS NULL GROUP BY 1 HAVING max(added_in_version) <> 7")
 def _(v):
-    live = series.live_batches(v.cell_obs)
-    versions = live.groupBy("series_id").agg(F.max("added_in_version").alias("version"), F.concat_ws(",", F.array_sort(F.collect_set("mapping_version"))).alias("mapping_versions"))
-    return series.series_summary(live, ["series_id"]).select("series_id", "row_count").join(versions, "series_id")
+    registered = v.cell_obs.select("series_id", F.lit(7).cast("int").alias("version")).distinct()
+    return series.publish_summary(v.cell_obs, ["series_id"], registered).select("series_id", "version", "row_count", "mapping_versions")
 
 
-@query("needs_relabel", "datasets", """WITH pairs AS (SELECT a.dataset_id, a."start" AS s0, a."end" AS e0, b."start" AS s1, b."end" AS e1 FROM datasets a JOIN datasets b ON a.dataset_id = b.dataset_id AND a.version = 0 AND b.version = 1)
-    SELECT dataset_id, len(list_filter(list_transform(range(date_trunc('quarter', s1)::DATE, (e1 + 1)::DATE, INTERVAL 3 MONTH), lambda d: (year(d), quarter(d))), lambda q: NOT list_contains(list_transform(range(date_trunc('quarter', s0)::DATE, (e0 + 1)::DATE, INTERVAL 3 MONTH), lambda d: (year(d), quarter(d))), q))) > 0 AS relabel FROM pairs""")
+@query("needs_relabel", "datasets", """WITH pairs AS (SELECT a.dataset_id, a."start" AS s0, a."end" AS e0, b."start" AS s1, b."end" AS e1, CASE WHEN a.west IS NULL THEN 0 ELSE 1 END AS c0, CASE WHEN b.west IS NOT NULL AND (a.west IS NULL OR a.west <> b.west OR a.south <> b.south) THEN 1 ELSE 0 END AS c1
+        FROM datasets a JOIN datasets b ON a.dataset_id = b.dataset_id AND a.version = 0 AND b.version = 1)
+    SELECT dataset_id, (c0 > 0 AND c1 > c0 * 0.1) OR len(list_filter(list_transform(range(date_trunc('quarter', s1)::DATE, (e1 + 1)::DATE, INTERVAL 3 MONTH), lambda d: (year(d), quarter(d))), lambda q: NOT list_contains(list_transform(range(date_trunc('quarter', s0)::DATE, (e0 + 1)::DATE, INTERVAL 3 MONTH), lambda d: (year(d), quarter(d))), q))) > 0 AS relabel FROM pairs""")
 def _(v):
-    a, b = v.datasets.where("version = 0").alias("a"), v.datasets.where("version = 1").alias("b")
-    fresh = catalog.new_quarters(F.col("a.start"), F.col("a.end"), F.col("b.start"), F.col("b.end"))
-    return a.join(b, F.col("a.dataset_id") == F.col("b.dataset_id")).select(F.col("a.dataset_id").alias("dataset_id"), (F.size(fresh) > 0).alias("relabel"))
+    before, after = v.datasets.where("version = 0"), v.datasets.where("version = 1")
+    cells = lambda df: catalog.footprint(df.withColumn("cell", F.when(F.col("west").isNotNull(), F.concat_ws(":", "west", "south"))), ["dataset_id"])
+    return catalog.needs_relabel(before, after, catalog.footprint_growth(cells(before), cells(after), ["dataset_id"]))
 
 
 @query("public_catalog_listing", "datasets", "SELECT dataset_id, version, family FROM datasets WHERE access_scope = 'public' AND status = 'ready'")
@@ -1084,9 +1112,9 @@ def _(v):
     return catalog.public_catalog(v.datasets).select("dataset_id", "version", "family")
 
 
-@query("distinct_sources", "", "SELECT DISTINCT json_extract_string(props, '$.k') AS k FROM events")
+@query("distinct_sources", "", "SELECT DISTINCT json_extract_string(props, '$.k') AS source FROM events")
 def _(v):
-    return v.table("events").select(F.get_json_object("props", "$.k").alias("k")).distinct()
+    return catalog.distinct_sources(v.table("events"), "props", "$.k")
 
 
 # --- analysis ----------------------------------------------------------------------------------------------------
@@ -1322,5 +1350,4 @@ def _(v):
 
 @query("feature_coverage", "datasets", """SELECT family, greatest(min("start"), DATE '2024-03-01') AS "start", least(max("end"), DATE '2024-08-01') AS "end" FROM datasets GROUP BY 1""")
 def _(v):
-    first, last = (F.lit(x).cast("date") for x in _SPAN)
-    return v.datasets.groupBy("family").agg(F.greatest(F.min("start"), first).alias("start"), F.least(F.max("end"), last).alias("end"))
+    return catalog.family_coverage(v.datasets, *(F.lit(x).cast("date") for x in _SPAN))

@@ -9,9 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder's name below spark.checkpoint.dir; a temporary folder is made only where that is unset (tests)."""
+    """A new folder's name below spark.checkpoint.dir; where that is unset, a local session gets a
+    temporary one, and a cluster an error, as its executors wouldn't share it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="meadowlark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"

@@ -2,25 +2,42 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+def _folder(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it names it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def append_stream(rows: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("series_id", "batch_key"), available_now: bool = True) -> StreamingQuery:
-    """Writes the rows of batches that aren't stored yet, partitioned by series.
+    """Writes the rows of batches that aren't stored yet, partitioned by series; below them by ``micro_batch``.
 
-    A batch that a restart or a source repeats changes nothing: stored keys are left out by an anti join.
+    A batch that a restart or a source repeats changes nothing: stored keys are left out by an anti join. Each
+    micro-batch is written beside the table and moved into it by one rename, so one that fails halfway leaves nothing
+    behind by which its keys would seem to be stored.
     """
-    def add(part: DataFrame, _: int) -> None:
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+
+    def add(part: DataFrame, number: int) -> None:
         spark: SparkSession = part.sparkSession
-        try:
+        files, target = _folder(spark, f"{path}/micro_batch={stream}-{number}")
+        if files.exists(target):  # written before a restart
+            return
+        table = _folder(spark, path)[1]
+        if files.exists(table) and any("micro_batch=" in x.getPath().getName() for x in files.listStatus(table)):
             known = spark.read.parquet(path).select(*keys).distinct()
             part = part.join(known, list(keys), "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        part.write.mode("append").partitionBy(keys[0]).parquet(path)
+        staged = f"{path.rstrip('/')}-staged/{stream}-{number}"
+        part.write.mode("overwrite").partitionBy(keys[0]).parquet(staged)
+        files.mkdirs(table)
+        if not files.rename(_folder(spark, staged)[1], target):
+            raise OSError(f"{staged} could not be moved to {path}")
 
     writer = rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

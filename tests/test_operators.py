@@ -230,3 +230,66 @@ def test_stream_append_is_idempotent(spark, tmp_path):
         stream = spark.readStream.schema(df.schema).parquet(str(source))
         append.append_stream(stream, path, str(tmp_path / run)).awaitTermination()
     assert spark.read.parquet(path).count() == 2
+
+
+def test_stream_append_leaves_nothing_of_a_failed_batch(spark, tmp_path, monkeypatch):
+    """The write of a micro-batch fails after some files; the retry stores all of its rows."""
+    path, source = str(tmp_path / "table"), tmp_path / "source"
+    df = spark.createDataFrame([(f"s{i % 3}", f"b{i}", i) for i in range(30)], "series_id string, batch_key string, v int")
+    df.write.parquet(str(source))
+    broken = tmp_path / "table-staged"
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    write = DataFrameWriter.parquet
+
+    def halfway(self, to, *args, **kwargs):
+        write(self, to, *args, **kwargs)
+        if "-staged" in to and not (tmp_path / "failed").exists():
+            (tmp_path / "failed").touch()
+            raise OSError("lost")
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", halfway)
+    stream = lambda: append.append_stream(spark.readStream.schema(df.schema).parquet(str(source)), path, str(tmp_path / "c"))
+    with pytest.raises(Exception, match="lost"):
+        stream().awaitTermination()
+    assert broken.exists() and not list(tmp_path.glob("table/micro_batch=*"))
+    stream().awaitTermination()
+    assert spark.read.parquet(path).count() == 30
+
+
+def test_daily_counts(spark):
+    fixes = spark.sql("select * from values ('a', timestamp'2024-01-01 01:00'), ('a', timestamp'2024-01-01 23:00'), ('a', timestamp'2024-01-02 00:00'), ('b', timestamp'2024-01-02 05:00') as t(entity_id, observed_at)")
+    assert sorted(r["count"] for r in append.daily_counts(fixes).collect()) == [1, 1, 2]
+
+
+def test_spatial_join_of_repeated_rows_and_odd_layers(spark):
+    square = lambda x, y, d: [[(x, y), (x + d, y), (x + d, y + d), (x, y + d), (x, y)]]
+    kind = "tie int, name string, rings array<array<struct<x:double,y:double>>>"
+    layer = spark.createDataFrame([(1, "small", square(0.0, 0.0, 0.001)), (2, "wide", square(-170.0, -80.0, 160.0)), (3, "far", square(100.0, 50.0, 1.0))], kind)
+    points = spark.createDataFrame([(1, 0.0005, 0.0005), (1, 0.0005, 0.0005), (2, -20.0, 3.0), (3, 100.5, 51.0), (4, None, 1.0), (5, 179.0, 89.0)], "i int, x double, y double")
+    r = sorted((p.i, p.name or "", p.matches) for p in joins.spatial_join(points, layer, "x", "y", "rings", "tie", ["name"]).collect())
+    assert r == [(1, "small", 1), (1, "small", 1), (2, "wide", 1), (3, "far", 1), (4, "", 0), (5, "", 0)]
+    assert joins.spatial_join(points, layer.limit(0), "x", "y", "rings", "tie", ["name"]).where("matches = 0").count() == 6
+
+
+def test_route_overlap_clips_what_meets(spark):
+    square = [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]]
+    layer = spark.createDataFrame([("in", square), ("out", [[(x + 40, y) for x, y in square[0]]])], "name string, rings array<array<struct<x:double,y:double>>>")
+    df = spark.sql("select * from values ('a', timestamp'2024-01-01 01:00', -1.0D, 0.5D), ('a', timestamp'2024-01-01 02:00', 3.0D, 0.5D), ('b', timestamp'2024-01-01 02:00', 5.0D, 5.0D) as t(entity_id, observed_at, longitude, latitude)")
+    r = {(x.name, x.entity_id): x for x in movement.route_overlap(df, layer).collect()}
+    assert len(r) == 4 and abs(r["in", "a"].share - 0.25) < 1e-9 and r["out", "a"].share == r["in", "b"].share == 0 and r["in", "a"].points_inside == 0
+    assert abs(r["out", "a"].path_km - r["in", "a"].inside_km * 4) < 1e-6
+
+
+def test_joins_keep_repeated_and_null_rows(spark):
+    left = spark.sql("select * from values ('a', timestamp'2024-01-03'), ('a', timestamp'2024-01-03'), (null, timestamp'2024-01-03'), ('a', null) as t(k, at)")
+    rain = spark.sql("select * from values ('a', timestamp'2024-01-01', timestamp'2024-01-02', 2.0D) as t(k, s, e, v)")
+    assert sorted(str(r.rain) for r in joins.window_sum(left, rain, ["k"], "at", "s", "e", "v", "rain", 7 * 86_400).collect()) == ["2.0", "2.0", "None", "None"]
+    assert sorted(str(r.total) for r in joins.preceding_days_sum(left, rain, ["k"], "at", "s", "e", "v", 7).collect()) == ["2.0", "2.0", "None", "None"]
+    assert joins.validity_join(left.withColumn("at", F.expr("at - interval 36 hours")), rain, ["k"], "at", "s", "e", ["v"], 86_400).count() == 2
+    right = rain.select("k", F.col("s").alias("rt"), F.lit(1).alias("tie"), "v").union(spark.sql("select null, timestamp'2024-01-01', 1, 9.0D"))
+    assert sorted(str(r.v) for r in joins.asof_join(left, right, ["k"], "at", "rt", "tie", 5 * 86_400, ["v"]).collect()) == ["2.0", "2.0", "None", "None"]
+    with pytest.raises(CheckFailed, match="KEY_TYPE"):
+        joins.join_checked(left, rain.withColumn("k", F.lit(1)), [("k", "k")], ["v"])
+    with pytest.raises(CheckFailed, match="KEY_UNIT"):
+        joins.join_checked(left, rain, [("k", "k")], ["v"], left_units={"k": "m"}, right_units={"k": "km"})
