@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batches_of, forget
+from .common import batches_of, forget, small_batches
 
 UNIT, RATE = 576, 20_000
 #: Resampling by UP / DOWN to 8 kHz; frames of FRAME samples, one each HOP; BANDS mel bands; segments of STEPS x BANDS.
@@ -168,4 +168,5 @@ def media_features(docs: DataFrame) -> DataFrame:
     Equal texts have equal rows but for doc_id; repeated rows are rows of their own; long texts are kept whole. Columns
     other than doc_id and text are ignored.
     """
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_run, _SCHEMA)

@@ -105,6 +105,14 @@ def storage_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/meadowlark-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets Arrow batches of 1,024 rows where the session still has Spark's default of 10,000: texts are long, and a
+    batch is held by the executor and by the Python worker at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1024")
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts the lineage and survives lost executors."""
     path = storage_folder(df.sparkSession)

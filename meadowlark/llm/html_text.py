@@ -10,7 +10,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batches_of, forget
+from .common import batches_of, forget, small_batches
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style template iframe textarea title svg select option".split())
@@ -261,4 +261,5 @@ def extract(pages: DataFrame) -> DataFrame:
     heed to classes and names. A null or empty page has an empty text; a page of another form is read as it is. Repeated
     rows are rows of their own; very long pages are read whole.
     """
+    small_batches(pages.sparkSession)
     return pages.select("page_id", "url", "html").mapInArrow(_run, "page_id long, url string, text string, n_chars long")

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, forget, is_held_out, worker_memo
+from .common import batches_of, forget, is_held_out, small_batches, worker_memo
 
 #: Families of languages. A language that isn't listed is a family of its own.
 FAMILIES = {
@@ -257,4 +257,5 @@ def predict(docs: DataFrame, models: Models) -> DataFrame:
                 sure.append(p * q)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.string()), pa.array(sure, pa.float64())], ["doc_id", "lang_pred", "score"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, WordHasher, batches_of, forget, mix, rolling, shingle_units, signed, stored
+from .common import GOLDEN, WordHasher, batches_of, forget, mix, rolling, shingle_units, signed, small_batches, stored
 from .graph import connected_components
 
 _U = np.uint64
@@ -140,6 +140,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k
     that is null too). doc_id is the key: rows that repeat an id with another text count as one document.
     Rows of null doc_id take class_id from an equal text, else null. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     narrow = docs.select("doc_id", F.when(F.col("text").isNotNull(), F.sha2("text", 256)).alias("sha"))
     groups = narrow.where("sha is not null").groupBy("sha").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")).where("n > 1").drop("n")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, forget, stored, worker_memo
+from .common import batches_of, forget, small_batches, stored, worker_memo
 
 CAPACITY, END = 2048, 0
 
@@ -111,6 +111,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
 
     A null text counts as empty, which gives the end id alone.
     """
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_pieces(path or tokenizer_path(), capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

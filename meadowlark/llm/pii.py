@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, forget, stored
+from .common import batches_of, forget, small_batches, stored
 
 #: In the order in which equal starts are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -179,6 +179,7 @@ def discover(scanned: DataFrame, rounds: int = 3, support: int = 5, confidence:
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     return stored(keyed.mapInArrow(_scan, f"doc_id long, text_key long, base {_SPAN_DDL}, more {_SPAN_DDL}, base_sha256 string"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import GOLDEN, WordHasher, batches_of, forget, is_held_out, mix, stored
+from .common import GOLDEN, WordHasher, batches_of, forget, is_held_out, mix, small_batches, stored
 
 #: Hashed features. L1 leaves a few thousand weights; at most 16 MB could be broadcast.
 DIMENSION = 1 << 20
@@ -124,6 +124,7 @@ def keep_clean(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3) ->
 
 def _scored(docs: DataFrame, weights: np.ndarray, name: str, names: list[str]) -> DataFrame:
     """Columns ``names`` of ``docs`` and the score as ``name``."""
+    small_batches(docs.sparkSession)
     at = np.flatnonzero(weights)
     sent = docs.sparkSession.sparkContext.broadcast((at, weights[at]))
 
