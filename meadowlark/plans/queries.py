@@ -1078,7 +1078,7 @@ def _(v):
 
 
 @query("deterministic_tags", "datasets", f"""WITH {_LATEST} SELECT dataset_id, 'variable:' || unnest(variables) AS tag FROM latest UNION SELECT dataset_id, 'year:' || unnest(range(year("start"), year("end") + 1)) FROM latest
-    UNION SELECT dataset_id, 'region:box' FROM latest WHERE {_SHARE} >= 0.05 UNION SELECT dataset_id, 'source:' || family FROM latest""")
+    UNION SELECT dataset_id, 'region:box' FROM latest WHERE west IS NOT NULL AND {_SHARE} >= 0.05 UNION SELECT dataset_id, 'source:' || family FROM latest""")
 def _(v):
     box = v.spark.createDataFrame([("box", *REGION)], "region string, west double, south double, east double, north double")
     return catalog.dataset_tags(catalog.latest_datasets(v.datasets), box, "family")
