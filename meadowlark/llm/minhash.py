@@ -209,9 +209,12 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Rows of null doc_id can't be named as members: one of each text stays.
     """
     classes = near_duplicates(docs, **options).where("doc_id is not null")
-    keep = stored(classes.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")))
-    kept = docs.join(keep.select("doc_id"), "doc_id", "left_semi")
-    repeated = keep.where("n > 1").select("doc_id")
+    # Ids that go (0) and ids of several rows; most documents are in neither.
+    counts = stored(classes.groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("class_id")).alias("n")).where("n <> 1"))
+    # The list has no bound but the number of documents, so it is never broadcast: each size has the same plan.
+    gone = counts.where("n = 0").select("doc_id").hint("shuffle_hash")
+    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
+    repeated = counts.where("n > 1").select("doc_id")
     if not repeated.isEmpty():
         kept = kept.join(repeated, "doc_id", "left_anti").union(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return kept.select(docs.columns).union(docs.where("doc_id is null").dropDuplicates(["text"]))
