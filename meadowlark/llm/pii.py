@@ -216,9 +216,10 @@ def redact(docs: DataFrame, rounds: int = 3, support: int = 5, confidence: float
     """``docs`` with [EMAIL], [IP], [CARD] or [PHONE] in place of every span that ``find`` gives, and n_chars to match.
 
     Of overlapping spans the first one is named; all are covered. Null texts stay null. The texts are joined only with
-    documents to which contexts add spans; base spans are found again on the way.
+    documents to which contexts add spans; base spans are found again on the way. These documents are stored first, so
+    that Spark knows how few they are: it broadcasts their spans up to its threshold, and shuffles the texts beyond it.
     """
-    added = _added(_scanned(docs), rounds, support, confidence)
+    added = stored(_added(_scanned(docs), rounds, support, confidence))
     names = docs.columns
     joined = docs.join(added, F.col("doc_id").eqNullSafe(F.col("_span_doc")) & (F.xxhash64("text") == F.col("_span_text")), "left").select(*names, "_spans")
 
