@@ -650,6 +650,18 @@ def test_near_duplicates_of_dense_groups(spark):
     assert got == classes_by_hand(rows)
 
 
+def test_one_document_of_each_class_stays(spark):
+    """Against the classes, by hand: ids of several texts, null ids and a column that clashes."""
+    one, two = (" ".join(f"{w}{i}" for i in range(30)) for w in "ab")
+    rows = [(3, two, 1), (5, one, 2), (5, two, 3), (7, two, 4), (9, one, 5), (9, one, 5), (11, "", 6), (12, None, 7), (None, two, 8), (None, two, 9), (None, None, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    own = {r.doc_id for r in minhash.near_duplicates(df).collect() if r.doc_id is not None and r.doc_id == r.class_id}
+    kept = minhash.keep_one(df).collect()
+    assert {r.doc_id for r in kept if r.doc_id is not None} == own == {3, 5, 11, 12}
+    assert sorted((r.text for r in kept if r.doc_id is None), key=str) == sorted([two, None], key=str)
+    assert {(r.doc_id, r.text) for r in kept if r.doc_id == 5} <= {(5, one), (5, two)}
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(2)
     shared, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (800, 100, 100))
