@@ -73,10 +73,20 @@ def series_summary(rows: DataFrame, by: Sequence[str], taxon: str = "") -> DataF
                                  F.array_sort(F.collect_set("variable")).alias("variables"), F.count_distinct("cell").alias("cells"), *taxa)
 
 
-def upsert_entities(current: DataFrame, new: DataFrame, key: str = "entity_id", texts: Sequence[str] = (), first: Sequence[str] = (), last: Sequence[str] = ()) -> DataFrame:
-    """Current entities with new values: texts are replaced by non-null ones, ``first`` keep the least, ``last`` the greatest."""
-    both = current.select(key, *(F.col(c).alias(f"_old_{c}") for c in (*texts, *first, *last))).join(new.select(key, *texts, *first, *last), key, "full")
-    return both.select(key, *(F.coalesce(c, f"_old_{c}").alias(c) for c in texts), *(F.least(c, f"_old_{c}").alias(c) for c in first), *(F.greatest(c, f"_old_{c}").alias(c) for c in last))
+def merged_json(old: Column, new: Column) -> Column:
+    """Two JSON objects as one: of a key in both, the new value; null beside an object counts as empty."""
+    kind = "map<string,variant>"
+    before, after = F.from_json(old, kind), F.from_json(new, kind)
+    both = F.map_concat(F.map_filter(before, lambda k, _: ~F.map_contains_key(after, k)), after)
+    return F.when(before.isNull(), new).when(after.isNull(), old).otherwise(F.to_json(both))
+
+
+def upsert_entities(current: DataFrame, new: DataFrame, key: str = "entity_id", texts: Sequence[str] = (), first: Sequence[str] = (), last: Sequence[str] = (), objects: Sequence[str] = ()) -> DataFrame:
+    """Current entities with new values: texts are replaced by non-null ones, ``first`` keep the least, ``last`` the
+    greatest, and JSON ``objects`` are merged by key."""
+    both = current.select(key, *(F.col(c).alias(f"_old_{c}") for c in (*texts, *first, *last, *objects))).join(new.select(key, *texts, *first, *last, *objects), key, "full")
+    merged = (merged_json(F.col(f"_old_{c}"), F.col(c)).alias(c) for c in objects)
+    return both.select(key, *(F.coalesce(c, f"_old_{c}").alias(c) for c in texts), *(F.least(c, f"_old_{c}").alias(c) for c in first), *(F.greatest(c, f"_old_{c}").alias(c) for c in last), *merged)
 
 
 def split_by_study(registry: DataFrame, manifest: str = "raw_manifest", path: str = "$.study") -> DataFrame:

@@ -1,6 +1,7 @@
 """Hand-computed cases: nulls, ties, exact bounds, failures."""
 
 import datetime as dt
+import json
 import math
 
 import pytest
@@ -293,3 +294,10 @@ def test_joins_keep_repeated_and_null_rows(spark):
         joins.join_checked(left, rain.withColumn("k", F.lit(1)), [("k", "k")], ["v"])
     with pytest.raises(CheckFailed, match="KEY_UNIT"):
         joins.join_checked(left, rain, [("k", "k")], ["v"], left_units={"k": "m"}, right_units={"k": "km"})
+
+
+def test_upsert_merges_json_objects(spark):
+    old = spark.createDataFrame([("a", '{"x": 1, "y": "old"}'), ("b", '{"k": true}'), ("c", None)], "entity_id string, notes string")
+    new = spark.createDataFrame([("a", '{"y": "new", "z": {"n": [1, 2]}}'), ("b", None), ("c", '{"m": 2.5}'), ("d", '{"q": "7"}')], "entity_id string, notes string")
+    found = {r.entity_id: json.loads(r.notes) for r in series.upsert_entities(old, new, objects=["notes"]).collect()}
+    assert found == {"a": {"x": 1, "y": "new", "z": {"n": [1, 2]}}, "b": {"k": True}, "c": {"m": 2.5}, "d": {"q": "7"}}
