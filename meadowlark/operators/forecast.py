@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import quantiles
+
 # Least evidence, ridge strength, and the margin by which a model must beat its baseline.
 MIN_TRAIN_ROWS, MIN_HOLDOUT_ROWS, MIN_OWN_HOLDOUT = 10, 30, 5
 ALPHA, MIN_SD, MARGIN = 1.0, 1e-8, 1e-9
@@ -97,7 +99,7 @@ def choose(baseline_mae: Column, model_mae: Column) -> Column:
 
 def residual_band(test: DataFrame, predicted: str = "baseline") -> DataFrame:
     residual = F.col("target") - F.col(predicted)
-    return test.agg(F.percentile(residual, F.lit(0.1)).alias("p10"), F.percentile(residual, F.lit(0.9)).alias("p90"))
+    return quantiles(test, {"p10": (residual, 0.1), "p90": (residual, 0.9)})
 
 
 def forward(df: DataFrame, band: DataFrame, horizon: int, model: Ridge | None = None, rain: float | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import geodesic_km, haversine_km, inside_fraction, point_in_polygon, segment_km
 from .joins import CellSpread
+from .relational import quantiles
 
 Distance = Callable[[Column, Column, Column, Column], Column]
 
@@ -57,10 +58,12 @@ def daily_movement_haversine(fixes: DataFrame, keys: Sequence[str] = ()) -> Data
 def movement_summary(df: DataFrame) -> DataFrame:
     """One row: animals, rows, days, displacements, missing ones, their sum and median, gap days, first and last day."""
     totals = df.agg(F.count_distinct("entity_id").alias("animals"), F.count("*").alias("rows"), F.count_distinct("day").alias("days"), F.count("displacement_km").alias("displacements"),
-                    F.count_if(F.col("displacement_km").isNull()).alias("missing"), F.sum("displacement_km").alias("total_km"), F.median("displacement_km").alias("median_km"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+                    F.count_if(F.col("displacement_km").isNull()).alias("missing"), F.sum("displacement_km").alias("total_km"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
     # A gap day is one of an animal's own span without a row.
     spans = df.groupBy("entity_id").agg((F.datediff(F.max("day"), F.min("day")) + 1 - F.count_distinct("day")).alias("gaps"))
-    return totals.crossJoin(spans.agg(F.sum("gaps").alias("gap_days")))
+    median = quantiles(df, {"median_km": (F.col("displacement_km"), 0.5)})
+    out = totals.crossJoin(F.broadcast(median)).crossJoin(F.broadcast(spans.agg(F.sum("gaps").alias("gap_days"))))
+    return out.select("animals", "rows", "days", "displacements", "missing", "total_km", "median_km", "first_day", "last_day", "gap_days")
 
 
 def missing_days(df: DataFrame) -> DataFrame:
@@ -155,7 +158,7 @@ def residence_time(df: DataFrame, value: str = "vegetation_index", max_gap_hours
     usable = steps.where("state = 'usable'")
     half = (F.col("hours") / 2).alias("hours")
     ends = usable.select("entity_id", "observed_at", F.col(value).alias("value"), half).unionByName(usable.select("entity_id", F.col("next_observed_at").alias("observed_at"), F.col(f"next_{value}").alias("value"), half))
-    threshold = ends.dropDuplicates(["entity_id", "observed_at"]).agg(F.median("value").alias("threshold"))
+    threshold = quantiles(ends.groupBy("entity_id", "observed_at").agg(F.max("value").alias("value")), {"threshold": (F.col("value"), 0.5)})
     spent = ends.crossJoin(F.broadcast(threshold)).groupBy("entity_id", "threshold").agg(
         F.sum("hours").alias("hours"), F.coalesce(F.sum(F.when(F.col("value") > F.col("threshold"), F.col("hours"))), F.lit(0.0)).alias("hours_above"), (F.sum(F.col("value") * F.col("hours")) / F.sum("hours")).alias("weighted_mean"))
     left_out = steps.groupBy("entity_id").agg(*(F.coalesce(F.sum(F.when(F.col("state") == s, F.col("hours"))), F.lit(0.0)).alias(f"{s}_hours") for s in ("gap", "unmeasured")), F.count_if(F.col("state") == "usable").alias("intervals"))

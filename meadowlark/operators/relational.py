@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -164,6 +164,35 @@ def average_rank(df: DataFrame, column: str, output: str, by: Sequence[str] = ()
     return df.join(ranks, [*by, column], "left")
 
 
+def quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, float]], accuracy: int = 100_000) -> DataFrame:
+    """One row: for each name the exact quantile of a column's non-null values, with linear interpolation; null without any.
+
+    Approximate quantiles of bounded size give two values that a wanted one lies between. What is below and above these is
+    only counted, so that a task orders the distinct values between them, some 4 in ``accuracy`` of the rows.
+    """
+    margin = 2 / accuracy
+    shares = [q for _, q in wanted.values()]
+    values = df.select(*(c.cast("double").alias(f"v{i}") for i, (c, _) in enumerate(wanted.values())))
+    ends = values.agg(*(F.struct(F.count(f"v{i}").alias("n"), F.percentile_approx(f"v{i}", [max(0.0, q - margin), min(1.0, q + margin)], accuracy).alias("at")).alias(f"e{i}") for i, q in enumerate(shares)))
+    each = [F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v"), F.col(f"e{i}.n").alias("total"), F.col(f"e{i}.at").alias("at")) for i in range(len(shares))]
+    rows = values.crossJoin(F.broadcast(ends)).select(F.inline(F.array(*each))).where("v is not null")
+    side = F.when(F.col("v") < F.col("at")[0], -1).when(F.col("v") > F.col("at")[1], 1).otherwise(0)
+    counted = rows.groupBy("i", "total", side.alias("side"), F.when(side == 0, F.col("v")).alias("inside")).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("greatest"))
+    upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("i").orderBy("side", "inside")))
+    position = F.array(*map(F.lit, shares))[F.col("i")] * (F.col("total") - 1)
+    placed = upto.withColumns({"start": F.col("upto") - F.col("n"), "position": position})
+
+    def ranked(rank: Column) -> Column:
+        missed = F.raise_error(F.lit("a quantile lies outside its bounds")).cast("double")
+        value = F.when(F.col("side") == 0, F.col("inside")).when((F.col("side") < 0) & (rank == F.col("upto") - 1), F.col("greatest")).when((F.col("side") > 0) & (rank == F.col("start")), F.col("least")).otherwise(missed)
+        return F.max(F.when((F.col("start") <= rank) & (rank < F.col("upto")), value))
+
+    found = placed.groupBy("i", "position").agg(ranked(F.floor("position")).alias("low"), ranked(F.ceil("position")).alias("high"))
+    part = F.col("position") - F.floor("position")
+    value = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((1 - part) * F.col("low") + part * F.col("high"))
+    return found.agg(*(F.max(F.when(F.col("i") == i, value)).alias(name) for i, name in enumerate(wanted)))
+
+
 def point_rows(df: DataFrame, lon: str, lat: str) -> DataFrame:
     """Rows as GeoJSON: a geometry text and all other columns as a properties text."""
     rest = [c for c in df.columns if c not in (lon, lat)]

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import average_rank
+from .relational import average_rank, quantiles
 
 # The least evidence for a habitat comparison.
 MIN_HABITAT_SIDE, MIN_HABITAT_PAIRS = 2, 4
@@ -22,11 +22,13 @@ def statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A row a column: n, missing, mean, sample sd (null if n < 2), min, quartiles, max of its finite values."""
     def of(c: str) -> Column:
         v = finite(c)
-        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         sd = F.when(F.count(v) >= 2, F.stddev_samp(v))
-        return F.struct(F.lit(c).alias("column"), F.count(v).alias("n"), F.count_if(v.isNull()).alias("missing"), F.avg(v).alias("mean"), sd.alias("sd"), F.min(v).alias("min"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.max(v).alias("max"))
+        return F.struct(F.count(v).alias("n"), F.count_if(v.isNull()).alias("missing"), F.avg(v).alias("mean"), sd.alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"))
 
-    return df.agg(F.array(*map(of, columns)).alias("s")).select(F.inline("s"))
+    quarters = {f"q{i}_{j}": (finite(c), j / 4) for i, c in enumerate(columns) for j in (1, 2, 3)}
+    one = df.agg(*(of(c).alias(f"s{i}") for i, c in enumerate(columns))).crossJoin(F.broadcast(quantiles(df, quarters)))
+    rows = [F.struct(F.lit(c).alias("column"), *(F.col(f"s{i}.{f}").alias(f) for f in ("n", "missing", "mean", "sd", "min")), *(F.col(f"q{i}_{j}").alias(f) for j, f in enumerate(("q1", "median", "q3"), 1)), F.col(f"s{i}.max").alias("max")) for i, c in enumerate(columns)]
+    return one.select(F.inline(F.array(*rows)))
 
 
 def distribution(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
@@ -43,10 +45,12 @@ def habitat_split(df: DataFrame, environment: str, value: str = "displacement_km
     No row without four rows that have both.
     """
     both = df.where(F.col(environment).isNotNull() & F.col(value).isNotNull())
-    middle = both.agg(F.median(environment).alias("threshold"))
+    middle = quantiles(both, {"threshold": (F.col(environment), 0.5)})
     above = F.col(environment) > F.col("threshold")
-    split = both.crossJoin(F.broadcast(middle)).agg(F.max("threshold").alias("threshold"), F.count("*").alias("pairs"), F.count_if(above).alias("n_above"), F.count_if(~above).alias("n_below"),
-                                                    F.median(F.when(above, F.col(value))).alias("median_above"), F.median(F.when(~above, F.col(value))).alias("median_below"))
+    sides = both.crossJoin(F.broadcast(middle))
+    counts = sides.agg(F.max("threshold").alias("threshold"), F.count("*").alias("pairs"), F.count_if(above).alias("n_above"), F.count_if(~above).alias("n_below"))
+    medians = quantiles(sides, {"median_above": (F.when(above, F.col(value)), 0.5), "median_below": (F.when(~above, F.col(value)), 0.5)})
+    split = counts.crossJoin(F.broadcast(medians))
     enough = lambda n, c: F.when(F.col(n) >= MIN_HABITAT_SIDE, F.col(c)).alias(c)
     return split.where(F.col("pairs") >= MIN_HABITAT_PAIRS).select("threshold", "pairs", "n_above", "n_below", enough("n_above", "median_above"), enough("n_below", "median_below"))
 
@@ -81,7 +85,9 @@ def trend(df: DataFrame, variables: Sequence[str]) -> DataFrame:
 
 def environment_summary(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     """(variable, n, median)."""
-    return df.agg(F.array(*(F.struct(F.lit(v).alias("variable"), F.count(v).alias("n"), F.median(v).alias("median")) for v in variables)).alias("s")).select(F.inline("s"))
+    medians = quantiles(df, {f"m{i}": (F.col(v), 0.5) for i, v in enumerate(variables)})
+    one = df.agg(*(F.count(v).alias(f"n{i}") for i, v in enumerate(variables))).crossJoin(F.broadcast(medians))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("median")) for i, v in enumerate(variables)))))
 
 
 def regional_median(vegetation: DataFrame) -> DataFrame:

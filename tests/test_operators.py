@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -301,3 +302,17 @@ def test_upsert_merges_json_objects(spark):
     new = spark.createDataFrame([("a", '{"y": "new", "z": {"n": [1, 2]}}'), ("b", None), ("c", '{"m": 2.5}'), ("d", '{"q": "7"}')], "entity_id string, notes string")
     found = {r.entity_id: json.loads(r.notes) for r in series.upsert_entities(old, new, objects=["notes"]).collect()}
     assert found == {"a": {"x": 1, "y": "new", "z": {"n": [1, 2]}}, "b": {"k": True}, "c": {"m": 2.5}, "d": {"q": "7"}}
+
+
+@pytest.mark.parametrize("accuracy", [50, 100_000])
+@pytest.mark.parametrize("kind", ["distinct", "ties", "constant", "two", "one", "none"])
+def test_quantiles_are_those_of_sorted_values(spark, kind, accuracy):
+    draw = np.random.default_rng(7)
+    values = {"distinct": draw.normal(size=4001), "ties": draw.integers(0, 9, 3000) / 4, "constant": np.full(500, 2.5), "two": np.array([1.0, 4.0]), "one": np.array([3.0]), "none": np.array([])}[kind]
+    rows = [(float(v),) for v in values] + [(None,)] * 3
+    df = spark.createDataFrame(rows, "v double").repartition(5)
+    shares = {f"q{i}": q for i, q in enumerate((0.0, 0.1, 0.25, 0.5, 0.9, 1.0))}
+    got = relational.quantiles(df, {n: (F.col("v"), q) for n, q in shares.items()}, accuracy).collect()
+    assert len(got) == 1
+    for n, q in shares.items():
+        assert got[0][n] == (pytest.approx(float(np.quantile(values, q)), rel=1e-12, abs=1e-12) if len(values) else None)
