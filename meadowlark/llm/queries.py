@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, audio, html_text, langid, minhash, mixing, packing, pii, substring_dedup, toxicity
+from . import ann, audio, conversations, html_text, langid, minhash, mixing, packing, pii, substring_dedup, toxicity
 from .common import is_held_out, table
 
 
@@ -57,8 +57,14 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repaired = conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+    hashes = conversations.repaired_hashes(repaired.turns).withColumnRenamed("conv_id", "_conv")
+    return repaired.summary.join(hashes, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_toxicity, op4_best_fit_packing, op5_contextual_pii, op6_permutation_index, op7_main_text, op8_language_id, op9_audio_features, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_toxicity, op4_best_fit_packing, op5_contextual_pii, op6_permutation_index, op7_main_text, op8_language_id, op9_audio_features, op10_near_duplicates, op13_conversation_repair)}
 
 
 OP2_SQL = r"""
@@ -90,5 +96,53 @@ FROM running d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
 """
 
 
+def _op13_sql() -> str:
+    """The cheapest edits as a recursion over rows: for each state the least (cost, edits, lines) that reach it."""
+    crc = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(key, ''), lambda ch: ascii(ch)::BIGINT)),
+        lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+    def edited(state: str, cost: str, edit: str, line: str = "") -> str:
+        lines = f"{state}.o || chr(10) || {line}" if line else f"{state}.o"
+        return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 'o': {lines}}} END"
+
+    least = lambda *states: f"list_sort(list_filter([{', '.join(states)}], lambda e: e IS NOT NULL))[1]"
+    kept = lambda state, initial: f"CASE WHEN NOT goes AND left(role, 1) = '{initial}' THEN {edited(state, 'cut', 'K', chr(39) * 2 + ' || role || ' + chr(39) + ':' + chr(39) + ' || text')} END"
+    put = lambda state, role: f"CASE WHEN NOT goes THEN {edited(state, '3 + cut', 'R', f'{chr(39)}{role}:{chr(39)} || text')} END"
+    insert = lambda state, role: edited(state, "3", "I", f"'{role}:'")
+    gone = lambda state: edited(state, "4", "D")
+    return f"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+hashed AS (SELECT *, ({crc}) % 20 AS how FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE how WHEN 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE how WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hashed),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair,
+         right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last
+  FROM numbered),
+faults AS (
+  SELECT *, last = '' AS blank, last <> '' AND nth > 1 AS duplicate, last <> '' AND nth = 1 AND last NOT IN ('.', '!', '?') AS truncated FROM ordered),
+coded AS (SELECT conv_id, i, role, text, blank OR duplicate AS goes, CASE WHEN truncated THEN 3 ELSE 0 END AS cut FROM faults),
+counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+         count(*) FILTER (truncated) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id),
+closed AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'o': ''}} AS n, NULL::STRUCT(c BIGINT, a VARCHAR, o VARCHAR) AS s, {{'c': 3::BIGINT, 'a': 'I', 'o': chr(10) || 'user:'}} AS u,
+         {{'c': 6::BIGINT, 'a': 'II', 'o': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS a FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, n, s, u, {least("a", insert("u", "assistant"))} AS a FROM (
+    SELECT conv_id, i, n, s, {least("u", insert("n", "user"), insert("s", "user"), insert("a", "user"))} AS u, a FROM (
+      SELECT d.conv_id, d.i + 1 AS i, {gone("n")} AS n, {least(gone("s"), kept("n", "s"))} AS s,
+             {least(gone("u"), kept("n", "u"), kept("s", "u"), kept("a", "u"), put("n", "user"), put("s", "user"), put("a", "user"))} AS u,
+             {least(gone("a"), kept("u", "a"), put("u", "assistant"))} AS a
+      FROM closed d JOIN coded c ON c.conv_id IS NOT DISTINCT FROM d.conv_id AND c.i = d.i + 1)))
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       least(d.n, d.a).c AS cost, least(d.n, d.a).a AS audit, sha256(substr(least(d.n, d.a).o, 2)) AS repaired_sha256
+FROM closed d LEFT JOIN counts k ON k.conv_id IS NOT DISTINCT FROM d.conv_id WHERE d.i = coalesce(k.n, 0)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op13_conversation_repair": _op13_sql()}
