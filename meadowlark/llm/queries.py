@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, audio, conversations, html_text, langid, minhash, mixing, packing, pii, substring_dedup, toxicity
+from . import ann, audio, conversations, html_text, langid, licenses, minhash, mixing, packing, pii, substring_dedup, toxicity
 from .common import is_held_out, table
 
 
@@ -57,6 +57,14 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents")).withColumn("base", F.filter("spans", lambda s: s["exact"]))
+    labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    starts = F.transform("base", lambda s: s["first"])
+    score = F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0))
+    return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), labels("base").alias("base_labels"), labels("spans").alias("labels"), score.alias("score"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     repaired = conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
     hashes = conversations.repaired_hashes(repaired.turns).withColumnRenamed("conv_id", "_conv")
@@ -64,7 +72,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_toxicity, op4_best_fit_packing, op5_contextual_pii, op6_permutation_index, op7_main_text, op8_language_id, op9_audio_features, op10_near_duplicates, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_toxicity, op4_best_fit_packing, op5_contextual_pii, op6_permutation_index, op7_main_text, op8_language_id, op9_audio_features, op10_near_duplicates, op12_license_scan, op13_conversation_repair)}
 
 
 OP2_SQL = r"""
@@ -96,6 +104,33 @@ FROM running d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
 """
 
 
+def _op12_sql() -> str:
+    """Phrases by comparing words at every place; notices by runs of words that stand in both, and their offsets."""
+    values = lambda rows: ", ".join(f"({i}, '{text}', '{label}')" for i, (text, label) in enumerate(rows))
+    k = licenses.NOTICE_K
+    return f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+placed AS (SELECT r, w, unnest(range(len(w))) AS p FROM docs),
+phrases AS (SELECT label, string_split(words, ' ') AS words FROM (VALUES {values(licenses.PHRASES)}) t(i, words, label)),
+notices AS (SELECT i, label, string_split(words, ' ') AS words FROM (VALUES {values(licenses.NOTICES)}) t(i, words, label)),
+base AS (SELECT r, label, p FROM placed JOIN phrases ON w[p + 1] = words[1] AND w[p + 1 : p + len(words)] = words),
+grams AS (SELECT i, label, len(words) AS length, q, words[q + 1 : q + {k}] AS gram FROM (SELECT *, unnest(range(len(words) - {k} + 1)) AS q FROM notices)),
+hits AS (SELECT r, i, label, length, p, q, p - q AS d FROM placed JOIN grams ON w[p + 1] = gram[1] AND w[p + 1 : p + {k}] = gram),
+fresh AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY r, i ORDER BY d) <= {licenses.NEAR} THEN 0 ELSE 1 END AS fresh FROM (SELECT DISTINCT r, i, d FROM hits)),
+parts AS (SELECT r, i, d, sum(fresh) OVER (PARTITION BY r, i ORDER BY d) AS part FROM fresh),
+spans AS (
+  SELECT r, i, label, length, part, min(p) AS first, max(p) + {k} - 1 AS last, list_distinct(flatten(list(range(q, q + {k})))) AS places
+  FROM hits JOIN parts USING (r, i, d) GROUP BY r, i, label, length, part),
+good AS (SELECT r, label, len(places) / length::DOUBLE AS score FROM spans WHERE len(places) / length::DOUBLE >= {licenses.COVERED} AND last - first + 1 <= length * {licenses.STRETCHED}),
+every AS (SELECT r, label, 1.0::DOUBLE AS score FROM base UNION ALL SELECT * FROM good),
+counts AS (SELECT r, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY r),
+named AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM every GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM docs LEFT JOIN counts USING (r) LEFT JOIN named USING (r)
+"""
+
+
 def _op13_sql() -> str:
     """The cheapest edits as a recursion over rows: for each state the least (cost, edits, lines) that reach it."""
     crc = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(key, ''), lambda ch: ascii(ch)::BIGINT)),
@@ -145,4 +180,4 @@ FROM closed d LEFT JOIN counts k ON k.conv_id IS NOT DISTINCT FROM d.conv_id WHE
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2_SQL, "op13_conversation_repair": _op13_sql()}
+    return {"op2_mix_sources": OP2_SQL, "op12_license_scan": _op12_sql(), "op13_conversation_repair": _op13_sql()}
