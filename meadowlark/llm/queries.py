@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, audio, conversations, html_text, langid, licenses, minhash, mixing, packing, pii, substring_dedup, toxicity
+from . import ann, audio, conversations, html_text, langid, licenses, minhash, mixing, packing, pii, spelling, substring_dedup, toxicity
 from .common import is_held_out, table
 
 
@@ -57,6 +57,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(spelling.damaged_runs(table(spark, sf_dir, "documents"))))
+
+
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents")).withColumn("base", F.filter("spans", lambda s: s["exact"]))
     labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
@@ -72,7 +76,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_toxicity, op4_best_fit_packing, op5_contextual_pii, op6_permutation_index, op7_main_text, op8_language_id, op9_audio_features, op10_near_duplicates, op12_license_scan, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_toxicity, op4_best_fit_packing, op5_contextual_pii, op6_permutation_index, op7_main_text, op8_language_id, op9_audio_features, op10_near_duplicates, op11_spelling_variants, op12_license_scan, op13_conversation_repair)}
 
 
 OP2_SQL = r"""
