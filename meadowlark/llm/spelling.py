@@ -96,20 +96,13 @@ class Trie:
 
     def near(self, word: str) -> list[tuple[str, int]]:
         """(word, n) of the words one edit away."""
-        counts, found = letter_counts(word), []
+        # One edit leaves the first or the second half of the shorter word as it is.
+        half = (len(word) - 1) // 2
+        counts, head, tail, found = letter_counts(word), word[:half], word[len(word) - half :], []
 
         def visit(node: list | dict, level: int, surplus: int, deficit: int) -> None:
             if isinstance(node, list):
-                for leaf, other, n in node:
-                    more, less = surplus, deficit
-                    for at in range(level, N_GROUPS):
-                        d = leaf[at] - counts[at]
-                        if d > 0:
-                            more -= d
-                        else:
-                            less += d
-                    if more >= 0 and less >= 0 and one_edit(word, other):
-                        found.append((other, n))
+                found.extend([(other, n) for _, other, n in node if (other.startswith(head) or other.endswith(tail)) and one_edit(word, other)])
                 return
             c = counts[level]
             if (same := node.get(c)) is not None:
