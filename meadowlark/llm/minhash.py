@@ -211,8 +211,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     classes = near_duplicates(docs, **options).where("doc_id is not null")
     # Ids that go (0) and ids of several rows; most documents are in neither.
     counts = stored(classes.groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("class_id")).alias("n")).where("n <> 1"))
-    # The list has no bound but the number of documents, so it is never broadcast: each size has the same plan.
-    gone = counts.where("n = 0").select("doc_id").hint("shuffle_hash")
+    # The list has no bound but the number of documents, so it is never broadcast; a merge join spills.
+    gone = counts.where("n = 0").select("doc_id").hint("merge")
     kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
     repeated = counts.where("n > 1").select("doc_id")
     if not repeated.isEmpty():
