@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,50 +96,72 @@ def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colu
     return F.when(a.isNotNull(), F.asin(F.sqrt(F.least(F.lit(1.0), a))) * (2 * EARTH_RADIUS_KM))  # least() skips nulls
 
 
-def _inverse_km(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.ndarray) -> np.ndarray:
-    """Vincenty's inverse formula; great-circle distance where it doesn't converge (nearly antipodal points)."""
-    b = SEMI_MAJOR * (1 - FLATTENING)
-    u1, u2 = np.arctan((1 - FLATTENING) * np.tan(np.radians(lat1))), np.arctan((1 - FLATTENING) * np.tan(np.radians(lat2)))
-    dlon = np.radians(lon2 - lon1)
-    lam = dlon.copy()
-    done = np.zeros(len(lam), bool)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for _ in range(100):
-            cross = np.cos(u1) * np.sin(u2) - np.sin(u1) * np.cos(u2) * np.cos(lam)
-            sin_s = np.hypot(np.cos(u2) * np.sin(lam), cross)
-            cos_s = np.sin(u1) * np.sin(u2) + np.cos(u1) * np.cos(u2) * np.cos(lam)
-            sigma = np.arctan2(sin_s, cos_s)
-            sin_a = np.where(sin_s == 0, 0.0, np.cos(u1) * np.cos(u2) * np.sin(lam) / sin_s)
-            cos2a = 1 - sin_a**2
-            cos2m = np.where(cos2a < 1e-15, 0.0, cos_s - 2 * np.sin(u1) * np.sin(u2) / cos2a)
-            c = FLATTENING / 16 * cos2a * (4 + FLATTENING * (4 - 3 * cos2a))
-            new = dlon + (1 - c) * FLATTENING * sin_a * (sigma + c * sin_s * (cos2m + c * cos_s * (2 * cos2m**2 - 1)))
-            done |= np.abs(new - lam) < 1e-12
-            lam = new
-            if done.all():
-                break
-        square = cos2a * (SEMI_MAJOR**2 - b**2) / b**2
-        big_a = 1 + square / 16384 * (4096 + square * (-768 + square * (320 - 175 * square)))
-        big_b = square / 1024 * (256 + square * (-128 + square * (74 - 47 * square)))
-        delta = big_b * sin_s * (cos2m + big_b / 4 * (cos_s * (2 * cos2m**2 - 1) - big_b / 6 * cos2m * (4 * sin_s**2 - 3) * (4 * cos2m**2 - 3)))
-        km = b * big_a * (sigma - delta) / 1000
-        h = np.sin(np.radians(lat2 - lat1) / 2) ** 2 + np.cos(np.radians(lat1)) * np.cos(np.radians(lat2)) * np.sin(dlon / 2) ** 2
-        return np.where(done, km, 2 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(h, 1))))
-
-
-def _geodesic(points: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for lon1, lat1, lon2, lat2 in points:
-        known = (lon1.notna() & lat1.notna() & lon2.notna() & lat2.notna()).to_numpy()
-        out = np.full(len(lon1), np.nan)
-        if known.any():
-            out[known] = _inverse_km(*(c.to_numpy(float)[known] for c in (lon1, lat1, lon2, lat2)))
-        yield pd.Series(out)
+#: Steps of the inverse formula. Each one shrinks the error some 300 times, but for nearly antipodal points.
+INVERSE_STEPS = 8
 
 
 def geodesic_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """Distance on the WGS84 ellipsoid; null if a coordinate is null."""
-    distance = F.pandas_udf(_geodesic, "double")
-    return distance(lon1, lat1, lon2, lat2)
+    """Distance on the WGS84 ellipsoid; null if a coordinate is null or not finite.
+
+    Vincenty's inverse formula: the longitude on the auxiliary sphere is folded over a fixed number of steps inside
+    Spark's own functions. Where the last step still moves it by 1e-9 or more, as near antipodes, the great-circle
+    distance is the answer. Longitudes differ by the shorter way round.
+    """
+    known = F.lit(True)
+    for c in (lon1, lat1, lon2, lat2):
+        known = known & c.isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e9)
+    around = F.pmod(lon2 - lon1 + 180, F.lit(360.0)) - 180
+    flat = 1 - FLATTENING
+    t1, t2 = F.lit(flat) * F.tan(F.radians(lat1)), F.lit(flat) * F.tan(F.radians(lat2))
+    c1, c2 = 1 / F.sqrt(1 + t1 * t1), 1 / F.sqrt(1 + t2 * t2)
+    start = F.struct(F.radians(around).alias("dlon"), c1.alias("c1"), (t1 * c1).alias("s1"), c2.alias("c2"), (t2 * c2).alias("s2"))
+
+    def sphere(p: Column, lam: Column) -> dict[str, Column]:
+        """Arc, azimuth and middle for a longitude on the auxiliary sphere."""
+        x, y = p["c2"] * F.sin(lam), p["c1"] * p["s2"] - p["s1"] * p["c2"] * F.cos(lam)
+        return {"ss": F.sqrt(x * x + y * y), "cs": p["s1"] * p["s2"] + p["c1"] * p["c2"] * F.cos(lam), "x": p["c1"] * x}
+
+    def shape(v: Column) -> Column:
+        sin_a = F.when(v["ss"] == 0, F.lit(0.0)).otherwise(v["x"] / v["ss"])
+        return F.struct(v["ss"].alias("ss"), v["cs"].alias("cs"), F.atan2(v["ss"], v["cs"]).alias("sigma"), sin_a.alias("sa"), (1 - sin_a * sin_a).alias("ca2"))
+
+    def bound(value: Column, use) -> Column:  # noqa: ANN001
+        """``use`` of a value that is computed once."""
+        return F.transform(F.array(value), use)[0]
+
+    def arc(p: Column, lam: Column, use) -> Column:  # noqa: ANN001
+        """``use`` of (arc, middle) at a longitude."""
+        def middle(v: Column) -> Column:
+            cm = F.when(v["ca2"] < 1e-15, F.lit(0.0)).otherwise(v["cs"] - 2 * p["s1"] * p["s2"] / v["ca2"])
+            return bound(F.struct(*(v[n].alias(n) for n in ("ss", "cs", "sigma", "sa", "ca2")), cm.alias("cm")), use)
+
+        return bound(F.struct(*(c.alias(n) for n, c in sphere(p, lam).items())), lambda v: bound(shape(v), middle))
+
+    def longitude(p: Column, lam: Column) -> Column:
+        def further(v: Column) -> Column:
+            c = FLATTENING / 16 * v["ca2"] * (4 + FLATTENING * (4 - 3 * v["ca2"]))
+            return p["dlon"] + (1 - c) * FLATTENING * v["sa"] * (v["sigma"] + c * v["ss"] * (v["cm"] + c * v["cs"] * (2 * v["cm"] * v["cm"] - 1)))
+
+        return arc(p, lam, further)
+
+    def distance(p: Column, lam: Column) -> Column:
+        b = SEMI_MAJOR * flat
+
+        def km(v: Column) -> Column:
+            u = v["ca2"] * ((SEMI_MAJOR**2 - b**2) / b**2)
+            big_a = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+            big_b = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+            delta = big_b * v["ss"] * (v["cm"] + big_b / 4 * (v["cs"] * (2 * v["cm"] * v["cm"] - 1) - big_b / 6 * v["cm"] * (4 * v["ss"] * v["ss"] - 3) * (4 * v["cm"] * v["cm"] - 3)))
+            return F.lit(b / 1000) * big_a * (v["sigma"] - delta)
+
+        return arc(p, lam, km)
+
+    def folded(p: Column) -> Column:
+        first = F.struct(p["dlon"].alias("now"), F.lit(1.0).alias("moved"))
+        steps = F.aggregate(F.sequence(F.lit(1), F.lit(INVERSE_STEPS)), first, lambda s, _: bound(longitude(p, s["now"]), lambda new: F.struct(new.alias("now"), F.abs(new - s["now"]).alias("moved"))))
+        return bound(steps, lambda s: F.when(s["moved"] < 1e-9, distance(p, s["now"])).otherwise(haversine_km(lon1, lat1, lon2, lat2)))
+
+    return F.when(known, bound(start, folded))
 
 
 def segment_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:

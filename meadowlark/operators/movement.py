@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import geodesic_km, haversine_km, inside_fraction, point_in_polygon, segment_km
+from ..functions.geo import geodesic_km, inside_fraction, point_in_polygon, segment_km
 from .joins import CellSpread
 from .relational import quantiles
 
@@ -51,10 +51,6 @@ def daily_movement(fixes: DataFrame, keys: Sequence[str] = (), distance: Distanc
     return steps.select(*keys, "entity_id", "day", "longitude", "latitude", "cell", "fix_count", km.alias("displacement_km"), *available)
 
 
-def daily_movement_haversine(fixes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    return daily_movement(fixes, keys, haversine_km)
-
-
 def movement_summary(df: DataFrame) -> DataFrame:
     """One row: animals, rows, days, displacements, missing ones, their sum and median, gap days, first and last day."""
     totals = df.agg(F.count_distinct("entity_id").alias("animals"), F.count("*").alias("rows"), F.count_distinct("day").alias("days"), F.count("displacement_km").alias("displacements"),

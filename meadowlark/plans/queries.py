@@ -12,7 +12,7 @@ from ..functions import geo, indices
 from ..operators import catalog, checks, forecast, joins, movement, relational, series, stats
 from ..sources import tracking
 from ..sources.storage import shared_folder
-from .views import FIRST_DAY, Views, r, with_views
+from .views import FIRST_DAY, Views, r, spheroid_sql, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -557,12 +557,13 @@ def _(v):
 _HAVERSINE = "12742.0176e0 * asin(sqrt(least(1.0e0, pow(sin(radians(latitude - plat) / 2), 2) + cos(radians(plat)) * cos(radians(latitude)) * pow(sin(radians(longitude - plon) / 2), 2))))"
 
 
-@query("geodesic_km", "steps", f"SELECT entity_id, day, true AS near FROM steps WHERE plon IS NOT NULL AND {_HAVERSINE} > 0.1")
+@query("geodesic_km", "measured", f"""WITH far AS ({spheroid_sql("(SELECT * EXCLUDE (km), km AS step_km FROM measured)", "longitude", "latitude", "longitude * -4", "latitude + day(day) * 2.5e0")})
+    SELECT entity_id, day, round(step_km, 6) AS step_km, round(km, 6) AS far_km FROM far""")
 def _(v):
     days = movement.with_previous(v.daily)
-    ends = [F.col(c) for c in ("previous_longitude", "previous_latitude", "longitude", "latitude")]
-    both = days.select("entity_id", "day", geo.geodesic_km(*ends).alias("km"), geo.haversine_km(*ends).alias("sphere")).where("sphere > 0.1")
-    return both.select("entity_id", "day", (F.abs(F.col("km") / F.col("sphere") - 1) < 0.01).alias("near"))
+    step = geo.geodesic_km(*(F.col(c) for c in ("previous_longitude", "previous_latitude", "longitude", "latitude")))
+    far = geo.geodesic_km(F.col("longitude"), F.col("latitude"), F.col("longitude") * -4, F.col("latitude") + F.day("day") * 2.5)
+    return days.select("entity_id", "day", r(step).alias("step_km"), r(far).alias("far_km"))
 
 
 @query("haversine_km", "steps", f"SELECT entity_id, day, round({_HAVERSINE}, 6) AS km FROM steps WHERE plon IS NOT NULL")

@@ -10,9 +10,9 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geo import box_ring
+from ..functions.geo import FLATTENING, INVERSE_STEPS, SEMI_MAJOR, box_ring
 from ..operators import joins
-from ..operators.movement import daily_movement_haversine
+from ..operators.movement import daily_movement
 
 WEST, SOUTH = 36.85, -1.60
 FIRST_DAY = "2024-01-01"
@@ -81,7 +81,7 @@ class Views:
 
     @cached_property
     def daily(self) -> DataFrame:
-        return daily_movement_haversine(self.fixes)
+        return daily_movement(self.fixes)
 
     @cached_property
     def features(self) -> DataFrame:
@@ -96,6 +96,22 @@ def r(column: Column | str) -> Column:
     return F.round(column, 6)
 
 
+def spheroid_sql(source: str, lon1: str, lat1: str, lon2: str, lat2: str) -> str:
+    """``source`` with km on the WGS84 ellipsoid: the steps of the inverse formula one below the other."""
+    f, flat, b = f"{FLATTENING!r}::DOUBLE", f"{1 - FLATTENING!r}::DOUBLE", SEMI_MAJOR * (1 - FLATTENING)
+    arc = """sqrt(pow(c2 * sin(lam), 2) + pow(c1 * s2 - s1 * c2 * cos(lam), 2)) AS ss, s1 * s2 + c1 * c2 * cos(lam) AS cs, atan2(ss, cs) AS sigma, CASE WHEN ss = 0 THEN 0e0 ELSE c1 * c2 * sin(lam) / ss END AS sa,
+        1 - sa * sa AS ca2, CASE WHEN ca2 < 1e-15 THEN 0e0 ELSE cs - 2 * s1 * s2 / ca2 END AS cm"""
+    made = "ss, cs, sigma, sa, ca2, cm"
+    out = f"""SELECT *, radians((({lon2}) - ({lon1}) + 180 + 360) % 360 - 180) AS dlon, {flat} * tan(radians({lat1})) AS t1, {flat} * tan(radians({lat2})) AS t2, 1 / sqrt(1 + t1 * t1) AS c1, t1 * c1 AS s1, 1 / sqrt(1 + t2 * t2) AS c2, t2 * c2 AS s2, dlon AS lam, 1e0 AS moved FROM {source}"""
+    for _ in range(INVERSE_STEPS):
+        out = f"""SELECT * EXCLUDE ({made}, lam, moved, c, new), new AS lam, abs(new - lam) AS moved FROM (SELECT *, {arc}, {f} / 16 * ca2 * (4 + {f} * (4 - 3 * ca2)) AS c,
+            dlon + (1 - c) * {f} * sa * (sigma + c * ss * (cm + c * cs * (2 * cm * cm - 1))) AS new FROM ({out}))"""
+    far = f"12742.0176e0 * asin(sqrt(least(1e0, pow(sin(radians(({lat2}) - ({lat1})) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians(({lon2}) - ({lon1})) / 2), 2))))"
+    return f"""SELECT * EXCLUDE ({made}, dlon, t1, t2, c1, s1, c2, s2, lam, moved, u, big_a, big_b), CASE WHEN moved < 1e-9 THEN {b / 1000!r}::DOUBLE * big_a * (sigma - big_b * ss * (cm + big_b / 4 * (cs * (2 * cm * cm - 1)
+        - big_b / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))) WHEN moved IS NOT NULL THEN {far} END AS km FROM (SELECT *, {arc}, ca2 * {(SEMI_MAJOR**2 - b**2) / b**2!r}::DOUBLE AS u,
+        1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u))) AS big_a, u / 1024 * (256 + u * (-128 + u * (74 - 47 * u))) AS big_b FROM ({out}))"""
+
+
 SQL_VIEWS = {
     "fixes": """SELECT 'events:1:' || user_id AS entity_id, event_id::VARCHAR AS source_record_id, ts AS observed_at,
         36.85e0 + (user_id % 25) * 0.01e0 + (event_id % 7) * 0.001e0 AS longitude, -1.60e0 + (user_id % 20) * 0.01e0 + (event_id % 11) * 0.001e0 AS latitude,
@@ -121,9 +137,9 @@ SQL_VIEWS = {
         count(*) OVER (PARTITION BY entity_id, observed_at::DATE) AS fix_count FROM fixes WHERE quality_flag = 'ok'""",
     "steps": """SELECT *, lag(day) OVER w AS pday, lag(longitude) OVER w AS plon, lag(latitude) OVER w AS plat, lag(available_at) OVER w AS pavailable
         FROM last_fixes WHERE place = 1 WINDOW w AS (PARTITION BY entity_id ORDER BY day)""",
-    "daily": """SELECT entity_id, day, longitude, latitude, cell, fix_count, CASE WHEN day - pday = 1 THEN 12742.0176e0 * asin(sqrt(least(1.0e0, pow(sin(radians(latitude - plat) / 2), 2)
-        + cos(radians(plat)) * cos(radians(latitude)) * pow(sin(radians(longitude - plon) / 2), 2)))) END AS displacement_km,
-        CASE WHEN day - pday = 1 THEN greatest(available_at, pavailable) ELSE available_at END AS available_at FROM steps""",
+    "measured": spheroid_sql("steps", "plon", "plat", "longitude", "latitude"),
+    "daily": """SELECT entity_id, day, longitude, latitude, cell, fix_count, CASE WHEN day - pday = 1 THEN km END AS displacement_km,
+        CASE WHEN day - pday = 1 THEN greatest(available_at, pavailable) ELSE available_at END AS available_at FROM measured""",
     "latest_vegetation": """SELECT d.entity_id, d.day, v.index_value, row_number() OVER (PARTITION BY d.entity_id, d.day ORDER BY v.observed_at DESC, v.source_record_id) AS place
         FROM daily d JOIN vegetation v ON v.cell = d.cell AND v.observed_at <= d.day::TIMESTAMP AND v.observed_at >= d.day::TIMESTAMP - INTERVAL 30 DAY""",
     "wet": """SELECT d.entity_id, d.day, sum(r.rainfall_mm) AS rainfall FROM daily d JOIN rain r ON r.cell = d.cell AND r.interval_start >= d.day::TIMESTAMP - INTERVAL 7 DAY AND r.interval_end <= d.day::TIMESTAMP GROUP BY d.entity_id, d.day""",
@@ -131,7 +147,7 @@ SQL_VIEWS = {
         LEFT JOIN latest_vegetation v ON v.entity_id = d.entity_id AND v.day = d.day AND v.place = 1""",
 }
 #: What each view reads besides tables.
-_NEEDS = {"rain": ["fixes"], "vegetation": ["fixes"], "datasets": ["boundaries"], "last_fixes": ["fixes"], "steps": ["last_fixes"], "daily": ["steps"], "latest_vegetation": ["daily", "vegetation"], "wet": ["daily", "rain"], "features": ["wet", "latest_vegetation"]}
+_NEEDS = {"rain": ["fixes"], "vegetation": ["fixes"], "datasets": ["boundaries"], "last_fixes": ["fixes"], "steps": ["last_fixes"], "measured": ["steps"], "daily": ["measured"], "latest_vegetation": ["daily", "vegetation"], "wet": ["daily", "rain"], "features": ["wet", "latest_vegetation"]}
 
 
 def with_views(names: str, select: str) -> str:
