@@ -42,6 +42,14 @@ def join_checked(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, st
     return left.join(side, condition, how).drop(*(f"_key_{i}" for i in range(len(keys))))
 
 
+def all_finite(*columns: str) -> Column:
+    """Whether none is null, NaN or infinite."""
+    ok = F.lit(True)
+    for c in columns:
+        ok = ok & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
+    return ok
+
+
 class CellSpread:
     """Coarse cells by which the boxes of a polygon layer meet those of other rows.
 
@@ -51,7 +59,7 @@ class CellSpread:
 
     def __init__(self, polygons: DataFrame, rings: str):
         corner = lambda f, axis: f(F.transform(F.flatten(rings), lambda p: p[axis]))
-        self.boxed = polygons.withColumns({"_w": corner(F.array_min, "x"), "_s": corner(F.array_min, "y"), "_e": corner(F.array_max, "x"), "_n": corner(F.array_max, "y")}).where("_w is not null")
+        self.boxed = polygons.withColumns({"_w": corner(F.array_min, "x"), "_s": corner(F.array_min, "y"), "_e": corner(F.array_max, "x"), "_n": corner(F.array_max, "y")}).where(all_finite("_w", "_s", "_e", "_n"))
         size = self.boxed.agg(F.avg(F.greatest(F.col("_e") - F.col("_w"), F.col("_n") - F.col("_s"))).alias("mean"), F.min("_w").alias("w"), F.min("_s").alias("s"), F.max("_e").alias("e"), F.max("_n").alias("n")).first()
         self.extent = tuple(size)[1:] if size["mean"] is not None else (0.0, 0.0, 0.0, 0.0)
         self.cell = max((size["mean"] or 0.0) / 4, (self.extent[2] - self.extent[0]) / 256, (self.extent[3] - self.extent[1]) / 256) or 1.0
@@ -65,8 +73,13 @@ class CellSpread:
         return held.withColumn("_cx", F.explode(F.sequence("_c0", "_c2"))).withColumn("_cy", F.explode(F.sequence("_c1", "_c3"))).drop("_c2", "_c3")
 
     def meet(self, df: DataFrame, box: Sequence[Column]) -> DataFrame:
-        """Rows of ``df`` with the polygons whose box shares a point with theirs; each pair once, by equal cells."""
-        sides = self.spread(df.withColumns(dict(zip(("_bw", "_bs", "_be", "_bn"), box, strict=True))), [F.col(c) for c in ("_bw", "_bs", "_be", "_bn")]).withColumnsRenamed({"_c0": "_d0", "_c1": "_d1"})
+        """Rows of ``df`` with the polygons whose box shares a point with theirs; each pair once, by equal cells.
+
+        Boxes with a null, NaN or infinite side meet nothing.
+        """
+        own = ("_bw", "_bs", "_be", "_bn")
+        boxed = df.withColumns(dict(zip(own, box, strict=True))).where(all_finite(*own))
+        sides = self.spread(boxed, [F.col(c) for c in own]).withColumnsRenamed({"_c0": "_d0", "_c1": "_d1"})
         polygons = self.spread(self.boxed, [F.col(c) for c in ("_w", "_s", "_e", "_n")])
         pairs = sides.join(polygons, ["_cx", "_cy"]).where((F.col("_cx") == F.greatest("_c0", "_d0")) & (F.col("_cy") == F.greatest("_c1", "_d1")))
         near = (F.col("_bw") <= F.col("_e")) & (F.col("_w") <= F.col("_be")) & (F.col("_bs") <= F.col("_n")) & (F.col("_s") <= F.col("_bn"))
@@ -76,7 +89,7 @@ class CellSpread:
 def polygon_hits(points: DataFrame, polygons: DataFrame, lon: str, lat: str, rings: str) -> DataFrame:
     """Rows of ``points`` with each polygon that holds them, its boundary included. The sides' columns must differ."""
     x, y = F.col(lon), F.col(lat)
-    return CellSpread(polygons, rings).meet(points.where(x.isNotNull() & y.isNotNull()), (x, y, x, y)).where(point_in_polygon(x, y, F.col(rings)))
+    return CellSpread(polygons, rings).meet(points, (x, y, x, y)).where(point_in_polygon(x, y, F.col(rings)))
 
 
 def spatial_join(points: DataFrame, polygons: DataFrame, lon: str, lat: str, rings: str, tie_break: str, right_columns: Sequence[str], how: str = "left") -> DataFrame:
@@ -87,20 +100,27 @@ def spatial_join(points: DataFrame, polygons: DataFrame, lon: str, lat: str, rin
     """
     check_nonnull(polygons, [tie_break])
     check_unique(polygons, [tie_break])
-    places = points.select(F.col(lon).alias("_x"), F.col(lat).alias("_y")).where("_x is not null and _y is not null").distinct()
+    places = points.select(F.col(lon).cast("double").alias("_x"), F.col(lat).cast("double").alias("_y")).where(all_finite("_x", "_y")).distinct()
     layer = polygons.select(F.col(tie_break).alias("_tie"), F.col(rings).alias("_rings"), *(F.col(c).alias(f"_r_{c}") for c in right_columns))
     hits = polygon_hits(places, layer, "_x", "_y", "_rings")
     best = hits.groupBy("_x", "_y").agg(F.min_by(F.struct(*(F.col(f"_r_{c}").alias(c) for c in right_columns)), "_tie").alias("_hit"), F.count("*").alias("_matches"))
-    joined = points.join(best, (F.col(lon) == F.col("_x")) & (F.col(lat) == F.col("_y")), how)
-    return joined.select(*points.columns, *(F.col(f"_hit.{c}").alias(c) for c in right_columns), F.coalesce("_matches", F.lit(0)).alias("matches"))
+    known = F.coalesce(F.col(lon).isNotNull() & F.col(lat).isNotNull(), F.lit(False))
+    joined = points.where(known).join(best, (F.col(lon) == F.col("_x")) & (F.col(lat) == F.col("_y")), how)
+    out = joined.select(*points.columns, *(F.col(f"_hit.{c}").alias(c) for c in right_columns), F.coalesce("_matches", F.lit(0)).alias("matches"))
+    if how != "left":
+        return out
+    nothing = points.where(~known)  # needn't meet in a task
+    return out.union(nothing.select(*points.columns, *(F.lit(None).cast(out.schema[c].dataType) for c in right_columns), F.lit(0).alias("matches")))
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, tie_break: str, tolerance_s: int, right_columns: Sequence[str], available_at: str | None = None, how: str = "left") -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, tie_break: str, tolerance_s: int, right_columns: Sequence[str], available_at: str | None = None, how: str = "left", slice_s: int = 86_400) -> DataFrame:
     """The latest right row at or before each left row, at most ``tolerance_s`` earlier, ties to the smallest tie-break.
 
     With ``available_at`` only right rows available at the left time count, and those of null availability never do.
-    Both sides run through one window in the order in which right rows become eligible; the best so far is the answer,
-    as no older row can be nearer. One shuffle by key, no pairs.
+    Time is cut into slices of ``slice_s``. The best right row of each key and slice is carried to the later slices by a
+    running maximum over slices, and then each slice runs through one window of its own in the order in which right rows
+    become eligible: the best so far is the answer, as no older row can be nearer. So a key of many rows is spread over
+    as many tasks as it has slices, and no pairs are made.
     """
     check_nonnull(right, [tie_break])
     check_unique(right, [*keys, right_time, tie_break])
@@ -111,21 +131,27 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
         eligible = F.greatest(eligible, _seconds(F.col(available_at)))
     ties = Window.partitionBy(*keys, right_time).orderBy(F.desc(tie_break))
     payload = F.struct(_seconds(F.col(right_time)).alias("at"), F.row_number().over(ties).alias("tie"), F.struct(*(F.col(c).alias(f"r_{i}") for i, c in enumerate(right_columns))).alias("row"))
-    rights = side.dropna(subset=list(keys)).select(*keys, eligible.alias("_t"), F.lit(0).alias("_side"), payload.alias("_best"))
-    known = F.lit(True)
+    slice_of = F.floor(F.col("_t") / (slice_s * 1_000_000)).alias("_slice")
+    rights = side.dropna(subset=list(keys)).select(*keys, eligible.alias("_t"), F.lit(0).alias("_side"), payload.alias("_best")).select("*", slice_of)
+    known = F.col(left_time).isNotNull()
     for k in keys:
         known = known & F.col(k).isNotNull()
     rows = left.withColumn("_row", F.struct(*left.columns))
-    lefts = rows.where(known).select(*keys, _seconds(F.col(left_time)).alias("_t"), F.lit(1).alias("_side"), "_row")
-    both = lefts.unionByName(rights, allowMissingColumns=True)
-    # Rows are in order of time, right ones first: a row frame sees every right row that is eligible.
-    running = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    lefts = rows.where(known).select(*keys, _seconds(F.col(left_time)).alias("_t"), F.lit(1).alias("_side"), "_row").select("*", slice_of)
+    # Of each slice the best right row, and before each slice the best of those before it.
+    lasts = rights.groupBy(*keys, "_slice").agg(F.max("_best").alias("_last")).unionByName(lefts.select(*keys, "_slice").distinct(), allowMissingColumns=True)
+    lasts = lasts.groupBy(*keys, "_slice").agg(F.max("_last").alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select(*keys, "_slice", F.lit(-1).alias("_side"), F.max("_last").over(before).alias("_best")).where("_best is not null")
+    both = lefts.unionByName(rights, allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
+    # Carried rows come first, then rows in order of time, right ones first: a row frame sees every right row that is eligible.
+    running = Window.partitionBy(*keys, "_slice").orderBy(F.asc_nulls_first("_t"), "_side").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_found", F.max("_best").over(running)).where("_side = 1")
     match = F.when(F.col("_found.at") >= F.col("_t") - tolerance_s * 1_000_000, F.col("_found.row"))
     out = found.select("_row", match.alias("_match"))
     if how == "inner":
         out = out.where(F.col("_match").isNotNull())
-    else:  # rows with a null key match nothing and needn't meet in a task
+    else:  # rows with a null key or time match nothing and needn't meet in a task
         out = out.union(rows.where(~known).select("_row", F.lit(None).cast(out.schema["_match"].dataType)))
     return out.select("_row.*", *(F.col(f"_match.r_{i}").alias(c) for i, c in enumerate(right_columns)))
 

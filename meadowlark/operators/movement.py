@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import geodesic_km, inside_fraction, point_in_polygon, segment_km
-from .joins import CellSpread
-from .relational import quantiles
+from .joins import CellSpread, all_finite
+from .relational import quantiles, with_quantiles
 
 Distance = Callable[[Column, Column, Column, Column], Column]
 
@@ -103,17 +103,18 @@ def compare_windows(df: DataFrame, windows: Sequence[tuple[str, str, str]]) -> D
     if len(windows) != 2 or windows[0][0] == windows[1][0]:
         raise ValueError("two windows of different names")
     named = F.array(*(F.struct(F.lit(n).alias("window"), F.lit(a).cast("date").alias("a"), F.lit(b).cast("date").alias("b")) for n, a, b in windows))
-    rows = df.withColumn("w", F.explode(named)).where("to_date(day) between w.a and w.b")
-    return rows.groupBy(F.col("w.window").alias("window")).agg(F.count_distinct("entity_id").alias("animals"), F.count("*").alias("rows"), F.count("displacement_km").alias("displacements"), F.median("displacement_km").alias("median_km"))
+    rows = df.withColumn("w", F.explode(named)).where("to_date(day) between w.a and w.b").withColumn("window", F.col("w.window"))
+    counts = rows.groupBy("window").agg(F.count_distinct("entity_id").alias("animals"), F.count("*").alias("rows"), F.count("displacement_km").alias("displacements"))
+    return with_quantiles(counts, rows, {"median_km": (F.col("displacement_km"), 0.5)}, ["window"])
 
 
 def route_overlap(df: DataFrame, boundaries: DataFrame) -> DataFrame:
     """(name, entity_id): points inside, km of path, km inside, and their share (0 for a path of no length).
 
     ``boundaries`` has name and rings. Steps meet boundaries whose box touches theirs, by coarse cells; only those are
-    clipped. A path is measured once an animal. The result has a row for each boundary and animal.
+    clipped. Fixes without finite coordinates are left out. A path is measured once an animal. The result has a row for each boundary and animal.
     """
-    steps = with_next(df.where("longitude is not null and latitude is not null"), "entity_id", "observed_at", ["longitude", "latitude"])
+    steps = with_next(df.where(all_finite("longitude", "latitude")), "entity_id", "observed_at", ["longitude", "latitude"])
     here, ahead = (F.col("longitude"), F.col("latitude")), (F.col("next_longitude"), F.col("next_latitude"))
     km = F.when(ahead[0].isNotNull(), segment_km(*here, *ahead))
     paths = steps.groupBy("entity_id").agg(F.coalesce(F.sum(km), F.lit(0.0)).alias("path_km"))

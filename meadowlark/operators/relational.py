@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import written
+
 MAX_LIST = 1000
 _ZONED = re.compile(r"\d{4}-\d{2}-\d{2}[T ][0-9:.]+(Z|[+-]\d{2}:?\d{2})")
 
@@ -153,32 +155,67 @@ def guard_rows(df: DataFrame, n: int = 100_000) -> DataFrame:
     return df
 
 
+def running_total(df: DataFrame, order: str, value: str, output: str, by: Sequence[str] = ()) -> DataFrame:
+    """Adds the sum of ``value`` up to and with each row, in the order of a column; rows of equal order get the same sum.
+
+    Rows are dealt by ranges of (by, order) and written. Each part is summed, and the sums of the parts before are added to
+    the running sums inside a part. No task orders more than a part, but for the parts' own sums.
+    """
+    # Ranges are sampled: a second run could cut elsewhere.
+    parts = written(df.repartitionByRange(*by, order).withColumn("_part", F.spark_partition_id()))
+    sums = parts.groupBy(*by, "_part").agg(F.sum(value).alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(*by, F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select(*(F.col(k).alias(f"_by_{i}") for i, k in enumerate(by)), F.col("_part").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.col("_part") == F.col("_at")
+    for i, k in enumerate(by):
+        own = own & F.col(k).eqNullSafe(F.col(f"_by_{i}"))
+    inside = F.sum(value).over(Window.partitionBy(*by, "_part").orderBy(order))
+    return parts.withColumn("_inside", inside).join(offsets, own).select(*df.columns, (F.coalesce("_inside", F.lit(0)) + F.col("_before")).alias(output))
+
+
+def through(df: DataFrame, order: str, last: object, value: str, output: str) -> DataFrame:
+    """Rows up to and with ``last`` (a selected month, say), with their running total."""
+    return running_total(df.where(F.col(order) <= F.lit(last)), order, value, output)
+
+
 def average_rank(df: DataFrame, column: str, output: str, by: Sequence[str] = ()) -> DataFrame:
-    """Adds the rank of a value, ties sharing the mean of their ranks; nulls have none.
+    """Adds the rank of a value, ties sharing the mean of their ranks; nulls have none, and a null key is a group.
 
-    Ranks come from the counts of distinct values, so that only those are in order in one task.
+    Ranks come from running totals over the counts of distinct values, so that ties meet before anything is ordered.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(column))
-    ranks = counts.select(*by, column, (upto - (F.col("_n") - 1) / 2).alias(output))
-    return df.join(ranks, [*by, column], "left")
+    placed = running_total(counts, column, "_n", "_upto", by)
+    ranks = placed.select(*(F.col(k).alias(f"_key_{i}") for i, k in enumerate(by)), F.col(column).alias("_value"), (F.col("_upto") - (F.col("_n") - 1) / 2).alias(output))
+    same = F.col(column) == F.col("_value")
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
+    return df.join(ranks, same, "left").select(*df.columns, output)
 
 
-def quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, float]], accuracy: int = 100_000) -> DataFrame:
-    """One row: for each name the exact quantile of a column's non-null values, with linear interpolation; null without any.
+def quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, float]], accuracy: int = 100_000, by: Sequence[str] = ()) -> DataFrame:
+    """For each name the exact quantile of a column's non-null values, with linear interpolation; null without any.
 
-    Approximate quantiles of bounded size give two values that a wanted one lies between. What is below and above these is
-    only counted, so that a task orders the distinct values between them, some 4 in ``accuracy`` of the rows.
+    One row, or one for each group of the columns ``by`` (a null key is a group). Approximate quantiles of bounded size
+    give two values that a wanted one lies between. What is below and above these is only counted, so that a task orders
+    the distinct values between them, some 4 in ``accuracy`` of a group's rows.
     """
     margin = 2 / accuracy
     shares = [q for _, q in wanted.values()]
-    values = df.select(*(c.cast("double").alias(f"v{i}") for i, (c, _) in enumerate(wanted.values())))
-    ends = values.agg(*(F.struct(F.count(f"v{i}").alias("n"), F.percentile_approx(f"v{i}", [max(0.0, q - margin), min(1.0, q + margin)], accuracy).alias("at")).alias(f"e{i}") for i, q in enumerate(shares)))
+    keys = [f"_k{i}" for i in range(len(by))]
+    values = df.select(*(F.col(k).alias(n) for k, n in zip(by, keys, strict=True)), *(c.cast("double").alias(f"v{i}") for i, (c, _) in enumerate(wanted.values())))
+    bounds = (F.struct(F.count(f"v{i}").alias("n"), F.percentile_approx(f"v{i}", [max(0.0, q - margin), min(1.0, q + margin)], accuracy).alias("at")).alias(f"e{i}") for i, q in enumerate(shares))
+    ends = values.groupBy(*keys).agg(*bounds)
     each = [F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v"), F.col(f"e{i}.n").alias("total"), F.col(f"e{i}.at").alias("at")) for i in range(len(shares))]
-    rows = values.crossJoin(F.broadcast(ends)).select(F.inline(F.array(*each))).where("v is not null")
+    if by:  # a row a group; Spark broadcasts it if it is small
+        sided = ends.withColumnsRenamed({k: f"{k}_end" for k in keys})
+        same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"{k}_end")) for k in keys))
+        beside = values.join(sided, same)
+    else:
+        beside = values.crossJoin(F.broadcast(ends))
+    rows = beside.select(*keys, F.inline(F.array(*each))).where("v is not null")
     side = F.when(F.col("v") < F.col("at")[0], -1).when(F.col("v") > F.col("at")[1], 1).otherwise(0)
-    counted = rows.groupBy("i", "total", side.alias("side"), F.when(side == 0, F.col("v")).alias("inside")).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("greatest"))
-    upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("i").orderBy("side", "inside")))
+    counted = rows.groupBy(*keys, "i", "total", side.alias("side"), F.when(side == 0, F.col("v")).alias("inside")).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("greatest"))
+    upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys, "i").orderBy("side", "inside")))
     position = F.array(*map(F.lit, shares))[F.col("i")] * (F.col("total") - 1)
     placed = upto.withColumns({"start": F.col("upto") - F.col("n"), "position": position})
 
@@ -187,10 +224,18 @@ def quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, float]], accurac
         value = F.when(F.col("side") == 0, F.col("inside")).when((F.col("side") < 0) & (rank == F.col("upto") - 1), F.col("greatest")).when((F.col("side") > 0) & (rank == F.col("start")), F.col("least")).otherwise(missed)
         return F.max(F.when((F.col("start") <= rank) & (rank < F.col("upto")), value))
 
-    found = placed.groupBy("i", "position").agg(ranked(F.floor("position")).alias("low"), ranked(F.ceil("position")).alias("high"))
+    found = placed.groupBy(*keys, "i", "position").agg(ranked(F.floor("position")).alias("low"), ranked(F.ceil("position")).alias("high"))
     part = F.col("position") - F.floor("position")
     value = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((1 - part) * F.col("low") + part * F.col("high"))
-    return found.agg(*(F.max(F.when(F.col("i") == i, value)).alias(name) for i, name in enumerate(wanted)))
+    out = found.groupBy(*keys).agg(*(F.max(F.when(F.col("i") == i, value)).alias(name) for i, name in enumerate(wanted)))
+    return out.withColumnsRenamed(dict(zip(keys, by, strict=True)))
+
+
+def with_quantiles(grouped: DataFrame, df: DataFrame, wanted: Mapping[str, tuple[Column, float]], by: Sequence[str]) -> DataFrame:
+    """``grouped``, a row for each group of ``df``, with the groups' exact quantiles."""
+    found = quantiles(df, wanted, by=by).withColumnsRenamed({k: f"_of_{i}" for i, k in enumerate(by)})
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_of_{i}")) for i, k in enumerate(by)))
+    return grouped.join(found, same, "left").select(*grouped.columns, *wanted)
 
 
 def point_rows(df: DataFrame, lon: str, lat: str) -> DataFrame:

@@ -8,7 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import average_rank, quantiles
+from ..sources.storage import written
+from .relational import average_rank, quantiles, with_quantiles
 
 # The least evidence for a habitat comparison.
 MIN_HABITAT_SIDE, MIN_HABITAT_PAIRS = 2, 4
@@ -44,7 +45,7 @@ def habitat_split(df: DataFrame, environment: str, value: str = "displacement_km
 
     No row without four rows that have both.
     """
-    both = df.where(F.col(environment).isNotNull() & F.col(value).isNotNull())
+    both = written(df.where(F.col(environment).isNotNull() & F.col(value).isNotNull()).select(environment, value))
     middle = quantiles(both, {"threshold": (F.col(environment), 0.5)})
     above = F.col(environment) > F.col("threshold")
     sides = both.crossJoin(F.broadcast(middle))
@@ -60,7 +61,7 @@ def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
 
     No row if there are fewer than three pairs or one side doesn't vary.
     """
-    pairs = df.select(finite(x).alias("x"), finite(y).alias("y"))
+    pairs = written(df.select(finite(x).alias("x"), finite(y).alias("y")))
     both = pairs.where("x is not null and y is not null")
     ranked = average_rank(average_rank(both, "x", "rx"), "y", "ry")
     pearson = F.corr("x", "y")
@@ -71,6 +72,7 @@ def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def correlations(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     """``correlation`` of every two of the variables."""
+    df = written(df.select(*variables))
     parts = [correlation(df, a, b) for a, b in combinations(variables, 2)]
     out = parts[0]
     for p in parts[1:]:
@@ -91,7 +93,8 @@ def environment_summary(df: DataFrame, variables: Sequence[str]) -> DataFrame:
 
 
 def regional_median(vegetation: DataFrame) -> DataFrame:
-    return vegetation.groupBy("composite").agg(F.median("index_value").alias("median"), F.count("index_value").alias("n"))
+    counts = vegetation.groupBy("composite").agg(F.count("index_value").alias("n"))
+    return with_quantiles(counts, vegetation, {"median": (F.col("index_value"), 0.5)}, ["composite"])
 
 
 def index_change(vegetation: DataFrame) -> DataFrame:
@@ -103,7 +106,9 @@ def index_change(vegetation: DataFrame) -> DataFrame:
 def binned_response(df: DataFrame, x: str, edges: Sequence[float], y: str, above: float) -> DataFrame:
     """(bin, n, median, mean, share of y over ``above``) by half-open bins (edge, next edge]."""
     place = F.coalesce(*(F.when((F.col(x) > a) & (F.col(x) <= b), F.lit(i)) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))))
-    return df.withColumn("bin", place).where(F.col("bin").isNotNull() & F.col(y).isNotNull()).groupBy("bin").agg(F.count("*").alias("n"), F.median(y).alias("median"), F.avg(y).alias("mean"), F.avg((F.col(y) > above).cast("double")).alias("share_above"))
+    rows = df.withColumn("bin", place).where(F.col("bin").isNotNull() & F.col(y).isNotNull()).select("bin", y)
+    sums = rows.groupBy("bin").agg(F.count("*").alias("n"), F.avg(y).alias("mean"), F.avg((F.col(y) > above).cast("double")).alias("share_above"))
+    return with_quantiles(sums, rows, {"median": (F.col(y), 0.5)}, ["bin"])
 
 
 def period_response(days: DataFrame) -> DataFrame:

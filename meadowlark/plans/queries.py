@@ -396,10 +396,8 @@ def _(v):
 
 @query("agg_cumulative_through", "cell_obs", "SELECT month, sum(records) OVER (ORDER BY month)::BIGINT AS through FROM (SELECT strftime(time_start, '%Y-%m') AS month, count(*) AS records FROM cell_obs GROUP BY 1) WHERE month <= '1996-06'")
 def _(v):
-    from pyspark.sql import Window
-
-    months = v.cell_obs.groupBy(F.date_format("time_start", "yyyy-MM").alias("month")).agg(F.count("*").alias("records")).where("month <= '1996-06'")
-    return months.select("month", F.sum("records").over(Window.orderBy("month")).alias("through"))
+    months = v.cell_obs.groupBy(F.date_format("time_start", "yyyy-MM").alias("month")).agg(F.count("*").alias("records"))
+    return relational.through(months, "month", "1996-06", "records", "through").select("month", "through")
 
 
 @query("agg_series_summary", "cell_obs", "SELECT series_id, min(time_start) AS first_start, max(time_start) AS last_start, count(*) AS row_count, array_to_string(list_sort(list(DISTINCT variable)), ',') AS variables, count(DISTINCT cell) AS cells FROM cell_obs GROUP BY 1")
@@ -744,9 +742,8 @@ def _(v):
 
 @query("win_cumulative", "fixes", "SELECT day, sum(n) OVER (ORDER BY day)::BIGINT AS total FROM (SELECT observed_at::DATE AS day, count(*) AS n FROM fixes GROUP BY 1)")
 def _(v):
-    from pyspark.sql import Window
-
-    return v.fixes.groupBy(F.to_date("observed_at").alias("day")).agg(F.count("*").alias("n")).select("day", F.sum("n").over(Window.orderBy("day")).alias("total"))
+    days = v.fixes.groupBy(F.to_date("observed_at").alias("day")).agg(F.count("*").alias("n"))
+    return relational.running_total(days, "day", "n", "total").select("day", "total")
 
 
 @query("sort_output_keys", "daily", "SELECT entity_id, day, row_number() OVER (PARTITION BY entity_id ORDER BY day) AS place FROM daily")

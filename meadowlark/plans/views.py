@@ -81,7 +81,8 @@ class Views:
 
     @cached_property
     def daily(self) -> DataFrame:
-        return daily_movement(self.fixes)
+        """Distances to the micrometre: beyond it, two engines' sines differ, and equal steps must tie in ranks."""
+        return daily_movement(self.fixes).withColumn("displacement_km", F.round("displacement_km", 9))
 
     @cached_property
     def features(self) -> DataFrame:
@@ -138,7 +139,7 @@ SQL_VIEWS = {
     "steps": """SELECT *, lag(day) OVER w AS pday, lag(longitude) OVER w AS plon, lag(latitude) OVER w AS plat, lag(available_at) OVER w AS pavailable
         FROM last_fixes WHERE place = 1 WINDOW w AS (PARTITION BY entity_id ORDER BY day)""",
     "measured": spheroid_sql("steps", "plon", "plat", "longitude", "latitude"),
-    "daily": """SELECT entity_id, day, longitude, latitude, cell, fix_count, CASE WHEN day - pday = 1 THEN km END AS displacement_km,
+    "daily": """SELECT entity_id, day, longitude, latitude, cell, fix_count, CASE WHEN day - pday = 1 THEN round(km, 9) END AS displacement_km,
         CASE WHEN day - pday = 1 THEN greatest(available_at, pavailable) ELSE available_at END AS available_at FROM measured""",
     "latest_vegetation": """SELECT d.entity_id, d.day, v.index_value, row_number() OVER (PARTITION BY d.entity_id, d.day ORDER BY v.observed_at DESC, v.source_record_id) AS place
         FROM daily d JOIN vegetation v ON v.cell = d.cell AND v.observed_at <= d.day::TIMESTAMP AND v.observed_at >= d.day::TIMESTAMP - INTERVAL 30 DAY""",

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -316,3 +317,120 @@ def test_quantiles_are_those_of_sorted_values(spark, kind, accuracy):
     assert len(got) == 1
     for n, q in shares.items():
         assert got[0][n] == (pytest.approx(float(np.quantile(values, q)), rel=1e-12, abs=1e-12) if len(values) else None)
+
+
+# --- distances, hot keys, prefix sums, grouped quantiles
+
+
+def inverse_by_hand(lon1, lat1, lon2, lat2):
+    """Distance on the ellipsoid by integrating along the sphere's auxiliary great circle, until nothing moves."""
+    a, f = 6378137.0, 1 / 298.257223563
+    b = a * (1 - f)
+    u1, u2 = (math.atan((1 - f) * math.tan(math.radians(x))) for x in (lat1, lat2))
+    dlon = math.radians((lon2 - lon1 + 180) % 360 - 180)
+    lam = dlon
+    for _ in range(200):
+        ss = math.hypot(math.cos(u2) * math.sin(lam), math.cos(u1) * math.sin(u2) - math.sin(u1) * math.cos(u2) * math.cos(lam))
+        if ss == 0:
+            return 0.0
+        cs = math.sin(u1) * math.sin(u2) + math.cos(u1) * math.cos(u2) * math.cos(lam)
+        sigma, sa = math.atan2(ss, cs), math.cos(u1) * math.cos(u2) * math.sin(lam) / ss
+        ca2 = 1 - sa * sa
+        cm = cs - 2 * math.sin(u1) * math.sin(u2) / ca2 if ca2 > 1e-15 else 0.0
+        c = f / 16 * ca2 * (4 + f * (4 - 3 * ca2))
+        lam = dlon + (1 - c) * f * sa * (sigma + c * ss * (cm + c * cs * (2 * cm * cm - 1)))
+    u = ca2 * (a * a - b * b) / (b * b)
+    x = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+    y = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+    return b * x * (sigma - y * ss * (cm + y / 4 * (cs * (2 * cm * cm - 1) - y / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))) / 1000
+
+
+def test_geodesic_is_the_converged_formula(spark):
+    rng = random.Random(7)
+    rows = [(rng.uniform(-180, 180), rng.uniform(-80, 80), rng.uniform(-180, 180), rng.uniform(-80, 80)) for _ in range(300)] + [(179.9, 10.0, -179.9, 10.0), (0.0, 90.0, 50.0, -90.0), (36.0, -1.0, 36.000001, -1.0), (5.0, 5.0, 5.0, 5.0)]
+    rows = [r for r in rows if geo_angle(r) < 175]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    got = df.select("*", geo.geodesic_km(*map(F.col, "abcd")).alias("km")).collect()
+    assert all(abs(r.km - inverse_by_hand(r.a, r.b, r.c, r.d)) < 1e-6 for r in got)
+
+
+def geo_angle(r):
+    lon1, lat1, lon2, lat2 = map(math.radians, r)
+    return math.degrees(math.acos(max(-1, min(1, math.sin(lat1) * math.sin(lat2) + math.cos(lat1) * math.cos(lat2) * math.cos(lon2 - lon1)))))
+
+
+def test_geodesic_of_odd_points(spark):
+    odd = [(None, 0.0, 1.0, 1.0), (math.nan, 0.0, 1.0, 1.0), (0.0, math.inf, 1.0, 1.0)]
+    assert [r[0] for r in spark.createDataFrame(odd, "a double, b double, c double, d double").select(geo.geodesic_km(*map(F.col, "abcd"))).collect()] == [None] * 3
+    near = spark.range(1).select(geo.geodesic_km(*map(F.lit, (0.0, 0.0, 179.7, 0.5))), geo.haversine_km(*map(F.lit, (0.0, 0.0, 179.7, 0.5)))).first()
+    assert near[0] == near[1]  # nearly antipodal
+
+
+def test_points_without_finite_coordinates_meet_no_polygon(spark):
+    rings = [[[(100.0 + i, 60.0), (100.01 + i, 60.0), (100.01 + i, 60.01), (100.0 + i, 60.01), (100.0 + i, 60.0)]] for i in range(5)]
+    layer = spark.createDataFrame([(str(i), r) for i, r in enumerate(rings)] + [("bad", [[(math.nan, 60.0), (101.0, 60.0), (101.0, 61.0), (math.nan, 60.0)]])], "name string, rings array<array<struct<x:double,y:double>>>")
+    points = [(0, 100.005, 60.005), (1, math.nan, 60.0), (2, 100.0, math.inf), (3, None, 60.0), (4, -math.inf, math.nan), (5, 0.0, 0.0)]
+    df = spark.createDataFrame(points, "id int, lon double, lat double")
+    spread = joins.CellSpread(layer, "rings").meet(df.select("id", "lon", "lat"), tuple(map(F.col, ("lon", "lat", "lon", "lat"))))
+    assert {r.id for r in spread.collect()} == {0}
+    got = {r.id: (r.name, r.matches) for r in joins.spatial_join(df, layer, "lon", "lat", "rings", "name", ["name"]).collect()}
+    assert got == {0: ("0", 1)} | {i: (None, 0) for i in range(1, 6)}
+    steps = df.select(F.lit("a").alias("entity_id"), F.timestamp_seconds(F.col("id")).alias("observed_at"), F.col("lon").alias("longitude"), F.col("lat").alias("latitude"))
+    assert sum(r.points_inside for r in movement.route_overlap(steps, layer).collect()) == 1
+
+
+@pytest.mark.parametrize("slice_s", [1, 7, 100, 10**6])
+def test_asof_slices_are_brute_force(spark, slice_s):
+    rng = random.Random(slice_s)
+    left = [(i, rng.choice(["a", "a", "b", None]), rng.choice([None, *range(-50, 300)])) for i in range(200)]
+    right = [(j, rng.choice(["a", "a", "b", None]), t := rng.randrange(-50, 300), rng.choice([None, t, t + rng.randrange(90)])) for j in range(120)]
+    at = lambda c: F.timestamp_seconds(F.col(c)).alias(c)
+    lefts = spark.createDataFrame(left, "id int, k string, t long").select("id", "k", at("t"))
+    rights = spark.createDataFrame(right, "r int, k string, u long, seen long").select("r", "k", at("u"), at("seen"))
+    got = {x.id: x.r for x in joins.asof_join(lefts, rights, ["k"], "t", "u", "r", 60, ["r"], "seen", slice_s=slice_s).collect()}
+
+    def best(k, t):
+        fit = [(u, -r) for r, key, u, seen in right if k is not None and key == k and t is not None and seen is not None and t - 60 <= u <= t and seen <= t]
+        return -max(fit)[1] if fit else None
+
+    assert got == {i: best(k, t) for i, k, t in left}
+
+
+def test_asof_of_one_hot_key_uses_many_tasks(spark):
+    rows = spark.range(4000).select(F.lit(1).alias("k"), F.timestamp_seconds(F.col("id") * 60).alias("t"), F.col("id").alias("n"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = joins.asof_join(rows, rows.select("k", F.col("t").alias("u"), "n"), ["k"], "t", "u", "n", 3600, ["n"], slice_s=3600)
+        assert out.select(F.spark_partition_id().alias("p")).distinct().count() == 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_running_totals_and_ranks_cross_parts(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(40)])) for _ in range(600)]
+    df = spark.createDataFrame(rows, "g string, x int")
+    got = relational.average_rank(df, "x", "rank", ["g"]).collect()
+    assert len(got) == len(rows)
+
+    def rank(g, x):
+        own = [b for a, b in rows if a == g and b is not None]
+        return sum(b < x for b in own) + (own.count(x) + 1) / 2 if x is not None else None
+
+    assert all(r["rank"] == rank(r.g, r.x) for r in got)
+    totals = relational.running_total(df.where("x is not null").groupBy("x").agg(F.count("*").alias("n")), "x", "n", "total").collect()
+    assert {r.x: r.total for r in totals} == {x: sum(b is not None and b <= x for _, b in rows) for x in {b for _, b in rows} - {None}}
+    plan = relational.running_total(df, "x", "x", "total")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan.replace("lit", "") or plan.count("SinglePartition") == 1  # only the parts' sums meet
+
+
+def test_grouped_quantiles(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None, "c"]), rng.choice([None, rng.gauss(0, 1), 1.0])) for _ in range(5000)] + [("empty", None), ("one", 3.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.q1, r.median) for r in relational.quantiles(df, {"q1": (F.col("v"), 0.25), "median": (F.col("v"), 0.5)}, 1000, ["g"]).collect()}
+    for g in ("a", "b", "c", None, "one"):
+        own = [v for k, v in rows if k == g and v is not None]
+        assert got[g] == pytest.approx(tuple(np.percentile(own, [25, 50])))
+    whole = relational.with_quantiles(df.groupBy("g").count(), df, {"median": (F.col("v"), 0.5)}, ["g"])
+    assert {r.g: r.median for r in whole.collect()}["empty"] is None and whole.count() == 6
