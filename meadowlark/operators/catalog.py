@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import bbox_overlap, bbox_share
+from .joins import live_in_versions
 
 Box = tuple[float, float, float, float]
 #: Fixed value: the least share of a region that earns its tag.
@@ -162,6 +163,60 @@ def coverage_gaps(union: DataFrame, region: Box, start: Column, end: Column) ->
     return union.withColumn("gaps", F.array_compact(F.array(*gaps)))
 
 
+def missing_kinds(files: DataFrame, kinds: Sequence[str], column: str = "variables") -> DataFrame:
+    """(kind): the requested data kinds that no file has."""
+    wanted = files.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, kinds))).alias("kind"))
+    return wanted.join(files.select(F.explode(column).alias("kind")).distinct(), "kind", "left_anti")
+
+
+def uncovered_days(files: DataFrame, by: Sequence[str], start: Column, end: Column) -> DataFrame:
+    """(by, first, last): runs of requested days between a source's first and last one that none of its files covers.
+
+    Files without both ends tell nothing here. Days before the first and after the last file are the ``start`` and ``end``
+    gaps of ``source_coverage_gaps``.
+    """
+    known = files.where("start <= end").select(*by, "start", "end").distinct()
+    before = Window.partitionBy(*by).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    holes = known.withColumn("_upto", F.max("end").over(before)).where("datediff(start, _upto) > 1")
+    cut = holes.select(*by, F.greatest(F.date_add("_upto", 1), start).alias("first"), F.least(F.date_sub("start", 1), end).alias("last"))
+    return cut.where("first <= last")
+
+
+def covered_share(files: DataFrame, by: Sequence[str], region: Box) -> DataFrame:
+    """(by, share): the part of a region's area that the union of a source's boxes covers; sources without a box have no row.
+
+    Equal boxes count once. The boxes' west and east sides cut the region into strips; in each strip the boxes over it are
+    swept from south to north. Boxes don't wrap over the antimeridian.
+    """
+    w, s, e, n = region
+    inside = files.where("west <= east and south <= north").select(*by, *(f(F.lit(float(a)), f2(F.lit(float(b)), F.col(c))).alias(c) for c, f, a, f2, b in (("west", F.greatest, w, F.least, e), ("south", F.greatest, s, F.least, n), ("east", F.greatest, w, F.least, e), ("north", F.greatest, s, F.least, n)))).distinct()
+    sides = inside.select(*by, F.explode(F.array("west", "east")).alias("_x")).distinct()
+    strips = sides.withColumn("_next", F.lead("_x").over(Window.partitionBy(*by).orderBy("_x"))).where("_next > _x")
+    over = inside.join(strips, list(by)).where((F.col("west") <= F.col("_x")) & (F.col("east") >= F.col("_next")))
+    below = Window.partitionBy(*by, "_x").orderBy("south", "north").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.greatest(F.col("north") - F.greatest(F.col("south"), F.coalesce(F.max("north").over(below), F.col("south"))), F.lit(0.0))
+    area = over.withColumn("_area", fresh * (F.col("_next") - F.col("_x"))).groupBy(*by).agg(F.sum("_area").alias("_area"))
+    shares = inside.select(*by).distinct().join(area, list(by), "left")
+    return shares.select(*by, (F.coalesce("_area", F.lit(0.0)) / ((e - w) * (n - s))).alias("share"))
+
+
+def source_coverage_gaps(files: DataFrame, region: Box, start: Column, end: Column, by: Sequence[str] = ("source_id",)) -> DataFrame:
+    """(by, files, gaps, uncovered_days, share): what of a request the union of each source's files leaves out.
+
+    ``gaps`` are codes of the union's bounds: bbox, start, end, or each with _unknown if one file doesn't tell. Bounds say
+    nothing of what lies between: uncovered_days counts requested days in holes between files, and ``share`` is the part of
+    the region under some file (null if no file has a box).
+    """
+    union = coverage_union(files, by).join(files.groupBy(*by).agg(F.count("*").alias("files")), list(by))
+    w, s, e, n = map(F.lit, region)
+    box = F.col("west").isNull() | F.col("south").isNull() | F.col("east").isNull() | F.col("north").isNull()
+    inside = (F.col("west") <= w) & (F.col("south") <= s) & (F.col("east") >= e) & (F.col("north") >= n)
+    gaps = [F.when(box, "bbox_unknown").when(~inside, "bbox"), F.when(F.col("start").isNull(), "start_unknown").when(F.col("start") > start, "start"), F.when(F.col("end").isNull(), "end_unknown").when(F.col("end") < end, "end")]
+    holes = uncovered_days(files, by, start, end).groupBy(*by).agg(F.sum(F.datediff("last", "first") + 1).alias("uncovered_days"))
+    out = union.join(holes, list(by), "left").join(covered_share(files, by, region), list(by), "left")
+    return out.select(*by, "files", F.array_compact(F.array(*gaps)).alias("gaps"), F.coalesce("uncovered_days", F.lit(0)).alias("uncovered_days"), "share")
+
+
 def footprint(df: DataFrame, by: Sequence[str], cell: str = "cell") -> DataFrame:
     """The set of cells, as rows (by…, cell); a footprint is as large as it has rows."""
     return df.select(*by, cell).where(F.col(cell).isNotNull()).distinct()
@@ -211,3 +266,20 @@ def published(df: DataFrame, entries: DataFrame, key: str, entry_key: str, json:
 
 def public_catalog(datasets: DataFrame) -> DataFrame:
     return datasets.where("access_scope = 'public' and status = 'ready'").orderBy("family", "dataset_id")
+
+
+def published_manifests(manifests: DataFrame, batches: DataFrame, datasets: DataFrame, manifest: str = "raw_manifest") -> DataFrame:
+    """Manifests (artifact_id, version, checksum, access_scope…) that a live batch of a ready dataset of their scope names.
+
+    The chain is reduced from its small end: ready versions, then their live batches, whose manifests' keys are taken from
+    JSON, each once; only these keys meet the large table, whose rows of other keys a Bloom filter or a broadcast of the
+    keys, as Spark chooses, leaves out at the scan.
+    """
+    ready = datasets.where("status = 'ready'").select(F.col("dataset_id").alias("series_id"), "version", F.col("access_scope").alias("_scope"))
+    parts = ("artifact_id", "version", "checksum")
+    named = batches.select("series_id", "added_in_version", "superseded_in_version", *(F.get_json_object(manifest, f"$.{k}").alias(f"_{k}") for k in parts))
+    keys = live_in_versions(ready, named).select("_scope", *(f"_{k}" for k in parts)).distinct()
+    same = F.col("access_scope") == F.col("_scope")
+    for k in parts:
+        same = same & (F.col(k).cast("string") == F.col(f"_{k}"))
+    return manifests.join(keys, same, "left_semi")

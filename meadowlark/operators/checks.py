@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .relational import CheckFailed
@@ -131,3 +132,64 @@ def coverage_overlaps(start: Column, end: Column, want_start: Column, want_end:
     """Whether coverage meets a query in time and species; unknown coverage isn't a failure."""
     in_time = F.coalesce((start <= want_end) & (end >= want_start), F.lit(True))
     return in_time & F.coalesce((F.size(want) == 0) | F.arrays_overlap(have, want), F.lit(True))
+
+
+class Prepared(NamedTuple):
+    """Rows of a feature table that a question may use, and counters that fill while these rows are first written or collected."""
+
+    rows: DataFrame
+    left_out: Observation
+    grain: Observation
+
+    def counts(self) -> dict[str, int]:
+        """What was left out, by its first reason, and what was changed; waits for the first action on ``rows``."""
+        return self.left_out.get | self.grain.get
+
+    def check(self) -> None:
+        """Fails if numbers couldn't be read, places lie outside the globe, or an animal has two rows at one time."""
+        counts = self.counts()
+        for code in ("invalid_numbers", "outside_wgs84", "off_grain", "no_animal", "no_rows"):
+            if counts[code]:
+                raise CheckFailed(code.upper(), f"{counts[code]} rows")
+
+
+def prepare(df: DataFrame, start: object, end: object, numbers: Sequence[str] = (), species: Sequence[str] = (), scopes: Sequence[str] = (), entity: str = "entity_id", time: str = "day", longitude: str = "longitude", latitude: str = "latitude", displacement: str = "displacement_km", by_day: bool = True) -> Prepared:
+    """A feature table cut to a question's scopes, time range (both ends inside) and species, in one pass.
+
+    ``numbers``, and places and distances given as texts, become doubles; texts that are no numbers are counted and null. NaN and infinities are null, and counted;
+    negative displacements stay, and are counted. A row without coordinates goes, if the table has coordinates. ``public``
+    rows are always in scope; no species, no filter. ``off_grain`` counts rows beyond the first of an animal and day, or
+    of an animal and time. Columns that the table lacks are not tested. No job runs before the caller's own.
+    """
+    has = lambda c: c in df.columns
+    texts = [c for c, t in df.dtypes if t == "string" and c in (longitude, latitude, displacement)]
+    numbers = list(dict.fromkeys([*numbers, *texts]))
+    parsed = {c: F.col(c).try_cast("double") for c in numbers}
+    bad = reduce(Column.__or__, (F.col(c).isNotNull() & parsed[c].isNull() for c in numbers), F.lit(False))
+    rows = df.withColumn("_bad", bad).withColumns(parsed)
+    floats = [c for c, t in rows.dtypes if t in ("double", "float")]
+    odd = lambda c: F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
+    rows = rows.withColumn("_odd", reduce(lambda a, c: a + F.coalesce(odd(c), F.lit(False)).cast("int"), floats, F.lit(0)))
+    rows = rows.withColumns({c: F.when(~odd(c), F.col(c)) for c in floats})
+    reasons = {}
+    if has("access_scope"):
+        reasons["out_of_scope"] = ~F.coalesce(F.col("access_scope").isin("public", *scopes), F.lit(False))
+    reasons["out_of_time"] = ~F.coalesce(F.col(time).between(start, end), F.lit(False))
+    if species and has("species"):
+        reasons["wrong_species"] = ~F.coalesce(F.col("species").isin(*species), F.lit(False))
+    outside = F.lit(False)
+    if has(longitude) and has(latitude):
+        reasons["no_coordinates"] = F.col(longitude).isNull() | F.col(latitude).isNull()
+        outside = F.coalesce(~F.col(longitude).between(-180, 180), F.lit(False)) | F.coalesce(~F.col(latitude).between(-90, 90), F.lit(False))
+    reason = reduce(lambda rest, r: F.when(reasons[r], r).otherwise(rest), reversed(reasons), F.lit(None).cast("string"))
+    negative = F.count_if(F.coalesce(F.col(displacement) < 0, F.lit(False))) if has(displacement) else F.lit(0)
+    left_out, grain = Observation(), Observation()
+    every = ("out_of_scope", "out_of_time", "wrong_species", "no_coordinates")
+    watched = rows.withColumn("_reason", reason).observe(
+        left_out, F.count("*").alias("rows_read"), *(F.count_if(F.coalesce(F.col("_reason") == r, F.lit(False))).alias(r) for r in every), F.count_if("_bad").alias("invalid_numbers"),
+        F.coalesce(F.sum("_odd"), F.lit(0)).alias("nonfinite"), negative.alias("negative"), F.count_if(outside).alias("outside_wgs84"))
+    kept = watched.where("_reason is null")
+    at = F.to_date(time) if by_day else F.col(time)
+    numbered = kept.withColumn("_at", at).withColumn("_nth", F.row_number().over(Window.partitionBy(entity, "_at").orderBy("_at")))
+    counted = numbered.observe(grain, F.count("*").alias("rows_kept"), F.count_if(F.col("_nth") > 1).alias("off_grain"), F.count_if(F.col(entity).isNull()).alias("no_animal"), F.when(F.count("*") == 0, 1).otherwise(0).alias("no_rows"))
+    return Prepared(counted.select(*df.columns), left_out, grain)

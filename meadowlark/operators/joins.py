@@ -206,10 +206,41 @@ def validity_join(left: DataFrame, right: DataFrame, keys: Sequence[str], time:
     return pairs.select("_left.*", "_right.*")
 
 
+#: Versions are below 2 ** LEVELS.
+LEVELS = 20
+
+
+def _nodes(added: Column, gone: Column) -> Column:
+    """(level, node): the aligned blocks of 2 ** level versions that make up [added, gone), some two a level at most."""
+    def at(level: Column) -> Column:
+        size = F.pow(F.lit(2), level)
+        low, high = F.ceil(added / size).cast("long"), F.floor(gone / size).cast("long")
+        left = F.when((low < high) & (low % 2 == 1), F.struct(level.alias("level"), low.alias("node")))
+        right = F.when((low < high) & (high % 2 == 1), F.struct(level.alias("level"), (high - 1).alias("node")))
+        return F.array_compact(F.array(left, right))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), at))
+
+
+def live_in_versions(datasets: DataFrame, batches: DataFrame, series: str = "series_id") -> DataFrame:
+    """Each dataset version with the batches of its series that are live in it: added <= version, not superseded by then.
+
+    A batch's versions [added, superseded) are cut into aligned blocks, and a version lies in one block of each level, so
+    both meet by equal (series, level, node), once: versions and batches that don't fit make no rows. Columns of
+    ``batches`` must differ from those of ``datasets``, but for the series. Versions are whole numbers from 0 below 2 ** 20.
+    """
+    top = F.lit(1 << LEVELS)
+    version = F.when(F.col("version").between(0, top - 1), F.col("version")).otherwise(F.when(F.col("version").isNotNull(), F.raise_error(F.lit("a version is out of range")).cast("long")))
+    blocks = F.explode(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.struct(k.alias("level"), F.floor(version / F.pow(F.lit(2), k)).cast("long").alias("node")))).alias("_block")
+    spans = F.explode(_nodes(F.greatest("added_in_version", F.lit(0)), F.coalesce("superseded_in_version", top))).alias("_block")
+    asked, held = datasets.where("version is not null").select("*", blocks), batches.select("*", spans)
+    unfold = lambda df: df.select("*", F.col("_block.level").alias("_level"), F.col("_block.node").alias("_node")).drop("_block")
+    return unfold(asked).join(unfold(held), [series, "_level", "_node"]).drop("_level", "_node")
+
+
 def expand_versions(datasets: DataFrame, batches: DataFrame, rows: DataFrame, series: str = "series_id", batch: str = "batch_key") -> DataFrame:
-    """Rows of the batches that are live in each dataset's version: added <= version, and not superseded by then."""
-    live = datasets.join(batches, series).where((F.col("added_in_version") <= F.col("version")) & (F.col("superseded_in_version").isNull() | (F.col("superseded_in_version") > F.col("version"))))
-    return live.join(rows, [series, batch])
+    """Rows of the batches that are live in each dataset's version (see ``live_in_versions``)."""
+    return live_in_versions(datasets, batches, series).join(rows, [series, batch])
 
 
 def with_dimension(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame:

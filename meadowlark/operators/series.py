@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import expand_versions
 from .relational import latest
 
 
@@ -47,6 +48,44 @@ def current_at(rows: DataFrame, version: int | None = None, cutoff: object | Non
     return current_cells(seen if cutoff is None else seen.where(F.col("available_at") <= cutoff))
 
 
+# The vegetation indices.
+INDICES = ("ndvi", "evi", "mndwi", "ndmi")
+
+
+def _ready(datasets: DataFrame, family: str) -> DataFrame:
+    """(series_id, version, access_scope) of the ready datasets of a family; a dataset's id is that of its series."""
+    return datasets.where((F.col("status") == "ready") & (F.col("family") == family)).select(F.col("dataset_id").alias("series_id"), "version", "access_scope")
+
+
+def recipe_cells(datasets: DataFrame, batches: DataFrame, rows: DataFrame) -> DataFrame:
+    """Current cell rows of each ready dataset version: those of its live batches, one a cell, variable, source and day."""
+    live = expand_versions(_ready(datasets, "cell_observations"), batches.select("series_id", "batch_key", "added_in_version", "superseded_in_version"), rows)
+    return current_cells(live, ["series_id", "version", "access_scope"]).withColumnRenamed("series_id", "dataset_id")
+
+
+def recipe_rainfall(datasets: DataFrame, batches: DataFrame, rows: DataFrame, variable: str = "rainfall_mm") -> DataFrame:
+    """Rain by dataset version, cell and interval."""
+    cells = recipe_cells(datasets, batches, rows.where(F.col("variable") == variable))
+    return cells.select("dataset_id", "version", "access_scope", F.col("source_item_id").alias("source_record_id"), "cell", F.col("time_start").alias("interval_start"), F.col("value").alias("rainfall_mm"), "available_at", "product_status", "valid_fraction")
+
+
+def recipe_vegetation(datasets: DataFrame, batches: DataFrame, rows: DataFrame) -> DataFrame:
+    """Vegetation indices by dataset version, cell and acquisition."""
+    cells = recipe_cells(datasets, batches, rows.where(F.col("variable").isin(*INDICES)))
+    return cells.select("dataset_id", "version", "access_scope", F.col("source_item_id").alias("source_record_id"), "cell", F.col("time_start").alias("observed_at"), F.col("variable").alias("index_name"), F.col("value").alias("index_value"), "available_at", "valid_fraction")
+
+
+def recipe_animals(datasets: DataFrame, batches: DataFrame, fixes: DataFrame, entities: DataFrame) -> DataFrame:
+    """Fixes by dataset version; of an animal, time and sensor that of the latest batch, then of the largest record id.
+
+    ``entities`` gives entity_id and taxon_name; fixes of unknown animals are left out.
+    """
+    live = expand_versions(_ready(datasets, "animal_locations"), batches.select("series_id", "batch_key", "added_in_version", "superseded_in_version"), fixes)
+    current = current_fixes(live, ["series_id", "version", "access_scope"])
+    named = entities.select(F.col("entity_id").alias("_entity"), F.col("taxon_name").alias("species"))
+    return current.join(named, F.col("entity_id") == F.col("_entity")).drop("_entity").withColumnRenamed("series_id", "dataset_id")
+
+
 def not_ingested(items: DataFrame, registry: DataFrame, keys: Sequence[str] = ("source_item_id", "processing_version", "product_status")) -> DataFrame:
     return items.join(registry.select(*keys).distinct(), list(keys), "left_anti")
 

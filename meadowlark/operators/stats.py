@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import cell_centre
 from ..sources.storage import written
 from .relational import average_rank, quantiles, with_quantiles
 
@@ -142,6 +143,20 @@ def zonal_stats(pixels: DataFrame, pixels_per_cell: float, min_valid: float = 0.
     return zonal_sums(pixels).select("cell", "variable", F.when(ok, mean).alias("value"), F.when(ok, sd).alias("std"), fraction.alias("valid_fraction"), "pixel_count")
 
 
+def sample_cell_centres(cells: DataFrame, source: DataFrame, raster: tuple[float, float, float, float, int, int], value: str = "value") -> DataFrame:
+    """``cells`` (row, col) with the value of the pixel of a coarser source that lies under each cell's centre.
+
+    ``source`` has pixel_row, pixel_col and the value; ``raster`` is its north-up place in degrees: west, north, width and
+    height of a pixel, rows, columns. Centres are unprojected and looked up by arithmetic, so cells and pixels meet by
+    equal pixels; cells outside the raster, or over a pixel that isn't there, are left out.
+    """
+    west, north, wide, high, rows, cols = raster
+    lon, lat = cell_centre(F.col("row"), F.col("col"))
+    placed = cells.select("*", F.floor((F.lit(float(north)) - lat) / high).alias("pixel_row"), F.floor((lon - west) / wide).alias("pixel_col"))
+    inside = placed.where(F.col("pixel_row").between(0, rows - 1) & F.col("pixel_col").between(0, cols - 1))
+    return inside.join(source.select("pixel_row", "pixel_col", value), ["pixel_row", "pixel_col"]).select(*cells.columns, "pixel_row", "pixel_col", value)
+
+
 def cell_flag(value: Column, status: Column) -> Column:
     return F.when(value.isNull(), "low_valid_fraction").when(status == "preliminary", "preliminary").otherwise("ok")
 

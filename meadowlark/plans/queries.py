@@ -335,6 +335,16 @@ def _(v):
     return catalog.published(v.table("orders"), entries, "o_orderkey", "", "manifest", "$.batch.key").select("o_orderkey")
 
 
+@query("published_manifests", "datasets", """SELECT o_orderkey AS artifact_id FROM orders WHERE EXISTS (SELECT 1 FROM lineitem JOIN datasets d ON d.dataset_id = 'd' || (l_suppkey // 3) WHERE l_orderkey = o_orderkey AND d.status = 'ready'
+    AND d.access_scope = CASE WHEN o_orderkey % 2 = 0 THEN 'public' ELSE 'private' END AND l_linenumber - 1 <= d.version AND (l_returnflag <> 'R' OR l_linenumber + 1 > d.version))""")
+def _(v):
+    manifests = v.table("orders").select(F.col("o_orderkey").alias("artifact_id"), F.lit("1").alias("version"), F.lit("sha").alias("checksum"), F.when(F.col("o_orderkey") % 2 == 0, "public").otherwise("private").alias("access_scope"))
+    named = F.to_json(F.struct(F.col("l_orderkey").alias("artifact_id"), F.lit("1").alias("version"), F.lit("sha").alias("checksum")))
+    batches = v.table("lineitem").select(F.concat(F.lit("d"), (F.col("l_suppkey") / 3).cast("long").cast("string")).alias("series_id"), (F.col("l_linenumber") - 1).alias("added_in_version"),
+                                         F.when(F.col("l_returnflag") == "R", F.col("l_linenumber") + 1).alias("superseded_in_version"), named.alias("raw_manifest"))
+    return catalog.published_manifests(manifests, batches, v.datasets).select("artifact_id")
+
+
 @query("anti_join_unmatched", "", "SELECT count(*) AS unmatched FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def _(v):
     return joins.unmatched_count(v.table("customer").withColumnRenamed("c_custkey", "k"), v.table("orders").withColumnRenamed("o_custkey", "k"), ["k"])
@@ -506,11 +516,22 @@ def _(v):
     return v.fixes.select("source_record_id", holds(row, col).alias("inside"), holds(row + 1, col).alias("below"), holds(row, col - 1).alias("beside"))
 
 
-@query("sample_cell_centres", "fixes", "SELECT source_record_id, floor(longitude / 0.05e0)::BIGINT AS i, floor(latitude / 0.05e0)::BIGINT AS j, n FROM fixes JOIN (SELECT floor(longitude / 0.05e0)::BIGINT AS a, floor(latitude / 0.05e0)::BIGINT AS b, count(*) AS n FROM fixes WHERE event_type = 'view' GROUP BY 1, 2) ON a = floor(longitude / 0.05e0)::BIGINT AND b = floor(latitude / 0.05e0)::BIGINT")
+_E4, _E6 = geo._E2**2, geo._E2**3
+#: A coarse source at an offset that is no multiple of a cell: west, north, width and height of a pixel, rows, columns.
+COARSE = (36.8437, -1.4171, 0.0131, 0.0117, 14, 15)
+_CENTRES = f"""centres AS (SELECT DISTINCT grow, gcol, asin((7314540.830638552e0 - (grow + 0.5e0) * 1000.8950233495556e0) * {2 * geo._K0 / (geo.SEMI_MAJOR * geo._QP)!r}::DOUBLE) AS beta, degrees(((gcol + 0.5e0) * 1000.8950233495556e0 - 17367530.445161488e0)
+    / {geo.SEMI_MAJOR * geo._K0!r}::DOUBLE) AS clon, degrees(beta + sin(beta * 2) * {geo._E2 / 3 + 31 * _E4 / 180 + 517 * _E6 / 5040!r}::DOUBLE + sin(beta * 4) * {23 * _E4 / 360 + 251 * _E6 / 3780!r}::DOUBLE + sin(beta * 6) * {761 * _E6 / 45360!r}::DOUBLE) AS clat FROM placed)"""
+_COARSE = f"""coarse AS (SELECT floor((-1.4171e0 - latitude) / 0.0117e0)::BIGINT AS prow, floor((longitude - 36.8437e0) / 0.0131e0)::BIGINT AS pcol, count(*) AS n FROM fixes WHERE event_type = 'view' GROUP BY 1, 2)"""
+
+
+@query("sample_cell_centres", "fixes", f"""WITH {_CELLS}, {_CENTRES}, {_COARSE}, under AS (SELECT *, floor((-1.4171e0 - clat) / 0.0117e0)::BIGINT AS prow, floor((clon - 36.8437e0) / 0.0131e0)::BIGINT AS pcol FROM centres)
+    SELECT grow AS row, gcol AS col, prow AS pixel_row, pcol AS pixel_col, n FROM under JOIN coarse USING (prow, pcol) WHERE prow BETWEEN 0 AND 13 AND pcol BETWEEN 0 AND 14""")
 def _(v):
-    pixel = [F.floor(F.col(c) / 0.05).alias(n) for c, n in (("longitude", "i"), ("latitude", "j"))]
+    west, north, wide, high, *_ = COARSE
+    row, col = geo.cell_row_col(F.col("longitude"), F.col("latitude"))
+    pixel = [F.floor((F.lit(north) - F.col("latitude")) / high).alias("pixel_row"), F.floor((F.col("longitude") - west) / wide).alias("pixel_col")]
     source = v.fixes.where("event_type = 'view'").groupBy(*pixel).agg(F.count("*").alias("n"))
-    return v.fixes.select("source_record_id", *pixel).join(source, ["i", "j"])
+    return stats.sample_cell_centres(v.fixes.select(row.alias("row"), col.alias("col")).distinct(), source, COARSE, "n")
 
 
 @query("footprint_from_cells", "cell_obs", "SELECT series_id, count(DISTINCT cell) AS cells FROM cell_obs GROUP BY 1")
@@ -915,6 +936,31 @@ def _(v):
     return catalog.coverage_gaps(v.datasets, REGION, F.lit("2024-06-01").cast("date"), F.lit("2024-06-30").cast("date")).select("dataset_id", "version", F.concat_ws(",", "gaps").alias("gaps"))
 
 
+_REQUEST = (F.lit("2024-03-01").cast("date"), F.lit("2024-12-31").cast("date"))
+
+
+@query("source_coverage_gaps", "datasets", """WITH files AS (SELECT *, (right(description, 9)::BIGINT % 40)::BIGINT AS source_id FROM datasets),
+    u AS (SELECT source_id, count(*) AS files, bool_or(west IS NULL) AS nobox, min(west) AS w, min(south) AS s, max(east) AS e, max(north) AS n, min("start") AS a, max("end") AS b FROM files GROUP BY 1),
+    days AS (SELECT source_id, unnest(generate_series("start", "end", INTERVAL 1 DAY))::DATE AS day FROM files),
+    holes AS (SELECT u.source_id, count(*) AS uncovered_days FROM u, (SELECT unnest(generate_series(DATE '2024-03-01', DATE '2024-12-31', INTERVAL 1 DAY))::DATE AS day) c
+        WHERE c.day BETWEEN u.a AND u.b AND NOT EXISTS (SELECT 1 FROM days d WHERE d.source_id = u.source_id AND d.day = c.day) GROUP BY 1),
+    xs AS (SELECT DISTINCT source_id, unnest([greatest(west, 36.90e0), least(east, 37.00e0)]) AS x FROM files WHERE greatest(west, 36.90e0) <= least(east, 37.00e0) AND greatest(south, -1.55e0) <= least(north, -1.45e0)),
+    ys AS (SELECT DISTINCT source_id, unnest([greatest(south, -1.55e0), least(north, -1.45e0)]) AS y FROM files WHERE greatest(west, 36.90e0) <= least(east, 37.00e0) AND greatest(south, -1.55e0) <= least(north, -1.45e0)),
+    tiles AS (SELECT * FROM (SELECT source_id, x, lead(x) OVER (PARTITION BY source_id ORDER BY x) AS x2 FROM xs) JOIN (SELECT source_id, y, lead(y) OVER (PARTITION BY source_id ORDER BY y) AS y2 FROM ys) USING (source_id)),
+    shares AS (SELECT source_id, coalesce(sum((x2 - x) * (y2 - y)) FILTER (EXISTS (SELECT 1 FROM files f WHERE f.source_id = tiles.source_id AND f.west <= (x + x2) / 2 AND f.east >= (x + x2) / 2 AND f.south <= (y + y2) / 2 AND f.north >= (y + y2) / 2)), 0) / 0.01e0 AS share FROM tiles GROUP BY 1)
+    SELECT u.source_id, files, concat_ws(',', CASE WHEN nobox THEN 'bbox_unknown' WHEN NOT (w <= 36.90e0 AND s <= -1.55e0 AND e >= 37.00e0 AND n >= -1.45e0) THEN 'bbox' END, CASE WHEN a > DATE '2024-03-01' THEN 'start' END, CASE WHEN b < DATE '2024-12-31' THEN 'end' END) AS gaps,
+        coalesce(uncovered_days, 0)::BIGINT AS uncovered_days, CASE WHEN w IS NOT NULL THEN round(coalesce(share, 0), 6) END AS share FROM u LEFT JOIN holes USING (source_id) LEFT JOIN shares USING (source_id)""")
+def _(v):
+    files = v.datasets.withColumn("source_id", F.right("description", F.lit(9)).cast("long") % 40)
+    out = catalog.source_coverage_gaps(files, REGION, *_REQUEST)
+    return out.select("source_id", "files", F.concat_ws(",", "gaps").alias("gaps"), "uncovered_days", r("share").alias("share"))
+
+
+@query("missing_data_kinds", "datasets", "SELECT kind FROM (SELECT unnest(['rain', 'snow', 'fixes', 'wind']) AS kind) WHERE kind NOT IN (SELECT unnest(variables) FROM datasets)")
+def _(v):
+    return catalog.missing_kinds(v.datasets, ["rain", "snow", "fixes", "wind"])
+
+
 @query("quarantine_split", "", "SELECT CASE WHEN p_size > 45 THEN 'too large' WHEN p_retailprice < 950 THEN 'too cheap' ELSE 'good' END AS reason, count(*) AS n FROM part GROUP BY 1")
 def _(v):
     good, bad = checks.quarantine(v.table("part"), [("too large", F.col("p_size") > 45), ("too cheap", F.col("p_retailprice") < 950)])
@@ -982,6 +1028,49 @@ def _(v):
     return series.current_cells(series.live_batches(v.cell_obs), ["series_id"]).where("variable in ('ndvi', 'evi')").select("series_id", "cell", "variable", "value")
 
 
+_RECIPE_SETS = "sets AS (SELECT series_id AS dataset_id, version, CASE WHEN substr(series_id, 2)::BIGINT % 5 = 0 THEN 'draft' ELSE 'ready' END AS status FROM (SELECT DISTINCT series_id FROM cell_obs), (SELECT unnest([0, 1, 3, 6])::INTEGER AS version))"
+
+
+def _recipe_sets(v: Views) -> DataFrame:
+    number = F.expr("substr(series_id, 2)").cast("long")
+    return v.cell_obs.select("series_id").distinct().select(F.col("series_id").alias("dataset_id"), F.explode(F.array(*map(F.lit, (0, 1, 3, 6)))).alias("version"), F.when(number % 5 == 0, "draft").otherwise("ready").alias("status"),
+                                                            F.lit("cell_observations").alias("family"), F.lit("public").alias("access_scope"))
+
+
+def _recipe_rows(v: Views) -> DataFrame:
+    return v.cell_obs.select("series_id", F.concat_ws("|", "added_in_version", "product_status", "processing_version").alias("batch_key"), "cell", "variable", "source_id", "time_start", "available_at", "product_status", "processing_version", "mapping_version", "valid_fraction", "source_item_id", "value")
+
+
+def _recipe_sql(variables: str, columns: str) -> str:
+    return f"""WITH {_RECIPE_SETS} SELECT dataset_id, version, cell, source_item_id AS record, {columns} FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, version, cell, variable, source_id, time_start::DATE {_ORDER}) AS place
+        FROM cell_obs JOIN sets ON series_id = dataset_id AND status = 'ready' AND added_in_version <= version AND (superseded_in_version IS NULL OR superseded_in_version > version) WHERE variable IN ({variables})) WHERE place = 1"""
+
+
+@query("recipe_rainfall_versions", "cell_obs", _recipe_sql("'rain'", "value AS rainfall_mm"))
+def _(v):
+    return series.recipe_rainfall(_recipe_sets(v), _registry(v), _recipe_rows(v), "rain").select("dataset_id", "version", "cell", F.col("source_record_id").alias("record"), "rainfall_mm")
+
+
+@query("recipe_vegetation_versions", "cell_obs", _recipe_sql("'ndvi', 'evi'", "variable AS index_name, value AS index_value"))
+def _(v):
+    return series.recipe_vegetation(_recipe_sets(v), _registry(v), _recipe_rows(v)).select("dataset_id", "version", "cell", F.col("source_record_id").alias("record"), "index_name", "index_value")
+
+
+_FIX_BATCHES = "b AS (SELECT unnest(['view', 'click', 'purchase', 'signup', 'error']) AS kind, unnest([1, 2, 2, 3, 4]) AS added, unnest([NULL, 4, 3, NULL, NULL]) AS gone)"
+
+
+@query("recipe_animals_versions", "fixes", f"""WITH {_FIX_BATCHES} SELECT version, entity_id, observed_at, record, species FROM (SELECT version, entity_id, f.observed_at, source_record_id AS record, 'taxon' || split_part(entity_id, ':', 3)::BIGINT % 7 AS species,
+    row_number() OVER (PARTITION BY version, entity_id, f.observed_at ORDER BY added DESC, source_record_id DESC) AS place FROM (SELECT * EXCLUDE (observed_at), date_trunc('day', observed_at) AS observed_at FROM fixes) f JOIN b ON kind = event_type, (SELECT unnest([1, 2, 3, 5]) AS version)
+    WHERE added <= version AND (gone IS NULL OR gone > version) AND split_part(entity_id, ':', 3)::BIGINT % 7 <> 6) WHERE place = 1""")
+def _(v):
+    batches = v.spark.createDataFrame([("events", k, a, g) for k, a, g in (("view", 1, None), ("click", 2, 4), ("purchase", 2, 3), ("signup", 3, None), ("error", 4, None))], "series_id string, batch_key string, added_in_version int, superseded_in_version int")
+    sets = v.spark.createDataFrame([("events", i, s, "animal_locations", "public") for i, s in ((1, "ready"), (2, "ready"), (3, "ready"), (4, "draft"), (5, "ready"))], "dataset_id string, version int, status string, family string, access_scope string")
+    fixes = v.fixes.select(F.lit("events").alias("series_id"), F.col("event_type").alias("batch_key"), "entity_id", F.date_trunc("day", "observed_at").cast(NTZ).alias("observed_at"), "sensor_type", "source_record_id", "longitude", "latitude", "available_at", "quality_flag")
+    number = F.element_at(F.split("entity_id", ":"), 3).cast("long")
+    entities = v.fixes.select("entity_id").distinct().where(number % 7 != 6).select("entity_id", F.concat(F.lit("taxon"), (number % 7).cast("string")).alias("taxon_name"))
+    return series.recipe_animals(sets, batches, fixes, entities).select("version", "entity_id", "observed_at", F.col("source_record_id").alias("record"), "species")
+
+
 @query("upsert_entities", "", "SELECT coalesce(n.k, o.k) AS entity_id, coalesce(n.c_mktsegment, o.c_mktsegment) AS life_stage, least(o.c_acctbal, n.c_acctbal) AS deploy_on, greatest(o.c_acctbal, n.c_acctbal) AS deploy_off FROM (SELECT c_custkey // 2 AS k, * FROM customer WHERE c_custkey % 2 = 0) o FULL JOIN (SELECT c_custkey // 2 AS k, * FROM customer WHERE c_custkey % 2 = 1) n ON o.k = n.k")
 def _(v):
     rows = v.table("customer").select("c_custkey", F.floor(F.col("c_custkey") / 2).alias("entity_id"), F.col("c_mktsegment").alias("life_stage"), F.col("c_acctbal").alias("deploy_on"), F.col("c_acctbal").alias("deploy_off"))
@@ -1118,11 +1207,32 @@ def _(v):
 # --- analysis ----------------------------------------------------------------------------------------------------
 
 
-@query("prepare_features", "daily", "SELECT entity_id, day, round(displacement_km, 6) AS displacement_km FROM daily WHERE day BETWEEN DATE '2024-01-05' AND DATE '2024-01-25'")
+_FLAGGED = """flagged AS (SELECT *, CASE WHEN u % 5 = 0 THEN 'out_of_scope' WHEN day NOT BETWEEN DATE '2024-01-05' AND DATE '2024-01-25' THEN 'out_of_time' WHEN u % 3 = 1 THEN 'wrong_species' WHEN cell IN ('c7', 'c9') THEN 'no_coordinates' END AS reason
+    FROM (SELECT *, split_part(entity_id, ':', 3)::BIGINT AS u FROM daily))"""
+
+
+def _prepared(v: Views) -> checks.Prepared:
+    """Days with scopes and species, some without places, some of a place that is no number, and some negative distances, as texts."""
+    u, cell = F.element_at(F.split("entity_id", ":"), 3).cast("long"), F.col("cell")
+    km = F.when(cell == "c5", -F.col("displacement_km")).otherwise(F.col("displacement_km")).cast("string")
+    longitude = F.when(cell == "c7", float("nan")).when(cell != "c9", F.col("longitude"))
+    table = v.daily.withColumns({"access_scope": F.when(u % 5 == 0, "secret").otherwise(F.when(u % 5 == 1, "team").otherwise("public")), "species": F.when(u % 3 == 1, "topi").otherwise("kob"), "longitude": longitude, "displacement_km": km})
+    return checks.prepare(table, F.lit("2024-01-05").cast("date"), F.lit("2024-01-25").cast("date"), ["displacement_km"], ["kob"], ["team"])
+
+
+@query("prepare_features", "daily", f"WITH {_FLAGGED} SELECT entity_id, day, round(CASE WHEN cell = 'c5' THEN -displacement_km ELSE displacement_km END, 6) AS displacement_km FROM flagged WHERE reason IS NULL")
+def _(v):
+    return _prepared(v).rows.select("entity_id", "day", r("displacement_km").alias("displacement_km"))
+
+
+@query("prepare_report", "daily", f"""WITH {_FLAGGED} SELECT count(*) AS rows_read, count(*) FILTER (reason = 'out_of_scope') AS out_of_scope, count(*) FILTER (reason = 'out_of_time') AS out_of_time, count(*) FILTER (reason = 'wrong_species') AS wrong_species,
+    count(*) FILTER (reason = 'no_coordinates') AS no_coordinates, 0 AS invalid_numbers, count(*) FILTER (cell = 'c7') AS nonfinite, count(*) FILTER (cell = 'c5' AND displacement_km > 0) AS negative, 0 AS outside_wgs84,
+    count(*) FILTER (reason IS NULL) AS rows_kept, 0 AS off_grain, 0 AS no_animal, 0 AS no_rows FROM flagged""")
 def _(v):
-    days = relational.in_time_range(v.daily, "day", F.lit("2024-01-05").cast("date"), F.lit("2024-01-25").cast("date"))
-    checks.check_grain(days, "entity_id", "day")
-    return relational.mask_nonfinite(days, "displacement_km").select("entity_id", "day", r("displacement_km").alias("displacement_km"))
+    prepared = _prepared(v)
+    prepared.rows.write.parquet(shared_folder(v.spark))  # the one action; counters come with it
+    prepared.check()
+    return v.spark.createDataFrame([prepared.counts()])
 
 
 @query("movement_summary", "daily", f"SELECT count(DISTINCT entity_id) AS animals, count(*) AS rows, count(DISTINCT day) AS days, count(displacement_km) AS displacements, count(*) - count(displacement_km) AS missing, round(sum(displacement_km), 6) AS total_km, round(median(displacement_km), 6) AS median_km, min(day) AS first_day, max(day) AS last_day, (SELECT count(*) FROM ({_GAPS})) AS gap_days FROM daily")

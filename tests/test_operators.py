@@ -434,3 +434,62 @@ def test_grouped_quantiles(spark):
         assert got[g] == pytest.approx(tuple(np.percentile(own, [25, 50])))
     whole = relational.with_quantiles(df.groupBy("g").count(), df, {"median": (F.col("v"), 0.5)}, ["g"])
     assert {r.g: r.median for r in whole.collect()}["empty"] is None and whole.count() == 6
+
+
+# --- streams of ids that look like numbers, versions, coverage, preparation
+
+
+def test_stream_append_keeps_ids_that_look_like_numbers(spark, tmp_path):
+    path, schema = str(tmp_path / "table"), "series_id string, batch_key string, v int"
+    sent = [("007", "b", 1), ("7", "b", 2), ("abc", "b", 3), ("7", "b", 4), (None, "b", 5), (None, "b", 6), ("1e3", "b", 7), ("2024-01-01", "b", 8)]
+    for i, row in enumerate(sent):
+        source = tmp_path / f"source{i}"
+        spark.createDataFrame([row], schema).write.parquet(str(source))
+        append.append_stream(spark.readStream.schema(schema).parquet(str(source)), path, str(tmp_path / f"checkpoint{i}")).awaitTermination()
+    got = append.stored_rows(spark, path, spark.createDataFrame([], schema).schema).collect()
+    assert sorted((r.series_id or "", r.batch_key, r.v) for r in got) == [("", "b", 5), ("007", "b", 1), ("1e3", "b", 7), ("2024-01-01", "b", 8), ("7", "b", 2), ("abc", "b", 3)]
+
+
+def test_versions_meet_live_batches_once(spark):
+    rng = random.Random(6)
+    batches = [(rng.choice("ab"), f"b{i}", a := rng.randrange(70), rng.choice([None, a, a + 1, a + rng.randrange(60)])) for i in range(150)] + [("a", "all", 0, None), ("a", "last", 2**20 - 1, None)]
+    versions = [(s, v) for s in "abc" for v in (*range(72), 127, 128, 2**20 - 1)] + [("a", None)]
+    held = spark.createDataFrame(batches, "series_id string, batch_key string, added_in_version int, superseded_in_version int")
+    got = joins.live_in_versions(spark.createDataFrame(versions, "series_id string, version int"), held).select("series_id", "version", "batch_key").collect()
+    assert sorted(map(tuple, got)) == sorted((s, v, b) for s, v in versions if v is not None for t, b, low, high in batches if s == t and low <= v and (high is None or v < high))
+
+
+def test_sources_are_covered_by_the_union_of_their_files(spark):
+    d = dt.date
+    files = [("a", 0.0, 0.0, 1.0, 1.0, d(2024, 1, 1), d(2024, 1, 10)), ("a", 0.5, 0.5, 2.0, 2.0, d(2024, 1, 5), d(2024, 1, 7)), ("a", 0.5, 0.5, 2.0, 2.0, d(2024, 1, 14), d(2024, 2, 1)),
+             ("b", None, None, None, None, None, d(2024, 3, 1)), ("c", 5.0, 5.0, 6.0, 6.0, d(2024, 1, 12), d(2024, 1, 12))]
+    df = spark.createDataFrame(files, "source_id string, west double, south double, east double, north double, start date, end date")
+    got = {x.source_id: (x.files, x.gaps, x.uncovered_days, x.share) for x in catalog.source_coverage_gaps(df, (0.0, 0.0, 2.0, 2.0), F.lit(d(2024, 1, 3)), F.lit(d(2024, 1, 13))).collect()}
+    assert got["a"] == (3, [], 3, pytest.approx((1 + 1.5 * 1.5 - 0.25) / 4))
+    assert got["b"] == (1, ["bbox_unknown", "start_unknown"], 0, None)
+    assert got["c"] == (1, ["bbox", "start", "end"], 0, 0.0)
+    kinds = spark.createDataFrame([(["rain"],), (None,), ([],)], "variables array<string>")
+    assert [x.kind for x in catalog.missing_kinds(kinds, ["rain", "snow"]).collect()] == ["snow"]
+
+
+def test_preparation_counts_what_it_leaves_out(spark):
+    d = dt.date
+    rows = [("a", d(2024, 1, 1), "public", "kob", 1.0, 1.0, "1"), ("a", d(2024, 1, 1), "public", "kob", 1.0, 1.0, "2"), ("b", d(2024, 1, 1), "secret", "kob", 1.0, 1.0, "x"), ("b", d(2023, 1, 1), "public", "kob", 1.0, 1.0, None),
+            ("c", d(2024, 1, 1), None, "kob", 1.0, 1.0, "3"), ("c", d(2024, 1, 2), "public", "topi", 1.0, 1.0, "-3"), ("d", d(2024, 1, 2), "public", "kob", math.nan, 1.0, "inf"), (None, d(2024, 1, 3), "public", "kob", 200.0, 1.0, "4"), ("e", None, "public", "kob", 1.0, 1.0, "4")]
+    df = spark.createDataFrame(rows, "entity_id string, day date, access_scope string, species string, longitude double, latitude double, displacement_km string")
+    prepared = checks.prepare(df, d(2024, 1, 1), d(2024, 1, 31), ["displacement_km"], ["kob"])
+    assert sorted(str((x.entity_id, x.displacement_km)) for x in prepared.rows.collect()) == ["('a', 1.0)", "('a', 2.0)", "(None, 4.0)"]
+    assert prepared.counts() == {"rows_read": 9, "out_of_scope": 2, "out_of_time": 2, "wrong_species": 1, "no_coordinates": 1, "invalid_numbers": 1, "nonfinite": 2, "negative": 1, "outside_wgs84": 1, "rows_kept": 3, "off_grain": 1, "no_animal": 1, "no_rows": 0}
+    with pytest.raises(CheckFailed, match="INVALID_NUMBERS"):
+        prepared.check()
+    nothing = checks.prepare(df.drop("access_scope", "species", "longitude"), d(2030, 1, 1), d(2030, 1, 31))
+    assert nothing.rows.count() == 0 and nothing.counts()["no_rows"] == 1
+
+
+def test_cells_take_the_pixel_under_their_centre(spark):
+    cells = spark.createDataFrame([(7492, 20911), (7492, 20912), (0, 0), (None, 1)], "row long, col long")
+    lon, lat = cells.where("row = 7492 and col = 20911").select(*geo.cell_centre(F.col("row"), F.col("col"))).first()
+    source = spark.createDataFrame([(0, 0, 5.0), (0, 1, 6.0), (1, 1, None)], "pixel_row long, pixel_col long, value double")
+    raster = (lon - 0.001, lat + 0.001, 0.005, 0.005, 2, 2)
+    got = stats.sample_cell_centres(cells, source, raster).collect()
+    assert sorted(map(tuple, got)) == [(7492, 20911, 0, 0, 5.0), (7492, 20912, 0, 1, 6.0)]
