@@ -143,7 +143,10 @@ class Prepared(NamedTuple):
 
     def counts(self) -> dict[str, int]:
         """What was left out, by its first reason, and what was changed; waits for the first action on ``rows``."""
-        return self.left_out.get | self.grain.get
+        counts = dict(self.left_out.get)
+        if not counts["rows_kept"]:  # Spark takes plans of no rows out, with their counters
+            return counts | {"off_grain": 0, "no_animal": 0, "no_rows": 1}
+        return counts | self.grain.get | {"no_rows": 0}
 
     def check(self) -> None:
         """Fails if numbers couldn't be read, places lie outside the globe, or an animal has two rows at one time."""
@@ -186,10 +189,10 @@ def prepare(df: DataFrame, start: object, end: object, numbers: Sequence[str] =
     left_out, grain = Observation(), Observation()
     every = ("out_of_scope", "out_of_time", "wrong_species", "no_coordinates")
     watched = rows.withColumn("_reason", reason).observe(
-        left_out, F.count("*").alias("rows_read"), *(F.count_if(F.coalesce(F.col("_reason") == r, F.lit(False))).alias(r) for r in every), F.count_if("_bad").alias("invalid_numbers"),
+        left_out, F.count("*").alias("rows_read"), F.count_if(F.col("_reason").isNull()).alias("rows_kept"), *(F.count_if(F.coalesce(F.col("_reason") == r, F.lit(False))).alias(r) for r in every), F.count_if("_bad").alias("invalid_numbers"),
         F.coalesce(F.sum("_odd"), F.lit(0)).alias("nonfinite"), negative.alias("negative"), F.count_if(outside).alias("outside_wgs84"))
     kept = watched.where("_reason is null")
     at = F.to_date(time) if by_day else F.col(time)
     numbered = kept.withColumn("_at", at).withColumn("_nth", F.row_number().over(Window.partitionBy(entity, "_at").orderBy("_at")))
-    counted = numbered.observe(grain, F.count("*").alias("rows_kept"), F.count_if(F.col("_nth") > 1).alias("off_grain"), F.count_if(F.col(entity).isNull()).alias("no_animal"), F.when(F.count("*") == 0, 1).otherwise(0).alias("no_rows"))
+    counted = numbered.observe(grain, F.count_if(F.col("_nth") > 1).alias("off_grain"), F.count_if(F.col(entity).isNull()).alias("no_animal"))
     return Prepared(counted.select(*df.columns), left_out, grain)
