@@ -61,6 +61,7 @@ class Line(NamedTuple):
     plain: int
     level: int
     article: int
+    in_main: bool
 
 
 def _lines(page: str, marks: bool, exempt: frozenset[int] | set[int] = frozenset()) -> tuple[list[Line], set[int]]:
@@ -84,7 +85,7 @@ def _lines(page: str, marks: bool, exempt: frozenset[int] | set[int] = frozenset
         nonlocal plain, dropped, own
         line = _SPACE.sub(" ", html.unescape("".join(text))).strip() if text else ""
         if line or dropped:
-            lines.append(Line(line, plain if line else 0, 2 if articles else 1 if within else 0, number))
+            lines.append(Line(line, plain if line else 0, 2 if articles else 1 if within else 0, number, within > articles))
             own += plain if articles else 0
         text.clear()
         plain, dropped = 0, False
@@ -191,17 +192,13 @@ def _weights(lines: list[Line]) -> list[int]:
     """Each line's length in the distribution.
 
     A page that names its article says where text counts: there, a line with text has SURGE more and so surges by
-    itself, however short it is, and elsewhere it has nothing. Of several articles, those with less than a quarter of
-    the longest one's text are teasers.
+    itself, however short it is, and elsewhere it has nothing. If articles of main have text, those outside main are
+    teasers; else every article counts, whatever its length.
     """
     if not _own(lines, 1):
         return [x.plain for x in lines]
-    by_article: dict[int, int] = {}
-    for x in lines:
-        if x.level == 2:
-            by_article[x.article] = by_article.get(x.article, 0) + x.plain
-    least = max(by_article.values(), default=0) / 4
-    named = [x.level == 2 and by_article[x.article] >= least or x.level == 1 for x in lines]
+    only_main = any(x.level == 2 and x.in_main and x.plain for x in lines)
+    named = [x.level == 1 or x.level == 2 and (x.in_main or not only_main) for x in lines]
     return [(x.plain + SURGE if x.text else 0) if own else 0 for x, own in zip(lines, named, strict=True)]
 
 

@@ -502,6 +502,13 @@ def test_main_text_of_several_articles():
     assert html_text.main_text(PAGE % f"<article>{BODY}</article><article>{BODY}</article>") == f"{TEXT}\n\n{TEXT}"
 
 
+def test_main_text_keeps_short_articles():
+    short = "<article><p>A short article of its own.</p></article>"
+    for page in (f"{short}<article>{BODY}</article>", f"<main>{short}<article>{BODY}</article></main>", f"<main><p>A short article of its own.</p><article>{BODY}</article></main>"):
+        assert html_text.main_text(PAGE % page) == f"A short article of its own.\n\n{TEXT}"
+    assert html_text.main_text(PAGE % f"<article>{BODY}</article>{short}") == f"{TEXT}\n\nA short article of its own."
+
+
 def test_main_text_is_where_the_distribution_surges(monkeypatch):
     """Short lines without marks before and after the article; without the distribution they would stay."""
     short = "".join(f"<p>{x}</p>" for x in ("Home", "News", "Sport", "Mail"))
