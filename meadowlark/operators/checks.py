@@ -134,26 +134,30 @@ def coverage_overlaps(start: Column, end: Column, want_start: Column, want_end:
     return in_time & F.coalesce((F.size(want) == 0) | F.arrays_overlap(have, want), F.lit(True))
 
 
+COUNTERS = ("rows_read", "out_of_scope", "out_of_time", "wrong_species", "no_coordinates", "invalid_numbers", "nonfinite", "negative", "outside_wgs84", "rows_kept", "off_grain", "no_animal")
+
+
 class Prepared(NamedTuple):
     """Rows of a feature table that a question may use, and counters that fill while these rows are first written or collected."""
 
     rows: DataFrame
-    left_out: Observation
-    grain: Observation
+    source: DataFrame
+    observed: Observation
 
     def counts(self) -> dict[str, int]:
         """What was left out, by its first reason, and what was changed; waits for the first action on ``rows``."""
-        counts = dict(self.left_out.get)
-        if not counts["rows_kept"]:  # Spark takes plans of no rows out, with their counters
-            return counts | {"off_grain": 0, "no_animal": 0, "no_rows": 1}
-        return counts | self.grain.get | {"no_rows": 0}
+        if self.source.isEmpty():  # Spark takes plans of no rows out, with their counters
+            return dict.fromkeys(COUNTERS, 0)
+        return dict(self.observed.get)
 
     def check(self) -> None:
-        """Fails if numbers couldn't be read, places lie outside the globe, or an animal has two rows at one time."""
+        """Fails if numbers couldn't be read, places lie outside the globe, an animal is null or has two rows at one time, or no row is left."""
         counts = self.counts()
-        for code in ("invalid_numbers", "outside_wgs84", "off_grain", "no_animal", "no_rows"):
+        for code in ("invalid_numbers", "outside_wgs84", "off_grain", "no_animal"):
             if counts[code]:
                 raise CheckFailed(code.upper(), f"{counts[code]} rows")
+        if not counts["rows_kept"]:
+            raise CheckFailed("NO_ROWS", "no row is left")
 
 
 def prepare(df: DataFrame, start: object, end: object, numbers: Sequence[str] = (), species: Sequence[str] = (), scopes: Sequence[str] = (), entity: str = "entity_id", time: str = "day", longitude: str = "longitude", latitude: str = "latitude", displacement: str = "displacement_km", by_day: bool = True) -> Prepared:
@@ -186,13 +190,15 @@ def prepare(df: DataFrame, start: object, end: object, numbers: Sequence[str] =
         outside = F.coalesce(~F.col(longitude).between(-180, 180), F.lit(False)) | F.coalesce(~F.col(latitude).between(-90, 90), F.lit(False))
     reason = reduce(lambda rest, r: F.when(reasons[r], r).otherwise(rest), reversed(reasons), F.lit(None).cast("string"))
     negative = F.count_if(F.coalesce(F.col(displacement) < 0, F.lit(False))) if has(displacement) else F.lit(0)
-    left_out, grain = Observation(), Observation()
     every = ("out_of_scope", "out_of_time", "wrong_species", "no_coordinates")
-    watched = rows.withColumn("_reason", reason).observe(
-        left_out, F.count("*").alias("rows_read"), F.count_if(F.col("_reason").isNull()).alias("rows_kept"), *(F.count_if(F.coalesce(F.col("_reason") == r, F.lit(False))).alias(r) for r in every), F.count_if("_bad").alias("invalid_numbers"),
-        F.coalesce(F.sum("_odd"), F.lit(0)).alias("nonfinite"), negative.alias("negative"), F.count_if(outside).alias("outside_wgs84"))
-    kept = watched.where("_reason is null")
     at = F.to_date(time) if by_day else F.col(time)
-    numbered = kept.withColumn("_at", at).withColumn("_nth", F.row_number().over(Window.partitionBy(entity, "_at").orderBy("_at")))
-    counted = numbered.observe(grain, F.count_if(F.col("_nth") > 1).alias("off_grain"), F.count_if(F.col(entity).isNull()).alias("no_animal"))
-    return Prepared(counted.select(*df.columns), left_out, grain)
+    # Rows that go are counted beside those that stay, so that the counters stand above the only shuffle.
+    same = Window.partitionBy(entity, "_at", "_reason").orderBy("_at")
+    numbered = rows.withColumns({"_reason": reason, "_at": at}).withColumn("_nth", F.row_number().over(same))
+    kept = F.col("_reason").isNull()
+    seen = {"rows_read": F.count("*")} | {r: F.count_if(F.coalesce(F.col("_reason") == r, F.lit(False))) for r in every}
+    seen |= {"invalid_numbers": F.count_if("_bad"), "nonfinite": F.coalesce(F.sum("_odd"), F.lit(0)), "negative": negative, "outside_wgs84": F.count_if(outside)}
+    seen |= {"rows_kept": F.count_if(kept), "off_grain": F.count_if(kept & (F.col("_nth") > 1)), "no_animal": F.count_if(kept & F.col(entity).isNull())}
+    observed = Observation()
+    counted = numbered.observe(observed, *(seen[c].alias(c) for c in COUNTERS))
+    return Prepared(counted.where("_reason is null").select(*df.columns), df, observed)

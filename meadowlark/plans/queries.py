@@ -1227,7 +1227,7 @@ def _(v):
 
 @query("prepare_report", "daily", f"""WITH {_FLAGGED} SELECT count(*) AS rows_read, count(*) FILTER (reason = 'out_of_scope') AS out_of_scope, count(*) FILTER (reason = 'out_of_time') AS out_of_time, count(*) FILTER (reason = 'wrong_species') AS wrong_species,
     count(*) FILTER (reason = 'no_coordinates') AS no_coordinates, 0 AS invalid_numbers, count(*) FILTER (cell = 'c7') AS nonfinite, count(*) FILTER (cell = 'c5' AND displacement_km > 0) AS negative, 0 AS outside_wgs84,
-    count(*) FILTER (reason IS NULL) AS rows_kept, 0 AS off_grain, 0 AS no_animal, 0 AS no_rows FROM flagged""")
+    count(*) FILTER (reason IS NULL) AS rows_kept, 0 AS off_grain, 0 AS no_animal FROM flagged""")
 def _(v):
     prepared = _prepared(v)
     prepared.rows.write.parquet(shared_folder(v.spark))  # the one action; counters come with it

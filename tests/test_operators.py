@@ -479,11 +479,15 @@ def test_preparation_counts_what_it_leaves_out(spark):
     df = spark.createDataFrame(rows, "entity_id string, day date, access_scope string, species string, longitude double, latitude double, displacement_km string")
     prepared = checks.prepare(df, d(2024, 1, 1), d(2024, 1, 31), ["displacement_km"], ["kob"])
     assert sorted(str((x.entity_id, x.displacement_km)) for x in prepared.rows.collect()) == ["('a', 1.0)", "('a', 2.0)", "(None, 4.0)"]
-    assert prepared.counts() == {"rows_read": 9, "out_of_scope": 2, "out_of_time": 2, "wrong_species": 1, "no_coordinates": 1, "invalid_numbers": 1, "nonfinite": 2, "negative": 1, "outside_wgs84": 1, "rows_kept": 3, "off_grain": 1, "no_animal": 1, "no_rows": 0}
+    assert prepared.counts() == {"rows_read": 9, "out_of_scope": 2, "out_of_time": 2, "wrong_species": 1, "no_coordinates": 1, "invalid_numbers": 1, "nonfinite": 2, "negative": 1, "outside_wgs84": 1, "rows_kept": 3, "off_grain": 1, "no_animal": 1}
     with pytest.raises(CheckFailed, match="INVALID_NUMBERS"):
         prepared.check()
-    nothing = checks.prepare(df.drop("access_scope", "species", "longitude"), d(2030, 1, 1), d(2030, 1, 31))
-    assert nothing.rows.count() == 0 and nothing.counts()["no_rows"] == 1
+    nothing = checks.prepare(df.drop("access_scope", "species", "longitude", "displacement_km"), d(2030, 1, 1), d(2030, 1, 31))
+    assert nothing.rows.count() == 0 and nothing.counts()["rows_read"] == nothing.counts()["out_of_time"] == 9
+    with pytest.raises(CheckFailed, match="NO_ROWS"):
+        nothing.check()
+    empty = checks.prepare(df.limit(0), d(2030, 1, 1), d(2030, 1, 31))
+    assert empty.rows.count() == 0 and empty.counts()["rows_read"] == 0
 
 
 def test_cells_take_the_pixel_under_their_centre(spark):
