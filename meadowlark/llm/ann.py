@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -48,8 +50,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, n_pivots: int = 512
 
     Rows need vec_id and embedding; other columns are ignored. Nearest first, ties to the smaller vec_id; the score is
     the cosine of the original vectors in double precision. Vectors that are null, zero or hold null or non-finite
-    components take no part, nor do rows of null vec_id, or of another number of components than most. If fewer
-    than ``k`` candidates exist, all are returned. Rows that repeat a vec_id are queries and candidates of their own:
+    components take no part, nor do rows of null vec_id. A cosine needs vectors of one length, so those of each number
+    of components are searched on their own. If fewer than ``k`` candidates exist, all are returned. Rows that repeat a vec_id are queries and candidates of their own:
     each query's results are ranked by themselves, and it leaves out one row of its id and vector, itself.
 
     Equal vectors are indexed once, with their k + 1 smallest ids (no result needs more). A vector is represented by
@@ -59,11 +61,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, n_pivots: int = 512
     So every row is indexed, a task's memory is bounded, and no vector is skipped because its cell is full.
     """
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
-    sizes = rows.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if sizes is None:
-        return vectors.sparkSession.createDataFrame([], schema)
-    rows = rows.where(F.size("embedding") == sizes["size"]).withColumn("key", F.sha2(F.concat_ws(",", "embedding"), 256))
+    sizes = [r["size"] for r in rows.select(F.size("embedding").alias("size")).distinct().collect()]
+    if not sizes:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    parts = [_search(rows.where(F.size("embedding") == size), k, n_pivots, depth, block, reranked, query_block) for size in sorted(sizes)]
+    return reduce(DataFrame.union, parts)
+
+
+def _search(rows: DataFrame, k: int, n_pivots: int, depth: int, block: int, reranked: int, query_block: int) -> DataFrame:
+    """``search`` of rows (vec_id, embedding, is_query) whose vectors have one length."""
+    rows = rows.withColumn("key", F.sha2(F.concat_ws(",", "embedding"), 256))
     few = Window.partitionBy("key").orderBy("vec_id")
     smallest = rows.withColumn("place", F.row_number().over(few)).where(F.col("place") <= k + 1)
     distinct = stored(smallest.groupBy("key").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("embedding").alias("embedding")))
@@ -71,7 +78,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, n_pivots: int = 512
     chosen = distinct.orderBy(F.xxhash64("key"), "key").limit(n_pivots).select("embedding").collect()
     pivots = np.array([r[0] for r in chosen])
     pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
-    sent = vectors.sparkSession.sparkContext.broadcast(pivots)
+    sent = rows.sparkSession.sparkContext.broadcast(pivots)
     depth = min(depth, len(pivots))
     blocks = max(1, -(-n // block))
     # Queries of one id are told apart by vector and number.

@@ -417,6 +417,13 @@ def test_neighbours_of_awkward_vectors(spark):
     assert ann.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_neighbours_of_each_length(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4 + 4 * (i % 2)).tolist()) for i in range(60)]
+    r = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 5 == 0).collect()
+    assert len(r) == 60 and all((x.query_id - x.vec_id) % 2 == 0 for x in r)
+
+
 def test_neighbours_recall(spark):
     folder = "/root/testdata/sf0.1"
     t = spark.read.parquet(f"{folder}/embeddings.parquet").toPandas()
