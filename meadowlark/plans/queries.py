@@ -936,9 +936,6 @@ def _(v):
     return catalog.coverage_gaps(v.datasets, REGION, F.lit("2024-06-01").cast("date"), F.lit("2024-06-30").cast("date")).select("dataset_id", "version", F.concat_ws(",", "gaps").alias("gaps"))
 
 
-_REQUEST = (F.lit("2024-03-01").cast("date"), F.lit("2024-12-31").cast("date"))
-
-
 @query("source_coverage_gaps", "datasets", """WITH files AS (SELECT *, (right(description, 9)::BIGINT % 40)::BIGINT AS source_id FROM datasets),
     u AS (SELECT source_id, count(*) AS files, bool_or(west IS NULL) AS nobox, min(west) AS w, min(south) AS s, max(east) AS e, max(north) AS n, min("start") AS a, max("end") AS b FROM files GROUP BY 1),
     days AS (SELECT source_id, unnest(generate_series("start", "end", INTERVAL 1 DAY))::DATE AS day FROM files),
@@ -952,7 +949,7 @@ _REQUEST = (F.lit("2024-03-01").cast("date"), F.lit("2024-12-31").cast("date"))
         coalesce(uncovered_days, 0)::BIGINT AS uncovered_days, CASE WHEN w IS NOT NULL THEN round(coalesce(share, 0), 6) END AS share FROM u LEFT JOIN holes USING (source_id) LEFT JOIN shares USING (source_id)""")
 def _(v):
     files = v.datasets.withColumn("source_id", F.right("description", F.lit(9)).cast("long") % 40)
-    out = catalog.source_coverage_gaps(files, REGION, *_REQUEST)
+    out = catalog.source_coverage_gaps(files, REGION, F.lit("2024-03-01").cast("date"), F.lit("2024-12-31").cast("date"))
     return out.select("source_id", "files", F.concat_ws(",", "gaps").alias("gaps"), "uncovered_days", r("share").alias("share"))
 
 
