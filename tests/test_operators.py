@@ -494,6 +494,6 @@ def test_cells_take_the_pixel_under_their_centre(spark):
     cells = spark.createDataFrame([(7492, 20911), (7492, 20912), (0, 0), (None, 1)], "row long, col long")
     lon, lat = cells.where("row = 7492 and col = 20911").select(*geo.cell_centre(F.col("row"), F.col("col"))).first()
     source = spark.createDataFrame([(0, 0, 5.0), (0, 1, 6.0), (1, 1, None)], "pixel_row long, pixel_col long, value double")
-    raster = (lon - 0.001, lat + 0.001, 0.005, 0.005, 2, 2)
+    raster = (lon - 0.001, lat + 0.001, 0.01, 0.01, 2, 2)  # a cell is 0.0104 degrees wide
     got = stats.sample_cell_centres(cells, source, raster).collect()
     assert sorted(map(tuple, got)) == [(7492, 20911, 0, 0, 5.0), (7492, 20912, 0, 1, 6.0)]
