@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,6 +91,14 @@ def cells_in_bbox(spark: SparkSession, west: float, south: float, east: float, n
     return cells.withColumn("cell_id", cell_name(F.col("row"), F.col("col")))
 
 
+def lonlat_bounds(df: DataFrame, lon: str, lat: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, west, south, east, north) of points; all unknown if one point is null, not finite or outside the globe."""
+    x, y = F.col(lon), F.col(lat)
+    known = F.bool_and(F.coalesce(x.between(-180, 180) & y.between(-90, 90), F.lit(False)))
+    ends = (("west", F.min(x)), ("south", F.min(y)), ("east", F.max(x)), ("north", F.max(y)))
+    return df.groupBy(*by).agg(*(F.when(known, end).alias(name) for name, end in ends))
+
+
 def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     dlat, dlon = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
     a = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon / 2), 2)

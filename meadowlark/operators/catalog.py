@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import bbox_overlap, bbox_share
 from .joins import live_in_versions
+from .relational import numbered
 
 Box = tuple[float, float, float, float]
 #: Fixed value: the least share of a region that earns its tag.
@@ -86,7 +87,8 @@ def search(datasets: DataFrame, region: Box, start: Column, end: Column, scopes:
 
 
 def ranked(matches: DataFrame) -> DataFrame:
-    return matches.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), F.desc(F.size("tags")), "dataset_id")))
+    """Matches with their place: by score, then number of tags, then id; numbered by ranges."""
+    return numbered(matches, [F.desc("score"), F.desc(F.size("tags")), F.asc("dataset_id")], "place")
 
 
 def eligibility(datasets: DataFrame, required: Sequence[str], region: Box, start: Column, end: Column, species: Sequence[str] = (), units: Mapping[str, str] | None = None, lookback_days: int = 0, statuses: Sequence[str] = ()) -> DataFrame:

@@ -173,6 +173,27 @@ def running_total(df: DataFrame, order: str, value: str, output: str, by: Sequen
     return parts.withColumn("_inside", inside).join(offsets, own).select(*df.columns, (F.coalesce("_inside", F.lit(0)) + F.col("_before")).alias(output))
 
 
+def numbered(df: DataFrame, order: Sequence[Column], output: str) -> DataFrame:
+    """Adds the place of each row (from 1) in an order without ties: rows are dealt by ranges and written, each part is
+    numbered, and the sizes of the parts before are added. Only those sizes meet in one task."""
+    parts = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_part", before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.withColumn("_inside", inside).join(offsets, "_part").withColumn(output, F.col("_inside") + F.col("_before")).drop("_part", "_inside", "_before")
+
+
+def collected(df: DataFrame, by: Sequence[str], columns: Sequence[str], order: Sequence[str], output: str) -> DataFrame:
+    """(by, output): a group's values in the order of columns, nulls first; one column as values, several as structs.
+
+    A group is one array in one task: for groups of bounded size, such as the batches of a series.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), F.struct(*columns).alias("value"))))
+    value = (lambda x: x["value"][columns[0]]) if len(columns) == 1 else (lambda x: x["value"])
+    return df.groupBy(*by).agg(F.transform(ordered, value).alias(output))
+
+
 def through(df: DataFrame, order: str, last: object, value: str, output: str) -> DataFrame:
     """Rows up to and with ``last`` (a selected month, say), with their running total."""
     return running_total(df.where(F.col(order) <= F.lit(last)), order, value, output)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import lonlat_bounds
 from .joins import expand_versions
-from .relational import latest
+from .relational import collected, latest
 
 
 def batch_key(*parts: Column) -> Column:
@@ -129,24 +130,72 @@ def upsert_entities(current: DataFrame, new: DataFrame, key: str = "entity_id",
 
 
 def split_by_study(registry: DataFrame, manifest: str = "raw_manifest", path: str = "$.study") -> DataFrame:
-    """Batches of a mixed series as series of one study each; versions are numbered anew in each."""
-    from pyspark.sql import Window
+    """Batches of a mixed series as series of one study each, with new_series_id, new_version and new_superseded.
 
+    The versions of a new series are those in which one of its own batches came or went, numbered from 1; a batch goes in
+    the version in which it went before. Batches without a study stay in their series. Numbers meet batches by series and
+    version, so that a series of many batches is spread over its versions.
+    """
     study = F.get_json_object(manifest, path)
     own = F.when(study.isNull(), F.col("series_id")).otherwise(F.concat("series_id", F.lit("--study-"), study))
     split = registry.withColumn("new_series_id", own)
-    return split.withColumn("new_version", F.dense_rank().over(Window.partitionBy("new_series_id").orderBy("added_in_version")))
+    events = split.select("new_series_id", F.explode(F.array_compact(F.array("added_in_version", "superseded_in_version"))).alias("_event")).distinct()
+    numbers = events.withColumn("_number", F.row_number().over(Window.partitionBy("new_series_id").orderBy("_event")))
+    added = numbers.select("new_series_id", F.col("_event").alias("added_in_version"), F.col("_number").alias("new_version"))
+    gone = numbers.select("new_series_id", F.col("_event").alias("superseded_in_version"), F.col("_number").alias("new_superseded"))
+    both = split.join(added, ["new_series_id", "added_in_version"], "left").join(gone, ["new_series_id", "superseded_in_version"], "left")
+    return both.select(*registry.columns, "new_series_id", "new_version", "new_superseded")
+
+
+# What the tags of every study say.
+STUDY_TAGS = ("sensor_type:gps", "temporal_resolution:sub_daily", "study_design:gps_collar")
 
 
-def publish_summary(rows: DataFrame, by: Sequence[str], registered: DataFrame | None = None) -> DataFrame:
+def study_datasets(split: DataFrame, fixes: DataFrame, entities: DataFrame, manifest: str = "raw_manifest", title: str = "$.title") -> DataFrame:
+    """A dataset for each series of ``split_by_study``: its last version and, of its batches in force, what they cover.
+
+    dataset_id, version, description, artifacts, row_count, start, end, west, south, east, north, cells, species, tags. The
+    description is the title in the manifest of the latest batch that has one, without a leading "Data from: ". Artifacts are the batches'
+    items by version and item. Species are the known ones of ``entities`` (entity_id, taxon_name), sorted; tags those of
+    every study and a year for each from the first fix to the last. Series without fixes in force have no years and no box.
+    Fixes meet their batch by (series_id, batch_key), once, and are summed by batch before batches are.
+    """
+    text = F.nullif(F.regexp_replace(F.get_json_object(manifest, title), "^Data from: ", ""), F.lit(""))
+    current = F.col("new_superseded").isNull()
+    item = F.when(current, F.struct("new_version", "source_item_id"))
+    head = split.groupBy("new_series_id").agg(
+        F.max(F.greatest("new_version", F.coalesce("new_superseded", F.lit(0)))).alias("version"), F.max_by(text, F.when(text.isNotNull(), F.struct("new_version", "batch_key"))).alias("description"),
+        F.transform(F.array_sort(F.collect_list(item)), lambda x: x["source_item_id"]).alias("artifacts"))
+    live = split.where(current).select("series_id", "batch_key", "new_series_id")
+    named = fixes.join(entities.select("entity_id", "taxon_name"), "entity_id", "left").join(live, ["series_id", "batch_key"])
+    ends = [F.min("observed_at").alias("start"), F.max("observed_at").alias("end"), F.min("longitude").alias("west"), F.min("latitude").alias("south"), F.max("longitude").alias("east"), F.max("latitude").alias("north")]
+    sums = named.groupBy("new_series_id").agg(F.count("*").alias("row_count"), *ends, F.array_sort(F.collect_set("taxon_name")).alias("species"))
+    cells = named.groupBy("new_series_id", "cell").agg(F.count("*").alias("_n")).groupBy("new_series_id").agg(F.count("cell").alias("cells"))
+    years = F.coalesce(F.transform(F.sequence(F.year("start"), F.year("end")), lambda y: F.concat(F.lit("year:"), y.cast("string"))), F.array().cast("array<string>"))
+    out = head.join(sums, "new_series_id", "left").join(cells, "new_series_id", "left")
+    return out.select(F.col("new_series_id").alias("dataset_id"), "version", "description", "artifacts", F.coalesce("row_count", F.lit(0)).alias("row_count"), "start", "end", "west", "south", "east", "north",
+                      F.coalesce("cells", F.lit(0)).alias("cells"), F.coalesce("species", F.array().cast("array<string>")).alias("species"), F.concat(F.array(*map(F.lit, STUDY_TAGS)), years).alias("tags"))
+
+
+def publish_summary(rows: DataFrame, by: Sequence[str], registered: DataFrame | None = None, taxon: str = "", item: str = "", lon: str = "", lat: str = "") -> DataFrame:
     """Live rows as versions to publish: version, mapping_versions, row_count, span and variables of each series.
 
-    Series whose version is registered already are left out.
+    With ``taxon`` its sorted species too, with ``item`` the artifacts by the version that added them and then by name,
+    and with ``lon`` and ``lat`` the box of the points, which is unknown if one of them is. Series whose version is
+    registered already, or a later one, are left out.
     """
     live = live_batches(rows)
     versions = live.groupBy(*by).agg(F.max("added_in_version").alias("version"), F.concat_ws(",", F.array_sort(F.collect_set("mapping_version"))).alias("mapping_versions"))
-    out = series_summary(live, by).join(versions, list(by))
-    return out if registered is None else out.join(registered.select(*by, "version"), [*by, "version"], "left_anti")
+    out = series_summary(live, by, taxon).join(versions, list(by))
+    if item:
+        items = live.groupBy(*by, item).agg(F.min("added_in_version").alias("_added"))
+        out = out.join(collected(items, by, [item], ["_added", item], "artifacts"), list(by))
+    if lon and lat:
+        out = out.join(lonlat_bounds(live, lon, lat, by), list(by))
+    if registered is None:
+        return out
+    last = registered.groupBy(*by).agg(F.max("version").alias("_published"))
+    return out.join(last, list(by), "left").where("_published is null or _published < version").drop("_published")
 
 
 def table_fingerprint(df: DataFrame, decimals: int = 8) -> DataFrame:

@@ -125,6 +125,12 @@ def monthly_cells(observations: DataFrame) -> DataFrame:
     return observations.groupBy(F.date_format("time_start", "yyyy-MM").alias("month"), "variable").agg(F.count("*").alias("records"), F.count_distinct("cell").alias("cells"), F.avg("value").alias("mean"), F.count("value").alias("values"))
 
 
+def index_summary(df: DataFrame, source: str, first: Column, last: Column) -> DataFrame:
+    """(variable, n, present, mean): rows, rows with a value and their mean, to 3 places, of a source's UTC days first to last."""
+    rows = df.where((F.col("source_id") == source) & F.to_date("time_start").between(first, last))
+    return rows.groupBy("variable").agg(F.count("*").alias("n"), F.count("value").alias("present"), F.round(F.avg("value"), 3).alias("mean"))
+
+
 def zonal_sums(pixels: DataFrame) -> DataFrame:
     """(cell, variable): sum, sum of squares and number of the values; sums of parts add up to those of the whole."""
     v = F.col("value")
@@ -143,6 +149,25 @@ def zonal_stats(pixels: DataFrame, pixels_per_cell: float, min_valid: float = 0.
     return zonal_sums(pixels).select("cell", "variable", F.when(ok, mean).alias("value"), F.when(ok, sd).alias("std"), fraction.alias("valid_fraction"), "pixel_count")
 
 
+# What an item says of all its rows.
+ITEM_COLUMNS = ("time_start", "time_end", "time_precision", "available_at", "source_id", "processing_version", "product_status", "series_id")
+
+
+def to_cell_observations(zones: DataFrame, items: DataFrame, units: DataFrame, mapping_version: str, stat: str, resolution_m: float) -> DataFrame:
+    """Zonal statistics as cell observations, each with what its item, the mapping and the unit table say.
+
+    ``zones`` has source_item_id, cell, variable, value, std, valid_fraction and pixel_count; ``items`` has source_item_id and
+    ITEM_COLUMNS, ``units`` variable and unit; both have a row a key, or the query fails. A row of an unknown item fails it
+    too, as observations must have a time; the unit of an unknown variable is null. Spark broadcasts the two if they are small.
+    """
+    once = lambda df, key, columns: df.groupBy(key).agg(F.count("*").alias("_n"), *(F.first(c).alias(c) for c in columns)).withColumn(
+        key, F.when(F.col("_n") == 1, F.col(key)).otherwise(F.raise_error(F.concat(F.lit(f"{key} twice: "), F.col(key).cast("string"))).cast("string"))).drop("_n")
+    stamped = zones.join(once(items, "source_item_id", ITEM_COLUMNS).withColumn("_known", F.lit(True)), "source_item_id", "left").join(once(units, "variable", ["unit"]), "variable", "left")
+    known = F.when(F.col("_known"), F.col("source_item_id")).otherwise(F.raise_error(F.concat(F.lit("unknown item: "), F.coalesce("source_item_id", F.lit("null")))).cast("string"))
+    return stamped.select(F.col("series_id").alias("dataset_id"), "cell", "variable", "value", "std", "valid_fraction", "pixel_count", "unit", known.alias("source_item_id"), *(c for c in ITEM_COLUMNS if c != "series_id"),
+                          F.lit(mapping_version).alias("mapping_version"), F.lit(stat).alias("stat"), F.lit(float(resolution_m)).alias("source_resolution_m"), cell_flag(F.col("value"), F.col("product_status")).alias("quality_flag"))
+
+
 def sample_cell_centres(cells: DataFrame, source: DataFrame, raster: tuple[float, float, float, float, int, int], value: str = "value") -> DataFrame:
     """``cells`` (row, col) with the value of the pixel of a coarser source that lies under each cell's centre.
 

@@ -12,6 +12,7 @@ from ..functions import geo, indices
 from ..operators import catalog, checks, forecast, joins, movement, relational, series, stats
 from ..sources import tracking
 from ..sources.storage import shared_folder
+from ..streaming import corrections
 from .views import FIRST_DAY, Views, r, spheroid_sql, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -383,7 +384,7 @@ def _(v):
 
 @query("agg_index_summary", "cell_obs", "SELECT variable, count(*) AS n, count(value) AS present, round(avg(value), 3) AS mean FROM cell_obs WHERE year(time_start) = 1997 GROUP BY 1")
 def _(v):
-    return v.cell_obs.where(F.year("time_start") == 1997).groupBy("variable").agg(F.count("*").alias("n"), F.count("value").alias("present"), F.round(F.avg("value"), 3).alias("mean"))
+    return stats.index_summary(v.cell_obs, "lineitem", *(F.lit(x).cast("date") for x in ("1997-01-01", "1997-12-31")))
 
 
 @query("agg_distinct_count", "daily", "SELECT count(DISTINCT entity_id) AS animals, count(DISTINCT day) AS days, count(DISTINCT cell) AS cells FROM daily")
@@ -438,9 +439,10 @@ def _(v):
     return stats.zonal_sums(_long_pixels(v)).withColumns({"total": r("total"), "squares": r("squares")})
 
 
-@query("agg_array_json", "", "SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS orders FROM orders GROUP BY 1")
+@query("agg_array_json", "", "SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderdate DESC, o_orderkey) AS orders FROM orders GROUP BY 1")
 def _(v):
-    return v.table("orders").groupBy("o_custkey").agg(F.concat_ws(",", F.array_sort(F.collect_list("o_orderkey"))).alias("orders"))
+    orders = v.table("orders").withColumn("age", -F.unix_date(F.to_date("o_orderdate")))
+    return relational.collected(orders, ["o_custkey"], ["o_orderkey"], ["age", "o_orderkey"], "orders").withColumn("orders", F.concat_ws(",", "orders"))
 
 
 @query("agg_having", "", "SELECT l_orderkey, count(*) AS count FROM lineitem GROUP BY 1 HAVING count(*) > 1")
@@ -502,11 +504,12 @@ def _(v):
     return v.fixes.select("source_record_id", row.alias("grow"), col.alias("gcol"))
 
 
-@query("cells_in_bbox", "fixes", f"WITH {_CELLS} SELECT count(DISTINCT (grow, gcol)) AS used, count(DISTINCT (grow, gcol)) AS known FROM placed WHERE longitude BETWEEN 36.90e0 AND 37.00e0 AND latitude BETWEEN -1.55e0 AND -1.45e0")
+@query("cells_in_bbox", "fixes", f"""WITH {_CELLS}, ends AS (SELECT 36.90e0 AS longitude, -1.45e0 AS latitude UNION ALL SELECT 37.00e0, -1.55e0), {_CELLS.replace("placed AS", "corners AS").replace("FROM fixes", "FROM ends")},
+    box AS (SELECT row, unnest(range(lo, hi + 1)) AS col FROM (SELECT unnest(range(min(grow), max(grow) + 1)) AS row, min(gcol) AS lo, max(gcol) AS hi FROM corners))
+    SELECT row, col, 'E1K-r' || row || '-c' || col AS cell_id, count(source_record_id) AS fixes FROM box LEFT JOIN placed ON row = grow AND col = gcol GROUP BY 1, 2""")
 def _(v):
-    used = relational.in_bbox(v.fixes, "longitude", "latitude", REGION).select(geo.cell_id(F.col("longitude"), F.col("latitude")).alias("cell_id")).distinct()
-    known = used.join(geo.cells_in_bbox(v.spark, *REGION), "cell_id", "left_semi")
-    return used.agg(F.count("*").alias("used")).crossJoin(known.agg(F.count("*").alias("known")))
+    used = v.fixes.groupBy(geo.cell_id(F.col("longitude"), F.col("latitude")).alias("cell_id")).agg(F.count("*").alias("fixes"))
+    return geo.cells_in_bbox(v.spark, *REGION).join(used, "cell_id", "left").select("row", "col", "cell_id", F.coalesce("fixes", F.lit(0)).alias("fixes"))
 
 
 @query("cell_polygon", "fixes", "SELECT source_record_id, true AS inside, false AS below, false AS beside FROM fixes")
@@ -617,10 +620,12 @@ def _(v):
     return v.boundaries.select("name", r(geo.pixel_area(F.col("east") - F.col("west"), F.lit(0.0), F.lit(0.0), F.col("south") - F.col("north"))).alias("area"))
 
 
-@query("lonlat_bounds", "fixes", "SELECT cell, round(min(longitude), 6) AS west, round(max(latitude), 6) AS north FROM fixes GROUP BY 1")
+@query("lonlat_bounds", "fixes", """WITH bad AS (SELECT cell, longitude, CASE WHEN cell = 'c3' AND event_type = 'error' THEN 95e0 WHEN cell = 'c4' AND event_type = 'click' THEN NULL ELSE latitude END AS latitude FROM fixes)
+    SELECT cell, CASE WHEN ok THEN round(w, 6) END AS west, CASE WHEN ok THEN round(s, 6) END AS south, CASE WHEN ok THEN round(e, 6) END AS east, CASE WHEN ok THEN round(n, 6) END AS north
+    FROM (SELECT cell, bool_and(coalesce(abs(latitude) <= 90, false)) AS ok, min(longitude) AS w, min(latitude) AS s, max(longitude) AS e, max(latitude) AS n FROM bad GROUP BY 1)""")
 def _(v):
-    ok = F.bool_and(F.col("longitude").between(-180, 180) & F.col("latitude").between(-90, 90))
-    return v.fixes.groupBy("cell").agg(F.when(ok, r(F.min("longitude"))).alias("west"), F.when(ok, r(F.max("latitude"))).alias("north"))
+    bad = F.when((F.col("cell") == "c3") & (F.col("event_type") == "error"), 95.0).when((F.col("cell") == "c4") & (F.col("event_type") == "click"), None).otherwise(F.col("latitude"))
+    return geo.lonlat_bounds(v.fixes.withColumn("latitude", bad), "longitude", "latitude", ["cell"]).select("cell", *(r(c).alias(c) for c in ("west", "south", "east", "north")))
 
 
 # --- pixels ------------------------------------------------------------------------------------------------------
@@ -684,10 +689,19 @@ def _(v):
     return v.table("events").select("event_id", stats.fix_flag(F.when(F.col("event_type") == "error", "FALSE").otherwise("True")).alias("flag"))
 
 
-@query("to_cell_observations", "pixels", f"WITH {_ZONAL} SELECT cell, variable, '1' AS unit, 'nd|v1' AS item FROM zones")
+@query("to_cell_observations", "pixels", f"""WITH {_ZONAL}, items AS (SELECT 'item' || n_nationkey AS item, DATE '2024-01-01' + n_nationkey::INTEGER AS time_start, 'v' || (n_nationkey % 3) AS processing_version, CASE WHEN n_nationkey % 2 = 0 THEN 'preliminary' ELSE 'final' END AS status, 'nd--' || n_regionkey AS dataset_id FROM nation)
+    SELECT dataset_id, cell, variable, CASE WHEN fraction >= 0.5 THEN round(mean, 6) END AS value, pixel_count, '1' AS unit, item AS source_item_id, time_start, time_start + 1 AS time_end, 'day' AS time_precision, time_start + 3 AS available_at, 'pixels' AS source_id, processing_version,
+        status AS product_status, 'm2' AS mapping_version, 'mean' AS stat, 30e0 AS source_resolution_m, CASE WHEN fraction < 0.5 THEN 'low_valid_fraction' WHEN status = 'preliminary' THEN 'preliminary' ELSE 'ok' END AS quality_flag
+    FROM zones JOIN items ON item = 'item' || (cell % 25)""")
 def _(v):
-    units = F.create_map(F.lit("nd"), F.lit("1"))
-    return stats.zonal_stats(_long_pixels(v), 150).select("cell", "variable", units[F.col("variable")].alias("unit"), series.batch_key(F.col("variable"), F.lit("v1")).alias("item"))
+    key = F.col("n_nationkey")
+    start = F.date_add(F.lit(FIRST_DAY).cast("date"), key.cast("int"))
+    items = v.table("nation").select(
+        F.concat(F.lit("item"), key.cast("string")).alias("source_item_id"), start.alias("time_start"), F.date_add(start, 1).alias("time_end"), F.lit("day").alias("time_precision"), F.date_add(start, 3).alias("available_at"), F.lit("pixels").alias("source_id"),
+        F.concat(F.lit("v"), (key % 3).cast("string")).alias("processing_version"), F.when(key % 2 == 0, "preliminary").otherwise("final").alias("product_status"), F.concat(F.lit("nd--"), F.col("n_regionkey").cast("string")).alias("series_id"))
+    zones = stats.zonal_stats(_long_pixels(v), 150).withColumn("source_item_id", F.concat(F.lit("item"), (F.col("cell") % 25).cast("string")))
+    units = v.spark.createDataFrame([("nd", "1"), ("rain", "mm")], "variable string, unit string")
+    return stats.to_cell_observations(zones, items, units, "m2", "mean", 30).drop("std", "valid_fraction").withColumn("value", r("value"))
 
 
 @query("rainfall_from_cells", "", "SELECT c_custkey AS cell, c_acctbal AS value, 1.0e0 AS valid_fraction, 'sum' AS stat FROM customer WHERE c_acctbal >= 0")
@@ -834,10 +848,10 @@ def _(v):
     return movement.missing_days(v.daily)
 
 
-@query("except_known_cells", "cell_obs", "SELECT DISTINCT cell FROM cell_obs WHERE added_in_version = 7 EXCEPT SELECT cell FROM cell_obs WHERE series_id IN ('s1', 's2', 's3')")
+@query("except_known_cells", "cell_obs", "SELECT series_id, cell FROM cell_obs WHERE added_in_version = 7 EXCEPT SELECT series_id, cell FROM cell_obs WHERE added_in_version < 7")
 def _(v):
-    known = v.cell_obs.where("series_id in ('s1', 's2', 's3')").select("cell")
-    return v.cell_obs.where("added_in_version = 7").select("cell").distinct().join(known, "cell", "left_anti")
+    known = v.cell_obs.where("added_in_version < 7").select("series_id", "cell")
+    return v.cell_obs.where("added_in_version = 7").select("series_id", "cell").distinct().join(known, ["series_id", "cell"], "left_anti")
 
 
 @query("set_overlap", "datasets", "SELECT dataset_id, version, list_has_any(variables, ['rain', 'x']) AS meets FROM datasets")
@@ -983,18 +997,32 @@ def _(v):
     return v.cell_obs.select("source_item_id", series.batch_key(F.col("source_id"), F.col("source_item_id"), F.col("processing_version"), F.col("product_status")).alias("batch_key"))
 
 
+@query("stream_corrections", "cell_obs", """SELECT source_id, variable, cell, day, value, product_status, source_item_id FROM (SELECT *, time_start::DATE AS day, row_number() OVER (PARTITION BY source_id, variable, cell, time_start::DATE
+    ORDER BY product_status = 'final' DESC, processing_version DESC, mapping_version DESC, valid_fraction DESC, available_at DESC, source_item_id DESC) AS place FROM cell_obs) WHERE place = 1""")
+def _(v):
+    """The observations as a stream of files, two a micro-batch, with one of them twice."""
+    folder = shared_folder(v.spark)
+    parts = v.cell_obs.repartitionByRange(6, "added_in_version")
+    parts.write.parquet(f"{folder}/sent")
+    parts.where("added_in_version = 2").write.mode("append").parquet(f"{folder}/sent")
+    stream = v.spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/sent")
+    corrections.write_corrections(corrections.corrections(stream, 4000), f"{folder}/changes", f"{folder}/checkpoint").awaitTermination()
+    held = corrections.in_force(v.spark.read.parquet(f"{folder}/changes"))
+    return held.select("source_id", "variable", "cell", "day", "value", "product_status", "source_item_id")
+
+
 @query("series_id", "", "SELECT s_suppkey, 'src--' || s_name || '--1km' || CASE WHEN s_suppkey % 3 = 0 THEN '--study-' || s_suppkey ELSE '' END AS series_id FROM supplier")
 def _(v):
     study = F.when(F.col("s_suppkey") % 3 == 0, F.col("s_suppkey").cast("string"))
     return v.table("supplier").select("s_suppkey", series.series_id(F.lit("src"), F.col("s_name"), F.lit("1km"), study).alias("series_id"))
 
 
-@query("append_batch", "cell_obs", f"""WITH {_REGISTRY}, kept AS (SELECT * FROM registry WHERE added_in_version <= 3), fresh AS (SELECT series_id, batch_key FROM registry WHERE added_in_version IN (3, 4) EXCEPT SELECT series_id, batch_key FROM kept),
+@query("append_batch", "cell_obs", f"""WITH {_REGISTRY}, kept AS (SELECT * FROM registry WHERE added_in_version <= 3), fresh AS (SELECT series_id, batch_key FROM registry WHERE added_in_version >= 3 EXCEPT SELECT series_id, batch_key FROM kept),
     last AS (SELECT series_id, max(greatest(added_in_version, coalesce(superseded_in_version, 0))) AS last FROM kept GROUP BY 1)
     SELECT series_id, batch_key, added_in_version FROM kept UNION ALL SELECT f.series_id, f.batch_key, coalesce(last, 0) + 1 FROM fresh f LEFT JOIN last USING (series_id)""")
 def _(v):
     registry = _registry(v)
-    new = registry.where("added_in_version in (3, 4)").select("series_id", "batch_key", F.lit(None).cast("array<string>").alias("supersedes"))
+    new = registry.where("added_in_version >= 3").select("series_id", "batch_key", F.lit(None).cast("array<string>").alias("supersedes"))
     return series.append_batch(registry.where("added_in_version <= 3"), new).select("series_id", "batch_key", "added_in_version")
 
 
@@ -1074,10 +1102,38 @@ def _(v):
     return series.upsert_entities(rows.where("c_custkey % 2 = 0"), rows.where("c_custkey % 2 = 1"), texts=["life_stage"], first=["deploy_on"], last=["deploy_off"])
 
 
-@query("split_series_by_study", "cell_obs", f"WITH {_REGISTRY} SELECT series_id || '--study-' || split_part(batch_key, '|', 3) AS new_series_id, batch_key, dense_rank() OVER (PARTITION BY series_id, split_part(batch_key, '|', 3) ORDER BY added_in_version) AS new_version FROM registry")
+@query("split_series_by_study", "cell_obs", f"""WITH {_REGISTRY}, own AS (SELECT *, series_id || '--study-' || split_part(batch_key, '|', 3) AS new_series_id FROM registry),
+    numbers AS (SELECT new_series_id, event, row_number() OVER (PARTITION BY new_series_id ORDER BY event)::INTEGER AS number FROM (SELECT new_series_id, added_in_version AS event FROM own UNION SELECT new_series_id, superseded_in_version FROM own WHERE superseded_in_version IS NOT NULL))
+    SELECT o.new_series_id, batch_key, a.number AS new_version, g.number AS new_superseded FROM own o JOIN numbers a ON a.new_series_id = o.new_series_id AND a.event = added_in_version LEFT JOIN numbers g ON g.new_series_id = o.new_series_id AND g.event = superseded_in_version""")
 def _(v):
     manifests = _registry(v).withColumn("raw_manifest", F.to_json(F.struct(F.element_at(F.split("batch_key", r"\|"), 3).alias("study"))))
-    return series.split_by_study(manifests).select("new_series_id", "batch_key", "new_version")
+    return series.split_by_study(manifests).select("new_series_id", "batch_key", "new_version", "new_superseded")
+
+
+_EVENTS = ("view", "click", "signup", "purchase", "error")
+_USER = "split_part(entity_id, ':', 3)::BIGINT"
+_STUDIES = f"""tracks AS (SELECT *, {_USER} % 4 AS u, list_position({list(_EVENTS)}, event_type) AS kind, event_type || '|' || ({_USER} % 4) AS batch_key FROM fixes),
+    own AS (SELECT DISTINCT batch_key, u, event_type, CASE WHEN u = 3 THEN 'tracks' ELSE 'tracks--study-' || u END AS dataset_id, kind + u AS added, CASE WHEN event_type = 'click' THEN kind + 3 * u + 1 END AS gone FROM tracks),
+    numbers AS (SELECT dataset_id, event, row_number() OVER (PARTITION BY dataset_id ORDER BY event) AS number FROM (SELECT dataset_id, added AS event FROM own UNION SELECT dataset_id, gone FROM own WHERE gone IS NOT NULL)),
+    heads AS (SELECT o.dataset_id, array_to_string(list('item-' || batch_key ORDER BY added, batch_key) FILTER (WHERE gone IS NULL), ',') AS artifacts FROM own o GROUP BY 1),
+    latest_title AS (SELECT dataset_id, CASE WHEN u <> 2 THEN event_type END AS description, row_number() OVER (PARTITION BY dataset_id ORDER BY u = 2, added DESC, batch_key DESC) AS place FROM own)"""
+
+
+@query("study_datasets", "fixes", f"""WITH {_STUDIES} SELECT h.dataset_id, (SELECT max(number) FROM numbers n WHERE n.dataset_id = h.dataset_id) AS version, description, h.artifacts, count(*) AS row_count, min(observed_at) AS "start", max(observed_at) AS "end", round(min(longitude), 6) AS west,
+        round(min(latitude), 6) AS south, round(max(longitude), 6) AS east, round(max(latitude), 6) AS north, count(DISTINCT cell) AS cells, array_to_string(list_sort(list(DISTINCT CASE WHEN {_USER} % 7 < 6 THEN 'taxon' || ({_USER} % 7) END)), ',') AS species,
+        'sensor_type:gps,temporal_resolution:sub_daily,study_design:gps_collar,' || array_to_string(list_transform(range(year(min(observed_at)), year(max(observed_at)) + 1), lambda y: 'year:' || y), ',') AS tags
+    FROM heads h JOIN own o USING (dataset_id) JOIN latest_title l ON l.dataset_id = h.dataset_id AND place = 1 JOIN tracks t ON t.batch_key = o.batch_key WHERE o.gone IS NULL GROUP BY h.dataset_id, description, h.artifacts""")
+def _(v):
+    user = F.element_at(F.split("entity_id", ":"), 3).cast("long")
+    u, kind = user % 4, F.array_position(F.array(*map(F.lit, _EVENTS)), F.col("event_type"))
+    tracks = v.fixes.withColumns({"u": u, "kind": kind, "series_id": F.lit("tracks"), "batch_key": F.concat_ws("|", "event_type", u.cast("string"))})
+    manifest = F.to_json(F.struct(F.when(F.col("u") != 3, F.col("u").cast("string")).alias("study"), F.when(F.col("u") != 2, F.concat(F.lit("Data from: "), F.col("event_type"))).alias("title")))
+    registry = tracks.select("series_id", "batch_key", "u", "kind", "event_type").distinct().select(
+        "series_id", "batch_key", F.concat(F.lit("item-"), "batch_key").alias("source_item_id"), manifest.alias("raw_manifest"), (F.col("kind") + F.col("u")).cast("int").alias("added_in_version"),
+        F.when(F.col("event_type") == "click", F.col("kind") + 3 * F.col("u") + 1).cast("int").alias("superseded_in_version"))
+    entities = v.fixes.select("entity_id").distinct().where(user % 7 != 6).select("entity_id", F.concat(F.lit("taxon"), (user % 7).cast("string")).alias("taxon_name"))
+    sets = series.study_datasets(series.split_by_study(registry), tracks, entities)
+    return sets.withColumns({c: r(c) for c in ("west", "south", "east", "north")} | {c: F.concat_ws(",", c) for c in ("artifacts", "species", "tags")})
 
 
 _DAILY = "SELECT entity_id, day, round(longitude, 6) AS longitude, fix_count, round(displacement_km, 6) AS displacement_km, available_at FROM daily"
@@ -1088,9 +1144,9 @@ def _(v):
     return v.daily.select("entity_id", "day", r("longitude").alias("longitude"), "fix_count", r("displacement_km").alias("displacement_km"), "available_at")
 
 
-@query("already_ingested", "cell_obs", "SELECT source_item_id FROM cell_obs o WHERE added_in_version = 2 AND NOT EXISTS (SELECT 1 FROM cell_obs p WHERE p.value > 25 AND p.source_item_id = o.source_item_id AND p.processing_version = o.processing_version AND p.product_status = o.product_status)")
+@query("already_ingested", "cell_obs", "SELECT source_item_id FROM cell_obs o WHERE NOT EXISTS (SELECT 1 FROM cell_obs p WHERE p.value > 25 AND p.source_item_id = o.source_item_id AND p.processing_version = o.processing_version AND p.product_status = o.product_status)")
 def _(v):
-    return series.not_ingested(v.cell_obs.where("added_in_version = 2"), v.cell_obs.where("value > 25")).select("source_item_id")
+    return series.not_ingested(v.cell_obs, v.cell_obs.where("value > 25")).select("source_item_id")
 
 
 @query("table_fingerprint", "", "SELECT count(*) AS rows, true AS same, false AS changed_is_same, false AS doubled_is_same FROM orders")
@@ -1176,17 +1232,25 @@ def _(v):
     return v.datasets.select("dataset_id", "version", F.concat_ws(",", F.transform(merged, lambda t: F.concat_ws("=", t["key"], t["value"]))).alias("tags"))
 
 
-@query("publish_summary", "cell_obs", "SELECT series_id, max(added_in_version) AS version, count(*) AS row_count, string_agg(DISTINCT mapping_version, ',') AS mapping_versions FROM cell_obs WHERE superseded_in_version IS NULL GROUP BY 1 HAVING max(added_in_version) <> 7")
+@query("publish_summary", "cell_obs", """WITH live AS (SELECT *, substr(series_id, 2)::BIGINT AS k FROM cell_obs WHERE superseded_in_version IS NULL),
+    items AS (SELECT series_id, array_to_string(list(source_item_id ORDER BY added, source_item_id), ',') AS artifacts FROM (SELECT series_id, source_item_id, min(added_in_version) AS added FROM live GROUP BY 1, 2) GROUP BY 1)
+    SELECT series_id, max(added_in_version) AS version, count(*) AS row_count, string_agg(DISTINCT mapping_version, ',') AS mapping_versions, min(time_start) AS first_start, max(time_start) AS last_start, array_to_string(list_sort(list(DISTINCT variable)), ',') AS variables, count(DISTINCT cell) AS cells,
+        array_to_string(list_sort(list(DISTINCT product_status)), ',') AS taxa, artifacts,
+        round(min(cell / 10e0), 6) AS west, round(min(-(cell % 50)), 6) AS south, round(max(cell / 10e0), 6) AS east, round(max(-(cell % 50)), 6) AS north FROM live JOIN items USING (series_id) GROUP BY series_id, artifacts, k HAVING k % 4 = 0 OR max(added_in_version) > 4 + k % 4""")
 def _(v):
-    registered = v.cell_obs.select("series_id", F.lit(7).cast("int").alias("version")).distinct()
-    return series.publish_summary(v.cell_obs, ["series_id"], registered).select("series_id", "version", "row_count", "mapping_versions")
+    k = F.substring("series_id", 2, 20).cast("long")
+    rows = v.cell_obs.withColumns({"lon": F.col("cell") / 10.0, "lat": -(F.col("cell") % 50).cast("double")})
+    registered = v.cell_obs.select("series_id", (k % 4 + 4).cast("int").alias("version")).distinct().where(k % 4 != 0)
+    out = series.publish_summary(rows, ["series_id"], registered, "product_status", "source_item_id", "lon", "lat")
+    return out.withColumns({c: F.concat_ws(",", c) for c in ("variables", "taxa", "artifacts")} | {c: r(c) for c in ("west", "south", "east", "north")})
 
 
-@query("needs_relabel", "datasets", """WITH pairs AS (SELECT a.dataset_id, a."start" AS s0, a."end" AS e0, b."start" AS s1, b."end" AS e1, CASE WHEN a.west IS NULL THEN 0 ELSE 1 END AS c0, CASE WHEN b.west IS NOT NULL AND (a.west IS NULL OR a.west <> b.west OR a.south <> b.south) THEN 1 ELSE 0 END AS c1
-        FROM datasets a JOIN datasets b ON a.dataset_id = b.dataset_id AND a.version = 0 AND b.version = 1)
+@query("needs_relabel", "datasets", """WITH pairs AS (SELECT a.dataset_id || '.' || b.version AS dataset_id, a."start" AS s0, a."end" AS e0, b."start" AS s1, b."end" AS e1, CASE WHEN a.west IS NULL THEN 0 ELSE 1 END AS c0, CASE WHEN b.west IS NOT NULL AND (a.west IS NULL OR a.west <> b.west OR a.south <> b.south) THEN 1 ELSE 0 END AS c1
+        FROM datasets a JOIN datasets b ON a.dataset_id = b.dataset_id AND b.version = a.version + 1)
     SELECT dataset_id, (c0 > 0 AND c1 > c0 * 0.1) OR len(list_filter(list_transform(range(date_trunc('quarter', s1)::DATE, (e1 + 1)::DATE, INTERVAL 3 MONTH), lambda d: (year(d), quarter(d))), lambda q: NOT list_contains(list_transform(range(date_trunc('quarter', s0)::DATE, (e0 + 1)::DATE, INTERVAL 3 MONTH), lambda d: (year(d), quarter(d))), q))) > 0 AS relabel FROM pairs""")
 def _(v):
-    before, after = v.datasets.where("version = 0"), v.datasets.where("version = 1")
+    named = lambda version: v.datasets.withColumn("dataset_id", F.concat_ws(".", "dataset_id", version))
+    before, after = named(F.col("version") + 1), named(F.col("version"))
     cells = lambda df: catalog.footprint(df.withColumn("cell", F.when(F.col("west").isNotNull(), F.concat_ws(":", "west", "south"))), ["dataset_id"])
     return catalog.needs_relabel(before, after, catalog.footprint_growth(cells(before), cells(after), ["dataset_id"]))
 
@@ -1247,9 +1311,12 @@ def _(v):
     return movement.timeline(v.daily).withColumn("median", r("median"))
 
 
-@query("track_map", "fixes", "SELECT entity_id, count(*) AS points, 0::BIGINT AS missing FROM fixes GROUP BY 1 HAVING count(*) >= 2")
+@query("track_map", "fixes", """SELECT entity_id, string_agg(epoch_us(observed_at) || ' ' || round(longitude * 1000000)::BIGINT || ' ' || round(latitude * 1000000)::BIGINT, ';' ORDER BY observed_at, longitude, latitude) FILTER (WHERE event_type <> 'error') AS line,
+    count(*) FILTER (WHERE event_type = 'error') AS missing FROM fixes GROUP BY 1 HAVING count(*) FILTER (WHERE event_type <> 'error') >= 2""")
 def _(v):
-    return movement.track_map(v.fixes).select("entity_id", F.size("line").cast("long").alias("points"), "missing")
+    lines = movement.track_map(v.fixes.withColumn("longitude", F.when(F.col("event_type") != "error", F.col("longitude"))))
+    point = lambda p: F.concat_ws(" ", F.unix_micros(p["observed_at"].cast("timestamp")), *(F.round(p[c] * 1000000).cast("long") for c in ("longitude", "latitude")))
+    return lines.select("entity_id", F.concat_ws(";", F.transform("line", point)).alias("line"), "missing")
 
 
 @query("revisit_summary", "daily", _REVISITS)
@@ -1348,10 +1415,15 @@ def _(v):
     return movement.residence_intervals(_fix_values(v)).groupBy("entity_id").agg(F.count("*").alias("intervals"))
 
 
-@query("route_overlap", "fixes boundaries", """WITH seg AS (SELECT entity_id, longitude, latitude, lead(longitude) OVER w AS nlon, lead(latitude) OVER w AS nlat FROM fixes WINDOW w AS (PARTITION BY entity_id ORDER BY observed_at))
-    SELECT name, entity_id, count(*) FILTER (WHERE longitude BETWEEN west AND east AND latitude BETWEEN south AND north) AS points_inside, round(coalesce(sum(sqrt(pow((nlon - longitude) * cos(radians((latitude + nlat) / 2)) * 111.32e0, 2) + pow((nlat - latitude) * 110.574e0, 2))), 0), 5) AS path_km FROM seg, boundaries GROUP BY 1, 2""")
+@query("route_overlap", "fixes boundaries", """WITH seg AS (SELECT entity_id, longitude, latitude, lead(longitude) OVER w AS nlon, lead(latitude) OVER w AS nlat FROM fixes WINDOW w AS (PARTITION BY entity_id ORDER BY observed_at)),
+    met AS (SELECT *, longitude BETWEEN west AND east AND latitude BETWEEN south AND north AS inside, nlon - longitude AS dx, nlat - latitude AS dy, sqrt(pow((nlon - longitude) * cos(radians((latitude + nlat) / 2)) * 111.32e0, 2) + pow((nlat - latitude) * 110.574e0, 2)) AS km FROM seg, boundaries),
+    cut AS (SELECT *, CASE WHEN dx <> 0 THEN least((west - longitude) / dx, (east - longitude) / dx) WHEN longitude BETWEEN west AND east THEN 0 ELSE 2 END AS x0, CASE WHEN dx <> 0 THEN greatest((west - longitude) / dx, (east - longitude) / dx) ELSE 1 END AS x1,
+        CASE WHEN dy <> 0 THEN least((south - latitude) / dy, (north - latitude) / dy) WHEN latitude BETWEEN south AND north THEN 0 ELSE 2 END AS y0, CASE WHEN dy <> 0 THEN greatest((south - latitude) / dy, (north - latitude) / dy) ELSE 1 END AS y1 FROM met),
+    sums AS (SELECT name, entity_id, count(*) FILTER (WHERE inside) AS points_inside, coalesce(sum(km), 0) AS path_km, coalesce(sum(CASE WHEN km IS NOT NULL THEN km * greatest(0, least(1, x1, y1) - greatest(0, x0, y0)) END), 0) AS inside_km FROM cut GROUP BY 1, 2)
+    SELECT name, entity_id, points_inside, round(path_km, 5) AS path_km, round(inside_km, 4) AS inside_km, round(CASE WHEN path_km > 0 THEN inside_km / path_km ELSE 0 END, 6) AS share FROM sums""")
 def _(v):
-    return movement.route_overlap(v.fixes, v.boundaries.select("name", "rings")).select("name", "entity_id", "points_inside", F.round("path_km", 5).alias("path_km"))
+    met = movement.route_overlap(v.fixes, v.boundaries.select("name", "rings"))
+    return met.select("name", "entity_id", "points_inside", F.round("path_km", 5).alias("path_km"), F.round("inside_km", 4).alias("inside_km"), r("share").alias("share"))
 
 
 # --- forecasts ---------------------------------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from meadowlark.functions import geo, indices
 from meadowlark.operators import catalog, checks, forecast, joins, movement, relational, series, stats
 from meadowlark.operators.relational import CheckFailed
 from meadowlark.sources import tracking
-from meadowlark.streaming import append
+from meadowlark.streaming import append, corrections
 
 DAY = dt.date(2026, 1, 1)
 
@@ -497,3 +497,116 @@ def test_cells_take_the_pixel_under_their_centre(spark):
     raster = (lon - 0.001, lat + 0.001, 0.01, 0.01, 2, 2)  # a cell is 0.0104 degrees wide
     got = stats.sample_cell_centres(cells, source, raster).collect()
     assert sorted(map(tuple, got)) == [(7492, 20911, 0, 0, 5.0), (7492, 20912, 0, 1, 6.0)]
+
+
+# --- corrections of a stream, studies, places in an order
+
+
+CELL_ROWS = "source_id string, variable string, cell long, time_start timestamp_ntz, product_status string, processing_version string, mapping_version string, valid_fraction double, available_at timestamp_ntz, source_item_id string, value double"
+
+
+def _observation(day, status, value, item="i", processing="1", cell=1, variable="rain"):
+    at = None if day is None else dt.datetime(2024, 1, 1) + dt.timedelta(days=day)
+    return ("s", variable, cell, at, status, processing, "1", 1.0, at, item, value)
+
+
+def _sent(spark, tmp_path, batches, late_days):
+    """Sends each batch to a stream of its own start, so that each is a restart; the changes after all."""
+    sent, path = tmp_path / "sent", str(tmp_path / "changes")
+    for rows in batches:
+        spark.createDataFrame(rows, CELL_ROWS).coalesce(1).write.mode("append").parquet(str(sent))
+        stream = spark.readStream.schema(CELL_ROWS).parquet(str(sent))
+        corrections.write_corrections(corrections.corrections(stream, late_days), path, str(tmp_path / "checkpoint")).awaitTermination()
+    return spark.read.parquet(path)
+
+
+def test_a_final_row_replaces_a_preliminary_one(spark, tmp_path):
+    first = [_observation(0, "preliminary", 1.0), _observation(1, "final", 2.0), _observation(1, "preliminary", 9.0, "z", "9"), _observation(0, "preliminary", None, cell=None, variable=None)]
+    batches = [first, first, [_observation(0, "final", 3.0, "j")], [_observation(0, "preliminary", 8.0, "zz", "9"), _observation(1, "final", 4.0, "i", "2")], first + [_observation(0, "final", 3.0, "j")]]
+    changes = _sent(spark, tmp_path, batches, 30)
+    held = {(x.cell, x.day.day if x.day else None): (x.value, x.product_status, x.revision) for x in corrections.in_force(changes).collect()}
+    assert held == {(1, 1): (3.0, "final", 2), (1, 2): (4.0, "final", 2), (None, 1): (None, "preliminary", 1)}
+    counts = {x.action: x.n for x in changes.groupBy("action").agg(F.sum("rows").alias("n")).collect()}
+    assert counts == {"new": 3, "replaced": 2, "unchanged": sum(map(len, batches)) - 5}
+
+
+def test_late_rows_of_a_stream_are_counted_and_change_nothing(spark, tmp_path):
+    batches = [[_observation(0, "preliminary", 1.0), _observation(20, "preliminary", 2.0)], [_observation(9, "final", 7.0), _observation(10, "final", 8.0), _observation(None, "final", 9.0), _observation(40, "final", 5.0)],
+               [_observation(20, "final", 6.0), _observation(40, "final", 5.5, "j")], [_observation(0, "final", 6.0, cell=2)]]
+    changes = _sent(spark, tmp_path, batches, 10)
+    assert changes.where("action = 'late'").agg(F.sum("rows")).first()[0] == 3  # days 9 and 20, and one without a time
+    held = {(x.cell, (x.day - dt.date(2024, 1, 1)).days): x.value for x in corrections.in_force(changes).collect()}
+    assert held == {(1, 0): 1.0, (1, 10): 8.0, (1, 20): 2.0, (1, 40): 5.5, (2, 0): 6.0}
+    assert changes.agg(F.sum("rows")).first()[0] == sum(map(len, batches))
+
+
+def test_the_order_of_a_stream_doesnt_matter(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [_observation(rng.randrange(5), rng.choice(["final", "preliminary", None]), rng.random(), rng.choice(["a", "b", "", None]), rng.choice(["1", "2", None]), rng.randrange(3)) for _ in range(120)]
+    rows = [(*x[:7], rng.choice([None, math.nan, 0.5, 1.0]), rng.choice([None, x[8]]), *x[9:]) for x in rows]
+    one = corrections.in_force(_sent(spark, tmp_path / "a", [rows], 100)).select("cell", "day", "value", "source_item_id")
+    many = rng.sample(rows, len(rows))
+    two = corrections.in_force(_sent(spark, tmp_path / "b", [many[:50], many[20:90], many[90:]], 100)).select("cell", "day", "value", "source_item_id")
+    ranked = lambda df: sorted((x.cell, x.day) for x in df.collect())
+    assert ranked(one) == ranked(two)
+    by_rank = {}
+    for x in rows:
+        fraction = -1.0 if x[7] is None or math.isnan(x[7]) else x[7]
+        rank = (x[4] == "final", x[5] or "", x[6] or "", fraction, x[8] or dt.datetime.min, x[9] or "")
+        by_rank.setdefault((x[2], x[3].date()), []).append((rank, x[10]))
+    best = {k: {v for r, v in found if r == max(found)[0]} for k, found in by_rank.items()}
+    for df in (one, two):
+        assert all(x.value in best[x.cell, x.day] for x in df.collect())
+
+
+def test_studies_get_their_own_versions(spark):
+    d = lambda x: dt.datetime(2023, 12, 30) + dt.timedelta(days=x)
+    manifest = lambda study, title: json.dumps({k: x for k, x in (("study", study), ("title", title)) if x is not None})
+    registry = spark.createDataFrame([("m", "a", "ia", manifest("1", "Data from: Kob"), 2, 5), ("m", "b", "ib", manifest("1", ""), 5, None), ("m", "c", "ic", manifest("1", None), 9, None), ("m", "d", "id", manifest("2", "Topi"), 3, 4), ("m", "e", "ie", None, 7, None)],
+                                     "series_id string, batch_key string, source_item_id string, raw_manifest string, added_in_version int, superseded_in_version int")
+    split = series.split_by_study(registry)
+    got = {x.batch_key: (x.new_series_id, x.new_version, x.new_superseded) for x in split.collect()}
+    assert got == {"a": ("m--study-1", 1, 2), "b": ("m--study-1", 2, None), "c": ("m--study-1", 3, None), "d": ("m--study-2", 1, 2), "e": ("m", 1, None)}
+    fixes = spark.createDataFrame([("m", "a", "x", d(0), 0.0, 0.0, "c0"), ("m", "b", "x", d(0), 1.0, 2.0, "c1"), ("m", "b", "y", d(5), 3.0, -4.0, "c1"), ("m", "c", None, d(2), None, None, None), ("m", "d", "x", d(1), 9.0, 9.0, "c9"), ("n", "b", "x", d(9), 9.0, 9.0, "c9")],
+                                  "series_id string, batch_key string, entity_id string, observed_at timestamp_ntz, longitude double, latitude double, cell string")
+    entities = spark.createDataFrame([("x", "Kobus kob"), ("y", None)], "entity_id string, taxon_name string")
+    sets = {x.dataset_id: x for x in series.study_datasets(split, fixes, entities).collect()}
+    one, two = sets["m--study-1"], sets["m--study-2"]
+    assert (one.version, one.description, one.artifacts, one.row_count, one.start, one.end) == (3, "Kob", ["ib", "ic"], 3, d(0), d(5))
+    assert (one.west, one.south, one.east, one.north, one.cells, one.species) == (1.0, -4.0, 3.0, 2.0, 1, ["Kobus kob"])
+    assert one.tags[3:] == ["year:2023", "year:2024"] and list(series.STUDY_TAGS) == one.tags[:3]
+    assert (two.version, two.description, two.artifacts, two.row_count, two.start, two.species, two.tags) == (2, "Topi", [], 0, None, [], list(series.STUDY_TAGS))
+    assert series.study_datasets(series.split_by_study(registry.limit(0)), fixes, entities).count() == 0
+
+
+def test_published_versions_are_left_out(spark):
+    rows = [("s", 1, None, "m1", "kob", "i2", 1.0, 2.0), ("s", 2, None, "m2", None, "i1", 3.0, 4.0), ("s", 3, 4, "m3", "topi", "i3", 9.0, 9.0), ("t", 1, None, "m1", "kob", "i9", None, 4.0), ("u", 1, None, "m1", "kob", "i9", 1.0, 91.0)]
+    df = spark.createDataFrame([(*x, dt.datetime(2024, 1, 1), "fix", 1) for x in rows], "series_id string, added_in_version int, superseded_in_version int, mapping_version string, taxon string, item string, lon double, lat double, time_start timestamp_ntz, variable string, cell int")
+    held = spark.createDataFrame([("s", 1), ("t", 1), ("u", 0)], "series_id string, version int")
+    got = {x.series_id: x for x in series.publish_summary(df, ["series_id"], held, "taxon", "item", "lon", "lat").collect()}
+    assert set(got) == {"s", "u"}
+    assert (got["s"].version, got["s"].mapping_versions, got["s"].taxa, got["s"].artifacts, got["s"].row_count) == (2, "m1,m2", ["kob"], ["i2", "i1"], 2)
+    assert (got["s"].west, got["s"].south, got["s"].east, got["s"].north) == (1.0, 2.0, 3.0, 4.0) and got["u"].west is None and got["u"].north is None
+    later = spark.createDataFrame([("s", 5)], "series_id string, version int")  # one published later than what is live
+    assert {x.series_id for x in series.publish_summary(df, ["series_id"], later).collect()} == {"t", "u"}
+
+
+def test_items_stamp_cell_observations(spark):
+    zones = spark.createDataFrame([("i", 1, "nd", 0.5, 0.1, 1.0, 9), ("i", 2, "x", None, None, 0.1, 1)], "source_item_id string, cell int, variable string, value double, std double, valid_fraction double, pixel_count long")
+    items = spark.createDataFrame([("i", 1, 2, "day", 3, "src", "v", "preliminary", "s")], "source_item_id string, time_start int, time_end int, time_precision string, available_at int, source_id string, processing_version string, product_status string, series_id string")
+    units = spark.createDataFrame([("nd", "1")], "variable string, unit string")
+    got = {x.cell: (x.dataset_id, x.unit, x.quality_flag, x.stat, x.available_at) for x in stats.to_cell_observations(zones, items, units, "m", "mean", 30).collect()}
+    assert got == {1: ("s", "1", "preliminary", "mean", 3), 2: ("s", None, "low_valid_fraction", "mean", 3)}
+    for bad in ((zones.withColumn("source_item_id", F.lit("j")), items, units), (zones, items.union(items), units), (zones, items, units.union(units))):
+        with pytest.raises(Exception, match="unknown item|twice"):
+            stats.to_cell_observations(*bad, "m", "mean", 30).collect()
+
+
+def test_places_are_numbered_over_parts(spark):
+    rng = random.Random(9)
+    values = rng.sample(range(10**6), 3000)
+    df = spark.createDataFrame([(v // 7, v) for v in values] + [(None, -1)], "a int, b int").repartition(5)
+    got = relational.numbered(df, [F.desc("a"), F.asc("b")], "place").collect()
+    order = sorted(((None if v < 0 else v // 7, v) for v in [*values, -1]), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    assert [(x.a, x.b) for x in sorted(got, key=lambda x: x.place)] == order and sorted(x.place for x in got) == list(range(1, 3002))
+    assert relational.numbered(df.limit(0), [F.asc("b")], "place").count() == 0
