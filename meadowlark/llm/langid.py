@@ -164,35 +164,68 @@ def fit_svm(vectors: list, signs: np.ndarray, strength: float = 1e-4, epochs: in
 
 
 class Models(NamedTuple):
-    """``languages`` that were learned; SVM i says ``one[i]`` where ``weights[i]`` give a positive sum, else ``other[i]``."""
+    """``languages`` that were learned; SVM i says ``one[i]`` where ``weights[i]`` give a positive sum, else ``other[i]``.
+
+    ``tree`` gives each node's children: of ROOT the families, or groups of them; of a family its languages.
+    """
 
     languages: list[str]
     one: list[str]
     other: list[str]
     weights: np.ndarray
+    tree: dict[str, list[str]]
+
 
+ROOT = "root"
 
-def train(docs: DataFrame, bound: int = 8_000, most: int = 64) -> Models:
-    """The SVMs of families and of the languages of a family.
 
-    Families meet as ``family:x``; languages only those of their own family. At most ``bound`` documents teach, as many
-    of each language, of the smallest hashes of their ids, from rows with text and lang that aren't held out; of more
-    than ``most`` languages, those with most rows. A task fits one SVM. So rows and models are bounded by the parameters:
-    2,016 models of DIMENSION numbers at most, a dozen for four languages.
+def family_tree(languages: list[str], most: int) -> dict[str, list[str]]:
+    """Node -> children. Families of languages stand below the root; while that has more than ``most`` children, they are
+    joined by name into groups of at most ``most``, so that the number of pairs that meet grows with that of languages."""
+    tree: dict[str, list[str]] = {}
+    for language in languages:
+        tree.setdefault(f"family:{family_of(language)}", []).append(language)
+    top, level = sorted(tree), 0
+    while len(top) > most:
+        level += 1
+        groups = -(-len(top) // most)
+        parts = [top[len(top) * i // groups : len(top) * (i + 1) // groups] for i in range(groups)]
+        top = [f"group:{level}:{i:06d}" for i in range(groups)]
+        tree.update(zip(top, parts, strict=True))
+    tree[ROOT] = top
+    return tree
+
+
+def _below(tree: dict[str, list[str]], node: str) -> list[str]:
+    """The languages below a node."""
+    if node.startswith("family:"):
+        return tree[node]
+    return [x for child in tree[node] for x in _below(tree, child)] if node in tree else [node]
+
+
+def train(docs: DataFrame, bound: int = 8_000, most: int = 16) -> Models:
+    """The SVMs of families and of the languages of a family; every language that a row teaches is learned.
+
+    Families meet as ``family:x``; languages only those of their own family; of more than ``most`` families, groups of them
+    meet first (``family_tree``). At most ``bound`` rows teach (one a language, if there are more languages), as many of
+    each language, of the smallest hashes of their ids, from rows with text and lang that aren't held out; rows of equal
+    id, lang and text teach once. A task fits one SVM, of the rows of its two sides. There are a few SVMs of DIMENSION
+    numbers for each language: a dozen for four languages, some 1,100 for 150 families.
     """
-    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", "lang", F.xxhash64("doc_id").alias("order"))
-    languages = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect())
+    digest = F.xxhash64("text").alias("digest")
+    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", "lang", digest, F.xxhash64("doc_id").alias("order"))
+    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     if not languages:
-        return Models([], [], [], np.zeros((0, DIMENSION), np.float32))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
-    chosen = known.where(F.col("lang").isin(languages)).withColumn("place", first).where(F.col("place") <= max(1, bound // len(languages))).drop("place").distinct()
-    families = sorted({family_of(x) for x in languages})
-    pairs = [(f"family:{a}", f"family:{b}", [x for x in languages if family_of(x) == a], [x for x in languages if family_of(x) == b]) for i, a in enumerate(families) for b in families[i + 1 :]]
-    pairs += [(a, b, [a], [b]) for i, a in enumerate(languages) for b in languages[i + 1 :] if family_of(a) == family_of(b)]
+        return Models([], [], [], np.zeros((0, DIMENSION), np.float32), {ROOT: []})
+    tree = family_tree(languages, most)
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id", "digest"))
+    chosen = known.withColumn("place", first).where(F.col("place") <= max(1, bound // len(languages))).select("doc_id", "lang", "digest").distinct()
+    pairs = [(a, b, _below(tree, a), _below(tree, b)) for children in tree.values() for i, a in enumerate(children) for b in children[i + 1 :]]
     if not pairs:
-        return Models(languages, [], [], np.zeros((0, DIMENSION), np.float32))
+        return Models(languages, [], [], np.zeros((0, DIMENSION), np.float32), tree)
     models = docs.sparkSession.createDataFrame([(a, b, x, s) for a, b, xs, ys in pairs for s, names in ((1, xs), (-1, ys)) for x in names], "one string, other string, lang string, sign int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.drop("order")), "doc_id").join(F.broadcast(models), "lang").select("one", "other", "sign", "doc_id", "text")
+    taught = docs.select("doc_id", "lang", "text", digest).join(F.broadcast(chosen), ["doc_id", "lang", "digest"]).dropDuplicates(["doc_id", "lang", "digest"])
+    rows = taught.join(F.broadcast(models), "lang").select("one", "other", "sign", "doc_id", "text")
 
     def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         forget()
@@ -202,32 +235,35 @@ def train(docs: DataFrame, bound: int = 8_000, most: int = 64) -> Models:
         return pd.DataFrame({"one": [key[0]], "other": [key[1]], "weights": [weights.astype(np.float32)]})
 
     fitted = rows.groupBy("one", "other").applyInPandas(fit, "one string, other string, weights array<float>").toPandas().sort_values(["one", "other"], ignore_index=True)
-    return Models(languages, fitted.one.tolist(), fitted.other.tolist(), np.array(fitted.weights.tolist(), np.float32).reshape(len(fitted), DIMENSION))
+    return Models(languages, fitted.one.tolist(), fitted.other.tolist(), np.array(fitted.weights.tolist(), np.float32).reshape(len(fitted), DIMENSION), tree)
 
 
 def predict(docs: DataFrame, models: Models) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1) for each row.
 
-    By the families' SVMs and then those of the chosen family, the class that wins most pairs is taken, ties to the
-    larger sum of margins, then by name. The score is the product over the two steps of the winner's least confidence
-    in its pairs. A null text, or one without a letter, is ``und`` with score 0; so is every text if nothing was learned.
+    By the families' SVMs (their groups' before, where there are many) and then those of the chosen family, the class that
+    wins most pairs is taken, ties to the larger sum of margins, then by name. The score is the product over the steps of
+    the winner's least confidence in its pairs. A null text, or one without a letter, is ``und`` with score 0; so is every text if nothing was learned.
     """
-    languages, one, other, weights = models
+    languages, one, other, weights, tree = models
     sent = docs.sparkSession.sparkContext.broadcast(weights)
-    members: dict[str, list[str]] = {}
-    for language in languages:
-        members.setdefault(family_of(language), []).append(language)
+    # The pairs of each node, by their places.
+    node_of = {child: node for node, children in tree.items() for child in children}
+    own: dict[str, list[tuple[str, str, int]]] = {node: [] for node in tree}
+    for i, (a, b) in enumerate(zip(one, other, strict=True)):
+        own[node_of[a]].append((a, b, i))
     bound = max(1 << 13, min(1 << 20, (1 << 23) // max(1, len(one))))
 
-    def best(sums: np.ndarray, among: list[str]) -> tuple[str, float]:
+    def best(sums: np.ndarray, node: str) -> tuple[str, float]:
+        among = tree[node]
         won, margins, least = dict.fromkeys(among, 0), dict.fromkeys(among, 0.0), dict.fromkeys(among, 1.0)
-        for a, b, margin in zip(one, other, sums, strict=True):
-            if a in won and b in won:
-                won[a if margin > 0 else b] += 1
-                sure = float(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
-                for x, m, p in ((a, margin, sure), (b, -margin, 1 - sure)):
-                    margins[x] += m
-                    least[x] = min(least[x], p)
+        for a, b, i in own[node]:
+            margin = sums[i]
+            won[a if margin > 0 else b] += 1
+            sure = float(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
+            for x, m, p in ((a, margin, sure), (b, -margin, 1 - sure)):
+                margins[x] += m
+                least[x] = min(least[x], p)
         top = min(among, key=lambda x: (-won[x], -margins[x], x))
         return top, least[top]
 
@@ -236,7 +272,7 @@ def predict(docs: DataFrame, models: Models) -> DataFrame:
         for batch in batches_of(batches):
             found, sure = [], []
             for text in batch.column("text").to_pylist():
-                if not members or text is None or not _LETTER.search(text):
+                if not languages or text is None or not _LETTER.search(text):
                     found.append(UNKNOWN)
                     sure.append(0.0)
                     continue
@@ -251,8 +287,11 @@ def predict(docs: DataFrame, models: Models) -> DataFrame:
                     sums += known.scores[rows].sum(axis=0)
                     n += known.sizes[rows].sum()
                 sums *= 16 / n
-                family, p = best(sums, [f"family:{x}" for x in sorted(members)])
-                language, q = best(sums, members[family.removeprefix("family:")])
+                node, p = ROOT, 1.0
+                while not node.startswith("family:"):
+                    node, q = best(sums, node)
+                    p *= q
+                language, q = best(sums, node)
                 found.append(language)
                 sure.append(p * q)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.string()), pa.array(sure, pa.float64())], ["doc_id", "lang_pred", "score"])

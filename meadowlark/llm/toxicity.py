@@ -65,7 +65,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 16_000, per_task: int
     """Weights by feature (the last is the intercept), learned from labelled rows that aren't held out.
 
     At most ``bound`` labelled documents are used, those of the smallest hashes of their ids. Each task goes over its
-    share, ``per_task`` documents at most, in hash order, ``epochs`` times; the models are averaged. Features of fewer
+    share, some ``per_task`` documents (shares are dealt by hash), in hash order, ``epochs`` times; the models are averaged. Features of fewer
     than ``least`` documents of a share are left out. Rows with a null id, text or label teach nothing; of several
     labels of one id the largest counts. Without labelled rows every weight is zero.
     """

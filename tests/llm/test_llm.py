@@ -218,6 +218,40 @@ def test_language_of_nothing(spark, awkward):
     assert {x.lang_pred for x in langid.predict(awkward, one).collect()} == {"xx", "und"}
 
 
+def test_every_language_is_learned(spark):
+    """150 languages of their own letters, each with few rows: none is left out, and groups of families find them."""
+    rng = np.random.default_rng(4)
+    letters = [chr(0x3400 + 7 * i) for i in range(2000)]
+    rows = []
+    for i in range(150 * 12):
+        own = letters[12 * (i % 150) : 12 * (i % 150) + 12]
+        rows.append((i, " ".join("".join(rng.choice(own, 4)) for _ in range(30)), f"l{i % 150:03d}", "s", 150))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    models = langid.train(docs, bound=900)
+    assert len(models.languages) == 150 and max(map(len, models.tree.values())) <= 16 and len(models.one) < 150 * 16
+    found = langid.predict(docs, models).where(common.is_held_out(F.col("doc_id"))).collect()
+    assert len(found) > 300 and sum(x.lang_pred == f"l{x.doc_id % 150:03d}" for x in found) >= 0.97 * len(found)
+
+
+def test_language_family_tree():
+    tree = langid.family_tree(["de", "en", "fr", *(f"x{i:02d}" for i in range(40))], 4)
+    assert max(len(x) for k, x in tree.items() if not k.startswith("family:")) <= 4 and sorted(langid._below(tree, langid.ROOT)) == sorted(["de", "en", "fr", *(f"x{i:02d}" for i in range(40))])
+    assert langid.family_tree(["de", "en", "fr"], 16) == {"family:germanic": ["de", "en"], "family:romance": ["fr"], langid.ROOT: ["family:germanic", "family:romance"]}
+
+
+def test_language_of_repeated_ids(spark):
+    """A row teaches its own lang, not that of another row of its id; repeated rows teach once."""
+    texts = {"fr": "le chat est sur la table et il mange", "en": "the cat is on the table and it eats"}
+    rows = [(1, text, lang, "s", 40) for lang, text in texts.items()] + [(1, texts["en"], "en", "s", 40)] * 5 + [(1, "nothing known", None, "s", 13)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert not docs.where(common.is_held_out(F.col("doc_id"))).count()
+    once = spark.createDataFrame(rows[:2], SCHEMA)
+    models, plain = langid.train(docs), langid.train(once)
+    assert np.array_equal(models.weights, plain.weights)
+    for lang, text in texts.items():
+        assert langid.predict(docs.where(F.col("text") == text).limit(1), models).first().lang_pred == lang
+
+
 def test_language_votes_are_their_definition(spark, docs):
     """Predictions against plain sums over all runs of characters, pair by pair."""
     models = langid.train(docs)
