@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import as_number, as_time, finite
 from .relational import CheckFailed
 
 
@@ -134,6 +135,59 @@ def coverage_overlaps(start: Column, end: Column, want_start: Column, want_end:
     return in_time & F.coalesce((F.size(want) == 0) | F.arrays_overlap(have, want), F.lit(True))
 
 
+#: Widest finite values of the kinds that have bounds.
+BOUNDS = {"longitude": 180, "latitude": 90}
+KINDS = ("number", "integer", "time", *BOUNDS)
+
+
+def _problem(column: str, kind: str) -> Column:
+    """bad (not null, and no value of its kind), nonfinite, outside (of the globe), or null where nothing is wrong."""
+    if kind not in KINDS:
+        raise ValueError(f"{kind} is none of {', '.join(KINDS)}")
+    c = F.col(f"`{column}`")
+    if kind == "time":
+        return F.when(c.isNotNull() & as_time(c).isNull(), "bad")
+    x = as_number(c)
+    found = F.when(c.isNotNull() & x.isNull(), "bad").when(~finite(x), "nonfinite")
+    return found.when(F.abs(x) > BOUNDS[kind], "outside") if kind in BOUNDS else found
+
+
+def type_report(df: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
+    """(column, kind, rows, nulls, bad, nonfinite, outside, example) of columns that should be of a kind, in one pass.
+
+    ``bad`` values aren't null and can't be read, and ``example`` is the smallest text of one. NaN and infinities are
+    nonfinite, and places beyond the globe outside; a value counts once. A row for each column of a table without rows, too.
+    """
+    each = []
+    for c, kind in kinds.items():
+        problem = _problem(c, kind)
+        of = lambda name, p=problem: F.count_if(F.coalesce(p == name, F.lit(False))).alias(name)
+        column = F.col(f"`{c}`")
+        each.append(F.struct(F.lit(c).alias("column"), F.lit(kind).alias("kind"), F.count("*").alias("rows"), F.count_if(column.isNull()).alias("nulls"), of("bad"), of("nonfinite"), of("outside"), F.min(F.when(problem == "bad", column.cast("string"))).alias("example")))
+    return df.agg(*(e.alias(f"c{i}") for i, e in enumerate(each))).select(F.inline(F.array(*(f"c{i}" for i in range(len(each))))))
+
+
+def typed(df: DataFrame, kinds: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(good, bad): rows whose columns have their kinds, as doubles and times with values that aren't finite as null; and
+    the others as they came, with their ``problems`` as column:problem, in the order of ``kinds``. Integers are doubles
+    too, as a fraction isn't a fault. Null has every kind. Nothing is shuffled."""
+    problems = F.array_compact(F.array(*(F.when(_problem(c, k).isin("bad", "outside"), F.concat(F.lit(f"{c}:"), _problem(c, k))) for c, k in kinds.items())))
+    marked = df.withColumn("problems", problems)
+    number = lambda c: F.when(finite(as_number(c)), as_number(c))
+    read = {c: as_time(F.col(f"`{c}`")) if k == "time" else number(F.col(f"`{c}`")) for c, k in kinds.items()}
+    return marked.where(F.size("problems") == 0).drop("problems").withColumns(read), marked.where(F.size("problems") > 0)
+
+
+def check_types(df: DataFrame, kinds: Mapping[str, str]) -> None:
+    """Fails on values that can't be read (BAD_TIMESTAMP, BAD_NUMBER) or lie outside the globe (OUTSIDE_WGS84), in the order of ``kinds``."""
+    found = {r["column"]: r for r in type_report(df, kinds).collect()}
+    for c, kind in kinds.items():
+        if found[c]["bad"]:
+            raise CheckFailed("BAD_TIMESTAMP" if kind == "time" else "BAD_NUMBER", f"{found[c]['bad']} values of {c}, as {found[c]['example']!r}")
+        if found[c]["outside"]:
+            raise CheckFailed("OUTSIDE_WGS84", f"{found[c]['outside']} values of {c}")
+
+
 COUNTERS = ("rows_read", "out_of_scope", "out_of_time", "wrong_species", "no_coordinates", "invalid_numbers", "nonfinite", "negative", "outside_wgs84", "rows_kept", "off_grain", "no_animal")
 
 

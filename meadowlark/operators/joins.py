@@ -194,16 +194,21 @@ def preceding_days_sum(left: DataFrame, right: DataFrame, keys: Sequence[str], d
     return left.join(sums, own, "left").select(*left.columns, "total", F.coalesce("days_observed", F.lit(0)).alias("days_observed"))
 
 
-def validity_join(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, valid_from: str, valid_until: str, right_columns: Sequence[str], longest_s: int) -> DataFrame:
-    """All pairs with valid_from <= time < valid_until. ``longest_s`` bounds the length of a validity; longer ones fail."""
-    too_long = right.where(_seconds(F.col(valid_until)) - _seconds(F.col(valid_from)) > longest_s * 1_000_000)
-    if not too_long.isEmpty():
-        raise ValueError("a validity is longer than longest_s")
-    # A left row is in two buckets and a right one in one, so a pair meets once; the whole left row goes with it.
-    lefts = left.select(*keys, time, F.struct(*left.columns).alias("_left"))
+def validity_join(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, valid_from: str, valid_until: str, right_columns: Sequence[str], longest_s: int, parts: int = 4) -> DataFrame:
+    """All pairs with valid_from <= time < valid_until. ``longest_s`` bounds the length of a validity; longer ones fail.
+
+    Time is cut into buckets of a ``parts``-th of ``longest_s``. A validity goes to each bucket that it touches, parts + 1
+    at most, and a left row to its own, so a pair meets once, left rows aren't repeated, and few pairs fail the exact
+    test. A hot key is spread over its buckets. Rows without a key or time match nothing, nor do validities without both ends.
+    """
+    size = longest_s * 1_000_000 / parts
+    bucket = lambda at: F.floor(at / size)
+    start, end = _seconds(F.col("_s")), _seconds(F.col("_e"))
+    lefts = left.select(*keys, bucket(_seconds(F.col(time))).alias("_bucket"), F.col(time).alias("_t"), F.struct(*left.columns).alias("_left"))
     side = right.select(*keys, F.col(valid_from).alias("_s"), F.col(valid_until).alias("_e"), F.struct(*right_columns).alias("_right"))
-    pairs = _bucketed(lefts, side, keys, time, "_s", longest_s).where((F.col("_s") <= F.col(time)) & (F.col(time) < F.col("_e")))
-    return pairs.select("_left.*", "_right.*")
+    touched = F.when(end - start > longest_s * 1_000_000, F.raise_error(F.lit("a validity is longer than longest_s")).cast("array<bigint>")).when(start < end, F.sequence(bucket(start), bucket(end - 1)))
+    pairs = lefts.join(side.withColumn("_bucket", F.explode(touched)), [*keys, "_bucket"])
+    return pairs.where((F.col("_s") <= F.col("_t")) & (F.col("_t") < F.col("_e"))).select("_left.*", "_right.*")
 
 
 #: Versions are below 2 ** LEVELS.

@@ -121,6 +121,13 @@ def merged_json(old: Column, new: Column) -> Column:
     return F.when(before.isNull(), new).when(after.isNull(), old).otherwise(F.to_json(both))
 
 
+def new_cells(observations: DataFrame, cell: str = "cell") -> DataFrame:
+    """(series_id, cell, version): each cell of a series with the version that first had it, so what a version adds to those
+    before it. One grouping, for all versions at once; rows without a series, cell or version add nothing."""
+    known = observations.where(F.col("series_id").isNotNull() & F.col(cell).isNotNull() & F.col("added_in_version").isNotNull())
+    return known.groupBy("series_id", cell).agg(F.min("added_in_version").alias("version"))
+
+
 def upsert_entities(current: DataFrame, new: DataFrame, key: str = "entity_id", texts: Sequence[str] = (), first: Sequence[str] = (), last: Sequence[str] = (), objects: Sequence[str] = ()) -> DataFrame:
     """Current entities with new values: texts are replaced by non-null ones, ``first`` keep the least, ``last`` the
     greatest, and JSON ``objects`` are merged by key."""

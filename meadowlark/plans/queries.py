@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geo, indices
-from ..operators import catalog, checks, forecast, joins, movement, relational, series, stats
+from ..functions.text import formatted
+from ..operators import catalog, checks, forecast, joins, movement, relational, report, series, stats
 from ..sources import tracking
 from ..sources.storage import shared_folder
 from ..streaming import corrections
@@ -848,10 +849,10 @@ def _(v):
     return movement.missing_days(v.daily)
 
 
-@query("except_known_cells", "cell_obs", "SELECT series_id, cell FROM cell_obs WHERE added_in_version = 7 EXCEPT SELECT series_id, cell FROM cell_obs WHERE added_in_version < 7")
+@query("except_known_cells", "cell_obs", """SELECT DISTINCT series_id, cell, added_in_version AS version FROM cell_obs o
+    WHERE NOT EXISTS (SELECT 1 FROM cell_obs p WHERE p.series_id = o.series_id AND p.cell = o.cell AND p.added_in_version < o.added_in_version)""")
 def _(v):
-    known = v.cell_obs.where("added_in_version < 7").select("series_id", "cell")
-    return v.cell_obs.where("added_in_version = 7").select("series_id", "cell").distinct().join(known, ["series_id", "cell"], "left_anti")
+    return series.new_cells(v.cell_obs)
 
 
 @query("set_overlap", "datasets", "SELECT dataset_id, version, list_has_any(variables, ['rain', 'x']) AS meets FROM datasets")
@@ -1296,6 +1297,73 @@ def _(v):
     return v.spark.createDataFrame([prepared.counts()])
 
 
+#: An export in which some places and times can't be read, lie outside the globe, or aren't finite.
+_DAMAGED = """damaged AS (SELECT source_record_id, CASE cell WHEN 'c3' THEN 'NaN' WHEN 'c4' THEN '190.5' WHEN 'c5' THEN 'east' ELSE longitude::VARCHAR END AS lon,
+    CASE event_type WHEN 'error' THEN 'n/a' WHEN 'click' THEN NULL ELSE latitude::VARCHAR END AS lat, CASE WHEN entity_id LIKE '%7' THEN '2024-13-45' ELSE observed_at::VARCHAR END AS seen FROM fixes),
+    read AS (SELECT *, TRY_CAST(lon AS DOUBLE) AS x, TRY_CAST(lat AS DOUBLE) AS y, TRY_CAST(seen AS TIMESTAMP) AS t FROM damaged)"""
+_KINDS = {"lon": "longitude", "lat": "latitude", "seen": "time"}
+
+
+def _damaged(v: Views) -> DataFrame:
+    cell, kind = F.col("cell"), F.col("event_type")
+    return v.fixes.select(
+        "source_record_id", F.when(cell == "c3", "NaN").when(cell == "c4", "190.5").when(cell == "c5", "east").otherwise(F.col("longitude").cast("string")).alias("lon"),
+        F.when(kind == "error", "n/a").when(kind != "click", F.col("latitude").cast("string")).alias("lat"), F.when(F.col("entity_id").endswith("7"), "2024-13-45").otherwise(F.col("observed_at").cast("string")).alias("seen"))
+
+
+def _type_counts(column: str, kind: str, value: str, bound: int | None) -> str:
+    bad = f"{column} IS NOT NULL AND {value} IS NULL"
+    odd = f"NOT isfinite({value})" if bound else "false"
+    outside = f"isfinite({value}) AND abs({value}) > {bound}" if bound else "false"
+    return f"SELECT '{column}' AS \"column\", '{kind}' AS kind, count(*) AS rows, count(*) FILTER ({column} IS NULL) AS nulls, count(*) FILTER ({bad}) AS bad, count(*) FILTER ({odd}) AS nonfinite, count(*) FILTER ({outside}) AS outside, min({column}) FILTER ({bad}) AS example FROM read"
+
+
+@query("type_report", "fixes", f"WITH {_DAMAGED} {_type_counts('lon', 'longitude', 'x', 180)} UNION ALL {_type_counts('lat', 'latitude', 'y', 90)} UNION ALL {_type_counts('seen', 'time', 't', None)}")
+def _(v):
+    return checks.type_report(_damaged(v), _KINDS)
+
+
+_FAULTS = """list_filter([CASE WHEN lon IS NOT NULL AND x IS NULL THEN 'lon:bad' WHEN isfinite(x) AND abs(x) > 180 THEN 'lon:outside' END, CASE WHEN lat IS NOT NULL AND y IS NULL THEN 'lat:bad' END, CASE WHEN seen IS NOT NULL AND t IS NULL THEN 'seen:bad' END], lambda p: p IS NOT NULL)"""
+
+
+@query("type_quarantine", "fixes", f"WITH {_DAMAGED} SELECT source_record_id, round(CASE WHEN len({_FAULTS}) = 0 AND isfinite(x) THEN x END, 6) AS lon, round(CASE WHEN len({_FAULTS}) = 0 THEN y END, 6) AS lat, CASE WHEN len({_FAULTS}) = 0 THEN t END AS seen, array_to_string({_FAULTS}, ',') AS problems FROM read")
+def _(v):
+    good, bad = checks.typed(_damaged(v), _KINDS)
+    nothing = {c: F.lit(None).cast(good.schema[c].dataType) for c in _KINDS}
+    both = good.withColumn("problems", F.lit("")).unionByName(bad.withColumns({**nothing, "problems": F.array_join("problems", ",")}))
+    return both.select("source_record_id", r("lon").alias("lon"), r("lat").alias("lat"), F.col("seen").cast(NTZ).alias("seen"), "problems")
+
+
+@query("tracking_report", "fixes", f"""WITH {_DAMAGED}, told AS (SELECT *, CASE WHEN lon IS NULL OR lat IS NULL OR seen IS NULL THEN 'missing' WHEN t IS NULL THEN 'bad_time' WHEN x IS NULL OR y IS NULL THEN 'bad_place' END AS why FROM read)
+    SELECT count(*) AS rows, count(*) FILTER (why = 'missing') AS missing, count(*) FILTER (why = 'bad_time') AS bad_time, count(*) FILTER (why = 'bad_place') AS bad_place, count(*) FILTER (why IS NULL) AS kept,
+    count(*) FILTER (why IS NULL AND NOT (isfinite(x) AND abs(x) <= 180 AND abs(y) <= 90)) AS outside_wgs84 FROM told""")
+def _(v):
+    return tracking.tracking_report(_damaged(v).withColumnsRenamed({"lon": "location-long", "lat": "location-lat", "seen": "timestamp"}))
+
+
+def _shown(value: str, decimals: int = 6) -> str:
+    return f"coalesce(CASE WHEN round({value}, {decimals}) = 0 THEN '0' ELSE rtrim(rtrim(printf('%.{decimals}f', round({value}, {decimals})), '0'), '.') END, 'unknown')"
+
+
+@query("report_numbers", "cell_obs", f"SELECT source_item_id, {_shown('CASE WHEN cell % 3 <> 0 THEN (0.5 - valid_fraction) * cell * 1000 END', 3)} AS shown, {_shown('value / 8', 6)} AS eighths FROM cell_obs")
+def _(v):
+    signed = F.when(F.col("cell") % 3 != 0, (0.5 - F.col("valid_fraction")) * F.col("cell") * 1000)
+    return v.cell_obs.select("source_item_id", formatted(signed, 3).alias("shown"), formatted(F.col("value") / 8).alias("eighths"))
+
+
+@query("report_movement", "daily", f"""WITH months AS (SELECT entity_id, strftime(day, '%Y-%m') AS month, count(*) AS days, sum(displacement_km) AS km, count(displacement_km) AS moves FROM daily GROUP BY 1, 2),
+    told AS (SELECT *, month || ': ' || days || ' days, ' || {_shown('km', 3)} || ' km, ' || {_shown('km / moves', 3)} || ' km a day.' AS said, 'month-' || month AS dataset, CASE WHEN moves < days THEN (days - moves) || ' days of ' || month || ' have no distance.' END AS limits FROM months)
+    SELECT entity_id, string_agg(said, chr(10) || chr(10) ORDER BY month) || chr(10) || chr(10) || 'Evidence: datasets ' || string_agg(dataset, ', ' ORDER BY dataset) || '.' || chr(10) || chr(10) || 'Attribution: collars.'
+    || coalesce(chr(10) || chr(10) || 'Limitations: ' || string_agg(limits, ' ' ORDER BY limits COLLATE "C"), '') AS report FROM told GROUP BY 1""")
+def _(v):
+    months = v.daily.groupBy("entity_id", F.date_format("day", "yyyy-MM").alias("month")).agg(F.count("*").alias("days"), F.sum("displacement_km").alias("km"), F.count("displacement_km").alias("moves"))
+    km = F.col("km")
+    said = F.concat("month", report.sentence(": ", F.col("days"), " days, ", (km, 3), " km, ", (km / F.nullif(F.col("moves"), F.lit(0)), 3), " km a day."))
+    limits = F.when(F.col("moves") < F.col("days"), F.concat(report.sentence(F.col("days") - F.col("moves"), " days of "), "month", F.lit(" have no distance.")))
+    told = months.select("entity_id", "month", said.alias("said"), F.concat(F.lit("month-"), "month").alias("dataset"), limits.alias("limits"))
+    return report.render(told, ["entity_id"], ["month"], "said", "dataset", "limits", "collars")
+
+
 @query("movement_summary", "daily", f"SELECT count(DISTINCT entity_id) AS animals, count(*) AS rows, count(DISTINCT day) AS days, count(displacement_km) AS displacements, count(*) - count(displacement_km) AS missing, round(sum(displacement_km), 6) AS total_km, round(median(displacement_km), 6) AS median_km, min(day) AS first_day, max(day) AS last_day, (SELECT count(*) FROM ({_GAPS})) AS gap_days FROM daily")
 def _(v):
     return movement.movement_summary(v.daily).withColumns({"total_km": r("total_km"), "median_km": r("median_km")})

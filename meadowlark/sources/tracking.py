@@ -52,6 +52,19 @@ def read_tracking(df: DataFrame, source: str, study: str, aoi: tuple[float, floa
     return fixes.withColumn("cell_id", cell_id(F.col("longitude"), F.col("latitude")))
 
 
+def tracking_report(df: DataFrame) -> DataFrame:
+    """One row on an export that ``read_tracking`` takes: rows, and those that it leaves out by their first reason, missing
+    (no time or place), bad_time, bad_place (text that can't be read); then outside_wgs84, rows kept beyond the globe."""
+    at, x, y = (F.col(f"`{c}`") for c in ("timestamp", "location-long", "location-lat"))
+    lon, lat = x.try_cast("double"), y.try_cast("double")
+    missing = at.isNull() | x.isNull() | y.isNull()
+    bad_time = ~missing & F.try_to_timestamp(at).isNull()
+    bad_place = ~missing & ~bad_time & (lon.isNull() | lat.isNull())
+    kept = ~missing & ~bad_time & ~bad_place
+    outside = kept & ~(lon.between(-180, 180) & lat.between(-90, 90))
+    return df.agg(F.count("*").alias("rows"), *(F.count_if(c).alias(name) for name, c in (("missing", missing), ("bad_time", bad_time), ("bad_place", bad_place), ("kept", kept), ("outside_wgs84", outside))))
+
+
 def flatten_individuals(df: DataFrame) -> DataFrame:
     """Nested ``individuals[].locations[]`` with epoch milliseconds as flat rows."""
     each = df.select(F.explode("individuals").alias("i")).select("i.individual_local_identifier", F.explode("i.locations").alias("at"))

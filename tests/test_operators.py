@@ -9,8 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meadowlark.functions import geo, indices
-from meadowlark.operators import catalog, checks, forecast, joins, movement, relational, series, stats
+from meadowlark.functions import geo, indices, text
+from meadowlark.operators import catalog, checks, forecast, joins, movement, relational, report, series, stats
 from meadowlark.operators.relational import CheckFailed
 from meadowlark.sources import tracking
 from meadowlark.streaming import append, corrections
@@ -610,3 +610,69 @@ def test_places_are_numbered_over_parts(spark):
     order = sorted(((None if v < 0 else v // 7, v) for v in [*values, -1]), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
     assert [(x.a, x.b) for x in sorted(got, key=lambda x: x.place)] == order and sorted(x.place for x in got) == list(range(1, 3002))
     assert relational.numbered(df.limit(0), [F.asc("b")], "place").count() == 0
+
+
+def test_validities_meet_by_the_buckets_they_touch(spark):
+    random.seed(5)
+    t = lambda s: dt.datetime(1969, 12, 30) + dt.timedelta(seconds=s)  # noqa: E731  before and after 1970
+    left = [(random.choice("ab"), t(random.randrange(400_000)), i) for i in range(300)] + [(None, t(5), -1), ("a", None, -2)]
+    right = [(random.choice("ab"), t(s := random.randrange(400_000)), t(s + random.choice([0, 1, 7, 3_600, 86_400])), i) for i in range(200)] + [("a", None, t(9), -1), ("a", t(9), None, -2), (None, t(0), t(9), -3)]
+    want = sorted((x[2], y[3]) for x in left for y in right if x[0] and x[0] == y[0] and x[1] and y[1] and y[2] and y[1] <= x[1] < y[2])
+    lefts, rights = spark.createDataFrame(left, "k string, at timestamp, i int"), spark.createDataFrame(right, "k string, s timestamp, e timestamp, j int")
+    for parts in (1, 4, 7):
+        found = joins.validity_join(lefts, rights, ["k"], "at", "s", "e", ["j"], 86_400, parts)
+        assert found.columns == ["k", "at", "i", "j"] and sorted((r.i, r.j) for r in found.collect()) == want
+    with pytest.raises(Exception, match="longer than longest_s"):
+        joins.validity_join(lefts, rights, ["k"], "at", "s", "e", ["j"], 86_399).collect()
+    assert joins.validity_join(lefts, rights.limit(0), ["k"], "at", "s", "e", ["j"], 60).count() == 0
+
+
+def test_numbers_as_reports_show_them(spark):
+    shown = {None: "unknown", math.nan: "unknown", math.inf: "unknown", 0.0: "0", -0.0000001: "0", -2.5: "-2.5", 12.0: "12", 100.0: "100", 1.2345678: "1.234568", 0.1 + 0.2: "0.3", 1e12: "1000000000000", 1234.5: "1234.5"}
+    df = spark.createDataFrame([(x,) for x in shown], "x double").select("x", text.formatted(F.col("x")).alias("t"), text.formatted(F.col("x"), 1).alias("one"))
+    found = df.collect()
+    assert [r.t for r in found] == list(shown.values())
+    assert {r.one for r in found if r.x == 1.2345678} == {"1.2"}
+
+
+def test_reports_of_groups(spark):
+    rows = [("a", 2, "later", "d2", None), ("a", 1, "first", "d1", "few rows."), ("a", 1, None, "d1", "few rows."), ("b", 1, "only", None, None), ("c", 1, None, None, None), (None, 1, "x", "d", "y")]
+    df = spark.createDataFrame(rows, "k string, n int, said string, dataset string, limits string")
+    found = {r.k: r.report for r in report.render(df, ["k"], ["n"], "said", "dataset", "limits", "us").collect()}
+    assert found == {"a": "first\n\nlater\n\nEvidence: datasets d1, d2.\n\nAttribution: us.\n\nLimitations: few rows.", "b": "only\n\nAttribution: us.", "c": "Attribution: us.", None: "x\n\nEvidence: datasets d.\n\nAttribution: us.\n\nLimitations: y"}
+    assert report.render(df.limit(0), ["k"], ["n"], "said").count() == 0
+    assert {r.report for r in report.render(df.where("k = 'c'"), ["k"], ["n"], "said").collect()} == {""}
+
+
+def test_types_are_counted_and_parted(spark):
+    rows = [("1", "1.5", "2026-01-01"), (" -2e3 ", "91", "2026-01-01T10:00:00Z"), ("1d", "NaN", "soon"), (None, None, None), ("Infinity", "-90", "2026-02-30"), ("", "x", "2026-01-01 01:02:03")]
+    df = spark.createDataFrame(rows, "n string, `la t` string, seen string")
+    kinds = {"n": "number", "la t": "latitude", "seen": "time"}
+    found = {r["column"]: (r.kind, r.rows, r.nulls, r.bad, r.nonfinite, r.outside, r.example) for r in checks.type_report(df, kinds).collect()}
+    assert found == {"n": ("number", 6, 1, 2, 1, 0, ""), "la t": ("latitude", 6, 1, 1, 1, 1, "x"), "seen": ("time", 6, 1, 2, 0, 0, "2026-02-30")}
+    good, bad = checks.typed(df, kinds)
+    assert [(r.n, r["la t"], r.seen) for r in good.collect()] == [(1.0, 1.5, dt.datetime(2026, 1, 1)), (None, None, None)]
+    assert [r.problems for r in bad.collect()] == [["la t:outside"], ["n:bad", "seen:bad"], ["seen:bad"], ["n:bad", "la t:bad"]]
+    assert bad.drop("problems").schema == df.schema and bad.first().n == " -2e3 "
+    for kind, code in (({"n": "integer"}, "BAD_NUMBER"), ({"seen": "time"}, "BAD_TIMESTAMP"), ({"la t": "number"}, "BAD_NUMBER")):
+        assert checks.code_of(lambda k=kind: checks.check_types(df, k)) == code
+    assert checks.code_of(lambda: checks.check_types(df.where("n = ' -2e3 '"), kinds)) == "OUTSIDE_WGS84"
+    assert checks.code_of(lambda: checks.check_types(df.where("n = '1'"), kinds)) == "ok"
+    empty = checks.type_report(df.limit(0), kinds).collect()
+    assert [(r["column"], r.rows, r.bad, r.example) for r in empty] == [(c, 0, 0, None) for c in kinds]
+    native = spark.createDataFrame([(1, math.nan, dt.datetime(2026, 1, 1))], "n int, `la t` double, seen timestamp")
+    assert [(r.bad, r.nonfinite) for r in checks.type_report(native, kinds).collect()] == [(0, 0), (0, 1), (0, 0)]
+    with pytest.raises(ValueError):
+        checks.type_report(df, {"n": "colour"})
+
+
+def test_exports_say_what_a_reader_leaves_out(spark):
+    rows = [("1", "2026-01-01 00:00:00", "1", "2", "a"), ("2", None, "1", "2", "a"), ("3", "never", None, "2", "a"), ("4", "never", "x", "2", "a"), ("5", "2026-01-01 00:00:00", "x", "2", "a"), ("6", "2026-01-01 00:00:00", "181", "2", "a")]
+    df = tracking.normalize_headers(spark.createDataFrame(rows, "event_id string, timestamp string, location_long string, location_lat string, individual_local_identifier string"))
+    assert tracking.tracking_report(df).first().asDict() == {"rows": 6, "missing": 2, "bad_time": 1, "bad_place": 1, "kept": 2, "outside_wgs84": 1}
+    assert tracking.read_tracking(df, "m", "9").count() == 2
+
+
+def test_new_cells_of_each_version(spark):
+    df = spark.createDataFrame([("s", 1, 1), ("s", 1, 2), ("s", 2, 2), ("t", 1, 3), (None, 1, 1), ("s", None, 1), ("s", 3, None)], "series_id string, cell int, added_in_version int")
+    assert sorted(series.new_cells(df).collect()) == [("s", 1, 1), ("s", 2, 2), ("t", 1, 3)]
