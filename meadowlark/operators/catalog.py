@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,15 +49,23 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+)"), 1))
 
 
-def word_share(text: Column, query: Column) -> Column:
-    """Share of the query's words that a text has."""
+def word_share(text: Column, query: str | Column) -> Column:
+    """Share of the query's words that a text has; null for a null text and for a query without words.
+
+    Of a query that is the same for all rows only its words are looked for in a text; of a column's, all words of a text
+    are listed.
+    """
+    if isinstance(query, str):
+        asked, lowered = sorted(set(re.findall("[a-z0-9]+", query.lower()))), F.lower(text)
+        has = (F.contains(lowered, F.lit(w)) & lowered.rlike(f"(?<![a-z0-9]){w}(?![a-z0-9])") for w in asked)
+        return sum((h.cast("int") for h in has), F.lit(0)) / float(len(asked)) if asked else F.lit(None).cast("double")
     asked = words(query)
     return F.size(F.array_intersect(words(text), asked)) / F.nullif(F.size(asked), F.lit(0))
 
 
 def lexical_search(df: DataFrame, key: str, text: str, query: str, limit: int) -> DataFrame:
     """(key, share) of the ``limit`` rows with the largest share of the query's words, above none; ties by key."""
-    found = df.select(key, word_share(F.col(text), F.lit(query)).alias("share")).where("share > 0")
+    found = df.select(key, word_share(F.col(text), query).alias("share")).where("share > 0")
     return found.orderBy(F.desc("share"), key).limit(limit)
 
 
@@ -80,7 +89,7 @@ def search(datasets: DataFrame, region: Box, start: Column, end: Column, scopes:
     if any_tags:
         out = out.where(F.arrays_overlap(tags, listed(any_tags)))
     if text:
-        out = out.where(word_share(F.col("description"), F.lit(text)) == 1)
+        out = out.where(word_share(F.col("description"), text) == 1)
     shares = out.withColumn("spatial_share", spatial_share(region)).withColumn("temporal_share", temporal_share(start, end))
     kept = shares.where("(spatial_share is null or spatial_share > 0) and (temporal_share is null or temporal_share > 0)")
     return kept.withColumn("score", score(F.col("spatial_share"), F.col("temporal_share")))

@@ -676,3 +676,11 @@ def test_exports_say_what_a_reader_leaves_out(spark):
 def test_new_cells_of_each_version(spark):
     df = spark.createDataFrame([("s", 1, 1), ("s", 1, 2), ("s", 2, 2), ("t", 1, 3), (None, 1, 1), ("s", None, 1), ("s", 3, None)], "series_id string, cell int, added_in_version int")
     assert sorted(series.new_cells(df).collect()) == [("s", 1, 1), ("s", 2, 2), ("t", 1, 3)]
+
+
+def test_share_of_words_is_one_for_texts_and_columns(spark):
+    texts = ["The apache LICENSE", "apachelicense the9", "the,the", "", None, "9the the-license", "LİCENSE theé", "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for asked in ("the Apache license", "the the", "9the", "l\u0130cense", "..."):
+        found = df.select(catalog.word_share(F.col("t"), asked).alias("a"), catalog.word_share(F.col("t"), F.lit(asked)).alias("b")).collect()
+        assert [r.a for r in found] == [r.b for r in found]
