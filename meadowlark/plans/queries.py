@@ -13,7 +13,7 @@ from ..functions.text import formatted
 from ..operators import catalog, checks, forecast, joins, movement, relational, report, series, stats
 from ..sources import tracking
 from ..sources.storage import shared_folder
-from ..streaming import corrections
+from ..streaming import append, corrections
 from .views import FIRST_DAY, Views, r, spheroid_sql, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1012,6 +1012,31 @@ def _(v):
     return held.select("source_id", "variable", "cell", "day", "value", "product_status", "source_item_id")
 
 
+@query("stream_append", "cell_obs", """SELECT lpad((substr(series_id, 2)::BIGINT % 9)::VARCHAR, 3, '0') AS series_id, concat_ws('|', added_in_version, product_status, processing_version) AS batch_key, count(*) AS row_count FROM cell_obs GROUP BY 1, 2""")
+def _(v):
+    """A row a batch of nine series, as a stream of files, one a micro-batch; those of one version come twice."""
+    folder = shared_folder(v.spark)
+    number = F.lpad((F.substring("series_id", 2, 20).cast("long") % 9).cast("string"), 3, "0")
+    batches = v.cell_obs.groupBy(number.alias("series_id"), F.concat_ws("|", "added_in_version", "product_status", "processing_version").alias("batch_key")).agg(F.count("*").alias("row_count"))
+    sent = batches.repartition(3, "series_id", "batch_key")
+    sent.write.parquet(f"{folder}/sent")
+    sent.where("batch_key like '2|%'").write.mode("append").parquet(f"{folder}/sent")
+    stream = v.spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/sent")
+    append.append_stream(stream, f"{folder}/series", f"{folder}/checkpoint").awaitTermination()
+    return append.stored_rows(v.spark, f"{folder}/series", sent.schema).select("series_id", "batch_key", "row_count")
+
+
+@query("stream_daily_counts", "fixes", """SELECT entity_id, observed_at::DATE AS day, count(*) AS fixes FROM fixes GROUP BY 1, 2 HAVING observed_at::DATE + INTERVAL 2 DAY <= (SELECT max(observed_at) FROM fixes)""")
+def _(v):
+    """Days that the watermark has closed, of the fixes as a stream."""
+    folder = shared_folder(v.spark)
+    sent = v.fixes.select("entity_id", F.col("observed_at").cast("timestamp").alias("observed_at"))
+    sent.write.parquet(f"{folder}/sent")
+    counts = append.daily_counts(v.spark.readStream.schema(sent.schema).parquet(f"{folder}/sent")).select("entity_id", F.to_date("window.start").alias("day"), F.col("count").alias("fixes"))
+    counts.writeStream.format("parquet").option("path", f"{folder}/counts").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return v.spark.read.schema(counts.schema).parquet(f"{folder}/counts")
+
+
 @query("series_id", "", "SELECT s_suppkey, 'src--' || s_name || '--1km' || CASE WHEN s_suppkey % 3 = 0 THEN '--study-' || s_suppkey ELSE '' END AS series_id FROM supplier")
 def _(v):
     study = F.when(F.col("s_suppkey") % 3 == 0, F.col("s_suppkey").cast("string"))
