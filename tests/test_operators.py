@@ -627,6 +627,14 @@ def test_validities_meet_by_the_buckets_they_touch(spark):
     assert joins.validity_join(lefts, rights.limit(0), ["k"], "at", "s", "e", ["j"], 60).count() == 0
 
 
+def test_pairs_of_small_tables_are_spread_over_tasks(spark):
+    lefts = spark.range(400).coalesce(1).select(F.concat(F.lit("a"), F.col("id") % 1).alias("k"), F.timestamp_seconds(F.col("id") * 900).alias("at"), F.col("id").alias("i"))
+    rights = lefts.select("k", F.col("at").alias("s"), F.expr("at + interval 1 day").alias("e"), F.col("i").alias("j"))
+    found = joins.validity_join(lefts, rights, ["k"], "at", "s", "e", ["j"], 86_400).withColumn("task", F.spark_partition_id())
+    tasks = [r["count"] for r in found.groupBy("task").count().collect()]
+    assert len(tasks) > 3 and sum(tasks) == sum(min(i + 1, 96) for i in range(400)) and max(tasks) < sum(tasks) / 2
+
+
 def test_numbers_as_reports_show_them(spark):
     shown = {None: "unknown", math.nan: "unknown", math.inf: "unknown", 0.0: "0", -0.0000001: "0", -2.5: "-2.5", 12.0: "12", 100.0: "100", 1.2345678: "1.234568", 0.1 + 0.2: "0.3", 1e12: "1000000000000", 1234.5: "1234.5"}
     df = spark.createDataFrame([(x,) for x in shown], "x double").select("x", text.formatted(F.col("x")).alias("t"), text.formatted(F.col("x"), 1).alias("one"))
