@@ -7,6 +7,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,19 +96,42 @@ def _bucket_of(docs: pa.Table) -> int:
     return docs.column("bucket")[0].as_py() if docs.num_rows else 0
 
 
-_SUFFIX = "value long, bucket int, low int, high int, spelled binary, places array<int>"
+_COLUMNS = ["value", "bucket", "low", "high", "spelled", "places", "other", "n"]
+_SUFFIX = "value long, bucket int, low int, high int, spelled binary, places array<int>, other long, n long"
 
 
-def _emit_suffixes(docs: pa.Table, prefixes: pa.Table) -> pa.Table:
+def _windows(words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of each window, and one of both by which windows of one bucket are compared."""
+    a, b = rolling(words.hashes, WINDOW)[0], rolling(mix(words.hashes), WINDOW)[0]
+    return a, b, mix(mix(a) + b * GOLDEN)
+
+
+def _emit(docs: pa.Table, prefixes: pa.Table) -> pa.Table:
+    """The suffixes that start with a prefix that isn't heavy, and the whole windows whose least run is a heavy one."""
+    words = _Words(_split(docs)[1], _hasher())
+    value, place = words.anchors()
+    known, heavy = _longs(prefixes.column("value")), prefixes.column("heavy").to_numpy().astype(bool)
+    suffixes = _suffixes(words, value, place, known[~heavy], _bucket_of(docs))
+    return pa.concat_tables([suffixes, _heavy_windows(words, value, known[heavy], _bucket_of(docs))]) if heavy.any() else suffixes
+
+
+def _heavy_windows(words: _Words, value: np.ndarray, prefixes: np.ndarray, bucket: int) -> pa.Table:
+    """How often each window (``value`` and ``other``) whose least run is one of ``prefixes`` stands in the bucket."""
+    at = np.flatnonzero(words.inside & _is_in(value, prefixes)) if len(value) else np.zeros(0, np.int64)
+    a, b, both = (x[at] for x in _windows(words)) if len(at) else [np.zeros(0, np.uint64)] * 3
+    _, first, n = np.unique(both, return_index=True, return_counts=True)
+    none = [pa.nulls(len(first), k) for k in (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()))]
+    return pa.table([pa.array(signed(a[first])), pa.array(np.full(len(first), bucket, np.int32)), *none, pa.array(signed(b[first])), pa.array(n.astype(np.int64))], _COLUMNS)
+
+
+def _suffixes(words: _Words, value: np.ndarray, place: np.ndarray, prefixes: np.ndarray, bucket: int) -> pa.Table:
     """The suffixes that start with one of ``prefixes``, equal ones in one row with all their places in the bucket.
 
     ``low`` to ``high`` are the offsets of the windows whose least run starts the suffix: how many words before it they
     begin. ``spelled`` has the hashes of the BEFORE words before the suffix and of its first AFTER words; those that no
     such window covers are zero.
     """
-    words = _Words(_split(docs)[1], _hasher())
-    value, place = words.anchors()
-    at = np.flatnonzero(words.inside & _is_in(value, _longs(prefixes.column("value")))) if len(value) else np.zeros(0, np.int64)
+    at = np.flatnonzero(words.inside & _is_in(value, prefixes)) if len(value) else np.zeros(0, np.int64)
     place, first, n = np.unique(place[at], return_index=True, return_counts=True)
     value = value[at[first]] if len(at) else np.zeros(0, np.uint64)
     high = place - at[first] if len(at) else place
@@ -115,7 +139,6 @@ def _emit_suffixes(docs: pa.Table, prefixes: pa.Table) -> pa.Table:
     out: list[list] = [[] for _ in range(6)]
     padded = np.concatenate([np.zeros(BEFORE, np.uint64), words.hashes, np.zeros(AFTER, np.uint64)])
     step = np.arange(BEFORE + AFTER)
-    bucket = _bucket_of(docs)
     # All suffixes of a prefix come in one part, so that equal ones meet.
     order = np.argsort(value, kind="stable")
     value, place, low, high = value[order], place[order], low[order], high[order]
@@ -141,7 +164,8 @@ def _emit_suffixes(docs: pa.Table, prefixes: pa.Table) -> pa.Table:
         out[5].append(_lists(place[part], owner, len(first)))
         start = end
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
-    return pa.table([pa.chunked_array(c, k) for c, k in zip(out, kinds, strict=True)], ["value", "bucket", "low", "high", "spelled", "places"])
+    columns = [pa.chunked_array(c, k) for c, k in zip(out, kinds, strict=True)]
+    return pa.table([*columns, *[pa.nulls(len(columns[0]), pa.int64())] * 2], _COLUMNS)
 
 
 class SuffixTree:
@@ -189,11 +213,29 @@ def repeated_offsets(before: np.ndarray, after: np.ndarray, low: np.ndarray, hig
     return out
 
 
-_REPEATS = "bucket int, place int, offsets int"
+_REPEATS = "bucket int, place int, offsets int, window long"
 
 
 def _repeats(group: pa.Table) -> pa.Table:
-    """Places of a prefix group's suffixes with their repeated offsets; suffixes without any are left out."""
+    """Places of a group's suffixes with their repeated offsets; of its whole windows those that are repeated, for each
+    bucket that has them."""
+    whole = pc.is_valid(group.column("n"))
+    if group.column("n").null_count == group.num_rows:
+        return _repeated_suffixes(group)
+    return pa.concat_tables([_repeated_suffixes(group.filter(pc.invert(whole))), _repeated_windows(group.filter(whole))])
+
+
+def _repeated_windows(group: pa.Table) -> pa.Table:
+    a, b, n, bucket = _longs(group.column("value")), _longs(group.column("other")), group.column("n").to_numpy(), group.column("bucket").to_numpy()
+    order = np.lexsort((b, a))
+    a, b, n, bucket = a[order], b[order], n[order], bucket[order]
+    which = np.cumsum(np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) - 1
+    keep = np.bincount(which, weights=n)[which] > 1 if len(a) else np.zeros(0, bool)
+    none = pa.nulls(int(keep.sum()), pa.int32())
+    return pa.table([pa.array(bucket[keep].astype(np.int32)), none, none, pa.array(signed(mix(mix(a[keep]) + b[keep] * GOLDEN)))], ["bucket", "place", "offsets", "window"])
+
+
+def _repeated_suffixes(group: pa.Table) -> pa.Table:
     group = group.combine_chunks()
     n = group.num_rows
     places = group.column("places")
@@ -201,7 +243,7 @@ def _repeats(group: pa.Table) -> pa.Table:
     spelled = np.frombuffer(b"".join(group.column("spelled").to_pylist()), np.uint8).reshape(n, BEFORE + AFTER, BYTES)
     whole = np.zeros((n, BEFORE + AFTER, 8), np.uint8)
     whole[:, :, :BYTES] = spelled
-    whole = whole.reshape(n, -1).view(np.uint64)
+    whole = whole.view(np.uint64).reshape(n, BEFORE + AFTER)
     low, high = (group.column(c).to_numpy() for c in ("low", "high"))
     # The prefix is spelled in full, so suffixes of different prefixes share fewer than SEED words.
     bits = repeated_offsets(whole[:, :BEFORE], whole[:, BEFORE:], low, high, copies)
@@ -209,28 +251,20 @@ def _repeats(group: pa.Table) -> pa.Table:
     flat = places.combine_chunks().flatten().to_numpy(zero_copy_only=False) if n else np.zeros(0, np.int32)
     bucket = np.repeat(group.column("bucket").to_numpy(), copies)
     keep = found != 0
-    return pa.table([pa.array(bucket[keep].astype(np.int32)), pa.array(flat[keep].astype(np.int32)), pa.array(found[keep])], ["bucket", "place", "offsets"])
-
-
-def _emit_windows(docs: pa.Table, prefixes: pa.Table) -> pa.Table:
-    """Whole windows whose least run is one of ``prefixes``: two hashes of 64 bits, equal ones of the bucket in one row."""
-    words = _Words(_split(docs)[1], _hasher())
-    value, _ = words.anchors()
-    at = np.flatnonzero(words.inside & _is_in(value, _longs(prefixes.column("value")))) if len(value) else np.zeros(0, np.int64)
-    a = rolling(words.hashes, WINDOW)[0][at] if len(at) else np.zeros(0, np.uint64)
-    b = rolling(mix(words.hashes), WINDOW)[0][at] if len(at) else np.zeros(0, np.uint64)
-    _, first, owner = np.unique(mix(mix(a) + b * GOLDEN), return_index=True, return_inverse=True)
-    bucket = pa.array(np.full(len(first), _bucket_of(docs), np.int32))
-    return pa.table([pa.array(signed(a[first])), pa.array(signed(b[first])), bucket, _lists(at, owner, len(first))], ["a", "b", "bucket", "places"])
+    return pa.table([pa.array(bucket[keep].astype(np.int32)), pa.array(flat[keep].astype(np.int32)), pa.array(found[keep]), pa.nulls(int(keep.sum()), pa.int64())], ["bucket", "place", "offsets", "window"])
 
 
 def _remove(docs: pa.Table, repeats: pa.Table) -> pa.Table:
     order, texts = _split(docs)
     sizes = [len(words) for words in texts]
     covered = np.zeros(sum(sizes) + 1, np.int64)
-    place, offsets = repeats.column("place").to_numpy().astype(np.int64), repeats.column("offsets").to_numpy()
-    for o in range(OFFSETS):
-        at = place[(offsets >> o) & 1 == 1] - o
+    suffixes = repeats.filter(pc.is_null(repeats.column("window")))
+    place, offsets = suffixes.column("place").to_numpy().astype(np.int64), suffixes.column("offsets").to_numpy()
+    starts = [place[(offsets >> o) & 1 == 1] - o for o in range(OFFSETS)]
+    if suffixes.num_rows < repeats.num_rows:
+        words = _Words(texts, _hasher())
+        starts.append(np.flatnonzero(words.inside & _is_in(_windows(words)[2], _longs(repeats.column("window").drop_null()))))
+    for at in starts:
         np.add.at(covered, at, 1)
         np.add.at(covered, at + WINDOW, -1)
     keep = np.cumsum(covered)[:-1] == 0
@@ -259,9 +293,10 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = 2 << 20, group_rows: int
     small enough for memory; a group's suffix tree, with the words before each suffix, gives the repeats that are 35
     words deep at least, and these go back to the buckets as places. Equal suffixes of a bucket are one row.
 
-    A prefix with more than ``group_rows`` places doesn't fit: there the prefix is lengthened to the whole window,
-    which is counted (partly before the shuffle), and no tree is needed. Neither way gathers a hot passage in one task.
-    Hashes of prefixes have 64 bits, those of single words in a suffix 48, whole windows 128: equality rests on them.
+    A prefix with more than ``group_rows`` places doesn't fit: there the prefix is lengthened to the whole window, which
+    needs no tree. Windows go through the same shuffle as suffixes, as a count for each bucket without places, so texts
+    aren't shuffled for them; those that are repeated are found again in the buckets. Neither way gathers a hot passage in one task.
+    Hashes of prefixes have 64 bits, those of single words in a suffix 48, whole windows 128 (64 inside a bucket): equality rests on them.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
@@ -270,14 +305,9 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = 2 << 20, group_rows: int
     per_bucket = stored(anchors.groupBy("value", "bucket").agg(F.count("*").alias("n")))
     totals = per_bucket.groupBy("value").agg(F.sum("n").alias("total")).where("total > 1")
     prefixes = stored(per_bucket.join(totals, "value").select("value", "bucket", "n", (F.col("total") > group_rows).alias("heavy")))
-    light, heavy = prefixes.where("not heavy").select("value", "bucket"), prefixes.where("heavy").select("value", "bucket")
-    places, heavy_places = (row or 0 for row in prefixes.agg(F.sum(F.when(~F.col("heavy"), F.col("n"))), F.sum(F.when(F.col("heavy"), F.col("n")))).first())
-
+    # A heavy place has some 14 windows, whose rows are about as much smaller than that of a suffix.
+    places = prefixes.agg(F.sum("n")).first()[0] or 0
     groups = max(1, -(-2 * places // group_rows))
-    suffixes = dealt.groupBy("bucket").cogroup(light.groupBy("bucket")).applyInArrow(_emit_suffixes, _SUFFIX)
-    repeats = suffixes.groupBy(F.pmod(F.xxhash64("value"), F.lit(groups)).alias("part")).applyInArrow(_repeats, _REPEATS)
-    if heavy_places:
-        windows = stored(dealt.groupBy("bucket").cogroup(heavy.groupBy("bucket")).applyInArrow(_emit_windows, "a long, b long, bucket int, places array<int>"))
-        often = windows.groupBy("a", "b").agg(F.sum(F.size("places")).alias("n")).where("n > 1").select("a", "b")
-        repeats = repeats.union(windows.join(often, ["a", "b"], "left_semi").select("bucket", F.explode("places").alias("place"), F.lit(1).alias("offsets")))
+    emitted = dealt.groupBy("bucket").cogroup(prefixes.groupBy("bucket")).applyInArrow(_emit, _SUFFIX)
+    repeats = emitted.groupBy(F.pmod(F.xxhash64("value"), F.lit(groups)).alias("part")).applyInArrow(_repeats, _REPEATS)
     return dealt.groupBy("bucket").cogroup(repeats.groupBy("bucket")).applyInArrow(_remove, "doc_id long, n_words long, n_removed long, kept string")

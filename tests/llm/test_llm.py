@@ -61,6 +61,17 @@ def test_substring_dedup_is_brute_force(docs, sizes):
     assert sorted((x.n_words, x.n_removed, hashlib.sha256(x.kept.encode()).hexdigest()) for x in r) == removed_by_hand([words(t.text) for t in docs.collect()])
 
 
+def test_substring_dedup_shuffles_texts_no_more_often_for_hot_prefixes(spark, monkeypatch):
+    texts = [" ".join(map(str, range(i, i + 60))) for i in (0, 0, 20, 90)] + ["x " * 90]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept, jobs = substring_dedup.stored, []
+    monkeypatch.setattr(substring_dedup, "stored", lambda part: jobs.append(part.columns) or kept(part))
+    for group_rows in (1, 1 << 16):
+        r = substring_dedup.remove_repeats(df, bucket_bytes=200, group_rows=group_rows).collect()
+        assert sorted((x.n_words, x.n_removed, hashlib.sha256(x.kept.encode()).hexdigest()) for x in r) == removed_by_hand([words(t) for t in texts])
+    assert jobs[:2] == jobs[2:]
+
+
 def test_substring_dedup_repeats_inside_a_text(spark):
     texts = ["x " * 40, " ".join(map(str, range(50))) + " q " + " ".join(map(str, range(50))), "y " * 34, None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
