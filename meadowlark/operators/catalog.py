@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import bbox_overlap, bbox_share
-from .joins import live_in_versions
+from .joins import live_spans, with_span
 from .relational import numbered
 
 Box = tuple[float, float, float, float]
@@ -282,14 +282,17 @@ def public_catalog(datasets: DataFrame) -> DataFrame:
 def published_manifests(manifests: DataFrame, batches: DataFrame, datasets: DataFrame, manifest: str = "raw_manifest") -> DataFrame:
     """Manifests (artifact_id, version, checksum, access_scope…) that a live batch of a ready dataset of their scope names.
 
-    The chain is reduced from its small end: ready versions, then their live batches, whose manifests' keys are taken from
-    JSON, each once; only these keys meet the large table, whose rows of other keys a Bloom filter or a broadcast of the
-    keys, as Spark chooses, leaves out at the scan.
+    The chain is reduced from its small end: ready versions, then the distinct spans of their series that are live in a
+    scope, then the manifests of their batches, each once, whose keys are taken from JSON; only these keys meet the large
+    table, whose rows of other keys a Bloom filter or a broadcast of the keys, as Spark chooses, leaves out at the scan.
     """
     ready = datasets.where("status = 'ready'").select(F.col("dataset_id").alias("series_id"), "version", F.col("access_scope").alias("_scope"))
     parts = ("artifact_id", "version", "checksum")
-    named = batches.select("series_id", "added_in_version", "superseded_in_version", *(F.get_json_object(manifest, f"$.{k}").alias(f"_{k}") for k in parts))
-    keys = live_in_versions(ready, named).select("_scope", *(f"_{k}" for k in parts)).distinct()
+    held = with_span(batches)
+    own = ["series_id", "_added", "_open"]
+    live = live_spans(ready, held.select(*own).distinct()).select(*own, "_scope").distinct()
+    named = live.join(held.select(*own, F.col(manifest).alias("_manifest")), own).select("_scope", "_manifest").distinct()
+    keys = named.select("_scope", *(F.get_json_object("_manifest", f"$.{k}").alias(f"_{k}") for k in parts))
     same = F.col("access_scope") == F.col("_scope")
     for k in parts:
         same = same & (F.col(k).cast("string") == F.col(f"_{k}"))

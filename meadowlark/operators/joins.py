@@ -238,14 +238,27 @@ def live_in_versions(datasets: DataFrame, batches: DataFrame, series: str = "ser
     """Each dataset version with the batches of its series that are live in it: added <= version, not superseded by then.
 
     A batch's versions [added, superseded) are cut into aligned blocks, and a version lies in one block of each level, so
-    both meet by equal (series, level, node), once: versions and batches that don't fit make no rows. Columns of
-    ``batches`` must differ from those of ``datasets``, but for the series. Versions are whole numbers from 0 below 2 ** 20.
+    both meet by equal (series, level, node), once: versions and batches that don't fit make no rows. Only the distinct
+    spans of a series are cut, however many batches have them; batches join them by equality. Columns of ``batches`` must
+    differ from those of ``datasets``, but for the series. Versions are whole numbers from 0 below 2 ** 20.
     """
+    held = with_span(batches)
+    own = [series, "_added", "_open"]
+    return live_spans(datasets, held.select(*own).distinct(), series).join(held, own).drop("_added", "_open")
+
+
+def with_span(batches: DataFrame) -> DataFrame:
+    """Adds _added and _open, the versions of a batch: from _added to below _open, neither null."""
+    return batches.withColumns({"_added": F.greatest("added_in_version", F.lit(0)), "_open": F.coalesce("superseded_in_version", F.lit(1 << LEVELS))})
+
+
+def live_spans(datasets: DataFrame, spans: DataFrame, series: str = "series_id") -> DataFrame:
+    """Each dataset version with the spans (series, _added, _open) of its series that it lies in; see ``live_in_versions``."""
     top = F.lit(1 << LEVELS)
     version = F.when(F.col("version").between(0, top - 1), F.col("version")).otherwise(F.when(F.col("version").isNotNull(), F.raise_error(F.lit("a version is out of range")).cast("long")))
     blocks = F.explode(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.struct(k.alias("level"), F.floor(version / F.pow(F.lit(2), k)).cast("long").alias("node")))).alias("_block")
-    spans = F.explode(_nodes(F.greatest("added_in_version", F.lit(0)), F.coalesce("superseded_in_version", top))).alias("_block")
-    asked, held = datasets.where("version is not null").select("*", blocks), batches.select("*", spans)
+    cut = F.explode(_nodes(F.col("_added"), F.col("_open"))).alias("_block")
+    asked, held = datasets.where("version is not null").select("*", blocks), spans.select("*", cut)
     unfold = lambda df: df.select("*", F.col("_block.level").alias("_level"), F.col("_block.node").alias("_node")).drop("_block")
     return unfold(asked).join(unfold(held), [series, "_level", "_node"]).drop("_level", "_node")
 

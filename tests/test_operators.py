@@ -459,6 +459,20 @@ def test_versions_meet_live_batches_once(spark):
     assert sorted(map(tuple, got)) == sorted((s, v, b) for s, v in versions if v is not None for t, b, low, high in batches if s == t and low <= v and (high is None or v < high))
 
 
+def test_only_distinct_spans_are_cut_into_blocks(spark):
+    """2,000 batches of three spans, one of them written in two ways: each batch comes once, and few rows of blocks are made."""
+    spans = [(0, None), (0, 1 << joins.LEVELS), (None, 3)]
+    held = spark.createDataFrame([("a", f"b{i}", *spans[i % 3]) for i in range(2_000)], "series_id string, batch_key string, added_in_version int, superseded_in_version int")
+    versions = spark.createDataFrame([("a", 1), ("a", 5)], "series_id string, version int")
+    live = joins.live_in_versions(versions, held)
+    got = sorted((r.version, r.batch_key) for r in live.collect())
+    assert got == sorted((v, f"b{i}") for v in (1, 5) for i in range(2_000) if v == 1 or i % 3 < 2)
+    assert live.columns == ["series_id", "version", "batch_key", "added_in_version", "superseded_in_version"]
+    plan = live._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    cut = next(i for i, line in enumerate(plan) if "Generate" in line and "_added" in line)
+    assert any("Aggregate" in line for line in plan[cut:])
+
+
 def test_sources_are_covered_by_the_union_of_their_files(spark):
     d = dt.date
     files = [("a", 0.0, 0.0, 1.0, 1.0, d(2024, 1, 1), d(2024, 1, 10)), ("a", 0.5, 0.5, 2.0, 2.0, d(2024, 1, 5), d(2024, 1, 7)), ("a", 0.5, 0.5, 2.0, 2.0, d(2024, 1, 14), d(2024, 2, 1)),
