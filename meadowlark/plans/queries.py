@@ -1001,12 +1001,14 @@ def _(v):
 @query("stream_corrections", "cell_obs", """SELECT source_id, variable, cell, day, value, product_status, source_item_id FROM (SELECT *, time_start::DATE AS day, row_number() OVER (PARTITION BY source_id, variable, cell, time_start::DATE
     ORDER BY product_status = 'final' DESC, processing_version DESC, mapping_version DESC, valid_fraction DESC, available_at DESC, source_item_id DESC) AS place FROM cell_obs) WHERE place = 1""")
 def _(v):
-    """The observations as a stream of files, two a micro-batch, with one of them twice."""
+    """The observations as a stream of files by version, in some four micro-batches, with one version twice.
+
+    Files are as many as the table has parts, so that no task holds a share of the table that grows with it.
+    """
     folder = shared_folder(v.spark)
-    parts = v.cell_obs.repartitionByRange(6, "added_in_version")
-    parts.write.parquet(f"{folder}/sent")
-    parts.where("added_in_version = 2").write.mode("append").parquet(f"{folder}/sent")
-    stream = v.spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/sent")
+    files = corrections.send(v.cell_obs, f"{folder}/sent", "added_in_version", "source_item_id")
+    files += corrections.send(v.cell_obs.where("added_in_version = 2"), f"{folder}/sent", "added_in_version", "source_item_id")
+    stream = v.spark.readStream.schema(v.cell_obs.schema).option("maxFilesPerTrigger", -(-files // 4)).parquet(f"{folder}/sent")
     corrections.write_corrections(corrections.corrections(stream, 4000), f"{folder}/changes", f"{folder}/checkpoint").awaitTermination()
     held = corrections.in_force(v.spark.read.parquet(f"{folder}/changes"))
     return held.select("source_id", "variable", "cell", "day", "value", "product_status", "source_item_id")

@@ -78,6 +78,13 @@ def corrections(rows: DataFrame, late_days: int) -> DataFrame:
     return made.withColumn("day", F.date_from_unix_date(F.col("_day").cast("int"))).select("source_id", "variable", "cell", "day", "action", "revision", "rows", "value", "product_status", "source_item_id")
 
 
+def send(rows: DataFrame, path: str, *order: str, file_rows: int = 1 << 20) -> int:
+    """Adds ``rows`` to a stream's source as files of some ``file_rows`` rows, six at least, in ranges of ``order``; their number."""
+    parts = max(6, -(-rows.count() // file_rows))
+    rows.repartitionByRange(parts, *order).write.mode("append").parquet(path)
+    return parts
+
+
 def in_force(changes: DataFrame) -> DataFrame:
     """The rows in force of written changes: each day's of the largest revision. A change that a sink wrote twice counts once."""
     key = ["source_id", "variable", "cell", "day"]

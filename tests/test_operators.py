@@ -554,6 +554,15 @@ def test_late_rows_of_a_stream_are_counted_and_change_nothing(spark, tmp_path):
     assert changes.agg(F.sum("rows")).first()[0] == sum(map(len, batches))
 
 
+def test_files_of_a_stream_dont_grow_with_the_table(spark, tmp_path):
+    """One version holds all rows: its files are bounded, too."""
+    rows = spark.range(4_000).select(F.lit(1).alias("version"), F.col("id").cast("string").alias("item"))
+    assert corrections.send(rows, str(tmp_path / "sent"), "version", "item", file_rows=400) == 10
+    sizes = [r["count"] for r in spark.read.parquet(str(tmp_path / "sent")).groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 4_000 and max(sizes) < 800
+    assert corrections.send(rows.limit(3), str(tmp_path / "few"), "version", "item") == 6
+
+
 def test_the_order_of_a_stream_doesnt_matter(spark, tmp_path):
     rng = random.Random(8)
     rows = [_observation(rng.randrange(5), rng.choice(["final", "preliminary", None]), rng.random(), rng.choice(["a", "b", "", None]), rng.choice(["1", "2", None]), rng.randrange(3)) for _ in range(120)]
