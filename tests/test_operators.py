@@ -658,6 +658,25 @@ def test_pairs_of_small_tables_are_spread_over_tasks(spark):
     assert len(tasks) > 3 and sum(tasks) == sum(min(i + 1, 96) for i in range(400)) and max(tasks) < sum(tasks) / 2
 
 
+def test_blocks_of_pairs_are_whole_and_small_on_disk(spark, tmp_path):
+    lefts = spark.range(601).select(F.lit("a").alias("k"), F.timestamp_seconds(F.col("id") * 3).alias("at"), F.col("id").cast("string").alias("i"))
+    rights = spark.range(5000).select(F.lit("a").alias("k"), F.timestamp_seconds(F.col("id") - 3000).alias("s"), F.timestamp_seconds(F.col("id")).alias("e"), F.col("id").cast("string").alias("j"))
+    joins.validity_join(lefts, rights, ["k"], "at", "s", "e", ["j"], 86_400).select("i", "j").write.parquet(f"{tmp_path}/pairs")
+    j = F.col("j").cast("long")
+    found = spark.read.parquet(f"{tmp_path}/pairs").groupBy("i").agg(F.count("*"), F.count_distinct("j"), F.min(j), F.max(j)).collect()
+    last = {str(i): min(3 * i + 3000, 4999) for i in range(601)}
+    assert sorted(map(tuple, found)) == sorted((i, to - 3 * int(i), to - 3 * int(i), 3 * int(i) + 1, to) for i, to in last.items())
+    stored = sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    assert stored < 0.3 * sum(x[1] for x in found)
+
+
+def test_validities_come_with_the_columns_asked_for(spark):
+    left = spark.sql("select 'a' as k, timestamp'2024-01-02' as at, 1 as i, 'x' as rest")
+    right = spark.sql("select 'a' as k, timestamp'2024-01-01' as s, timestamp'2024-01-03' as e, 2 as j, 'y' as other")
+    found = joins.validity_join(left, right, ["k"], "at", "s", "e", ["j"], 2 * 86_400, left_columns=["i", "k"])
+    assert found.columns == ["i", "k", "j"] and [tuple(r) for r in found.collect()] == [(1, "a", 2)]
+
+
 def test_numbers_as_reports_show_them(spark):
     shown = {None: "unknown", math.nan: "unknown", math.inf: "unknown", 0.0: "0", -0.0000001: "0", -2.5: "-2.5", 12.0: "12", 100.0: "100", 1.2345678: "1.234568", 0.1 + 0.2: "0.3", 1e12: "1000000000000", 1234.5: "1234.5"}
     df = spark.createDataFrame([(x,) for x in shown], "x double").select("x", text.formatted(F.col("x")).alias("t"), text.formatted(F.col("x"), 1).alias("one"))
